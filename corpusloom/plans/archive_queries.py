@@ -1,2 +1,379 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over run records (``events``: user = run, value = metric, ts = date) and
+over catalogs derived from ``documents`` and ``part``."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import (
+    bigram_buckets,
+    dataset_name,
+    is_logged,
+    is_variant,
+    lr_mul,
+    lr_mul_fraction,
+    over_cap,
+    size_consistent,
+)
+from ..operators import catalog as C
+from ..operators import runs as R
+from ..operators.checks import check_unique
+from ..operators.tokenizers import apply_reuse, byte_length, resolve_specs
+from ..schema import DATASET_PREFIX
+from .tables import BATCH_TOKENS, events, r, table
+
+SHARD_TOKENS = 20_000
+
+
+def _micros(col: str) -> Column:
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
+# --- statistics ---------------------------------------------------------------------
+
+
+def seed_stats(spark, sf):
+    out = R.seed_stats(events(spark, sf), ["user_id"], "value")
+    return out.select("user_id", "n", *[r(c).alias(c) for c in ("mean", "std_samp", "std_pop", "min", "max", "range")])
+
+
+def ttest_vs_mean(spark, sf):
+    """Each run against the overall mean less the required margin."""
+    e = events(spark, sf)
+    mu = R.required_mean(e.agg(F.avg("value")).scalar())
+    out = R.t_test(e, mu, ["user_id"], "value")
+    return out.select("user_id", "n", r("t").alias("t"), r("p").alias("p"), "accepted")
+
+
+def ttest_small(spark, sf):
+    """Closed-form tail for two to four repeats: groups of events of one kind and day."""
+    e = events(spark, sf).withColumn("day", F.dayofyear("ts"))
+    out = R.t_test(e, 20.0, ["user_id", "event_type", "day"], "value", closed_form=True)
+    return out.filter(F.col("df").isin(1, 2, 3) & F.col("t").isNotNull()).select(
+        "user_id", "event_type", "day", r("t").alias("t"), r("p").alias("p")
+    )
+
+
+def last_and_best(spark, sf):
+    points = events(spark, sf).select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("bpb"))
+    return R.last_and_best(points)
+
+
+def training_volume(spark, sf):
+    runs = events(spark, sf).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.lit(BATCH_TOKENS).cast("bigint").alias("batch_tokens"),
+        ((F.max(_micros("ts")) - F.min(_micros("ts"))) / 1000.0).alias("train_time_ms"),
+    ).filter(F.col("train_time_ms") > 0)
+    out = R.training_volume(runs)
+    return out.select("user_id", "tokens_seen", r("tokens_per_s").alias("tokens_per_s"), r("ms_per_step", 3).alias("ms_per_step"))
+
+
+# --- progress -------------------------------------------------------------------------
+
+
+def step_rate(spark, sf):
+    points = events(spark, sf).select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("train_time_ms")
+    )
+    out = R.step_rate(points, BATCH_TOKENS)
+    return out.select("run", "step", r("ms_per_step").alias("ms_per_step"), r("tokens_per_s").alias("tokens_per_s"))
+
+
+def best_so_far(spark, sf):
+    e = events(spark, sf).select("ts", "event_id", "value")
+    out = R.best_so_far(e, ["ts", "event_id"], "value")
+    return out.select("event_id", "best_before", "best_so_far", r("improvement").alias("improvement"), "is_record")
+
+
+def ablation_delta(spark, sf):
+    e = events(spark, sf).select("user_id", "ts", "event_id", "value")
+    out = R.deltas(e, ["user_id"], ["ts", "event_id"], "value")
+    return out.select("user_id", "event_id", r("delta_first").alias("delta_first"), r("delta_previous").alias("delta_previous"))
+
+
+def board_rank(spark, sf):
+    scores = events(spark, sf).groupBy("user_id").agg(F.min("value").alias("score"))
+    return R.rank_runs(scores, "score", "user_id")
+
+
+def board_top(spark, sf):
+    scores = events(spark, sf).groupBy("user_id").agg(F.min("value").alias("score"))
+    return R.top_runs(scores, "score", "user_id", 10)
+
+
+def cap_status(spark, sf):
+    e = events(spark, sf).select(
+        "user_id",
+        "ts",
+        "event_id",
+        F.col("value").alias("size"),
+        (F.from_json("props", "k INT")["k"] / 100.0).alias("metric"),
+    )
+    sized = e.withColumn("artifact_bytes", (F.col("size") * 400_000).cast("bigint"))
+    out = R.cap_status(sized, ["user_id"], ["ts", "event_id"], "metric", "artifact_bytes")
+    return out.select("user_id", "event_id", "status", r("delta").alias("delta"))
+
+
+def size_check(spark, sf):
+    """Artifact sizes that do not add up, or exceed the cap."""
+    total = (F.col("value") * 400_000).cast("bigint")
+    code = F.col("event_id") % 60_000
+    out = events(spark, sf).select("event_id", total.alias("total"), code.alias("code"), (total - code + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("model"))
+    return out.select(
+        "event_id",
+        over_cap(F.col("total")).alias("over_cap"),
+        size_consistent(F.col("total"), F.col("code"), F.col("model")).alias("consistent"),
+    )
+
+
+def lr_schedule(spark, sf):
+    step, elapsed = F.col("event_id") % 20_000, F.col("value") * 4000
+    return events(spark, sf).select(
+        "event_id",
+        r(lr_mul(step, elapsed, 20_000, 12_000, None)).alias("lr_iterations"),
+        r(lr_mul(step, elapsed, 20_000, 1200, 600_000.0)).alias("lr_wallclock"),
+        r(lr_mul_fraction(elapsed, 600_000.0)).alias("lr_fraction"),
+        is_logged(step, 200, F.col("event_type") == "error").alias("logged"),
+    )
+
+
+# --- logs and metadata -----------------------------------------------------------------
+
+
+def log_lines(spark, sf) -> DataFrame:
+    """Log lines of every shape, printed from events."""
+    e = events(spark, sf)
+    four = F.format_string("%.4f", "value")
+    ms = F.col("event_id") * 43
+    head = F.concat(F.lit("step:"), F.col("event_id").cast("string"), F.lit("/20000 "))
+    tail = F.concat(F.lit(" train_time:"), ms.cast("string"), F.lit("ms step_avg:43.00ms"))
+    line = (
+        F.when(F.col("event_type") == "view", F.concat(head, F.lit("train_loss:"), four, tail))
+        .when(F.col("event_type") == "click", F.concat(head, F.lit("val_loss:"), four, F.lit(" val_bpb:"), four, tail))
+        .when(
+            F.col("event_type") == "purchase",
+            F.concat(F.lit("final_int8_zlib_roundtrip_exact val_loss:"), four, F.lit(" val_bpb:"), four),
+        )
+        .when(
+            F.col("event_type") == "error",
+            F.concat(F.lit("peak memory allocated: "), F.col("event_id").cast("string"), F.lit(" MiB reserved: "), ms.cast("string"), F.lit(" MiB")),
+        )
+        .otherwise(F.concat(F.lit("seed:"), F.col("event_id").cast("string"), F.lit(" train_seq_len:2048 warm up")))
+    )
+    return e.select(
+        F.col("user_id").cast("string").alias("run"), F.lit("train.log").alias("file"), F.col("event_id").alias("line_no"), line.alias("line")
+    )
+
+
+def log_points(spark, sf):
+    return R.log_points(log_lines(spark, sf)).drop("file")
+
+
+def log_facts(spark, sf):
+    return R.log_facts(log_lines(spark, sf), ["run", "line_no"])
+
+
+def log_copies(spark, sf):
+    """Two runs print the same log; a copy counts once."""
+    lines = log_lines(spark, sf)
+    twice = lines.unionByName(
+        lines.filter(F.col("run").cast("bigint") % 3 == 0).withColumn("run", F.concat(F.col("run"), F.lit("_copy")))
+    )
+    return R.distinct_logs(twice, ["run"])
+
+
+def metadata_json(spark, sf) -> DataFrame:
+    """Run metadata of five shapes, printed from events."""
+    e = events(spark, sf)
+    value, eid = F.col("value"), F.col("event_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    name = F.concat(F.lit("run "), eid.cast("string"))
+    plain = F.to_json(F.struct(name.alias("name"), F.lit("a").alias("author"), day.alias("date"), (value * 2).alias("val_loss"), value.alias("val_bpb"), (eid * 10).alias("bytes_total"), eid.alias("bytes_code")))
+    stamp = F.concat(day, F.lit("T14:56:29Z"))
+    extended = F.to_json(F.struct(name.alias("name"), stamp.alias("date"), value.alias("val_bpb"), eid.alias("step_stop"), F.lit(600.075).alias("wallclock_seconds"), F.lit(70.5).alias("eval_time_seconds")))
+    seeds = F.to_json(F.struct(
+        day.alias("date"), name.alias("name"), value.alias("mean_val_bpb"), F.array(F.lit(1337), F.lit(42)).alias("seeds"),
+        F.struct(F.struct(value.alias("val_bpb"), eid.alias("steps")).alias("1337"), F.struct((value + 1).alias("val_bpb"), F.lit(57.5).alias("ms_per_step")).alias("42")).alias("seed_results"),
+        (eid * 10).alias("artifact_bytes"),
+    ))
+    flat = F.to_json(F.struct(name.alias("run_name"), F.concat(F.lit("<"), F.format_string("%.2f", value)).alias("val_bpb"), eid.alias("train_steps"), F.lit("600").alias("train_time_seconds")))
+    misplaced = F.to_json(F.struct(name.alias("name"), value.alias("val_loss"), day.alias("date"), (eid * 10).alias("artifact_size_bytes")))
+    kind = F.col("event_type")
+    text = F.when(kind == "view", plain).when(kind == "click", extended).when(kind == "purchase", seeds).when(kind == "error", flat).otherwise(misplaced)
+    return e.select(eid.cast("string").alias("run_dir"), F.lit("main").alias("track"), text.alias("json"), kind.alias("event_type"), value.alias("_value"))
+
+
+def runs_normalised(spark, sf):
+    raw = metadata_json(spark, sf)
+    # Runs that hold bits per byte in the loss field are corrected as data.
+    wrong = raw.filter(F.col("event_type") == "signup")
+    fixes = wrong.select("run_dir", F.lit("val_bpb").alias("field"), F.col("_value").alias("value"), F.lit("bpb stored as loss").alias("reason")).unionByName(
+        wrong.select("run_dir", F.lit("val_loss").alias("field"), F.lit(None).cast("double").alias("value"), F.lit("bpb stored as loss").alias("reason"))
+    )
+    out = R.parse_runs(raw, fixes)
+    return out.select(
+        "run_dir", "track", "name", "author", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        r("val_loss").alias("val_loss"), r("val_bpb").alias("val_bpb"), "artifact_bytes", "code_bytes", "steps", "wallclock_s", "eval_s",
+        F.size("seeds").cast("bigint").alias("n_seeds"),
+    )
+
+
+def seed_rows(spark, sf):
+    out = R.seed_rows(R.parse_runs(metadata_json(spark, sf)))
+    return out.select("run_dir", "seed", r("val_bpb").alias("val_bpb"), "steps", "ms_per_step")
+
+
+def record_union(spark, sf):
+    """Differently shaped records under each other; absent columns are null."""
+    e = events(spark, sf)
+    a = e.filter(F.col("event_type") == "view").select("event_id", F.col("value").alias("val_bpb"))
+    b = e.filter(F.col("event_type") == "click").select("event_id", F.col("user_id").alias("steps"))
+    return R.union_records(a, b).select("event_id", "val_bpb", "steps")
+
+
+def board_lines(spark, sf):
+    """Pipe table printed from run results and read back."""
+    scores = events(spark, sf).groupBy("user_id").agg(F.min("value").alias("s"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("d"))
+    cells = ["Run ", F.col("user_id").cast("string")]
+    line = F.concat(
+        F.lit("| " + cells[0]), cells[1], F.lit(" | "), F.format_string("%.4f", "s"), F.lit(" | someone | short text | "), F.col("d"),
+        F.lit(" | [info](records/main/"), cells[1], F.lit("/README.md) |"),
+    )
+    header = events(spark, sf).groupBy("event_type").agg(F.lit("| Run | Score | Author | Summary | Date | Info |").alias("line")).drop("event_type")
+    return R.parse_board(scores.select(line.alias("line")).unionByName(header))
+
+
+# --- archive and catalog checks ----------------------------------------------------------
+
+
+def _folder(e: DataFrame) -> Column:
+    return F.concat_ws("_", F.col("user_id").cast("string"), F.dayofyear("ts").cast("string"))
+
+
+def archive_checks(spark, sf):
+    e = events(spark, sf)
+    kind = F.col("event_type")
+    name = F.when(kind == "click", "README.md").when(kind == "view", "submission.json").when(kind == "purchase", "train.log").when(
+        kind == "signup", "train.py"
+    ).otherwise("notes.txt")
+    return R.check_archive(e.select(_folder(e).alias("run_dir"), name.alias("file_name")))
+
+
+def board_gaps(spark, sf):
+    e = events(spark, sf)
+    side = lambda kind: e.filter(F.col("event_type") == kind).select(_folder(e).alias("run_dir"))
+    return R.board_gaps(side("click"), side("view"))
+
+
+def catalog_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(datasets, tokenizers, files): one dataset per source and language."""
+    d = table(spark, sf, "documents").select("source", "lang", byte_length(F.col("text")).alias("n"))
+    sums = d.groupBy("source", "lang").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    name = F.concat_ws("_", F.lit(DATASET_PREFIX.rstrip("_")), "source", "lang")
+    datasets = sums.select(
+        name.alias("name"),
+        F.concat(F.lit("tok_"), F.col("lang")).alias("tokenizer_name"),
+        F.struct(
+            F.expr(f"(tokens + {SHARD_TOKENS - 1}) div {SHARD_TOKENS}").alias("files_train"), (F.col("docs") % 2).alias("files_val")
+        ).alias("stats"),
+    )
+    tokenizers = d.select("lang").distinct().filter(F.col("lang") != "de").select(
+        F.concat(F.lit("tok_"), F.col("lang")).alias("name"),
+        F.concat(F.lit("tokenizers/"), F.col("lang"), F.lit(".model")).alias("model_path"),
+        F.lit(None).cast("string").alias("path"),
+    )
+    files = sums.select(
+        name.alias("dataset"),
+        F.lit("train").alias("split"),
+        (F.expr(f"(tokens + {SHARD_TOKENS - 1}) div {SHARD_TOKENS}") + F.col("docs") % 3 - 1).alias("n_files"),
+        F.concat(F.lit("x/"), F.when(F.col("source") == "src1", "other").otherwise(F.col("lang")), F.lit(".model")).alias("tokenizer_file"),
+    )
+    return datasets, tokenizers, files
+
+
+def catalog_checks(spark, sf):
+    return C.check_catalog(*catalog_tables(spark, sf))
+
+
+def dataset_tokenizers(spark, sf):
+    datasets, tokenizers, _ = catalog_tables(spark, sf)
+    return C.dataset_with_tokenizer(datasets, tokenizers).select("name", "tokenizer_name", "tokenizer_path")
+
+
+def shard_selection(spark, sf):
+    datasets, _, _ = catalog_tables(spark, sf)
+    return C.select_shards(datasets, 1)
+
+
+def missing_shards(spark, sf):
+    datasets, _, files = catalog_tables(spark, sf)
+    expected = C.select_shards(datasets, 1)
+    present = files.filter(F.col("n_files") > 0).select(
+        F.col("dataset").alias("name"), "split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_files") - 1)).alias("shard_id")
+    )
+    return C.missing_shards(expected, present)
+
+
+def tokenizer_specs(spark, sf):
+    """Specs of every shape, one per part."""
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("byte", "pure_byte", "sentencepiece", None, None, None)]), (key % 6 + 1).cast("int"))
+    builder = F.when(key % 6 == 3, "pkg.mod:build_pure_byte_tokenizer").when(key % 6 == 4, "pkg:build_sentencepiece_tokenizer")
+    size = (key * 64).cast("bigint")
+    specs = table(spark, sf, "part").select(
+        F.when(key % 4 != 0, F.concat(F.lit("tok "), key.cast("string"))).alias("name"),
+        kind.alias("kind"),
+        builder.alias("builder"),
+        F.when(key % 6 == 5, "byte260").alias("dataset_suffix"),
+        size.alias("vocab_size"),
+        F.lit(None).cast("string").alias("reuse_model_path"),
+        F.lit(None).cast("bigint").alias("tokenizer_train_docs"),
+    )
+    reuse = table(spark, sf, "part").filter(key % 5 == 0).select(size.alias("vocab_size"), F.concat(F.lit("/m/"), key.cast("string")).alias("model_path"))
+    return resolve_specs(apply_reuse(specs, reuse), train_docs=1000)
+
+
+def variant_names(spark, sf):
+    key = F.col("p_partkey")
+    variant = F.when(key % 3 == 0, "byte260").when(key % 3 == 1, F.concat(F.lit("sp"), key.cast("string"))).otherwise(F.concat(F.lit("sp"), F.col("p_brand")))
+    out = table(spark, sf, "part").select("p_partkey", variant.alias("variant")).filter(is_variant(F.col("variant")))
+    return out.select("p_partkey", dataset_name(F.col("variant")).alias("dataset"), bigram_buckets(F.col("p_partkey")).alias("buckets"))
+
+
+def duplicate_names(spark, sf):
+    return check_unique(table(spark, sf, "part"), ["p_name"], "duplicate_name")
+
+
+QUERIES = {
+    "seed_stats": seed_stats,
+    "ttest_vs_mean": ttest_vs_mean,
+    "ttest_small": ttest_small,
+    "last_and_best": last_and_best,
+    "training_volume": training_volume,
+    "step_rate": step_rate,
+    "best_so_far": best_so_far,
+    "ablation_delta": ablation_delta,
+    "board_rank": board_rank,
+    "board_top": board_top,
+    "cap_status": cap_status,
+    "size_check": size_check,
+    "lr_schedule": lr_schedule,
+    "log_points": log_points,
+    "log_facts": log_facts,
+    "log_copies": log_copies,
+    "runs_normalised": runs_normalised,
+    "seed_rows": seed_rows,
+    "record_union": record_union,
+    "board_lines": board_lines,
+    "archive_checks": archive_checks,
+    "board_gaps": board_gaps,
+    "catalog_checks": catalog_checks,
+    "dataset_tokenizers": dataset_tokenizers,
+    "shard_selection": shard_selection,
+    "missing_shards": missing_shards,
+    "tokenizer_specs": tokenizer_specs,
+    "variant_names": variant_names,
+    "duplicate_names": duplicate_names,
+}

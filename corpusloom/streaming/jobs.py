@@ -39,7 +39,10 @@ def stream_log_best(spark: SparkSession, path: str, *, files_per_trigger: int =
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
         .format("text")
         .load(path)
-        .select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run"), F.col("value").alias("line"))
+        .select(
+            F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -2), "^run=", "").alias("run"),
+            F.col("value").alias("line"),
+        )
     )
     return log_best(lines)
 
@@ -69,23 +72,31 @@ def latest_updates(spark: SparkSession, out: str, key: str) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, totals: DataFrame, num_val_docs: int, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """Place one micro-batch behind ``totals`` (split, docs, tokens; at most two rows).
+    """Place one micro-batch behind ``totals`` (split, docs, tokens, last_ordinal; at
+    most two rows). Returns the placed documents and the new totals.
 
-    Returns the placed documents and the new totals.
+    A document that arrives behind a later one would shift offsets already given
+    out, so it fails the batch.
     """
     split = batch.withColumn("split", split_of(F.col("doc_ordinal"), num_val_docs))
     local = running_offsets(split, "n_tokens", "doc_ordinal", ["split"], ordinal="split_ordinal")
-    known = totals.select("split", F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"))
+    known = totals.select(
+        "split", F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"), F.col("last_ordinal").alias("_last")
+    )
+    late = F.raise_error(F.concat(F.lit("document out of order: "), F.col("doc_ordinal").cast("string"))).cast("bigint")
     placed = (
         local.join(F.broadcast(known), "split", "left")
         .withColumn("split_ordinal", F.col("split_ordinal") + F.coalesce("_docs", F.lit(0)))
         .withColumn("offset", F.col("offset") + F.coalesce("_tokens", F.lit(0)))
-        .drop("_docs", "_tokens")
+        .withColumn("offset", F.when(F.col("doc_ordinal") <= F.col("_last"), late).otherwise(F.col("offset")))
+        .drop("_docs", "_tokens", "_last")
         .withColumn("batch", F.lit(batch_id).cast("bigint"))
     )
-    added = split.groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
-    new = added.unionByName(totals.select("split", "docs", "tokens")).groupBy("split").agg(
-        F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
+    added = split.groupBy("split").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("doc_ordinal").alias("last_ordinal")
+    )
+    new = added.unionByName(totals.select(added.columns)).groupBy("split").agg(
+        F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.max("last_ordinal").alias("last_ordinal")
     )
     return placed, new
 
@@ -100,7 +111,7 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, num_val_docs: int)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch_id == 0:
-            totals = spark.createDataFrame([], "split STRING, docs BIGINT, tokens BIGINT")
+            totals = spark.createDataFrame([], "split STRING, docs BIGINT, tokens BIGINT, last_ordinal BIGINT")
         else:
             totals = spark.read.parquet(f"{out}/totals/batch={batch_id - 1}")
         placed, new = ingest_batch(batch, totals, num_val_docs, batch_id)
@@ -115,6 +126,20 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, num_val_docs: int)
     )
 
 
+def keep_batches(df: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append every micro-batch under its own folder, so a replay overwrites it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        df.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(write)
+        .start()
+    )
+
+
 def ingest_stats(spark: SparkSession, out: str, shard_size: int) -> DataFrame:
     """Split statistics after the newest batch."""
     totals = spark.read.parquet(f"{out}/totals")
