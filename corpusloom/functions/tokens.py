@@ -48,6 +48,33 @@ def framed(ids: pa.Array, bos: int, eos: int | None) -> pa.Array:
     return pa.ListArray.from_arrays(out_offsets.astype(np.int32), out)
 
 
+def packed(ids: pa.Array, vocab_size: int) -> pa.Array:
+    """Token lists as 16-bit little-endian bytes, the shard representation; a third of
+    the size of an integer array and sliced without looking at elements."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    outside = (values < 0) | (values >= vocab_size)
+    if outside.any():
+        raise ValueError(f"token id {int(values[outside][0])} outside declared vocab_size={vocab_size}")
+    bounds = ((offsets - offsets[0]) * 2).astype(np.int32)
+    data = values.astype("<u2").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])
+
+
+def lookup_sums(ids: pa.Array, tables: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Per sequence, the sum of each ``table[token]``."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    starts, filled = (offsets - offsets[0])[:-1], np.diff(offsets) > 0
+    out = []
+    for table in tables:
+        sums = np.zeros(len(ids), table.dtype)
+        if filled.any():
+            sums[filled] = np.add.reduceat(table[values], starts[filled])
+        out.append(sums)
+    return out
+
+
 def count_tokens(
     encode: Callable[[pa.Array], pa.Array], text_col: str, by: Sequence[str], vocab_size: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

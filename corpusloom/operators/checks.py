@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 def check_tokens(toks: DataFrame, vocab_size: int, key: str = "doc_ordinal", tokens: str = "tokens") -> DataFrame:
     """Sequences with an id outside ``[0, vocab_size)``: key, first bad id, its position."""
-    bad = F.filter(
-        F.transform(F.col(tokens), lambda t, i: F.struct(t.alias("id"), i.alias("at"))),
-        lambda s: (s["id"] < 0) | (s["id"] >= vocab_size),
-    )
+    outside = lambda t: (t < 0) | (t >= vocab_size)
+    # Clean sequences drop out first; the first bad id is also the first of its kind.
     return (
-        toks.select(key, F.get(bad, F.lit(0)).alias("_bad"))
-        .filter(F.col("_bad").isNotNull())
-        .select(key, F.col("_bad.id").alias("bad_id"), F.col("_bad.at").alias("bad_pos"))
+        toks.filter(F.exists(tokens, outside))
+        .select(key, tokens, F.get(F.filter(tokens, outside), F.lit(0)).alias("bad_id"))
+        .select(key, "bad_id", (F.array_position(tokens, F.col("bad_id")) - 1).cast("int").alias("bad_pos"))
     )
 
 

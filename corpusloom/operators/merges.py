@@ -62,17 +62,20 @@ def alphabet(counted_words: DataFrame, coverage: float = COVERAGE) -> DataFrame:
 def spell(counted_words: DataFrame, chars: DataFrame, byte_fallback: bool = True) -> DataFrame:
     """(symbols, n): words as symbol strings; characters outside the alphabet become
     byte pieces, or one unknown symbol."""
-    # The alphabet is a bounded set (Unicode); as one sorted array it is a scalar.
-    known = chars.agg(F.sort_array(F.collect_list("char"))).scalar()
-    letters = F.split("word", "")
+    # The alphabet is a bounded set (Unicode); as one string it is a scalar, and
+    # deleting its characters from a word tells whether the word has a rare one.
+    known = chars.agg(F.array_join(F.sort_array(F.collect_list("char")), "")).scalar()
+    rare_part = lambda c: F.call_function("translate", c, F.col("_known"), F.lit(""))
+    plain = F.regexp_replace("word", "(?s)(.)", f"{OPEN}$1{CLOSE}")
 
     def symbol(c: Column) -> Column:
         as_bytes = F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", f"{OPEN}<0x$1>{CLOSE}")
-        rare = as_bytes if byte_fallback else F.lit(f"{OPEN}<unk>{CLOSE}")
-        return F.when(F.array_contains(F.col("_known"), c), F.concat(F.lit(OPEN), c, F.lit(CLOSE))).otherwise(rare)
+        fallback = as_bytes if byte_fallback else F.lit(f"{OPEN}<unk>{CLOSE}")
+        return F.when(rare_part(c) == "", F.concat(F.lit(OPEN), c, F.lit(CLOSE))).otherwise(fallback)
 
+    mixed = F.concat_ws("", F.transform(F.split("word", ""), symbol))
     spelled = counted_words.withColumn("_known", known)
-    return spelled.select(F.concat_ws("", F.transform(letters, symbol)).alias("symbols"), "n")
+    return spelled.select(F.when(rare_part(F.col("word")) == "", plain).otherwise(mixed).alias("symbols"), "n")
 
 
 def _symbols(col: str) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bits
+from ..functions.tokens import framed, lookup_sums
 from .order import SEGMENT, Running, range_segments, scan
-from .tokenizers import vocabulary_table
+from .tokenizers import once_per_worker, tokenizer_factory, vocabulary_table
 
 
 def target_bytes(n_bytes: Column, leading_space: Column, prev_boundary: Column) -> Column:
@@ -51,6 +52,41 @@ def bits_per_byte(scored: DataFrame, by: Sequence[str] = (), weight: str | None
         F.sum(F.col("target_bytes") * w).cast("bigint").alias("n_bytes"),
         F.sum(F.col("nll").cast("double") * w).alias("loss_sum"),
     )
+    return with_bpb(sums)
+
+
+def text_losses(
+    docs: DataFrame,
+    nll: Sequence[float],
+    n_bytes: Sequence[int],
+    tokenizer: str = "pure_byte_260",
+    *,
+    text_col: str = "text",
+) -> DataFrame:
+    """Replace the text by its (n_tokens, n_bytes, loss_sum) under a context-free model.
+
+    One row per document and no shuffle; ``nll`` and ``n_bytes`` have an entry per
+    vocabulary id.
+    """
+    get = once_per_worker(tokenizer_factory(tokenizer))
+    loss, width = np.asarray(nll, np.float64), np.asarray(n_bytes, np.int64)
+
+    @F.arrow_udf("struct<n_tokens: bigint, n_bytes: bigint, loss_sum: double>")
+    def run(texts: pa.Array) -> pa.Array:
+        tok = get()
+        ids = framed(tok.ids(texts), tok.bos_id, None)
+        loss_sum, byte_sum = lookup_sums(ids, [loss, width])
+        n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        return pa.StructArray.from_arrays(
+            [pa.array(n), pa.array(byte_sum), pa.array(loss_sum)], names=["n_tokens", "n_bytes", "loss_sum"]
+        )
+
+    kept = [c for c in docs.columns if c != text_col]
+    return docs.select(*kept, run(text_col).alias("_s")).select(*kept, "_s.n_tokens", "_s.n_bytes", "_s.loss_sum")
+
+
+def with_bpb(sums: DataFrame) -> DataFrame:
+    """Add ``val_loss`` and ``bpb`` to (n_tokens, n_bytes, loss_sum)."""
     return sums.withColumn("val_loss", F.col("loss_sum") / F.col("n_tokens")).withColumn(
         "bpb", bits(F.col("val_loss")) * F.col("n_tokens") / F.col("n_bytes")
     )

@@ -215,14 +215,16 @@ def scored_segments(wins: DataFrame, by: list[str]) -> DataFrame:
     Window edges are summed per position first, so adjoining windows cancel
     before anything is ordered. ``wins`` carries ``total`` next to the windows.
     """
-    edge = F.array(
-        F.struct((F.col("win_start") + F.col("score_from")).alias("pos"), F.lit(1).alias("d")),
-        F.struct((F.col("win_start") + F.col("win_len")).alias("pos"), F.lit(-1).alias("d")),
-        F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("d")),
-        F.struct(F.col("total").cast("bigint").alias("pos"), F.lit(0).alias("d")),
-    )
+    edge = lambda pos, d: F.struct(pos.cast("bigint").alias("pos"), F.lit(d).alias("d"))
+    own = [
+        edge(F.col("win_start") + F.col("score_from"), 1),
+        edge(F.col("win_start") + F.col("win_len"), -1),
+    ]
+    # The first window also marks both ends of the stream.
+    ends = [edge(F.lit(0), 0), edge(F.col("total"), 0)]
+    marks = F.when(F.col("window_id") == 0, F.array(*own, *ends)).otherwise(F.array(*own))
     edges = (
-        wins.select(*by, "total", F.inline(edge))
+        wins.select(*by, "total", F.inline(marks))
         .groupBy(*by, "total", "pos")
         .agg(F.sum("d").alias("delta"))
         .filter((F.col("delta") != 0) | (F.col("pos") == 0) | (F.col("pos") == F.col("total")))

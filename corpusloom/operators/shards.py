@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.columns import idiv
 from ..schema import SHARD_SIZE
+from ..session import durable
 from .corpus import with_split
 from .order import running_offsets
+from .tokenizers import byte_length, tokenize
 
 
 def split_stats(doc_lengths: DataFrame, num_val_docs: int, shard_size: int = SHARD_SIZE) -> DataFrame:
@@ -54,9 +57,11 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str = "split", halo: int = 0
 
     A cell also receives the ``halo`` tokens that follow it. Every piece is sliced
     inside one array expression, so a sequence spanning many cells is not copied
-    once per cell. Input: (by, doc_ordinal, offset, n_tokens[, tokens]).
+    once per cell. Input: (by, doc_ordinal, offset, n_tokens[, tokens]), tokens as an
+    array or in the 16-bit shard representation.
     """
     has_tokens = "tokens" in placed.columns
+    as_bytes = has_tokens and placed.schema["tokens"].dataType == BinaryType()
     last = F.expr(f"(offset + n_tokens - 1) div {size}")
     first = F.greatest(idiv(F.col("offset") - halo, size), F.lit(0).cast("bigint")) if halo else F.expr(
         f"offset div {size}"
@@ -72,9 +77,9 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str = "split", halo: int = 0
             (end - begin).alias("n"),
         ]
         if has_tokens:
-            fields.append(
-                F.slice(F.col("tokens"), (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("tokens")
-            )
+            at, n = (begin - F.col("offset")).cast("int"), (end - begin).cast("int")
+            part = F.substring(F.col("tokens"), at * 2 + 1, n * 2) if as_bytes else F.slice(F.col("tokens"), at + 1, n)
+            fields.append(part.alias("tokens"))
         return F.struct(*fields)
 
     pieces = F.inline(F.transform(F.sequence(first, last), piece))
@@ -82,11 +87,15 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str = "split", halo: int = 0
     return out.filter(F.col("n") > 0) if halo else out
 
 
+def _sized(token_docs: DataFrame) -> DataFrame:
+    if "n_tokens" in token_docs.columns:
+        return token_docs
+    return token_docs.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+
+
 def place(token_docs: DataFrame, num_val_docs: int) -> DataFrame:
     """Offset of every document in its split's token stream."""
-    if "n_tokens" not in token_docs.columns:
-        token_docs = token_docs.withColumn("n_tokens", F.size("tokens").cast("bigint"))
-    split = with_split(token_docs, num_val_docs)
+    split = with_split(_sized(token_docs), num_val_docs)
     return running_offsets(split, "n_tokens", "doc_ordinal", ["split"], ordinal="split_ordinal")
 
 
@@ -95,21 +104,41 @@ def shard_pieces(token_docs: DataFrame, num_val_docs: int, shard_size: int = SHA
 
     With lengths only this is a plan; with tokens it is what the shard sink takes.
     """
-    placed = place(token_docs, num_val_docs)
-    pieces = cut_pieces(placed, shard_size)
-    totals = with_split(token_docs, num_val_docs) if "n_tokens" in token_docs.columns else with_split(
-        token_docs.withColumn("n_tokens", F.size("tokens").cast("bigint")), num_val_docs
-    )
-    totals = totals.groupBy("split").agg(F.sum("n_tokens").alias("_total"))
+    return pieces_of(place(token_docs, num_val_docs), token_docs, num_val_docs, shard_size)
+
+
+def pieces_of(placed: DataFrame, lengths: DataFrame, num_val_docs: int, shard_size: int) -> DataFrame:
+    """Shard pieces of placed documents; ``lengths`` gives the size of the last shard."""
+    totals = with_split(_sized(lengths), num_val_docs).groupBy("split").agg(F.sum("n_tokens").alias("_total"))
     # Two rows at most: the splits.
     return (
-        pieces.join(F.broadcast(totals), "split")
+        cut_pieces(placed, shard_size)
+        .join(F.broadcast(totals), "split")
         .withColumn("shard_tokens", F.least(F.lit(shard_size), F.col("_total") - F.col("cell") * shard_size).cast("bigint"))
         .drop("_total")
         .withColumnsRenamed({"cell": "shard_id", "cell_offset": "shard_offset"})
     )
 
 
+def export_pieces(
+    docs: DataFrame, num_val_docs: int, shard_size: int = SHARD_SIZE, tokenizer: str = "pure_byte_260"
+) -> DataFrame:
+    """Pieces of whole documents for the shard sink.
+
+    Byte lengths are known from the text, so text is what travels to its place and
+    tokens are made behind that shuffle. Other tokenizers run once, into a durable
+    table of packed tokens.
+    """
+    if tokenizer == "pure_byte_260":
+        sized = docs.select("doc_ordinal", "text", byte_length(F.col("text")).alias("n_tokens"))
+        placed = tokenize(place(sized, num_val_docs), tokenizer, as_bytes=True)
+    else:
+        made = tokenize(docs.select("doc_ordinal", "text"), tokenizer, as_bytes=True)
+        sized = durable(made.withColumn("n_tokens", idiv(F.octet_length("tokens").cast("bigint"), 2)))
+        placed = place(sized, num_val_docs)
+    return pieces_of(placed, sized, num_val_docs, shard_size)
+
+
 def blocks(placed: DataFrame, block_size: int, *, by: str = "split", halo: int = 0) -> DataFrame:
     """Token stream as (by, block_id, base_offset, tokens), ``halo`` tokens of overlap.
 

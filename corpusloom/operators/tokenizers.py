@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bigram_buckets, tokenizer_kind
-from ..functions.tokens import byte_ids, count_tokens, framed
+from ..functions.tokens import byte_ids, count_tokens, framed, packed
 from ..schema import (
     BOS_ID,
     BYTE_OFFSET,
@@ -113,7 +113,7 @@ def sentencepiece_tokenizer(spark: SparkSession, model_path: str, name: str | No
 register_tokenizer("pure_byte_260", byte_tokenizer)
 
 
-def _once_per_worker(factory: Factory) -> Factory:
+def once_per_worker(factory: Factory) -> Factory:
     state: list[Tokenizer] = []
 
     def get() -> Tokenizer:
@@ -131,14 +131,20 @@ def tokenize(
     text_col: str = "text",
     out: str = "tokens",
     append_eos: bool = False,
+    as_bytes: bool = False,
 ) -> DataFrame:
-    """Replace the text by ``[bos] + ids (+ eos)``; other columns stay."""
-    get = _once_per_worker(tokenizer_factory(tokenizer))
+    """Replace the text by ``[bos] + ids (+ eos)``; other columns stay.
 
-    @F.arrow_udf("array<int>")
+    ``as_bytes`` gives the 16-bit shard representation (BINARY) and checks that every
+    id is inside the vocabulary; use it where tokens only travel to a shard.
+    """
+    get = once_per_worker(tokenizer_factory(tokenizer))
+
+    @F.arrow_udf("binary" if as_bytes else "array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         tok = get()
-        return framed(tok.ids(texts), tok.bos_id, tok.eos_id if append_eos else None)
+        ids = framed(tok.ids(texts), tok.bos_id, tok.eos_id if append_eos else None)
+        return packed(ids, tok.vocab_size) if as_bytes else ids
 
     kept = [c for c in docs.columns if c != text_col]
     return docs.select(*kept, encode(text_col).alias(out))
@@ -159,7 +165,7 @@ def token_counts(
     """
     by = list(by)
     factory = tokenizer_factory(tokenizer)
-    get = _once_per_worker(factory)
+    get = once_per_worker(factory)
     vocab_size = factory().vocab_size
 
     def encode(texts: pa.Array) -> pa.Array:

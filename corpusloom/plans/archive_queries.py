@@ -21,6 +21,7 @@ from ..operators import runs as R
 from ..operators.checks import check_unique
 from ..operators.tokenizers import apply_reuse, byte_length, resolve_specs
 from ..schema import DATASET_PREFIX
+from ..session import spread
 from .tables import BATCH_TOKENS, events, r, table
 
 SHARD_TOKENS = 20_000
@@ -186,7 +187,7 @@ def log_copies(spark, sf):
 
 def metadata_json(spark, sf) -> DataFrame:
     """Run metadata of five shapes, printed from events."""
-    e = events(spark, sf)
+    e = spread(events(spark, sf), "event_id")
     value, eid = F.col("value"), F.col("event_id")
     day = F.date_format("ts", "yyyy-MM-dd")
     name = F.concat(F.lit("run "), eid.cast("string"))

@@ -9,7 +9,17 @@ from ..functions.columns import bigram_hash_a, bigram_hash_b, bits, pad, wrap
 from ..operators import merges as M
 from ..operators.checks import check_tokens
 from ..operators.corpus import clean_training_text, fingerprint
-from ..operators.metrics import bits_per_byte, running_bpb, score, scored_positions, unigram_nll, with_target_bytes
+from ..functions.tokens import slice_sums
+from ..operators.metrics import (
+    bits_per_byte,
+    running_bpb,
+    score,
+    scored_positions,
+    text_losses,
+    unigram_nll,
+    with_bpb,
+    with_target_bytes,
+)
 from ..operators.sequences import (
     POLICIES,
     as_rows,
@@ -28,7 +38,6 @@ from ..operators.sequences import (
     window_tokens,
     windows,
 )
-from ..functions.tokens import slice_sums
 from ..operators.shards import doc_spans, shard_pieces, split_stats, with_previous
 from ..operators.tokenizers import (
     byte_vocab,
@@ -62,39 +71,46 @@ CHUNK = 256
 TRAIN = {"global_tokens": 8192, "world": 4, "accum": 2, "seq_len": 256}
 
 
-def _scored(spark: SparkSession, sf: str, *by: str) -> DataFrame:
-    """Token counts with loss and bytes: what bits_per_byte sums up."""
-    counts = token_counts(docs(spark, sf, *by), by=by)
-    model = counts.groupBy("token_id").agg(F.sum("n").alias("n")) if by else counts
-    lut = vocab_stats(byte_vocab(spark)).join(
-        unigram_nll(model).select("token_id", "nll"), "token_id"
-    ).select("token_id", F.col("n_bytes").alias("target_bytes"), "nll")
-    return counts.join(vocabulary_table(lut), "token_id")
+BYTES_OF = [0] * BYTE_OFFSET + [1] * (BYTE_VOCAB_SIZE - BYTE_OFFSET)
+
 
+def _rounded(out: DataFrame, *by: str) -> DataFrame:
+    return out.select(
+        *by, "n_tokens", "n_bytes", r("loss_sum", 3).alias("loss_sum"), r("val_loss").alias("val_loss"), r("bpb", 9).alias("bpb")
+    )
 
-def _bpb(scored: DataFrame, *by: str) -> DataFrame:
-    out = bits_per_byte(scored, by, weight="n")
-    return out.select(*by, "n_tokens", "n_bytes", r("loss_sum", 3).alias("loss_sum"), r("val_loss").alias("val_loss"), r("bpb", 9).alias("bpb"))
+
+def _per_document(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    """(doc_ordinal, …, n_tokens, n_bytes, loss_sum): two passes over the text, the
+    first for the model (one row per token id), the second without a shuffle."""
+    return text_losses(docs(spark, sf, *extra), unigram_table(spark, sf), BYTES_OF)
 
 
 def corpus_bpb_unigram(spark, sf):
-    return _bpb(_scored(spark, sf))
+    """The token table is the whole scored corpus: equal tokens cost the same."""
+    counts = token_counts(docs(spark, sf))
+    lut = vocab_stats(byte_vocab(spark)).select("token_id", F.col("n_bytes").alias("target_bytes"))
+    scored = unigram_nll(counts).join(vocabulary_table(lut), "token_id")
+    return _rounded(bits_per_byte(scored, weight="n"))
 
 
 def bpb_by_source_lang(spark, sf):
-    return _bpb(_scored(spark, sf, "source", "lang"), "source", "lang")
+    sums = _per_document(spark, sf, "source", "lang").groupBy("source", "lang").agg(
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "loss_sum")]
+    )
+    return _rounded(with_bpb(sums), "source", "lang")
 
 
 def bpb_by_document(spark, sf):
-    return _bpb(_scored(spark, sf, "doc_ordinal"), "doc_ordinal")
+    return _rounded(with_bpb(_per_document(spark, sf)), "doc_ordinal")
 
 
 def bpb_by_label(spark, sf):
     """Per-document results joined with labels; documents without one stay apart."""
-    per_doc = bits_per_byte(_scored(spark, sf, "doc_ordinal"), ["doc_ordinal"], weight="n")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("doc_ordinal"), "quality", "toxic")
     return (
-        per_doc.join(labels, "doc_ordinal", "left")
+        with_bpb(_per_document(spark, sf))
+        .join(labels, "doc_ordinal", "left")
         .groupBy("quality", "toxic")
         .agg(
             F.count(F.lit(1)).alias("n_docs"),
@@ -106,8 +122,7 @@ def bpb_by_label(spark, sf):
 
 
 def running_bpb_by_document(spark, sf):
-    per_doc = bits_per_byte(_scored(spark, sf, "doc_ordinal"), ["doc_ordinal"], weight="n")
-    out = running_bpb(per_doc.select("doc_ordinal", "loss_sum", "n_tokens", "n_bytes"), ["doc_ordinal"])
+    out = running_bpb(_per_document(spark, sf), ["doc_ordinal"])
     return out.select("doc_ordinal", "run_n_tokens", "run_n_bytes", r("running_bpb").alias("running_bpb"))
 
 
@@ -264,7 +279,6 @@ def sliding_bpb(spark, sf):
     """Loss and bytes under every window policy, from multiplicities: the windows
     overlap up to SEQ/STRIDE times, their tokens are read once."""
     nll = unigram_table(spark, sf)
-    n_bytes = [0.0] * BYTE_OFFSET + [1.0] * (BYTE_VOCAB_SIZE - BYTE_OFFSET)
     segments = scored_segments(_all_windows(spark, total_tokens(spark, sf) - 1), ["policy"])
     slices = segment_slices(segments, stream(spark, sf), BLOCK, ["policy"])
     sums = slices.select(
@@ -272,7 +286,7 @@ def sliding_bpb(spark, sf):
         "times",
         (F.col("hi") - F.col("lo")).alias("n"),
         slice_sums(F.col("tokens"), F.col("lo"), F.col("hi"), nll).alias("loss"),
-        slice_sums(F.col("tokens"), F.col("lo"), F.col("hi"), n_bytes).alias("bytes"),
+        slice_sums(F.col("tokens"), F.col("lo"), F.col("hi"), BYTES_OF).alias("bytes"),
     )
     out = sums.groupBy("policy").agg(
         F.sum(F.col("n") * F.col("times")).alias("n_tokens"),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.runs import log_points
-from ..operators.shards import cut_pieces, open_stream, place, shard_pieces
-from ..operators.tokenizers import byte_length, tokenize
+from ..operators.shards import cut_pieces, export_pieces, open_stream, place
 from ..session import scratch_path
 from ..sources.docs import read_docs, write_docs
 from ..sources.token_shards import read_shards, write_shards
@@ -16,12 +15,13 @@ from .corpus_oracle import placed, tokens
 from .tables import BLOCK, SHARD, VAL_DOCS, docs, lengths, total_of, weighted_sum
 
 INGEST_STEPS = 4
+LOG_RUNS = 16
 
 
 def _export_tokens(spark, sf) -> str:
-    sized = docs(spark, sf).withColumn("n_tokens", byte_length(F.col("text")))
+    """Write the corpus as token shards; returns the folder."""
     path = scratch_path(spark, "shards")
-    write_shards(shard_pieces(tokenize(sized), VAL_DOCS, SHARD), path)
+    write_shards(export_pieces(docs(spark, sf), VAL_DOCS, SHARD), path)
     return path
 
 
@@ -71,10 +71,16 @@ def shard_stream(spark, sf):
     )
 
 
+def _runs(spark, sf):
+    """Log lines of ``LOG_RUNS`` runs, each holding the events of many users."""
+    lines = log_lines(spark, sf)
+    return lines.withColumn("run", (F.col("run").cast("bigint") % LOG_RUNS).cast("string"))
+
+
 def stream_log_best(spark, sf):
     """Progress lines of many runs, read as a stream of log files."""
     logs, out, checkpoint = (scratch_path(spark, x) for x in ("logs", "best", "best-checkpoint"))
-    log_lines(spark, sf).select("run", F.col("line").alias("value")).write.partitionBy("run").text(logs)
+    _runs(spark, sf).select("run", F.col("line").alias("value")).write.partitionBy("run").text(logs)
     updates = jobs.stream_log_best(spark, f"{logs}/*")
     jobs.keep_updates(updates, out, checkpoint).awaitTermination()
     return jobs.latest_updates(spark, out, "run")
@@ -104,7 +110,7 @@ def stream_ingest_stats(spark, sf):
 
 def batch_log_best(spark, sf):
     """The same table computed in batch."""
-    points = log_points(log_lines(spark, sf)).filter(F.col("kind") == "val")
+    points = log_points(_runs(spark, sf)).filter(F.col("kind") == "val")
     return points.groupBy("run").agg(
         F.max("step").alias("last_step"), F.max_by("bpb", "step").alias("last_bpb"), F.min("bpb").alias("best_bpb"), F.count(F.lit(1)).alias("n_points")
     )
@@ -129,8 +135,8 @@ QUERIES = {
 }
 
 _IN_SHARDS = f"WITH {tokens(VAL_DOCS)}, s AS (SELECT split, (pos // {SHARD})::INTEGER AS shard_id, pos % {SHARD} AS k, tok FROM t)"
-_LOG_BEST = """SELECT user_id::VARCHAR AS run, max(event_id) AS last_step, max_by(value, event_id) AS last_bpb, min(value) AS best_bpb,
-  count(*)::BIGINT AS n_points FROM events WHERE event_type = 'click' GROUP BY user_id"""
+_LOG_BEST = f"""SELECT (user_id % {LOG_RUNS})::VARCHAR AS run, max(event_id) AS last_step, max_by(value, event_id) AS last_bpb, min(value) AS best_bpb,
+  count(*)::BIGINT AS n_points FROM events WHERE event_type = 'click' GROUP BY 1"""
 
 ORACLE = {
     "shards_roundtrip": f"""{_IN_SHARDS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shards import blocks, place
 from ..operators.tokenizers import byte_length, token_counts, tokenize
+from ..session import spread
 
 VAL_DOCS = 100
 SHARD = 100_000
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ordinal"), "text", *extra)
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ordinal"), "text", *extra)
+    return spread(rows, "doc_ordinal")
 
 
 def lengths(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    return docs(spark, sf, *extra).select("doc_ordinal", *extra, byte_length(F.col("text")).alias("n_tokens"))
+    rows = table(spark, sf, "documents")
+    return rows.select(F.col("doc_id").alias("doc_ordinal"), *extra, byte_length(F.col("text")).alias("n_tokens"))
 
 
 def total_tokens(spark: SparkSession, sf: str) -> int:

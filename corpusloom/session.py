@@ -65,6 +65,17 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores when the input has fewer splits than there are cores.
+
+    A table of many splits passes through untouched, so nothing is shuffled where
+    the data is large. Rows are placed by key, which stays the same when a task is
+    run again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bring a session somebody else made into the state the operators need: engine
     settings that are still unset, and the package on every Python worker."""

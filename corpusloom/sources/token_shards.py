@@ -70,6 +70,28 @@ class ShardRange(InputPartition):
         self.value = (self.path, self.start, self.stop)
 
 
+@dataclass
+class ShardGroup(InputPartition):
+    """Ranges one task reads: a piece of a large shard, or several small shards."""
+
+    ranges: list
+
+    def __post_init__(self):
+        self.value = tuple(r.value for r in self.ranges)
+
+
+def group_ranges(ranges: list[ShardRange], tokens: int) -> list[ShardGroup]:
+    groups, filled = [], tokens
+    for part in ranges:
+        n = part.stop - part.start
+        if filled + n > tokens:
+            groups.append(ShardGroup([]))
+            filled = 0
+        groups[-1].ranges.append(part)
+        filled += n
+    return [ShardGroup(g.ranges) for g in groups]
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
@@ -162,7 +184,7 @@ def _batches(root: str, part: ShardRange, block: int, with_epoch: bool) -> Itera
 
 class TokenShards(DataSource):
     """Options: ``path``, ``split``, ``prefix``, ``blockTokens`` (tokens per row),
-    ``splitTokens`` (tokens per task), ``epochs`` and ``tokensPerBatch`` (streams)."""
+    ``splitTokens`` (most tokens per task), ``minPartitions`` (spread small inputs)."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,6 +207,7 @@ class ShardReader(DataSourceReader):
         self.prefix = options.get("prefix", SHARD_PREFIX)
         self.block = int(options.get("blockTokens", DEFAULT_BLOCK))
         self.split_tokens = max(int(options.get("splitTokens", DEFAULT_SPLIT)) // self.block, 1) * self.block
+        self.min_partitions = int(options.get("minPartitions", 1))
         self.rules: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -209,17 +232,35 @@ class ShardReader(DataSourceReader):
         shards = list_shards(self.path, self.prefix, self.split, self._keep)
         if not shards and not self.rules:
             raise FileNotFoundError(f"No shards found below {self.path}")
-        return [
-            ShardRange(s.path, s.split, s.shard_id, s.n_tokens, at, min(at + self.split_tokens, s.n_tokens))
+        share = -(-sum(s.n_tokens for s in shards) // max(self.min_partitions, 1))
+        target = max(min(self.split_tokens, -(-share // self.block) * self.block), self.block)
+        ranges = [
+            ShardRange(s.path, s.split, s.shard_id, s.n_tokens, at, min(at + target, s.n_tokens))
             for s in shards
-            for at in range(0, max(s.n_tokens, 1), self.split_tokens)
+            for at in range(0, max(s.n_tokens, 1), target)
         ]
+        return group_ranges(ranges, target)
 
     def read(self, partition):
         # A reader whose filters leave no file still gets one empty partition.
         if partition is None or partition.value is None:
             return
-        yield from _batches(self.path, partition, self.block, with_epoch=False)
+        for part in partition.ranges:
+            yield from _batches(self.path, part, self.block, with_epoch=False)
+
+
+def _as_uint16(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and 16-bit tokens of a column of integer lists or packed bytes."""
+    if pa.types.is_binary(tokens.type):
+        offsets = np.frombuffer(tokens.buffers()[1], np.int32, len(tokens) + 1, tokens.offset * 4)
+        data = tokens.buffers()[2]
+        used = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        return (offsets - offsets[0]) // 2, used.view("<u2")
+    offsets = tokens.offsets.to_numpy()
+    values = tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    if len(values) and (values.min() < 0 or values.max() >= MAX_VOCAB_SIZE):
+        raise ValueError("token dictionary too large for uint16")
+    return offsets - offsets[0], values.astype("<u2")
 
 
 @dataclass
@@ -255,12 +296,7 @@ class ShardWriter(DataSourceArrowWriter):
         for batch in iterator:
             splits, ids = batch.column("split").to_pylist(), batch.column("shard_id").to_pylist()
             at, sizes = batch.column("shard_offset").to_pylist(), batch.column("shard_tokens").to_pylist()
-            tokens = batch.column("tokens")
-            bounds = tokens.offsets.to_numpy()
-            values = tokens.values.to_numpy(zero_copy_only=False)
-            span = values[bounds[0] : bounds[-1]]
-            if len(span) and (span.min() < 0 or span.max() >= MAX_VOCAB_SIZE):
-                raise ValueError("token dictionary too large for uint16")
+            bounds, values = _as_uint16(batch.column("tokens"))
             for i in range(batch.num_rows):
                 if (splits[i], ids[i]) != current:
                     close()
@@ -274,7 +310,7 @@ class ShardWriter(DataSourceArrowWriter):
                 if at[i] != filled:
                     raise ValueError(f"shard {current}: piece at {at[i]}, expected {filled}")
                 piece = values[bounds[i] : bounds[i + 1]]
-                out.write(piece.astype("<u2").tobytes())
+                out.write(piece.tobytes())
                 filled += len(piece)
         close()
         return ShardsWritten(done)
@@ -377,10 +413,11 @@ class ShardStreamReader(DataSourceStreamReader):
         # After a restart the first planned batch tells where the stream stands.
         if self.at is None or (end["epoch"], end["file"], end["pos"]) > (self.at["epoch"], self.at["file"], self.at["pos"]):
             self.at = end
-        return self._walk(start, None, end)[0]
+        return group_ranges(self._walk(start, None, end)[0], self.split_tokens)
 
     def read(self, partition):
-        yield from _batches(self.path, partition, self.block, with_epoch=True)
+        for part in partition.ranges:
+            yield from _batches(self.path, part, self.block, with_epoch=True)
 
     def commit(self, end: dict) -> None:
         self.at = max(self.at or end, end, key=lambda o: (o["epoch"], o["file"], o["pos"]))
@@ -409,6 +446,7 @@ def write_shards(pieces: DataFrame, path: str, prefix: str = SHARD_PREFIX, mode:
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
     reader = spark.read.format("token_shards").option("path", path)
+    reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
