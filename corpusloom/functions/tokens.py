@@ -141,6 +141,22 @@ def slice_sums(tokens: Column, start: Column, stop: Column, table: Sequence[floa
     return run(tokens, start, stop)
 
 
+def positions_of(tokens: Column, token: int) -> Column:
+    """0-based places of ``token`` in every sequence."""
+
+    @F.arrow_udf("array<int>")
+    def run(toks: pa.Array) -> pa.Array:
+        offsets = toks.offsets.to_numpy()
+        flat = toks.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        hits = np.flatnonzero(flat == token)
+        bounds = np.searchsorted(hits, offsets)
+        rows = np.repeat(np.arange(len(toks)), np.diff(bounds))
+        return pa.ListArray.from_arrays(bounds.astype(np.int32), (hits - offsets[rows]).astype(np.int32))
+
+    return run(tokens)
+
+
 def normalise_nfkc(text: Column) -> Column:
     """Unicode NFKC, which Spark has no built-in for."""
 

@@ -103,11 +103,11 @@ def parse_time(col: Column) -> Column:
 
 # Names one target field goes by in run metadata, best first.
 FIELD_NAMES: dict[str, tuple[str, ...]] = {
-    "val_loss": ("val_loss", "mean_val_loss"),
+    "val_loss": ("val_loss", "mean_val_loss", "val_loss_sliding"),
     "val_bpb": ("val_bpb", "mean_val_bpb"),
-    "artifact_bytes": ("bytes_total", "artifact_bytes", "artifact_size_bytes"),
+    "artifact_bytes": ("bytes_total", "artifact_bytes", "artifact_size_bytes", "artifact_bytes_mean"),
     "code_bytes": ("bytes_code", "code_bytes"),
-    "steps": ("step_stop", "train_steps", "steps"),
+    "steps": ("step_stop", "train_steps", "train_steps_mean", "steps"),
     "wallclock_s": ("wallclock_seconds", "train_time_seconds"),
     "eval_s": ("eval_time_seconds",),
 }

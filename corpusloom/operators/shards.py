@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.columns import idiv
+from ..functions.tokens import positions_of
 from ..schema import SHARD_SIZE
 from ..session import durable
 from .corpus import with_split
-from .order import running_offsets
+from .order import Running, range_segments, running_offsets, scan
 from .tokenizers import byte_length, tokenize
 
 
@@ -175,12 +176,8 @@ def doc_spans(stream: DataFrame, bos: int, *, by: str = "split", include_next_bo
     Tokens before the first BOS belong to no document. ``stream`` is made of
     blocks without halo.
     """
-    from .order import SEGMENT, Running, range_segments, scan
-
-    at = F.filter(
-        F.transform("tokens", lambda t, i: F.when(t == bos, F.col("base_offset") + i)), lambda p: p.isNotNull()
-    )
-    starts = stream.select(by, F.explode(at).alias("start")).withColumn("_desc", -F.col("start"))
+    found = stream.select(by, "base_offset", F.explode(positions_of(F.col("tokens"), bos)).alias("_at"))
+    starts = found.select(by, (F.col("base_offset") + F.col("_at")).alias("start")).withColumn("_desc", -F.col("start"))
     order = [by, "_desc"]
     ends = scan(range_segments(starts, order), [by], ["_desc"], [Running("lag", "start", "_next")])
     totals = stream.groupBy(by).agg(F.max(F.col("base_offset") + F.size("tokens")).alias("_total"))
