@@ -158,13 +158,18 @@ def positions_of(tokens: Column, token: int) -> Column:
 
 
 def normalise_nfkc(text: Column) -> Column:
-    """Unicode NFKC, which Spark has no built-in for."""
+    """Unicode NFKC, which Spark has no built-in for; ASCII texts pass through.
+
+    (Arrow's own NFKC kernel leaves characters decomposed, so it is not used.)
+    """
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
+        import unicodedata
 
-        return pc.utf8_normalize(texts, form="NFKC")
+        return pa.array(
+            [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string()
+        )
 
     return run(text)
 
