@@ -281,19 +281,36 @@ def window_tokens(stream: DataFrame, wins: DataFrame, block_size: int) -> DataFr
 # --- documents ---------------------------------------------------------------------------
 
 
-def doc_chunks(spans: DataFrame, chunk: int, seq_len: int) -> DataFrame:
+def doc_chunks(spans: DataFrame, chunk: int, seq_len: int, *, tokens: str | None = None) -> DataFrame:
     """Per-document scoring chunks with at most ``seq_len`` context, none of it from
-    other documents. ``spans`` has (…, start, length); a span of n tokens has n-1
-    predictions."""
+    other documents. ``spans`` has (…, length); a document of n tokens has n-1
+    predictions.
+
+    With ``tokens`` the chunk also gets its inputs ``x`` and targets ``y``, sliced
+    inside the array expression: a long document is not copied per chunk.
+    """
     pred = F.col("length") - 1
     count = idiv(pred + (chunk - 1), chunk)
-    rows = spans.filter(pred > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("chunk_id"))
-    begin = F.col("chunk_id") * chunk
-    end = F.when(F.col("chunk_id") == count - 1, pred).otherwise((F.col("chunk_id") + 1) * chunk)
-    win = F.greatest(end - seq_len, F.lit(0).cast("bigint"))
-    return rows.withColumns(
-        {"win_start": win, "win_len": end - win, "chunk_offset": begin - win, "chunk_len": end - begin}
-    )
+
+    def one(i: Column) -> Column:
+        begin = i * chunk
+        end = F.when(i == count - 1, pred).otherwise((i + 1) * chunk)
+        win = F.greatest(end - seq_len, F.lit(0).cast("bigint"))
+        fields = [
+            i.alias("chunk_id"),
+            win.alias("win_start"),
+            (end - win).alias("win_len"),
+            (begin - win).alias("chunk_offset"),
+            (end - begin).alias("chunk_len"),
+        ]
+        if tokens:
+            at, n = (win + 1).cast("int"), (end - win).cast("int")
+            fields += [F.slice(tokens, at, n).alias("x"), F.slice(tokens, at + 1, n).alias("y")]
+        return F.struct(*fields)
+
+    kept = [c for c in spans.columns if c != tokens]
+    chunks = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), one)
+    return spans.filter(pred > 0).select(*kept, F.inline(chunks))
 
 
 def length_buckets(spans: DataFrame, chunk: int, batch: int, order_col: str = "doc_ordinal") -> DataFrame:

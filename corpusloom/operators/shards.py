@@ -53,7 +53,7 @@ def split_stats(doc_lengths: DataFrame, num_val_docs: int, shard_size: int = SHA
     return sums.select(F.inline(rows))
 
 
-def cut_pieces(placed: DataFrame, size: int, *, by: str = "split", halo: int = 0) -> DataFrame:
+def cut_pieces(placed: DataFrame, size: int, *, by: str | None = "split", halo: int = 0) -> DataFrame:
     """Cut sequences placed at ``offset`` into pieces of ``size``-token cells.
 
     A cell also receives the ``halo`` tokens that follow it. Every piece is sliced
@@ -84,7 +84,7 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str = "split", halo: int = 0
         return F.struct(*fields)
 
     pieces = F.inline(F.transform(F.sequence(first, last), piece))
-    out = placed.filter(F.col("n_tokens") > 0).select(by, "doc_ordinal", pieces)
+    out = placed.filter(F.col("n_tokens") > 0).select(*([by] if by else []), "doc_ordinal", pieces)
     return out.filter(F.col("n") > 0) if halo else out
 
 
@@ -140,17 +140,20 @@ def export_pieces(
     return pieces_of(placed, sized, num_val_docs, shard_size)
 
 
-def blocks(placed: DataFrame, block_size: int, *, by: str = "split", halo: int = 0) -> DataFrame:
-    """Token stream as (by, block_id, base_offset, tokens), ``halo`` tokens of overlap.
+def blocks(placed: DataFrame, block_size: int, *, by: str | None = "split", halo: int = 0) -> DataFrame:
+    """Token stream as ([by,] block_id, base_offset, tokens), ``halo`` tokens of overlap.
 
     A block collects at most ``block_size + halo`` tokens, whatever the documents
-    look like, so no group grows with the data.
+    look like, so no group grows with the data. For a single stream pass
+    ``by=None``: the blocks are then partitioned by block number alone, which is
+    the key everything that fetches tokens joins on, so they are not moved again.
     """
+    keys = [by] if by else []
     pieces = cut_pieces(placed, block_size, by=by, halo=halo)
     ordered = F.array_sort(F.collect_list(F.struct("cell_offset", "tokens")))
-    return pieces.groupBy(by, F.col("cell").alias("block_id")).agg(
+    return pieces.groupBy(*keys, F.col("cell").alias("block_id")).agg(
         F.flatten(F.transform(ordered, lambda p: p["tokens"])).alias("tokens")
-    ).select(by, "block_id", (F.col("block_id") * block_size).alias("base_offset"), "tokens")
+    ).select(*keys, "block_id", (F.col("block_id") * block_size).alias("base_offset"), "tokens")
 
 
 def open_stream(shards: DataFrame, block_size: int, *, halo: int = 0) -> DataFrame:
@@ -195,17 +198,18 @@ def check_spans(spans: DataFrame) -> DataFrame:
 
 
 def with_previous(stream: DataFrame, *, by: str = "split") -> DataFrame:
-    """Long form (by, pos, prev, token) of blocks: the shift by one between input
-    and target. ``prev`` of a block's first token comes from the block before, as
-    one row per block."""
-    edges = stream.select(
-        by, (F.col("block_id") + 1).alias("block_id"), F.element_at("tokens", -1).alias("_edge")
-    )
-    shifted = stream.join(edges, [by, "block_id"], "left")
+    """Long form (by, pos, prev, token): the shift by one between input and target.
+
+    ``stream`` blocks carry a halo of one token, so each block holds its own pairs
+    and nothing is joined; the very first token has no predecessor.
+    """
+    n = F.size("tokens")
+    lead = F.when(F.col("block_id") == 0, F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>"))
+    skip = F.when(F.col("block_id") == 0, F.lit(0)).otherwise(F.lit(1))
     pairs = F.arrays_zip(
-        F.concat(F.array("_edge"), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0)))).alias("prev"),
-        F.col("tokens").alias("token"),
+        F.concat(lead, F.slice("tokens", 1, n - 1)).alias("prev"),
+        F.slice("tokens", skip + 1, n).alias("token"),
     )
-    return shifted.select(by, "base_offset", F.posexplode(pairs).alias("_i", "_p")).select(
-        by, (F.col("base_offset") + F.col("_i")).alias("pos"), F.col("_p")["prev"].alias("prev"), F.col("_p")["token"].alias("token")
+    return stream.select(by, (F.col("base_offset") + skip).alias("_at"), F.posexplode(pairs).alias("_i", "_p")).select(
+        by, (F.col("_at") + F.col("_i")).alias("pos"), F.col("_p")["prev"].alias("prev"), F.col("_p")["token"].alias("token")
     )

@@ -47,6 +47,7 @@ from ..operators.tokenizers import (
     vocab_stats,
     vocabulary_table,
 )
+from ..session import durable
 from ..schema import BOS_ID, BYTE_OFFSET, BYTE_VOCAB_SIZE, SPACE_MARK
 from .tables import (
     BLOCK,
@@ -56,6 +57,7 @@ from .tables import (
     VAL_DOCS,
     docs,
     lengths,
+    one_stream,
     placed_tokens,
     r,
     stream,
@@ -122,7 +124,8 @@ def bpb_by_label(spark, sf):
 
 
 def running_bpb_by_document(spark, sf):
-    out = running_bpb(_per_document(spark, sf), ["doc_ordinal"])
+    # Range partitioning samples its input first: keep the tokens from being made twice.
+    out = running_bpb(durable(_per_document(spark, sf)), ["doc_ordinal"])
     return out.select("doc_ordinal", "run_n_tokens", "run_n_bytes", r("running_bpb").alias("running_bpb"))
 
 
@@ -132,7 +135,7 @@ def byte_bigram_bpb(spark, sf):
     vocab = vocab_stats(byte_vocab(spark))
     is_letter = (F.col("token_id") >= 97 + BYTE_OFFSET) & (F.col("token_id") <= 122 + BYTE_OFFSET)
     stats = vocab.withColumn("leading_space", is_letter)
-    pairs = with_previous(stream(spark, sf)).filter(F.col("prev").isNotNull())
+    pairs = with_previous(stream(spark, sf, halo=1)).filter(F.col("prev").isNotNull())
     # Equal (prev, token) pairs are counted before anything is looked up.
     counted = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
     out = with_target_bytes(counted, stats)
@@ -218,7 +221,7 @@ def train_batches(spark, sf):
     local = TRAIN["global_tokens"] // (TRAIN["world"] * TRAIN["accum"])
     calls = total // ((local + 1) * TRAIN["world"]) + 3
     spans = train_spans(spark, total, calls, **TRAIN)
-    tokens = gather_spans(spans, stream(spark, sf), BLOCK, total, ["call", "worker"])
+    tokens = gather_spans(spans, one_stream(spark, sf), BLOCK, total, ["call", "worker"])
     rows = as_rows(tokens, TRAIN["seq_len"], ["call", "worker"])
     return rows.select(
         "call", "worker", F.col("row").cast("bigint").alias("row"),
@@ -230,7 +233,7 @@ def train_batches_single(spark, sf):
     total = total_tokens(spark, sf)
     calls = total // 4097 + 3
     spans = single_spans(spark, total, calls, 4100, 512)
-    tokens = gather_spans(spans, stream(spark, sf), BLOCK, total, ["call"])
+    tokens = gather_spans(spans, one_stream(spark, sf), BLOCK, total, ["call"])
     return tokens.select(
         "call", F.size("tokens").cast("bigint").alias("n"), weighted_sum(F.col("tokens")).alias("wsum")
     )
@@ -280,7 +283,7 @@ def sliding_bpb(spark, sf):
     overlap up to SEQ/STRIDE times, their tokens are read once."""
     nll = unigram_table(spark, sf)
     segments = scored_segments(_all_windows(spark, total_tokens(spark, sf) - 1), ["policy"])
-    slices = segment_slices(segments, stream(spark, sf), BLOCK, ["policy"])
+    slices = segment_slices(segments, one_stream(spark, sf), BLOCK, ["policy"])
     sums = slices.select(
         "policy",
         "times",
@@ -305,9 +308,8 @@ def windows_per_doc(spark, sf):
 
 def padded_windows(spark, sf):
     sized = tokenize(docs(spark, sf)).withColumn("length", F.size("tokens").cast("bigint"))
-    chunks = doc_chunks(sized, CHUNK, CHUNK)
-    window = F.slice("tokens", (F.col("win_start") + 1).cast("int"), F.col("win_len").cast("int"))
-    out = chunks.select("doc_ordinal", "chunk_id", "win_len", pad(window, CHUNK).alias("x"))
+    chunks = doc_chunks(sized, CHUNK, CHUNK, tokens="tokens")
+    out = chunks.select("doc_ordinal", "chunk_id", "win_len", pad(F.col("x"), CHUNK).alias("x"))
     return out.select(
         "doc_ordinal", "chunk_id", "win_len", F.size("x").cast("bigint").alias("width"), weighted_sum(F.col("x")).alias("wsum")
     )
@@ -336,7 +338,7 @@ def score_windows(spark, sf):
         return lambda x, y, lengths_: table_[y]
 
     wins = windows(spark, total_tokens(spark, sf) - 1, SEQ, SEQ // 2, "exact_once")
-    scored = score(window_tokens(stream(spark, sf, halo=SEQ), wins, BLOCK), make_predict)
+    scored = score(window_tokens(one_stream(spark, sf, halo=SEQ), wins, BLOCK), make_predict)
     return scored_positions(scored).groupBy(F.expr(f"pos div {SHARD}").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("token").alias("sum_token"), r(F.sum("nll"), 3).alias("loss_sum")
     )

@@ -46,6 +46,11 @@ def stream(spark: SparkSession, sf: str, num_val: int = 0, halo: int = 0) -> Dat
     return blocks(placed_tokens(spark, sf, num_val), BLOCK, halo=halo)
 
 
+def one_stream(spark: SparkSession, sf: str, halo: int = 0) -> DataFrame:
+    """All documents as a single stream."""
+    return blocks(placed_tokens(spark, sf, 0), BLOCK, by=None, halo=halo)
+
+
 def unigram_table(spark: SparkSession, sf: str) -> list[float]:
     """Loss per token id of the corpus unigram model; as long as the vocabulary."""
     from ..operators.metrics import unigram_nll

@@ -18,6 +18,7 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Documents are long: small Arrow batches keep Python workers' memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # Lets the token-shard reader skip whole files on split / shard_id filters.
     "spark.sql.python.filterPushdown.enabled": "true",
 }
@@ -81,9 +82,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     settings that are still unset, and the package on every Python worker."""
     for key in ("spark.sql.session.timeZone", "spark.sql.python.filterPushdown.enabled"):
         spark.conf.set(key, ENGINE_CONF[key])
+    # Replace Spark's own default only; a cluster's choice stays.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        spark.conf.set(key, ENGINE_CONF[key])
+        for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+            spark.conf.set(key, ENGINE_CONF[key])
     ship_package(spark)
     return spark
 

@@ -165,7 +165,8 @@ def test_spans_and_reopened_stream(spark, docs, tmp_path):
         ends = [s + (1 if include else 0) for s in starts[1:]] + [len(toks)]
         assert got == [(s, e - s) for s, e in zip(starts, ends)]
     assert check_spans(doc_spans(stream, 1, include_next_bos=False)).count() == 1  # the empty document
-    pairs = sorted((r["pos"], r["prev"], r["token"]) for r in with_previous(stream).collect())
+    overlapping = open_stream(read_shards(spark, path, blockTokens=3), 8, halo=1)
+    pairs = sorted((r["pos"], r["prev"], r["token"]) for r in with_previous(overlapping).collect())
     assert pairs == [(i, toks[i - 1] if i else None, t) for i, t in enumerate(toks)]
 
 
