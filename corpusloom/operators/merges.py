@@ -18,7 +18,7 @@ from .corpus import clean_training_text
 # Symbols are written <OPEN>symbol<CLOSE>, so a merge is one literal replacement.
 OPEN, CLOSE = "\x02", "\x03"
 COVERAGE = 0.999
-MAX_MERGES_PER_PASS = 32
+MAX_MERGES_PER_PASS = 64
 PASSES_PER_CHECKPOINT = 10
 
 
@@ -100,25 +100,31 @@ def pair_counts(spelled: DataFrame) -> DataFrame:
     )
 
 
-def _batch(top: list, room: int) -> list:
+def _batch(top: list, room: int, complete: bool) -> list:
     """Longest prefix of the ranked pairs that one-by-one merging would also take.
 
-    Pairs of the prefix share no symbol, so no count in it changes, and any new
-    pair counts at most as often as some pair ranked after it: the prefix is safe
-    while each count is strictly above the next one's.
+    Two pairs can only touch each other where the right symbol of one is the left
+    symbol of the other. In a prefix without such a chain no count changes, and
+    every new pair (z, ab), (ab, z) or (ab, cd) occurs at most as often as some old
+    pair that would chain, i.e. one ranked behind the prefix. So the prefix is safe
+    as long as its last count is strictly above the next one's; the first pair
+    always is. ``complete`` says that no pair is ranked behind ``top``.
     """
-    chosen, used = [], set()
-    for i, row in enumerate(top[:room]):
-        if {row["left"], row["right"]} & used:
+    lefts, rights, length = set(), set(), 0
+    for row in top[: room if complete else min(room, len(top) - 1)]:
+        left, right = row["left"], row["right"]
+        chained = left in rights or right in lefts
+        if length and chained:
             break
-        tied = i + 1 < len(top) and top[i + 1]["n"] == row["n"]
-        if chosen and tied:
+        lefts.add(left)
+        rights.add(right)
+        length += 1
+        if left == right:
+            # (aa, aa) may occur nearly as often as (a, a) itself: merge alone or last.
             break
-        chosen.append(row)
-        used |= {row["left"], row["right"]}
-        if tied:
-            break
-    return chosen
+    while length > 1 and length < len(top) and top[length]["n"] == top[length - 1]["n"]:
+        length -= 1
+    return top[: max(length, 1)]
 
 
 def learn_merges(
@@ -144,9 +150,10 @@ def learn_merges(
     passes = 0
     while len(learned) < n_merges:
         top = pair_counts(table).orderBy(F.desc("n"), "left", "right").limit(MAX_MERGES_PER_PASS + 1).collect()
-        batch = _batch(top, min(MAX_MERGES_PER_PASS, n_merges - len(learned)))
-        if not batch:
+        if not top:
             break
+        room = min(MAX_MERGES_PER_PASS, n_merges - len(learned))
+        batch = _batch(top, room, complete=len(top) <= MAX_MERGES_PER_PASS)
         symbols = F.col("symbols")
         for row in batch:
             piece = row["left"] + row["right"]

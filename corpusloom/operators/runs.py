@@ -349,16 +349,20 @@ def board_gaps(board: DataFrame, runs: DataFrame, key: str = "run_dir") -> DataF
 REQUIRED_FILES = {"readme": r"^README\.md$", "metadata": r"^submission\.json$", "log": r"\.log$", "script": r"\.py$"}
 
 
-def check_archive(files: DataFrame) -> DataFrame:
+def check_archive(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """(run_dir, missing) for every required kind of file a folder lacks.
 
-    ``files`` has (run_dir, file_name). One aggregate, no product of folders and kinds.
+    ``files`` has (run_dir, file_name); ``folders`` (run_dir) adds folders that hold
+    nothing at all. One aggregate, no product of folders and kinds.
     """
-    seen = files.groupBy("run_dir").agg(
+    seen = files.select("run_dir", "file_name")
+    if folders is not None:
+        seen = seen.unionByName(folders.select("run_dir", F.lit("").alias("file_name")))
+    kinds = seen.groupBy("run_dir").agg(
         *[F.bool_or(F.col("file_name").rlike(p)).alias(k) for k, p in REQUIRED_FILES.items()]
     )
     gaps = F.array_compact(F.array(*[F.when(~F.col(k), F.lit(k)) for k in REQUIRED_FILES]))
-    return seen.select("run_dir", F.explode(gaps).alias("missing"))
+    return kinds.select("run_dir", F.explode(gaps).alias("missing"))
 
 
 def distinct_logs(lines: DataFrame, by: Sequence[str] = ("run", "file")) -> DataFrame:

@@ -57,17 +57,33 @@ def eval_sequences(stream: DataFrame, seq_len: int, block_size: int, *, by: str
 
 
 def train_spans(
-    spark: SparkSession, total_tokens: int, calls: int, global_tokens: int, world: int, accum: int, seq_len: int
+    spark: SparkSession,
+    total_tokens: int,
+    calls: int,
+    global_tokens: int,
+    world: int,
+    accum: int,
+    seq_len: int,
+    warmup_calls: int = 0,
 ) -> DataFrame:
-    """(call, worker, start, length): disjoint spans of ``local + 1`` tokens."""
+    """(phase, call, worker, start, length, epoch, pos): disjoint spans of ``local + 1``
+    tokens. After the warm-up calls the stream starts again, so their tokens are
+    seen a second time."""
     local = global_tokens // (world * accum)
     if local <= 0 or local % seq_len:
         raise ValueError("local token count must be a positive multiple of seq_len")
     span = local + 1
+
+    def phase(name: str, n_calls: int) -> DataFrame:
+        return _range(spark, n_calls * world, "k").select(F.lit(name).alias("phase"), "k")
+
+    keys = phase("train", calls)
+    if warmup_calls:
+        keys = phase("warmup", warmup_calls).unionByName(keys)
     return (
-        _range(spark, calls * world, "k")
-        .select(
-            F.expr(f"k div {world}").alias("call"),
+        keys.select(
+            "phase",
+            idiv(F.col("k"), world).alias("call"),
             (F.col("k") % world).alias("worker"),
             (F.col("k") * span).alias("start"),
             F.lit(span).cast("bigint").alias("length"),

@@ -230,6 +230,15 @@ def check_vocab_size(specs: DataFrame) -> DataFrame:
     )
 
 
+def parse_reuse(values: DataFrame) -> DataFrame:
+    """``VOCAB=MODEL`` strings (value) as (vocab_size, model_path); check the result
+    with ``check_unique(…, ["vocab_size"])``, a size may be given once only."""
+    return values.select(
+        F.substring_index("value", "=", 1).cast("bigint").alias("vocab_size"),
+        F.regexp_replace("value", "^[^=]*=", "").alias("model_path"),
+    )
+
+
 def apply_reuse(specs: DataFrame, reuse: DataFrame) -> DataFrame:
     """Fill ``reuse_model_path`` of subword specs from a (vocab_size, model_path) list."""
     kind = tokenizer_kind(*[F.col(c) for c in ("kind", "builder", "dataset_suffix", "vocab_size", "name")])

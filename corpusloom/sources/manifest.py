@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CORPUS_VERSION, DATASET, SPEC, TOKENIZER, as_struct
+from ..schema import (
+    BOS_ID,
+    BYTE_OFFSET,
+    BYTE_VOCAB_SIZE,
+    CORPUS_VERSION,
+    DATASET,
+    EOS_ID,
+    PAD_ID,
+    SPEC,
+    TOKENIZER,
+    UNK_ID,
+    as_struct,
+)
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +51,20 @@ def write_specs(specs: DataFrame, path: str) -> None:
     body.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_byte_tokenizer(spark: SparkSession, path: str) -> None:
+    """The byte tokenizer's own description, as the manifest points to it."""
+    config = F.struct(
+        F.lit(BOS_ID).alias("bos_id"),
+        F.lit(BYTE_VOCAB_SIZE - BYTE_OFFSET).alias("byte_count"),
+        F.lit(BYTE_OFFSET).alias("byte_offset"),
+        F.lit(EOS_ID).alias("eos_id"),
+        F.lit(PAD_ID).alias("pad_id"),
+        F.lit(UNK_ID).alias("unk_id"),
+    )
+    body = F.struct(config.alias("config"), F.lit("pure_byte").alias("tokenizer_type"), F.lit(BYTE_VOCAB_SIZE).alias("vocab_size"))
+    spark.range(1).select(F.to_json(body).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def relative_to(path: Column, root: str) -> Column:
     """Absolute paths below ``root`` become relative; others stay."""
     base = root.rstrip("/") + "/"

@@ -9,6 +9,7 @@ publishes finished files only when the whole job commits.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -424,6 +426,9 @@ class ShardStreamReader(DataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
+    # The process that plans a streaming source sees no shipped files, so the source
+    # classes travel by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(TokenShards)
     spark.dataSource.register(TokenShardStream)
 

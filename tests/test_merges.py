@@ -78,6 +78,26 @@ def test_merges_equal_the_plain_loop(docs, coverage):
     assert [tuple(r) for r in learned.orderBy("rank").collect()] == brute_merges(words, alphabet, 60)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_batches_keep_the_order_of_the_plain_loop(spark, seed):
+    """Short words over few letters: many ties, chains and repeated symbols."""
+    rng = random.Random(seed)
+    letters = "abcd"[: 2 + seed % 3]
+    words = Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(60))
+    words = {w: rng.randint(1, 5) * n for w, n in words.items()}
+    texts = [(i, w) for i, w in enumerate(w for w, n in words.items() for _ in range(n))]
+    docs = spark.createDataFrame(texts, "doc_ordinal BIGINT, text STRING").coalesce(2)
+    learned, _ = M.learn_merges(docs, 40, coverage=1.0)
+    assert [tuple(r) for r in learned.orderBy("rank").collect()] == brute_merges(words, set(letters), 40)
+
+
+def test_a_repeated_symbol_ends_its_batch(spark):
+    texts = ["aaaa"] * 10 + ["xy"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_ordinal BIGINT, text STRING")
+    learned, _ = M.learn_merges(docs, 3, coverage=1.0)
+    assert [r["piece"] for r in learned.orderBy("rank").collect()] == ["aa", "aaaa", "xy"]
+
+
 def test_prefix_limits_training_text(docs):
     few, _ = M.learn_merges(docs, 5, max_docs=0)
     assert few.count() == 0

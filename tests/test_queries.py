@@ -1,5 +1,9 @@
 """Every registered query against its DuckDB form on the small tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from harness import connect, difference
 
@@ -42,3 +46,22 @@ def test_result_does_not_depend_on_partitions(spark, sf, con, partitions):
             assert difference(QUERIES[name](spark, sf), con, ORACLE[name]) is None, name
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_queries_run_from_another_folder(sf, tmp_path):
+    """The package reaches every Python worker, also where it is not importable."""
+    root = os.path.dirname(os.path.abspath(entry_point.__file__))
+    code = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("entry_elsewhere", {os.path.join(root, "__spark_entry__.py")!r})
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+assert module.queries()["shard_stream"](spark, {sf!r}).count() > 0
+assert module.queries()["token_histogram"](spark, {sf!r}).count() > 0
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "fine" in done.stdout, done.stderr[-2000:]

@@ -9,6 +9,9 @@ from corpusloom.functions.stats import student_tail
 from corpusloom.operators.runs import (
     best_so_far,
     cap_status,
+    check_archive,
+    distinct_logs,
+    board_gaps,
     deltas,
     rank_runs,
     required_mean,
@@ -134,3 +137,23 @@ def test_fraction_and_cadence(spark):
     np.testing.assert_allclose([r["l"] for r in rows], [1, 1, 1, 0.5, 0, 0])
     assert [r["k"] for r in rows] == [True, False, True, False, True, True]
     assert df.select(is_logged(F.col("step"), 0)).first()[0] is False
+
+
+def test_archive_rules(spark):
+    files = spark.createDataFrame(
+        [("full", f) for f in ("README.md", "submission.json", "train_seed7.log", "train_v5.py")] + [("half", "README.md")],
+        "run_dir STRING, file_name STRING",
+    )
+    folders = spark.createDataFrame([("empty",), ("full",)], "run_dir STRING")
+    got = {}
+    for r in check_archive(files, folders).collect():
+        got.setdefault(r["run_dir"], set()).add(r["missing"])
+    assert got == {"half": {"metadata", "log", "script"}, "empty": {"readme", "metadata", "log", "script"}}
+    gaps = board_gaps(files, folders).collect()
+    assert {(r["run_dir"], r["gap"]) for r in gaps} == {("half", "not_archived"), ("empty", "not_on_board")}
+
+
+def test_equal_logs_count_once(spark):
+    rows = [("r", f, i, line) for f, text in (("a", "xyz"), ("b", "xyz"), ("c", "xzy")) for i, line in enumerate(text)]
+    lines = spark.createDataFrame(rows, "run STRING, file STRING, line_no BIGINT, line STRING")
+    assert {(r["file"], r["copies"]) for r in distinct_logs(lines).collect()} == {("a", 2), ("c", 1)}

@@ -122,6 +122,14 @@ def test_training_spans_wrap_and_stay_disjoint(spark, world, accum):
     assert rows["x"] == endless[at : at + local] and rows["y"] == endless[at + 1 : at + local + 1]
 
 
+def test_warm_up_tokens_are_seen_again(spark):
+    spans = train_spans(spark, 1000, 4, 32, 2, 1, 16, warmup_calls=2).orderBy("phase", "call", "worker").collect()
+    starts = {p: [r["start"] for r in spans if r["phase"] == p] for p in ("train", "warmup")}
+    assert starts == {"train": [k * 17 for k in range(8)], "warmup": [k * 17 for k in range(4)]}
+    with pytest.raises(ValueError):
+        train_spans(spark, 1000, 1, 30, 2, 1, 16)
+
+
 def test_span_longer_than_the_stream(spark):
     spans = spark.createDataFrame([(0, 5, 100)], "k BIGINT, start BIGINT, length BIGINT")
     toks = TOKENS[:30]

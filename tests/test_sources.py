@@ -3,10 +3,18 @@ import json
 import pytest
 
 from corpusloom.functions import udtf
+from corpusloom.operators.checks import check_unique
+from corpusloom.operators.tokenizers import parse_reuse
 from corpusloom.operators.catalog import check_catalog, missing_shards, select_shards
 from corpusloom.sources.archive import read_board, read_log_facts, read_log_points, read_results, read_runs
 from corpusloom.sources.docs import read_docs, read_sidecar, resolve_counts
-from corpusloom.sources.manifest import read_manifest, read_specs, write_manifest, write_specs
+from corpusloom.sources.manifest import (
+    read_manifest,
+    read_specs,
+    write_byte_tokenizer,
+    write_manifest,
+    write_specs,
+)
 
 
 def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
@@ -93,6 +101,19 @@ def test_manifest_round_trip(spark, tmp_path):
     assert body["version"] == "10B" and body["append_eos"] is False and body["shuffle_seed"] is None and body["docs_jsonl"] == "docs.jsonl"
 
 
+def test_byte_tokenizer_description(spark, tmp_path):
+    write_byte_tokenizer(spark, f"{tmp_path}/t")
+    body = json.loads("".join(r["value"] for r in spark.read.text(f"{tmp_path}/t").collect()))
+    assert body["tokenizer_type"] == "pure_byte" and body["vocab_size"] == 260
+    assert body["config"] == {"pad_id": 0, "bos_id": 1, "eos_id": 2, "unk_id": 3, "byte_offset": 4, "byte_count": 256}
+
+
+def test_reuse_list(spark):
+    reuse = parse_reuse(spark.createDataFrame([("1024=/m/a=b.model",), ("4096=x",), ("1024=y",)], "value STRING"))
+    assert [tuple(r) for r in reuse.collect()] == [(1024, "/m/a=b.model"), (4096, "x"), (1024, "y")]
+    assert check_unique(reuse, ["vocab_size"]).first()["detail"] == "1024"
+
+
 def test_selection_and_catalog_checks(spark):
     datasets, tokenizers = _catalog(spark)
     got = sorted((r["split"], r["shard_id"]) for r in select_shards(datasets, 2).collect())
