@@ -30,6 +30,7 @@ from ..schema import (
     KEEP_FLOAT_MAX_NUMEL,
     PRUNE_QUANTILE,
 )
+from ..session import small_side
 from .order import SEGMENT, Running, range_segments, scan
 
 # Routing policies of the archived runs. ``small`` is the largest
@@ -74,19 +75,15 @@ def matrix_quantile(mats: DataFrame, q: float) -> DataFrame:
     """
     values = mats.select("tensor", F.explode(F.transform("values", lambda v: F.abs(v.cast("double")))).alias("v"))
     counts = values.groupBy("tensor", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = scan(
-        range_segments(counts, ["tensor", "v"]), ["tensor"], ["v"], [Running("sum", "c", "below", inclusive=False)]
-    )
-    sizes = mats.groupBy("tensor").agg(F.sum(F.size("values")).alias("n"))
+    runs = [Running("sum", "c", "below", inclusive=False), Running("total", "c", "n")]
+    ranked = scan(range_segments(counts, ["tensor", "v"]), ["tensor"], ["v"], runs).drop(SEGMENT)
     rank = F.lit(q) * (F.col("n") - 1)
     low = F.floor(rank)
     high = F.least(low + 1, F.col("n") - 1)
     covers = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("c"))
     lower, upper = F.max(F.when(covers(low), F.col("v"))), F.max(F.when(covers(high), F.col("v")))
     return (
-        ranked.drop(SEGMENT)
-        .join(sizes, "tensor")
-        .filter(covers(low) | covers(high))
+        ranked.filter(covers(low) | covers(high))
         .groupBy("tensor", "n")
         .agg(lower.alias("_lo"), upper.alias("_hi"))
         .select("tensor", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (rank - low)).alias("quantile"))
@@ -148,7 +145,7 @@ def quantise_vectors(mats: DataFrame, limit: int = 127) -> DataFrame:
     """One single-precision scale per tensor, without a floor; 1.0 for an all-zero tensor."""
     clips = matrix_quantile(mats, CLIP_QUANTILE).select("tensor", F.col("quantile").alias("clip_abs"))
     scale = F.when(F.col("clip_abs") > 0, fp32(F.col("clip_abs") / limit)).otherwise(F.lit(1.0))
-    joined = mats.join(clips, "tensor").withColumn("scale", scale)
+    joined = mats.join(small_side(clips), "tensor").withColumn("scale", scale)
     return joined.withColumn("q", levels(F.col("values"), F.col("scale"), -limit, limit, F.col("clip_abs")))
 
 
@@ -236,7 +233,7 @@ def prune(mats: DataFrame, q: float = PRUNE_QUANTILE, min_numel: int = KEEP_FLOA
         "values", lambda v: F.when(F.abs(v.cast("double")) < F.col("threshold"), F.lit(0.0)).otherwise(v.cast("double"))
     )
     same = F.transform("values", lambda v: v.cast("double"))
-    return mats.join(limits, "tensor").withColumn("values", F.when(F.col("n") > min_numel, cut).otherwise(same)).select(
+    return mats.join(small_side(limits), "tensor").withColumn("values", F.when(F.col("n") > min_numel, cut).otherwise(same)).select(
         "tensor", "row_id", "values"
     )
 
@@ -343,7 +340,7 @@ def ema_checkpoints(ckpts: DataFrame, decay: float) -> DataFrame:
     age = F.pow(F.lit(decay), F.col("_last") - F.col("seq"))
     weight = F.when(F.col("seq") == 0, age).otherwise(age * (1.0 - decay))
     # The weight joins whole rows, before they are taken apart.
-    weighted = ckpts.join(last, "tensor").withColumn("_w", weight)
+    weighted = ckpts.join(small_side(last), "tensor").withColumn("_w", weight)
     cells = _long(weighted, "_w").groupBy("tensor", "row_id", "pos").agg(
         F.sum(F.col("v").cast("double") * F.col("_w")).alias("v")
     )

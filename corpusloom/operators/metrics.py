@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bits
@@ -36,8 +36,12 @@ def with_target_bytes(scored: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def unigram_nll(counts: DataFrame) -> DataFrame:
-    """(token_id, n, nll): negative log share of each token in nats."""
-    total = counts.agg(F.sum("n")).scalar()
+    """(token_id, n, nll): negative log share of each token in nats.
+
+    ``counts`` has a row per vocabulary id (at most 65,536), so one window over it is
+    cheaper than a second pass over the text for the total.
+    """
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.select("token_id", "n", (-F.log(F.col("n") / total)).alias("nll"))
 
 

@@ -120,8 +120,9 @@ def range_segments(df: DataFrame, order: Sequence[str], partitions: int | None =
 class Running:
     """One scanned column.
 
-    ``kind``: ``sum``, ``min``, ``max`` (running aggregate), ``lag`` (previous row)
-    or ``first`` (first row of the group). ``inclusive`` counts the current row.
+    ``kind``: ``sum``, ``min``, ``max`` (running aggregate), ``lag`` (previous row),
+    ``first`` (first row of the group), ``total`` or ``least`` (sum or minimum of the
+    whole group). ``inclusive`` counts the current row.
     """
 
     kind: str
@@ -130,7 +131,8 @@ class Running:
     inclusive: bool = True
 
 
-_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max, "total": F.sum, "least": F.min}
+_WHOLE = ("total", "least")
 
 
 def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Sequence[Running]) -> DataFrame:
@@ -150,7 +152,8 @@ def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Seq
         else:
             summaries.append(_AGG[run.kind](run.column).alias(f"_s{i}"))
     summary = segments.groupBy(SEGMENT, *by).agg(*summaries)
-    across = Window.partitionBy(*by, F.lit(0)).orderBy(SEGMENT)
+    group = Window.partitionBy(*by, F.lit(0))
+    across = group.orderBy(SEGMENT)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carries = []
     for i, run in enumerate(runs):
@@ -158,6 +161,8 @@ def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Seq
             carry = F.lag(f"_s{i}").over(across)
         elif run.kind == "first":
             carry = F.first(f"_s{i}").over(before)
+        elif run.kind in _WHOLE:
+            carry = _AGG[run.kind](f"_s{i}").over(group)
         else:
             carry = _AGG[run.kind](f"_s{i}").over(before)
         carries.append(carry.alias(f"_c{i}"))
@@ -170,6 +175,8 @@ def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Seq
             local = F.lag(F.struct(run.column)).over(here)
         elif run.kind == "first":
             local = F.first(F.struct(run.column)).over(here)
+        elif run.kind in _WHOLE:
+            local = F.lit(None)
         else:
             frame = here.rowsBetween(Window.unboundedPreceding, 0 if run.inclusive else -1)
             local = _AGG[run.kind](run.column).over(frame)
@@ -183,6 +190,8 @@ def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Seq
             value = F.coalesce(loc, carry)[run.column]
         elif run.kind == "first":
             value = F.coalesce(carry, loc)[run.column]
+        elif run.kind in _WHOLE:
+            value = carry
         elif run.kind == "sum":
             value = F.coalesce(loc, F.lit(0)) + F.coalesce(carry, F.lit(0))
         elif run.kind == "min":

@@ -318,14 +318,12 @@ def cap_status(
     fits = runs.withColumn("_kept", F.when(~over_cap(F.col(size), cap), F.col(value)))
     segs = range_segments(fits, [*by, *order])
     out = scan(
-        segs, by, order, [Running("min", "_kept", "best_before", inclusive=False)]
+        segs, by, order, [Running("min", "_kept", "best_before", inclusive=False), Running("least", "_kept", "_best")]
     ).drop(SEGMENT)
-    final = fits.groupBy(*by).agg(F.min("_kept").alias("_best"))
     improves = F.col("_kept").isNotNull() & (F.col("best_before").isNull() | (F.col("_kept") < F.col("best_before")))
     status = F.when(improves & (F.col("_kept") == F.col("_best")), "best").when(improves, "keep").otherwise("discard")
     return (
-        out.join(final, list(by))
-        .withColumn("status", status)
+        out.withColumn("status", status)
         .withColumn("delta", F.col(value) - F.col("best_before"))
         .drop("_kept", "_best")
     )

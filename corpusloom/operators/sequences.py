@@ -258,6 +258,18 @@ def coverage(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.groupBy(*by, "times").agg(F.sum(F.col("seg_to") - F.col("seg_from")).alias("positions"))
 
 
+def _spread_cells(rows: DataFrame, first: Column, last: Column, name: str, coarse: int = 1 << 16) -> DataFrame:
+    """One row per cell ``first..last``. A stretch may span the whole stream, so it is
+    first cut into coarse cells that go to different tasks."""
+    parts = default_parallelism(rows.sparkSession)
+    cut = rows.withColumns({"_first": first, "_last": last})
+    cut = cut.select("*", F.explode(F.sequence(idiv(F.col("_first"), coarse), idiv(F.col("_last"), coarse))).alias("_coarse"))
+    cut = cut.repartition(parts, "_coarse", "_first")
+    low = F.greatest("_first", F.col("_coarse") * coarse)
+    high = F.least("_last", F.col("_coarse") * coarse + (coarse - 1))
+    return cut.withColumn(name, F.explode(F.sequence(low, high))).drop("_first", "_last", "_coarse")
+
+
 def segment_slices(segments: DataFrame, stream: DataFrame, block_size: int, by: list[str]) -> DataFrame:
     """Scored stretches met with the blocks that hold their targets.
 
@@ -265,10 +277,8 @@ def segment_slices(segments: DataFrame, stream: DataFrame, block_size: int, by:
     lo / hi relative to the block.
     """
     low, high = F.col("seg_from") + 1, F.col("seg_to") + 1
-    wanted = segments.filter(F.col("times") > 0).select(
-        *by, "times", low.alias("_lo"), high.alias("_hi"),
-        F.explode(F.sequence(idiv(low, block_size), idiv(high - 1, block_size))).alias("block_id"),
-    )
+    scored = segments.filter(F.col("times") > 0).select(*by, "times", low.alias("_lo"), high.alias("_hi"))
+    wanted = _spread_cells(scored, idiv(F.col("_lo"), block_size), idiv(F.col("_hi") - 1, block_size), "block_id")
     base = F.col("block_id") * block_size
     return wanted.join(stream.select("block_id", "tokens"), "block_id").select(
         *by,

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on. Parallelism knobs are left to the cluster.
 ENGINE_CONF = {
@@ -62,6 +63,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a few numbers each: tens of megabytes at most.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A join side that is broadcast if it proves small, so the other side stays where
+    it is; beyond ``limit`` rows the join is left to Spark. Computed once."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,17 +31,19 @@ def test_scan_carries_over_segments(rows):
     got = scan(
         segs, ["g"], ["k"],
         [Running("lag", "v", "lag"), Running("min", "v", "low"), Running("max", "v", "high", False),
-         Running("sum", "v", "total"), Running("first", "v", "first")],
+         Running("sum", "v", "total"), Running("first", "v", "first"), Running("total", "n", "all_n"), Running("least", "v", "all_low")],
     )
     w = Window.partitionBy("g").orderBy("k")
     want = rows.select(
         "k", F.lag("v").over(w).alias("l"), F.min("v").over(w).alias("m"),
         F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("x"),
         F.sum("v").over(w).alias("s"), F.first("v").over(w).alias("f"),
+        F.sum("n").over(Window.partitionBy("g")).alias("an"), F.min("v").over(Window.partitionBy("g")).alias("al"),
     )
     same = (
         F.col("lag").eqNullSafe(F.col("l")) & F.col("low").eqNullSafe(F.col("m")) & F.col("high").eqNullSafe(F.col("x"))
         & F.col("total").eqNullSafe(F.col("s")) & F.col("first").eqNullSafe(F.col("f"))
+        & F.col("all_n").eqNullSafe(F.col("an")) & F.col("all_low").eqNullSafe(F.col("al"))
     )
     joined = got.join(want, "k")
     assert joined.count() == 5_000 and joined.filter(~same).count() == 0

@@ -74,6 +74,15 @@ def test_coverage(spark, total, stride):
     assert got["exact_once"] == {1: total}
 
 
+@pytest.mark.parametrize("coarse", [1, 3, 1 << 16])
+def test_long_stretches_are_cut_before_they_are_spread(spark, coarse):
+    from corpusloom.operators.sequences import _spread_cells
+
+    rows = spark.createDataFrame([(0, 0, 9), (1, 5, 5), (2, 2, 7)], "k INT, a BIGINT, b BIGINT")
+    got = sorted((r["k"], r["cell"]) for r in _spread_cells(rows, F.col("a"), F.col("b"), "cell", coarse).collect())
+    assert got == [(k, c) for k, a, b in ((0, 0, 9), (1, 5, 5), (2, 2, 7)) for c in range(a, b + 1)]
+
+
 def test_published_window_count():
     assert window_count(62_021_632, 2048, 64, "all_starts") == 969_088
     assert window_count(62_021_632, 1024, 64, "all_starts") == 969_088
