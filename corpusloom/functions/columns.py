@@ -43,7 +43,7 @@ def tokenizer_kind(kind: Column, builder: Column, suffix: Column, vocab_size: Co
         .when(builder_name == "build_sentencepiece_tokenizer", "sentencepiece_bpe")
         .when(suffix == "byte260", "byte")
         .when(vocab_size.isNotNull(), "sentencepiece_bpe")
-        .otherwise(F.raise_error(F.concat(F.lit("unsupported tokenizer spec "), F.coalesce(name, F.lit("<unnamed>")))))
+        .otherwise(F.raise_error(F.concat(F.lit("cannot tell the tokenizer family of "), F.coalesce(name, F.lit("<unnamed>")))))
     )
 
 
@@ -53,7 +53,7 @@ def is_variant(variant: Column) -> Column:
 
 def dataset_name(variant: Column) -> Column:
     return F.when(is_variant(variant), F.concat(F.lit(DATASET_PREFIX), variant)).otherwise(
-        F.raise_error(F.concat(F.lit("unsupported variant "), variant))
+        F.raise_error(F.concat(F.lit("no dataset for variant "), variant))
     )
 
 

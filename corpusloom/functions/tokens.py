@@ -55,7 +55,7 @@ def packed(ids: pa.Array, vocab_size: int) -> pa.Array:
     values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     outside = (values < 0) | (values >= vocab_size)
     if outside.any():
-        raise ValueError(f"token id {int(values[outside][0])} outside declared vocab_size={vocab_size}")
+        raise ValueError(f"token id {int(values[outside][0])} is not below the vocabulary size {vocab_size}")
     bounds = ((offsets - offsets[0]) * 2).astype(np.int32)
     data = values.astype("<u2").tobytes()
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])

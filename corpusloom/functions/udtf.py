@@ -15,12 +15,10 @@ class ShardPieces:
     """``shard_pieces(offset, n_tokens, shard_size)`` of one document; use LATERAL."""
 
     def eval(self, offset: int, n_tokens: int, shard_size: int):
-        at, end = offset, offset + n_tokens
-        while at < end:
-            shard = at // shard_size
-            stop = min(end, (shard + 1) * shard_size)
-            yield shard, at - shard * shard_size, at - offset, stop - at
-            at = stop
+        end = offset + n_tokens
+        for shard in range(offset // shard_size, -(-end // shard_size)):
+            low, high = max(offset, shard * shard_size), min(end, (shard + 1) * shard_size)
+            yield shard, low % shard_size, low - offset, high - low
 
 
 @udtf(returnType="chunk_id: bigint, tokens: bigint")
@@ -28,13 +26,10 @@ class MicroChunks:
     """``micro_chunks(total, seq_len, max_chunk)``."""
 
     def eval(self, total: int, seq_len: int, max_chunk: int):
-        left = total // seq_len * seq_len
-        chunk = max(max_chunk // seq_len * seq_len, seq_len)
-        number = 0
-        while left > 0:
-            yield number, min(left, chunk)
-            left -= chunk
-            number += 1
+        rows = total // seq_len
+        rows_per_chunk = max(max_chunk // seq_len, 1)
+        for chunk_id in range(-(-rows // rows_per_chunk)):
+            yield chunk_id, min(rows_per_chunk, rows - chunk_id * rows_per_chunk) * seq_len
 
 
 @udtf(returnType="win_start: bigint, win_len: bigint, score_from: bigint")

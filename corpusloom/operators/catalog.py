@@ -18,7 +18,7 @@ def select_shards(datasets: DataFrame, n_train: int, name: str | None = None) ->
     """(name, split, shard_id): all validation shards and the first ``n_train`` training
     shards of each dataset. Asking for more than exist is an error."""
     if n_train < 0:
-        raise ValueError("train_shards must be non-negative")
+        raise ValueError("a negative number of shards was asked for")
     chosen = datasets if name is None else datasets.filter(F.col("name") == name)
     has = F.col("stats.files_train")
     train = F.when(has >= n_train, F.lit(n_train).cast("bigint")).otherwise(

@@ -28,7 +28,7 @@ def check_val_docs(docs: DataFrame, num_val_docs: int) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return n.filter((F.lit(num_val_docs) < 0) | (F.lit(num_val_docs) > F.col("n"))).select(
         F.lit("num_val_docs").alias("rule"),
-        F.format_string(f"num_val_docs must be in [0, %d], got {num_val_docs}", "n").alias("detail"),
+        F.format_string(f"cannot take {num_val_docs} validation documents of %d", "n").alias("detail"),
     )
 
 

@@ -97,7 +97,7 @@ def single_spans(spark: SparkSession, total_tokens: int, calls: int, batch_token
     """Single-worker batches: every call takes ``usable + 1`` tokens."""
     usable = batch_tokens // seq_len * seq_len
     if usable <= 0:
-        raise ValueError(f"token budget too small for seq_len={seq_len}")
+        raise ValueError(f"a batch of {batch_tokens} tokens holds no sequence of {seq_len}")
     return train_spans(spark, total_tokens, calls, usable, 1, 1, seq_len)
 
 

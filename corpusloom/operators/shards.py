@@ -156,13 +156,16 @@ def blocks(placed: DataFrame, block_size: int, *, by: str | None = "split", halo
     ).select(*keys, "block_id", (F.col("block_id") * block_size).alias("base_offset"), "tokens")
 
 
-def open_stream(shards: DataFrame, block_size: int, *, halo: int = 0) -> DataFrame:
+def open_stream(shards: DataFrame, block_size: int, *, halo: int = 0, sizes: DataFrame | None = None) -> DataFrame:
     """Shards read from files, joined into one stream per split in shard order.
 
     ``shards`` holds (split, shard_id, block_offset, shard_tokens, tokens) as the
     shard source returns it; a shard's base is the sum of the shards before it.
+    ``sizes`` (split, shard_id, n_tokens), from the file listing, saves the pass
+    over the shards that finds their sizes.
     """
-    sizes = shards.select("split", "shard_id", F.col("shard_tokens").alias("n_tokens")).distinct()
+    if sizes is None:
+        sizes = shards.select("split", "shard_id", F.col("shard_tokens").alias("n_tokens")).distinct()
     bases = running_offsets(sizes, "n_tokens", "shard_id", ["split"]).select("split", "shard_id", F.col("offset").alias("_base"))
     placed = (
         shards.join(bases, ["split", "shard_id"])

@@ -8,7 +8,7 @@ from ..operators.runs import log_points
 from ..operators.shards import cut_pieces, export_pieces, open_stream, place
 from ..session import scratch_path
 from ..sources.docs import read_docs, write_docs
-from ..sources.token_shards import read_shards, write_shards
+from ..sources.token_shards import read_shards, shard_sizes, write_shards
 from ..streaming import jobs
 from .archive_queries import log_lines
 from .corpus_oracle import placed, tokens
@@ -43,7 +43,8 @@ def shard_prefix(spark, sf):
 
 
 def reopened_stream(spark, sf):
-    stream = open_stream(read_shards(spark, _export_tokens(spark, sf)), BLOCK)
+    path = _export_tokens(spark, sf)
+    stream = open_stream(read_shards(spark, path), BLOCK, sizes=shard_sizes(spark, path))
     return stream.select(
         "split", "block_id", "base_offset", F.size("tokens").cast("bigint").alias("n"), weighted_sum(F.col("tokens")).alias("wsum")
     )

@@ -68,7 +68,7 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     body = F.trim("value")
     parsed = F.from_json(body, as_struct(SIDECAR))
-    wrong = F.raise_error(F.lit("docs sidecar must be a JSON object")).cast(as_struct(SIDECAR))
+    wrong = F.raise_error(F.lit("docs sidecar is not an object")).cast(as_struct(SIDECAR))
     return text.select(F.when(body.startswith("{"), parsed).otherwise(wrong).alias("s")).select("s.*")
 
 
@@ -81,5 +81,5 @@ def resolve_counts(docs: DataFrame, sidecar: DataFrame, num_val_docs: int | None
     if val is None:
         val = row["docs_val"] if row is not None and row["docs_val"] is not None else DEFAULT_VAL_DOCS
     if not 0 <= val <= total:
-        raise ValueError(f"num_val_docs must be in [0, {total}], got {val}")
+        raise ValueError(f"cannot take {val} validation documents of {total}")
     return int(total), int(val)

@@ -32,9 +32,9 @@ def parse_specs(texts: DataFrame) -> DataFrame:
     wrapped = F.from_json(body, "STRUCT<tokenizer_specs: STRING, tokenizers: STRING>")
     listed = F.when(body.startswith("["), body).otherwise(F.coalesce(wrapped["tokenizer_specs"], wrapped["tokenizers"]))
     entries = F.from_json(listed, "ARRAY<STRING>")
-    empty = F.raise_error(F.lit("tokenizer_config must define a non-empty list")).cast("array<string>")
+    empty = F.raise_error(F.lit("no tokenizer specs: a non-empty list is needed")).cast("array<string>")
     entries = F.when(F.coalesce(F.size(entries), F.lit(0)) > 0, entries).otherwise(empty)
-    wrong = F.raise_error(F.lit("each tokenizer spec must be a JSON object")).cast("string")
+    wrong = F.raise_error(F.lit("a tokenizer spec is not an object")).cast("string")
     rows = texts.select(F.explode(entries).alias("e")).select(
         F.when(F.ltrim("e").startswith("{"), F.col("e")).otherwise(wrong).alias("e")
     )

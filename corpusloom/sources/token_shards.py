@@ -113,11 +113,10 @@ def read_header(system: pafs.FileSystem, path: str, size: int) -> int:
     with system.open_input_file(path) as f:
         header = np.frombuffer(f.read(SHARD_HEADER_BYTES), "<i4")
     if len(header) != SHARD_HEADER_WORDS or header[0] != SHARD_MAGIC or header[1] != SHARD_VERSION:
-        raise ValueError(f"Unexpected shard header for {path}")
+        raise ValueError(f"not a token shard (header): {path}")
     n = int(header[2])
-    expected = SHARD_HEADER_BYTES + n * SHARD_TOKEN_BYTES
-    if size != expected:
-        raise ValueError(f"Shard size mismatch for {path}: expected {expected} bytes")
+    if size != SHARD_HEADER_BYTES + n * SHARD_TOKEN_BYTES:
+        raise ValueError(f"size of shard {path} is {size} bytes, its header counts {n} tokens")
     return n
 
 
@@ -133,7 +132,7 @@ def list_shards(path: str, prefix: str, split: str | None, keep=lambda split, sh
             continue
         payload = info.size - SHARD_HEADER_BYTES
         if payload < 0 or payload % SHARD_TOKEN_BYTES:
-            raise ValueError(f"Shard size mismatch for {info.path}: {info.size} bytes")
+            raise ValueError(f"size of shard {info.path} is {info.size} bytes, no whole number of tokens")
         found.append(Shard(info.path, match.group(1), int(match.group(2)), payload // SHARD_TOKEN_BYTES))
     return sorted(found, key=lambda s: s.path.rsplit("/", 1)[-1])
 
@@ -143,7 +142,7 @@ def read_range(root: str, part: ShardRange, block: int) -> Iterator[tuple[int, n
     system, _ = _filesystem(root)
     size = system.get_file_info(part.path).size
     if read_header(system, part.path, size) != part.n_tokens:
-        raise ValueError(f"Shard size mismatch for {part.path}")
+        raise ValueError(f"size of shard {part.path} changed while it was read")
     with system.open_input_file(part.path) as f:
         at = part.start
         while at < part.stop:
@@ -151,7 +150,7 @@ def read_range(root: str, part: ShardRange, block: int) -> Iterator[tuple[int, n
             data = f.read_at(n * SHARD_TOKEN_BYTES, SHARD_HEADER_BYTES + at * SHARD_TOKEN_BYTES)
             tokens = np.frombuffer(data, "<u2")
             if len(tokens) != n:
-                raise ValueError(f"Short read for {part.path}")
+                raise ValueError(f"shard {part.path} ends early")
             yield at, tokens.astype(np.int32)
             at += n
 
@@ -261,7 +260,7 @@ def _as_uint16(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = tokens.offsets.to_numpy()
     values = tokens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     if len(values) and (values.min() < 0 or values.max() >= MAX_VOCAB_SIZE):
-        raise ValueError("token dictionary too large for uint16")
+        raise ValueError("token id does not fit 16 bits")
     return offsets - offsets[0], values.astype("<u2")
 
 
@@ -304,7 +303,7 @@ class ShardWriter(DataSourceArrowWriter):
                     close()
                     current, filled, expected = (splits[i], ids[i]), 0, sizes[i]
                     if expected >= 2**31:
-                        raise ValueError("token count too large")
+                        raise ValueError("a shard holds fewer than 2**31 tokens")
                     out = system.open_output_stream(f"{attempt}/{shard_name(self.prefix, *current)}")
                     header = np.zeros(SHARD_HEADER_WORDS, "<i4")
                     header[:3] = SHARD_MAGIC, SHARD_VERSION, expected
@@ -448,6 +447,12 @@ def write_shards(pieces: DataFrame, path: str, prefix: str = SHARD_PREFIX, mode:
     ready.write.format("token_shards").option("path", path).option("prefix", prefix).mode(mode).save()
 
 
+def shard_sizes(spark: SparkSession, path: str, prefix: str = SHARD_PREFIX, split: str | None = None) -> DataFrame:
+    """(split, shard_id, n_tokens) from the file listing; no file is opened."""
+    rows = [(s.split, s.shard_id, s.n_tokens) for s in list_shards(path, prefix, split)]
+    return spark.createDataFrame(rows, "split STRING, shard_id INT, n_tokens BIGINT")
+
+
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
     reader = spark.read.format("token_shards").option("path", path)

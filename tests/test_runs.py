@@ -112,23 +112,22 @@ def test_volume(spark):
     assert ok.select(size_consistent(F.col("t"), F.col("c"), F.col("m"))).first()[0]
 
 
-def brute_lr(step, elapsed, iters, down, cap):
-    if down <= 0:
-        return 1.0
-    if cap is None:
-        start = max(iters - down, 0)
-        return max((iters - step) / down, 0.0) if start <= step < iters else 1.0
-    need = down * (elapsed / max(step, 1))
-    left = max(cap - elapsed, 0.0)
-    return left / max(need, 1e-9) if left <= need else 1.0
-
-
-@pytest.mark.parametrize("down, cap", [(0, None), (1200, None), (3000, None), (1200, 600_000.0)])
+# (steps of cool-down, time cap): multiplier at each step of a 2,000-step run of 43.5 ms per step.
+SCHEDULES = {
+    (0, None): {0: 1, 1999: 1, 2000: 1},
+    (1200, None): {0: 1, 799: 1, 800: 1, 1000: 1000 / 1200, 1999: 1 / 1200, 2000: 1, 12_000: 1},
+    (3000, None): {0: 2 / 3, 1: 1999 / 3000, 1999: 1 / 3000, 2000: 1},
+    # 1,200 steps take 52,200 ms: the ramp starts that long before the cap.
+    (1200, 600_000.0): {0: 1, 10: 1, 12_000: 1, 12_600: 51_900 / 52_200, 13_793: 4.5 / 52_200, 13_800: 0, 25_000: 0},
+}
+
+
+@pytest.mark.parametrize("down, cap", SCHEDULES)
 def test_schedules(spark, down, cap):
-    rows = [(s, s * 43.5) for s in (0, 1, 10, 800, 1000, 1999, 2000, 12_000, 13_793, 13_800, 25_000)]
-    df = spark.createDataFrame(rows, "step INT, ms DOUBLE")
+    want = SCHEDULES[down, cap]
+    df = spark.createDataFrame([(s, s * 43.5) for s in want], "step INT, ms DOUBLE")
     got = [r[0] for r in df.select(lr_mul(F.col("step"), F.col("ms"), 2000, down, cap)).collect()]
-    np.testing.assert_allclose(got, [brute_lr(s, e, 2000, down, cap) for s, e in rows], rtol=1e-12)
+    np.testing.assert_allclose(got, list(want.values()), rtol=1e-9)
 
 
 def test_fraction_and_cadence(spark):
