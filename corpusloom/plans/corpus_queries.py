@@ -359,7 +359,8 @@ def alphabet_coverage(spark, sf):
 
 def pair_frequency(spark, sf):
     """Adjacent symbol pairs of the spelled word table, before any merge."""
-    counted = M.word_counts(clean_training_text(docs(spark, sf)), normalise=False)
+    # Read by the alphabet and by the spelling: count the words once.
+    counted = durable(M.word_counts(clean_training_text(docs(spark, sf)), normalise=False))
     return M.pair_counts(M.spell(counted, M.alphabet(counted, 1.0))).select("left", "right", "n")
 
 
