@@ -91,13 +91,10 @@ def pair_counts(spelled: DataFrame) -> DataFrame:
         F.expr("slice(s, 2, size(s) - 1)"),
         lambda a, b: F.struct(a.alias("left"), b.alias("right")),
     )
-    merged = s.select(F.explode(pairs).alias("p"), "n").select("p.left", "p.right", "n")
+    counted = s.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    # The patterns look at distinct pairs only, behind the aggregation.
     fixed = r"^<(0x[0-9A-F]{2}|unk)>$"
-    return (
-        merged.filter(~F.col("left").rlike(fixed) & ~F.col("right").rlike(fixed))
-        .groupBy("left", "right")
-        .agg(F.sum("n").alias("n"))
-    )
+    return counted.filter(~F.col("left").rlike(fixed) & ~F.col("right").rlike(fixed))
 
 
 def _batch(top: list, room: int, complete: bool) -> list:
