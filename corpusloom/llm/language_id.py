@@ -186,18 +186,26 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return profile(prototypes(docs.filter(~held_out(F.col("doc_id")))))
 
 
-# The least cosine with any prototype at which a text counts as written in its language.
+# A text of some length in no known language has a cosine of about 0 with all prototypes.
+# A shorter one has too few n-grams to tell, and counts as known if it has letters.
 MIN_SCORE = 0.1
+MIN_LETTERS = 60
 
 
-def accepted(docs: DataFrame, languages: list[str], table: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, score at least ``min_score``."""
+def accepted(docs: DataFrame, languages: list[str], table: np.ndarray, min_score: float = MIN_SCORE, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und`` and, from ``min_letters``
+    letters on, with a score of at least ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, table))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = predictor(*shared.value)
+
+        def one(text: str | None) -> bool:
+            lang, score = predict(text)
+            return lang != UNKNOWN and (score >= min_score or len(NO_LETTERS.sub("", text)) < min_letters)
+
         for texts in batches:
-            yield pd.Series([-1.0 if (found := predict(t))[0] == UNKNOWN else found[1] for t in texts], dtype="float64")
+            yield pd.Series([one(t) for t in texts], dtype="bool")
 
-    return docs.filter(score("text") >= min_score)
+    return docs.filter(known("text"))

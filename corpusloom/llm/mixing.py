@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import dense_ordinals
 from ..session import durable
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 DIGITS = 12  # hexadecimal digits of the hash that count
 STEP = 4  # digits settled by one pass: 16^4 ranges
@@ -114,10 +114,12 @@ def source_plan(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
 
 
 def _decide(docs: DataFrame, table: DataFrame, seed: int, *columns: Column) -> DataFrame:
-    keyed = docs.withColumn("_hash", seeded_hash(seed, F.col("doc_id"), F.col("text"))).alias("d")
-    more = (F.col("_hash") < F.col("t.border")) | ((F.col("_hash") == F.col("t.border")) & F.col("t.inclusive"))
+    name = fresh(docs, "_hash")[0]
+    keyed = docs.withColumn(name, seeded_hash(seed, F.col("doc_id"), F.col("text"))).alias("d")
+    own = F.col(f"d.{name}")
+    more = (own < F.col("t.border")) | ((own == F.col("t.border")) & F.col("t.inclusive"))
     times = F.col("t.whole") + F.coalesce(more, F.lit(False)).cast("bigint")
-    return keyed.join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*columns, times.alias("_times"))
+    return keyed.join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*columns, times.alias(fresh(docs, "_times")[0]))
 
 
 def plan(docs: DataFrame, *, seed: int = 17, **settings) -> DataFrame:
@@ -130,5 +132,7 @@ def plan(docs: DataFrame, *, seed: int = 17, **settings) -> DataFrame:
 def mix(docs: DataFrame, *, seed: int = 17, **settings) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
     table = source_plan(docs, seed=seed, **settings)
+    times, copy = fresh(docs, "_times", "_copy")
     taken = _decide(docs, table, seed, *[F.col(f"d.`{c}`") for c in docs.columns])
-    return taken.withColumn("_copy", F.explode(F.expr("array_repeat(true, cast(_times as int))"))).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int")))
+    return taken.withColumn(copy, copies).select(*[f"`{c}`" for c in docs.columns])

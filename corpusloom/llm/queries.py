@@ -59,7 +59,7 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), TOXIC_CHAIN)
-    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+    return toxicity.predict(docs, chain)
 
 
 def op7_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

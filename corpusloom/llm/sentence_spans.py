@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .common import fresh
 
 MIN_SENTENCES = 2
 MIN_WORDS = 24
@@ -116,7 +117,7 @@ def deduplicate(docs: DataFrame, **settings) -> DataFrame:
     lost = durable(removals(docs, **settings)).alias("g")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash"))
     joined = docs.alias("d").join(lost, same, "left")
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
-    return joined.select(*others, cut(F.col("d.text"), F.col("g.gone")).alias("_cut")).select(
-        *[c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")], "_cut.text", "_cut.n_sentences", "_cut.n_removed"
-    )
+    others = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
+    name = fresh(docs, "_cut")[0]
+    out = joined.select(*[F.col(f"d.`{c}`") for c in others], cut(F.col("d.text"), F.col("g.gone")).alias(name))
+    return out.select(*[f"`{c}`" for c in others], f"{name}.text", f"{name}.n_sentences", f"{name}.n_removed")

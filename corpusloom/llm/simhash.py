@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import groups, per_row
+from .common import fresh, groups, per_row
 from .components import components, stars
 
 SEED = 42
@@ -241,14 +241,15 @@ def keep_one(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, layout: tu
     """The rows of ``docs`` without all but one row of each component: the smallest
     doc_id stays (a null one only if there is no other), ties go to the smaller hash of
     the row, and of fully identical rows one stays."""
-    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns])
-    keyed = docs.withColumn("_row", content)
-    fps = durable(fingerprints(keyed, "doc_id", "_row", shingle=shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    content = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    row = fresh(docs, "_row")[0]
+    keyed = docs.withColumn(row, content)
+    fps = durable(fingerprints(keyed, "doc_id", row, shingle=shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first")
     # Roots, not component_id: components without any id must stay apart.
     classes = durable(fps.groupBy("fp").agg(first))
     roots = components(links(classes, max_bits=max_bits, layout=layout))
     firsts = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_key"))
-    same = keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_row"] == stay["_key"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    stay = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_key"))
+    same = keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed[row] == stay["_key"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", row]).select(*[f"`{c}`" for c in docs.columns])

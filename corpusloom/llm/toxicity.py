@@ -5,7 +5,8 @@ Each model sees the text's features and the probabilities of the categories befo
 In training these probabilities are out-of-fold: every labelled row gets them from a
 model that was fitted without the row's fold, so later models learn how good earlier
 ones are on texts they have not seen. For prediction each category's model is fitted
-on all training rows.
+on all training rows; its threshold is the one that separates the out-of-fold
+probabilities best.
 
 Features are the distinct words of a text, lower-cased, and their beginnings of five
 letters (which stand for all inflected forms), and three shape measures. Of the
@@ -42,8 +43,9 @@ MAX_TRAIN = 10_000
 FEATURES = 512
 FOLDS = 3
 PREFIX = 5
+LEAST_TEXTS = 5  # training texts that hold a feature
+LEAST_ERRORS = 4.0  # standard errors between the classes
 SHAPES = 3
-THRESHOLD = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,12 +66,13 @@ def shapes(text: str | None) -> list[float]:
 class Linear:
     weights: np.ndarray
     bias: float
+    threshold: float = 0.5
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> Linear:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Linear:
     """Logistic regression, classes weighted equally, by accelerated gradient steps."""
     positive = y.sum()
     if not positive or positive == len(y):
@@ -109,6 +112,17 @@ class Chain:
         return [round(float(p), 6) for p in x[len(x) - len(self.models) :]]
 
 
+def border(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that separates the classes best (F1), half way to the next one."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    last = np.append(p[order][1:] != p[order][:-1], True)  # ties stay together
+    f1 = np.where(last, 2 * hits / (np.arange(1, len(y) + 1) + max(y.sum(), 1)), -1)
+    at = int(f1.argmax())
+    below = p[order][at + 1] if at + 1 < len(p) else 0.0
+    return float(min(max((p[order][at] + below) / 2, 0.1), 0.9))
+
+
 def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """Models of the chain; ``labels`` has one column a category, ``fold`` a number a row."""
     models = []
@@ -120,6 +134,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int =
             out = fold == f
             if out.any():
                 unseen[out] = fit(x[~out], y[~out]).probability(x[out])
+        models[-1].threshold = border(unseen, y)
         x = np.column_stack([x, unseen])
     return models
 
@@ -161,15 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, max
         with_, without = float(total[f"y{i}"] or 0), float((total["n"] or 0) - (total[f"y{i}"] or 0))
         if not with_ or not without:
             continue
-        a, b = F.col(f"y{i}") / with_, (F.col("n") - F.col(f"y{i}")) / without
-        spread = F.abs(a - b) / F.sqrt((F.col("n") + 1) / (with_ + without))
-        best = sums.filter("n >= 3").orderBy(F.desc(F.round(spread, 9)), "word").limit(n_features // len(names)).select("word").collect()
+        a, b, all_ = F.col(f"y{i}") / with_, (F.col("n") - F.col(f"y{i}")) / without, F.col("n") / (with_ + without)
+        # difference of the two shares in standard errors
+        spread = F.abs(a - b) / F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-9)) * (1 / with_ + 1 / without))
+        best = sums.filter(f"n >= {LEAST_TEXTS}").filter(spread >= LEAST_ERRORS).orderBy(F.desc(F.round(spread, 9)), "word").limit(n_features // len(names)).select("word").collect()
         for row in best:
             chosen.setdefault(row["word"], len(chosen))
     chain = Chain(names, chosen, [])
 
-    def vectors() :
-        return lambda key, text, *y: (key, *y, [w for w in chain.row(text).tolist()])
+    def vectors():
+        return lambda key, text, *y: (key, *y, chain.row(text).tolist())
 
     arrow = pa.schema([("key", pa.int64()), *[(f"y{i}", pa.int64()) for i in range(len(names))], ("x", pa.list_(pa.float32()))])
     columns = ["key", "text", *[F.col(f"y{i}").cast("bigint") for i in range(len(names))]]
@@ -186,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, max
 
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, one probability a category), one row per row of ``docs``."""
+    """(id_col, for each category its probability ``p_name`` and verdict ``name``)."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
 
@@ -197,4 +213,5 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     arrow = pa.schema([("k", pa.int64()), *[(n, pa.float64()) for n in names]])
     schema = ", ".join(["k bigint", *[f"{n} double" for n in names]])
     out = per_row(docs, [F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t")], make, schema, arrow)
-    return out.select(F.col("k").alias(id_col), *names)
+    verdicts = [(F.col(n) >= m.threshold).alias(c) for c, n, m in zip(chain.categories, names, chain.models)]
+    return out.select(F.col("k").alias(id_col), *names, *verdicts)
