@@ -92,7 +92,9 @@ def removals(docs: DataFrame, *, min_sentences: int = MIN_SENTENCES, min_words:
     spans = source.mapInArrow(run, "hash bigint, doc_id bigint, text_hash bigint, first int, last int")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first")
     counted = spans.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    repeated = counted.filter("least <> most").select("hash", "least")
+    # Durable, so that the join has a shuffle of its own on both sides: Spark can then
+    # split a run that a third of all texts share over many tasks.
+    repeated = durable(counted.filter("least <> most").select("hash", "least"))
     again = spans.join(repeated, "hash").filter(place != F.col("least"))
     gone = again.select("doc_id", "text_hash", F.explode(F.sequence("first", "last")).alias("s"))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("s")).alias("gone"))
