@@ -118,7 +118,9 @@ def parse_runs(raw: DataFrame, corrections: DataFrame | None = None) -> DataFram
     """Normalise (run_dir, track, json) metadata whose keys differ from run to run.
 
     Numbers may be quoted or carry a comparison sign. ``corrections`` is a table
-    (run_dir, field, value, reason): a value replaces the field, null clears it.
+    (run_dir, field, value, reason): a value replaces the field, null clears it. Any
+    metric or name can be corrected; another field is an error. Whole-number fields
+    that hold a mean are rounded.
     """
     names = ["name", "run_name", "author", "github_id", "date", "track", "seeds", "seed_results", "p_value"]
     names += [n for options in FIELD_NAMES.values() for n in options]
@@ -128,7 +130,8 @@ def parse_runs(raw: DataFrame, corrections: DataFrame | None = None) -> DataFram
 
     def number(field: str, as_type: str) -> Column:
         options = [F.regexp_replace(F.col(f"_j.{n}"), r"^[<>=~ ]+", "") for n in FIELD_NAMES[field]]
-        return F.coalesce(*[o.try_cast(as_type) for o in options])
+        found = F.coalesce(*[o.try_cast("decimal(38,6)" if as_type == "bigint" else as_type) for o in options])
+        return F.round(found).cast(as_type) if as_type == "bigint" else found
 
     runs = parsed.select(
         "run_dir",
@@ -145,14 +148,18 @@ def parse_runs(raw: DataFrame, corrections: DataFrame | None = None) -> DataFram
     )
     if corrections is None:
         return runs
+    fields = ["name", "author", "github_id", *FIELD_NAMES]
+    fields = [f for f in runs.columns if f in fields]
+    unknown = F.raise_error(F.concat(F.lit("no such field to correct: "), F.col("field")))
+    corrections = corrections.withColumn("field", F.when(F.col("field").isin(fields), F.col("field")).otherwise(unknown))
     # A correction table is written by hand, one row per wrong field.
     fixes = corrections.groupBy("run_dir").agg(
         F.map_from_entries(F.collect_list(F.struct("field", F.struct("value")))).alias("_fix")
     )
     runs = runs.join(fixes, "run_dir", "left")
-    for field in ("val_loss", "val_bpb"):
-        fixed = F.col("_fix")[field]
-        runs = runs.withColumn(field, F.when(fixed.isNotNull(), fixed["value"]).otherwise(F.col(field)))
+    for field in fields:
+        fixed, kind = F.col("_fix")[field], runs.schema[field].dataType
+        runs = runs.withColumn(field, F.when(fixed.isNotNull(), fixed["value"].cast(kind)).otherwise(F.col(field)))
     return runs.drop("_fix")
 
 

@@ -84,7 +84,8 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str | None = "split", halo:
         return F.struct(*fields)
 
     pieces = F.inline(F.transform(F.sequence(first, last), piece))
-    out = placed.filter(F.col("n_tokens") > 0).select(*([by] if by else []), "doc_ordinal", pieces)
+    lost = F.raise_error(F.concat(F.lit("document without text: "), F.col("doc_ordinal").cast("string"))).cast("bigint")
+    out = placed.filter(F.coalesce(F.col("n_tokens"), lost) > 0).select(*([by] if by else []), "doc_ordinal", pieces)
     return out.filter(F.col("n") > 0) if halo else out
 
 

@@ -219,8 +219,12 @@ def vocab_stats(vocab: DataFrame, declared_size: int | None = None) -> DataFrame
 
 
 def vocabulary_table(stats: DataFrame) -> DataFrame:
-    """Side of a lookup join that is safe to broadcast: unique ids below 65,536."""
-    return F.broadcast(stats.filter((F.col("token_id") >= 0) & (F.col("token_id") < MAX_VOCAB_SIZE)))
+    """Side of a lookup join that is safe to broadcast: unique ids below 65,536. An id
+    beyond that is an error, not a row less."""
+    fits = (F.col("token_id") >= 0) & (F.col("token_id") < MAX_VOCAB_SIZE)
+    wrong = F.raise_error(F.concat(F.lit("token id out of range: "), F.col("token_id").cast("string")))
+    kind = stats.schema["token_id"].dataType
+    return F.broadcast(stats.withColumn("token_id", F.when(fits, F.col("token_id")).otherwise(wrong.cast(kind))))
 
 
 def check_vocab_size(specs: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from ..operators import runs as R
 from ..operators.checks import check_unique
 from ..operators.tokenizers import apply_reuse, byte_length, resolve_specs
 from ..schema import DATASET_PREFIX
-from ..session import spread
+from ..session import scratch_path, spread
+from ..sources.archive import read_log_lines
 from .tables import BATCH_TOKENS, events, r, table
 
 SHARD_TOKENS = 20_000
@@ -177,12 +178,16 @@ def log_facts(spark, sf):
 
 
 def log_copies(spark, sf):
-    """Two runs print the same log; a copy counts once."""
+    """Two runs print the same log; a copy counts once. Logs are files, one a run."""
     lines = log_lines(spark, sf)
     twice = lines.unionByName(
         lines.filter(F.col("run").cast("bigint") % 3 == 0).withColumn("run", F.concat(F.col("run"), F.lit("_copy")))
     )
-    return R.distinct_logs(twice, ["run"])
+    path = scratch_path(spark, "logs")
+    files = twice.repartition("run").sortWithinPartitions("run", "line_no").select("run", "line")
+    files.write.partitionBy("run").text(path)
+    read = read_log_lines(spark, f"{path}/*/*.txt").withColumn("run", F.regexp_replace("run", "^run=", ""))
+    return R.distinct_logs(read, ["run"])
 
 
 def metadata_json(spark, sf) -> DataFrame:

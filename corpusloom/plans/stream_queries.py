@@ -88,21 +88,17 @@ def stream_log_best(spark, sf):
 
 
 def stream_ingest_stats(spark, sf):
-    """Documents arriving in order; offsets and split statistics per micro-batch."""
+    """Documents arriving in steps of several files each; offsets and split statistics
+    per micro-batch. The files of a step come in any order: a step is one batch."""
     source, out, checkpoint = (scratch_path(spark, x) for x in ("incoming", "ingest", "ingest-checkpoint"))
     incoming = lengths(spark, sf)
     last = incoming.agg(F.max("doc_ordinal")).first()[0] + 1
     for step in range(INGEST_STEPS):
         low, high = last * step // INGEST_STEPS, last * (step + 1) // INGEST_STEPS
         part = incoming.filter((F.col("doc_ordinal") >= low) & (F.col("doc_ordinal") < high))
-        part.write.mode("append").parquet(f"{source}/step={step}")
-    arriving = (
-        spark.readStream.schema("doc_ordinal BIGINT, n_tokens BIGINT, step INT")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(source)
-        .select("doc_ordinal", "n_tokens")
-    )
-    jobs.stream_ingest(arriving, out, checkpoint, VAL_DOCS).awaitTermination()
+        part.repartition(4).write.mode("append").parquet(f"{source}/step={step}")
+        arriving = spark.readStream.schema("doc_ordinal BIGINT, n_tokens BIGINT, step INT").parquet(source)
+        jobs.stream_ingest(arriving.select("doc_ordinal", "n_tokens"), out, checkpoint, VAL_DOCS).awaitTermination()
     stats = jobs.ingest_stats(spark, out, SHARD)
     placed_docs = spark.read.parquet(f"{out}/docs")
     sums = placed_docs.groupBy("split").agg(F.sum("offset").alias("sum_offset"), F.max("split_ordinal").alias("last_ordinal"))

@@ -57,6 +57,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark's own readers and writers resolve it: a full URI on the default
+    file system. On a cluster a machine-local folder is refused, unless it lies in the
+    folder that is configured as shared."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    inside = shared and f"{uri}/".startswith(qualified_root(spark, shared))
+    if uri.startswith("file:") and not spark.sparkContext.master.startswith("local") and not inside:
+        raise ValueError(f"{uri} is local to each machine; give a folder that all executors share")
+    return uri
+
+
+def qualified_root(spark: SparkSession, path: str) -> str:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/") + "/"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and cut its lineage."""
     scratch_root(df.sparkSession)

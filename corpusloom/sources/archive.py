@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.runs import log_facts, log_points, parse_board, parse_runs
 from ..schema import RESULTS
+from .docs import file_lines
 
 
 def _path_part(i: int):
@@ -14,12 +15,11 @@ def _path_part(i: int):
 
 
 def read_log_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """(run, file, line_no, line); ``line_no`` grows down a file, not densely."""
-    return spark.read.text(glob).select(
-        _path_part(-2).alias("run"),
-        _path_part(-1).alias("file"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("line"),
+    """(run, file, line_no, line); ``line_no`` counts the lines of a file from 0, so
+    equal files have equal rows."""
+    parts = F.split("file", "/")
+    return file_lines(spark, glob).select(
+        F.element_at(parts, -2).alias("run"), F.element_at(parts, -1).alias("file"), F.col("number").alias("line_no"), "line"
     )
 
 

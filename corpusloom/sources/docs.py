@@ -13,9 +13,17 @@ MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_ordinal, line): dense line numbers over all files in name order.
+    """(doc_ordinal, line): dense line numbers over all files in name order."""
+    return _numbered(spark, path, by_file=False).select(F.col("number").alias("doc_ordinal"), "line")
 
-    Lines of one file split are read in order by one task, so a line's number is
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line): dense line numbers from 0 in each file."""
+    return _numbered(spark, path, by_file=True)
+
+
+def _numbered(spark: SparkSession, path: str, by_file: bool) -> DataFrame:
+    """Lines of one file split are read in order by one task, so a line's number is
     the start of its split plus its place in it: one small join, no sort, no
     shuffle of the text.
     """
@@ -28,7 +36,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # One row per file split. The driver already holds the list of splits, so up to
     # MAX_BROADCAST_SPLITS of them are broadcast and the text stays where it is.
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.col("_file") if by_file else F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     bases = splits.select(
         F.col("_file").alias("_f"),
         F.col("_start").alias("_s"),
@@ -40,7 +48,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     joined = lines.join(bases, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")), "left")
     lost = F.raise_error(F.lit("input splits changed between passes")).cast("bigint")
     ordinal = F.when(F.col("_base").isNull(), lost).otherwise(F.col("_base") + F.col("_id") - F.col("_first"))
-    return joined.select(ordinal.alias("doc_ordinal"), "line")
+    return joined.select(F.col("_file").alias("file"), ordinal.alias("number"), "line")
 
 
 def read_docs(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:

@@ -115,7 +115,10 @@ def write_manifest(
         listing(datasets).alias("datasets"),
     ]
     if specs is not None:
-        fields.append(listing(specs.drop("trainer_overrides")).alias("tokenizer_specs"))
+        # Maps have no order, so specs are listed by name.
+        rows = F.collect_list(F.struct("name", F.struct(*specs.columns).alias("spec")))
+        named = F.array_sort(rows, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+        fields.append(specs.agg(F.transform(named, lambda s: s["spec"])).scalar().alias("tokenizer_specs"))
     one = spark.range(1).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
     one.coalesce(1).write.mode("overwrite").text(path)
 

@@ -44,6 +44,7 @@ from ..schema import (
     SHARD_TOKEN_BYTES,
     SHARD_VERSION,
 )
+from ..session import qualified
 
 DEFAULT_BLOCK = 1 << 16
 DEFAULT_SPLIT = 1 << 24
@@ -95,9 +96,11 @@ def group_ranges(ranges: list[ShardRange], tokens: int) -> list[ShardGroup]:
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), path
+    """``path`` is a full URI: tasks must not guess which file system a bare path means."""
+    if not re.match(r"^[a-zA-Z][\w+.-]*:", path):
+        raise ValueError(f"not a full URI: {path}; read_shards, write_shards and session.qualified make one")
+    uri = re.sub(r"^file:/+", "file:///", path)
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def shard_name(prefix: str, split: str, shard_id: int) -> str:
@@ -440,6 +443,7 @@ def write_shards(pieces: DataFrame, path: str, prefix: str = SHARD_PREFIX, mode:
     """
     spark = pieces.sparkSession
     register(spark)
+    path = qualified(spark, path)
     system, root = _filesystem(path)
     system.create_dir(root, recursive=True)
     rows = pieces.select("split", F.col("shard_id").cast("int").alias("shard_id"), "shard_offset", "shard_tokens", "tokens")
@@ -449,13 +453,13 @@ def write_shards(pieces: DataFrame, path: str, prefix: str = SHARD_PREFIX, mode:
 
 def shard_sizes(spark: SparkSession, path: str, prefix: str = SHARD_PREFIX, split: str | None = None) -> DataFrame:
     """(split, shard_id, n_tokens) from the file listing; no file is opened."""
-    rows = [(s.split, s.shard_id, s.n_tokens) for s in list_shards(path, prefix, split)]
+    rows = [(s.split, s.shard_id, s.n_tokens) for s in list_shards(qualified(spark, path), prefix, split)]
     return spark.createDataFrame(rows, "split STRING, shard_id INT, n_tokens BIGINT")
 
 
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
-    reader = spark.read.format("token_shards").option("path", path)
+    reader = spark.read.format("token_shards").option("path", qualified(spark, path))
     reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
     for key, value in options.items():
         reader = reader.option(key, value)

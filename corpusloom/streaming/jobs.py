@@ -9,13 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.corpus import split_of
 from ..operators.order import running_offsets
 from ..operators.runs import log_points
+from ..session import qualified
 from ..sources.token_shards import register
 
 
 def stream_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     """Endless resumable token stream (epoch, split, shard_id, block_offset, …)."""
     register(spark)
-    reader = spark.readStream.format("token_shard_stream").option("path", path)
+    reader = spark.readStream.format("token_shard_stream").option("path", qualified(spark, path))
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
@@ -104,7 +105,9 @@ def ingest_batch(batch: DataFrame, totals: DataFrame, num_val_docs: int, batch_i
 def stream_ingest(docs: DataFrame, out: str, checkpoint: str, num_val_docs: int) -> StreamingQuery:
     """Continuous ingest of (doc_ordinal, n_tokens, …) with exact running offsets.
 
-    Micro-batches must arrive in document order (file order). Totals after batch n
+    Micro-batches must arrive in document order; within one the files may come in any
+    order. Let a trigger take all files of a step (no maxFilesPerTrigger, which would
+    follow modification times). Totals after batch n
     are kept per batch, so replaying a batch starts from the same numbers.
     """
     spark = docs.sparkSession

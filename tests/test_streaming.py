@@ -38,7 +38,7 @@ def test_endless_stream_resumes_where_it_stopped(spark, shards, tmp_path):
 
 
 def test_offsets_walk_epochs(shards):
-    reader = ShardStreamReader({"path": shards, "tokensPerBatch": "60", "blockTokens": "8"})
+    reader = ShardStreamReader({"path": f"file:{shards}", "tokensPerBatch": "60", "blockTokens": "8"})
     start, seen = reader.initialOffset(), []
     for _ in range(6):
         end = reader.latestOffset()
