@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import default_parallelism
 from .common import OUT_ROWS
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 MAX_VOCABULARY = 1_000_000
 WORDS, TEXT = 0, 1
 
