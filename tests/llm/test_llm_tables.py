@@ -127,7 +127,7 @@ def dedup_loop(docs, min_sentences, min_words, long_sentence):
                 ok = lambda x, y: y - x + 1 >= min_sentences and sum(map(len, words[x : y + 1])) >= min_words
                 if a == b and n >= long_sentence or ok(a, b) and (not ok(a, b - 1) or not ok(a + 1, b)):
                     spans.add((a, b))
-        for a, b in spans:
+        for a, b in sorted(spans):  # the first place counts
             runs.setdefault(tuple(map(tuple, words[a : b + 1])), []).append((key, full[a], full[b]))
     gone = {}
     for places in runs.values():
