@@ -167,27 +167,6 @@ def clamp(col: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(col, F.lit(float(low))), F.lit(float(high)))
 
 
-def coarsen(q: Column, step: int, low: int = -127, high: int = 127) -> Column:
-    """Round quantised levels to multiples of ``step``, half to even."""
-    return F.transform(q, lambda v: clamp(F.rint(v / F.lit(float(step))) * step, low, high).cast("tinyint"))
-
-
-def prune_levels(q: Column, ratio: float) -> Column:
-    """Zero the levels whose size is at most ``int(127 * ratio)``."""
-    limit = int(127 * ratio)
-    return F.transform(q, lambda v: F.when(F.abs(v.cast("int")) <= limit, F.lit(0)).otherwise(v).cast("tinyint"))
-
-
-def row_quantile(values: Column, q: float) -> Column:
-    """Exact linear-interpolation quantile of the absolute values of one row."""
-    sizes = F.array_sort(F.transform(values, lambda v: F.abs(v.cast("double"))))
-    rank = F.lit(q) * (F.size(values) - 1)
-    low = F.floor(rank).cast("int")
-    lower = F.element_at(sizes, low + 1)
-    upper = F.element_at(sizes, F.least(low + 2, F.size(values)))
-    return F.when(F.size(values) > 0, lower + (upper - lower) * (rank - low))
-
-
 def matrix_class(name: Column, variant: str = "plain") -> Column:
     """Class of a weight by name; the ``bigram`` variant adds one class before attn."""
     rule = F.when(name.contains("tok_emb") | name.contains("lm_head"), "embed").when(name.contains(".mlp."), "mlp")

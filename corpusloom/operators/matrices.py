@@ -1,15 +1,15 @@
 """Weight tables: routing, quantisation, pruning, size accounting, averaging.
 
-A matrix is a set of rows (tensor, row_id, values). Row-level work stays inside
-one array expression; matrix-level values come from mergeable aggregates, so a
-tensor that holds most of the rows is still reduced on the map side.
+A matrix is a set of rows (tensor, row_id, values). Row-level work is done on whole
+Arrow batches, never with a row per value; matrix-level values come from mergeable
+aggregates, so a tensor that holds most of the rows is still reduced on the map side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -19,7 +19,6 @@ from ..functions.columns import (
     has_any,
     layer_number,
     matrix_class,
-    row_quantile,
     scale_as,
 )
 from ..schema import (
@@ -30,8 +29,8 @@ from ..schema import (
     KEEP_FLOAT_MAX_NUMEL,
     PRUNE_QUANTILE,
 )
-from ..session import small_side
-from .order import SEGMENT, Running, range_segments, scan
+from ..functions.vectors import BITS_PER_PASS, cut_below, leading_bits, levels, restore, round_trip_error, row_quantiles, trial_errors, value_of_bits, vector_sums
+from ..session import durable, small_side
 
 # Routing policies of the archived runs. ``small`` is the largest
 # kept-in-float size, ``fp16`` / ``fp16_names`` the tensors kept in half
@@ -67,46 +66,53 @@ def abs_max(mats: DataFrame, per: str = "row") -> DataFrame:
     return rows if per == "row" else rows.groupBy("tensor").agg(F.max("abs_max").alias("abs_max"))
 
 
-def matrix_quantile(mats: DataFrame, q: float) -> DataFrame:
-    """Exact linear-interpolation quantile of |value| per tensor: (tensor, n, quantile).
+def matrix_quantiles(mats: DataFrame, qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of |value| per tensor: (tensor, n, quantiles).
 
-    Values are counted first, ordered once by range, and only the rows around the
-    wanted rank survive; no group is ever collected.
+    The bits of a magnitude are a whole number of the same order. Values are counted by
+    their leading 16 bits; the counts tell in which of these classes every wanted rank
+    lies, and the next pass counts the next 16 bits there, until all bits are known: two
+    passes for single precision, four for double, for all ranks of all tensors at once.
+    Only counts are shuffled, at most 2^16 a tensor and rank.
     """
-    values = mats.select("tensor", F.explode(F.transform("values", lambda v: F.abs(v.cast("double")))).alias("v"))
-    counts = values.groupBy("tensor", "v").agg(F.count(F.lit(1)).alias("c"))
-    runs = [Running("sum", "c", "below", inclusive=False), Running("total", "c", "n")]
-    ranked = scan(range_segments(counts, ["tensor", "v"]), ["tensor"], ["v"], runs).drop(SEGMENT)
-    rank = F.lit(q) * (F.col("n") - 1)
-    low = F.floor(rank)
-    high = F.least(low + 1, F.col("n") - 1)
-    covers = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("c"))
-    lower, upper = F.max(F.when(covers(low), F.col("v"))), F.max(F.when(covers(high), F.col("v")))
-    return (
-        ranked.filter(covers(low) | covers(high))
-        .groupBy("tensor", "n")
-        .agg(lower.alias("_lo"), upper.alias("_hi"))
-        .select("tensor", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (rank - low)).alias("quantile"))
-    )
-
-
-# --- quantisation ---------------------------------------------------------------------
-
+    values = mats.select("tensor", "values")
+    width = 64 if values.schema["values"].dataType.elementType.simpleString() == "double" else 32
+    if width == 32:
+        values = values.withColumn("values", F.col("values").cast("array<float>"))
+    rank = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    open_, counted = None, values
+    for drop in range(width - BITS_PER_PASS, -1, -BITS_PER_PASS):
+        counts = leading_bits(counted, drop)
+        if open_ is None:
+            counts = durable(counts)
+            sizes = counts.groupBy("tensor").agg(F.sum("c").alias("n"))
+            ranks = []
+            for i, q in enumerate(qs):
+                low = F.floor(rank(q))
+                for side, at in ((0, low), (1, F.least(low + 1, F.col("n") - 1))):
+                    ranks.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), at.alias("rank")))
+            open_ = sizes.select("tensor", "n", F.lit(0).cast("bigint").alias("above"), F.inline(F.array(*ranks)))
+        # Bounded groups: 2^16 counts below one entry.
+        order = Window.partitionBy("tensor", "above").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.withColumn("below", F.coalesce(F.sum("c").over(order), F.lit(0)))
+        inside = (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("c"))
+        found = ranked.join(open_, ["tensor", "above"]).filter(inside)
+        open_ = durable(found.select("tensor", "n", F.col("prefix").alias("above"), "i", "side", (F.col("rank") - F.col("below")).alias("rank")))
+        entries = open_.groupBy("tensor").agg(F.collect_set("above").alias("above"))  # two a quantile at most
+        counted = values.join(small_side(entries), "tensor") if drop else None
+    ends = open_.select("tensor", "n", "i", "side", value_of_bits(F.col("above"), width).alias("v"))
+    side = lambda i, s: F.max(F.when((F.col("i") == i) & (F.col("side") == s), F.col("v")))
+    wide = ends.groupBy("tensor", "n").agg(*[side(i, s).alias(f"v{i}_{s}") for i in range(len(qs)) for s in (0, 1)])
+    between = [F.col(f"v{i}_0") + (F.col(f"v{i}_1") - F.col(f"v{i}_0")) * (rank(q) - F.floor(rank(q))) for i, q in enumerate(qs)]
+    return wide.select("tensor", "n", F.array(*between).alias("quantiles"))
 
-def _quotient(v: Column, scale: Column, exact: bool) -> Column:
-    return v.cast("double") / scale if exact else fp32(v.cast("double") / scale)
 
+def matrix_quantile(mats: DataFrame, q: float) -> DataFrame:
+    """One of ``matrix_quantiles``: (tensor, n, quantile)."""
+    return matrix_quantiles(mats, [q]).select("tensor", "n", F.col("quantiles")[0].alias("quantile"))
 
-def levels(values: Column, scale: Column, low: int, high: int, clip: Column | None = None, exact: bool = False) -> Column:
-    """Round-half-even levels of ``values / scale``, clamped."""
-
-    def one(v: Column) -> Column:
-        x = v.cast("double")
-        if clip is not None:
-            x = F.least(F.greatest(x, -clip), clip)
-        return clamp(F.rint(_quotient(x, scale, exact)), low, high).cast("tinyint")
 
-    return F.transform(values, one)
+# --- quantisation ---------------------------------------------------------------------
 
 
 def quantise(mats: DataFrame, method: str = "percentile", limit: int = 127, scale_dtype: str = "float16") -> DataFrame:
@@ -119,7 +125,7 @@ def quantise(mats: DataFrame, method: str = "percentile", limit: int = 127, scal
     """
     exact = scale_dtype == "double"
     if method == "percentile":
-        clip = row_quantile(F.col("values"), CLIP_QUANTILE)
+        clip = row_quantiles(F.col("values"), [CLIP_QUANTILE])[0]
         out = mats.withColumn("clip_abs", clip if exact else fp32(clip))
         raw = F.greatest(F.col("clip_abs") / limit, F.lit(1.0) / limit)
         out = out.withColumn("_raw", raw if exact else fp32(raw))
@@ -149,11 +155,6 @@ def quantise_vectors(mats: DataFrame, limit: int = 127) -> DataFrame:
     return joined.withColumn("q", levels(F.col("values"), F.col("scale"), -limit, limit, F.col("clip_abs")))
 
 
-def restore(q: Column, scale: Column, exact: bool = False) -> Column:
-    """Values back from levels; single precision unless ``exact``."""
-    return F.transform(q, lambda v: v.cast("double") * scale if exact else fp32(v.cast("double") * scale))
-
-
 def dequantise(q: DataFrame, meta: DataFrame, strict: bool = False) -> DataFrame:
     """Levels joined with (tensor, scheme, dtype). Rows without metadata are dropped,
     or fail the query in ``strict`` mode. Passthrough rows keep their values."""
@@ -167,18 +168,11 @@ def dequantise(q: DataFrame, meta: DataFrame, strict: bool = False) -> DataFrame
     ).select("tensor", "row_id", "scheme", "values")
 
 
-def square_error(values: Column, recon: Column) -> Column:
-    """Sum of squared differences of one row."""
-    diff = F.zip_with(values, recon, lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0)))
-    return F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + d)
-
-
 def quant_error(quantised: DataFrame, by: Sequence[str] = ("tensor",), exact: bool = False) -> DataFrame:
     """Mean squared and largest absolute round-trip error."""
-    rows = quantised.withColumn("_r", restore(F.col("q"), F.col("scale"), exact))
-    worst = F.array_max(F.zip_with("values", "_r", lambda a, b: F.abs(a.cast("double") - b)))
-    rows = rows.select(*by, square_error(F.col("values"), F.col("_r")).alias("_e"), worst.alias("_w"), F.size("values").alias("_n"))
-    return rows.groupBy(*by).agg((F.sum("_e") / F.sum("_n")).alias("mse"), F.max("_w").alias("max_error"))
+    error = round_trip_error(F.col("values"), F.col("q"), F.col("scale"), exact)
+    rows = quantised.select(*by, error.alias("_e"), F.size("values").alias("_n"))
+    return rows.groupBy(*by).agg((F.sum("_e.total") / F.sum("_n")).alias("mse"), F.max("_e.worst").alias("max_error"))
 
 
 def clip_search(
@@ -190,35 +184,20 @@ def clip_search(
 ) -> DataFrame:
     """Clip percentile with the least mean squared error, earliest on ties.
 
-    ``scope="matrix"`` picks one percentile per tensor, ``"row"`` one per row. The
-    candidates are a short array inside the row; sums are combined on the map side.
+    ``scope="matrix"`` picks one percentile per tensor, ``"row"`` one per row. A row is
+    sorted once for all candidates; sums are combined on the map side.
     """
     exact = scale_dtype == "double"
-    trials = []
-    for i, pct in enumerate(pcts):
-        top = F.array_max(F.transform("values", lambda v: F.abs(v.cast("double"))))
-        clip = row_quantile(F.col("values"), pct) if pct < 1.0 else top
-        scale = scale_as(F.greatest((clip if exact else fp32(clip)) / limit, F.lit(1.0) / limit), scale_dtype)
-        trials.append((i, pct, scale))
-    out = mats
-    for i, _, scale in trials:
-        out = out.withColumn(f"_s{i}", scale)
-    choices = []
-    for i, pct, _ in trials:
-        s = F.col(f"_s{i}")
-        recon = restore(levels(F.col("values"), s, -limit, limit, None, exact), s, exact)
-        choices.append(
-            F.struct(
-                F.lit(i).alias("rank"), F.lit(float(pct)).alias("pct"), square_error(F.col("values"), recon).alias("err")
-            )
-        )
+    clips = row_quantiles(F.col("values"), [min(p, 1.0) for p in pcts])
+    scale = lambda c: scale_as(F.greatest((c if exact else fp32(c)) / limit, F.lit(1.0) / limit), scale_dtype)
     key = ["tensor"] if scope == "matrix" else ["tensor", "row_id"]
-    errors = (
-        out.select(*key, F.size("values").alias("_n"), F.inline(F.array(*choices)))
-        .groupBy(*key, "rank", "pct")
-        .agg((F.sum("err") / F.sum("_n")).alias("mse"))
-    )
-    best = errors.groupBy(*key).agg(F.min_by(F.struct("pct", "mse"), F.struct("mse", "rank")).alias("b"))
+    rows = mats.filter(F.size("values") > 0).select(*key, "values", F.transform(clips, scale).alias("_s"))
+    errors = rows.select(*key, F.size("values").alias("_n"), trial_errors(F.col("values"), F.col("_s"), limit, exact).alias("_e"))
+    sums = errors.groupBy(*key).agg(F.sum("_n").alias("_n"), *[F.sum(F.col("_e")[i]).alias(f"_e{i}") for i in range(len(pcts))])
+    choices = [
+        F.struct((F.col(f"_e{i}") / F.col("_n")).alias("mse"), F.lit(i).alias("rank"), F.lit(float(p)).alias("pct")) for i, p in enumerate(pcts)
+    ]
+    best = sums.select(*key, F.array_min(F.array(*choices)).alias("b"))
     return best.select(*key, F.col("b.pct").alias("pct"), F.col("b.mse").alias("mse"))
 
 
@@ -229,13 +208,10 @@ def prune(mats: DataFrame, q: float = PRUNE_QUANTILE, min_numel: int = KEEP_FLOA
     """Zero the values below the tensor's q-quantile of |value|, for tensors larger
     than ``min_numel``."""
     limits = matrix_quantile(mats, q).select("tensor", "n", F.col("quantile").alias("threshold"))
-    cut = F.transform(
-        "values", lambda v: F.when(F.abs(v.cast("double")) < F.col("threshold"), F.lit(0.0)).otherwise(v.cast("double"))
-    )
-    same = F.transform("values", lambda v: v.cast("double"))
-    return mats.join(small_side(limits), "tensor").withColumn("values", F.when(F.col("n") > min_numel, cut).otherwise(same)).select(
-        "tensor", "row_id", "values"
-    )
+    # Nothing is below zero, so small tensors keep all their values.
+    limit = F.when(F.col("n") > min_numel, F.col("threshold")).otherwise(F.lit(0.0))
+    joined = mats.join(small_side(limits), "tensor")
+    return joined.select("tensor", "row_id", cut_below(F.col("values"), limit).alias("values"))
 
 
 # --- routing and sizes ----------------------------------------------------------------------
@@ -311,23 +287,12 @@ def averaged_steps(points: DataFrame, lr_scale: Column, threshold: float, every:
     return points.filter((lr_scale < threshold) & (F.col("step") % every == 0))
 
 
-def _long(ckpts: DataFrame, *extra: str) -> DataFrame:
-    return ckpts.select("tensor", "row_id", *extra, F.posexplode("values").alias("pos", "v"))
-
-
-def _rows(cells: DataFrame) -> DataFrame:
-    """Cells back to rows; a row is as wide as its matrix."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    return cells.groupBy("tensor", "row_id").agg(F.transform(ordered, lambda s: s["v"]).alias("values"))
-
-
 def mean_checkpoints(ckpts: DataFrame) -> DataFrame:
     """Uniform mean over checkpoints (tensor, row_id, step, values), used only when
-    more than one was taken. The per-cell sums combine on the map side."""
-    cells = _long(ckpts).groupBy("tensor", "row_id", "pos").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.col("v").cast("double")).alias("v")
-    )
-    return _rows(cells.filter(F.col("_n") > 1).drop("_n"))
+    more than one was taken. Whole vectors are added on the map side first."""
+    sums = vector_sums(ckpts.select("tensor", "row_id", "values"), ["tensor", "row_id"])
+    mean = F.transform("values", lambda v: v / F.col("n"))
+    return sums.filter(F.col("n") > 1).select("tensor", "row_id", mean.alias("values"))
 
 
 def ema_checkpoints(ckpts: DataFrame, decay: float) -> DataFrame:
@@ -339,12 +304,8 @@ def ema_checkpoints(ckpts: DataFrame, decay: float) -> DataFrame:
     last = ckpts.groupBy("tensor").agg(F.max("seq").alias("_last"))
     age = F.pow(F.lit(decay), F.col("_last") - F.col("seq"))
     weight = F.when(F.col("seq") == 0, age).otherwise(age * (1.0 - decay))
-    # The weight joins whole rows, before they are taken apart.
-    weighted = ckpts.join(small_side(last), "tensor").withColumn("_w", weight)
-    cells = _long(weighted, "_w").groupBy("tensor", "row_id", "pos").agg(
-        F.sum(F.col("v").cast("double") * F.col("_w")).alias("v")
-    )
-    return _rows(cells)
+    weighted = ckpts.join(small_side(last), "tensor").select("tensor", "row_id", weight.alias("_w"), "values")
+    return vector_sums(weighted, ["tensor", "row_id"]).select("tensor", "row_id", "values")
 
 
 def stored(values: Column, scheme: Column) -> Column:

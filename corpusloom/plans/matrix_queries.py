@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import coarsen, lr_mul, prune_levels
+from ..functions.columns import lr_mul
+from ..functions.vectors import coarsen, prune_levels
 from ..operators.matrices import (
     POLICIES,
     abs_max,
@@ -13,7 +14,7 @@ from ..operators.matrices import (
     clip_search,
     dequantise,
     ema_checkpoints,
-    matrix_quantile,
+    matrix_quantiles as tensor_quantiles,
     mean_checkpoints,
     prune,
     quant_error,
@@ -132,13 +133,9 @@ def step_rounding(spark, sf):
 def matrix_quantiles(spark, sf):
     mats = weights(spark, sf)
     top = abs_max(mats, "matrix")
-    return (
-        matrix_quantile(mats, 0.03)
-        .withColumnRenamed("quantile", "q03")
-        .join(matrix_quantile(mats, 0.999).select("tensor", F.col("quantile").alias("q999")), "tensor")
-        .join(top, "tensor")
-        .select("tensor", "n", r("q03", 9).alias("q03"), r("q999", 9).alias("q999"), r("abs_max", 9).alias("abs_max"))
-    )
+    both = tensor_quantiles(mats, [0.03, 0.999]).join(top, "tensor")
+    q03, q999 = (r(F.col("quantiles")[i], 9) for i in (0, 1))
+    return both.select("tensor", "n", q03.alias("q03"), q999.alias("q999"), r("abs_max", 9).alias("abs_max"))
 
 
 def named_tensors(spark, sf) -> DataFrame:

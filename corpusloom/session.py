@@ -82,15 +82,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows of a few numbers each: tens of megabytes at most.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A join side that is broadcast if it proves small, so the other side stays where
-    it is; beyond ``limit`` rows the join is left to Spark. Computed once."""
-    kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side written as a table, so Spark knows its size in bytes and decides by
+    it whether to send it to all tasks. Computed once."""
+    path = scratch_path(df.sparkSession, "side")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:

@@ -2,12 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.columns import coarsen, fp16, prune_levels, row_quantile
+from corpusloom.functions.columns import fp16
+from corpusloom.functions.vectors import coarsen, prune_levels, row_quantiles
 from corpusloom.operators.matrices import (
     clip_search,
     dequantise,
     ema_checkpoints,
     matrix_quantile,
+    matrix_quantiles,
     mean_checkpoints,
     prune,
     quant_error,
@@ -129,7 +131,7 @@ def test_quantiles(mats, q):
     for t in "abc":
         flat = np.abs(np.concatenate([v for (k, _), v in ROWS.items() if k == t]).astype(np.float64))
         assert abs(got[t] - np.quantile(flat, q)) < 1e-12
-    rows = {(r["tensor"], r["row_id"]): r["x"] for r in mats.select("tensor", "row_id", row_quantile(F.col("values"), q).alias("x")).collect()}
+    rows = {(r["tensor"], r["row_id"]): r["x"] for r in mats.select("tensor", "row_id", row_quantiles(F.col("values"), [q])[0].alias("x")).collect()}
     for k, v in ROWS.items():
         assert abs(rows[k] - np.quantile(np.abs(v).astype(np.float64), q)) < 1e-12
 
@@ -219,3 +221,38 @@ def test_averages(spark):
     ema = {(r["tensor"], r["row_id"]): r["values"] for r in ema_checkpoints(df, 0.9).collect()}
     np.testing.assert_allclose([ema["t", 0], ema["t", 1]], state, atol=1e-12)
     assert ema["once", 0] == [1.0]
+
+
+def test_quantiles_of_double_values_and_ties(spark):
+    values = {"x": np.round(RNG.normal(0, 1, 400), 2), "y": RNG.normal(0, 1e-300, 33), "z": np.zeros(5)}
+    rows = [(t, i, [float(v) for v in part]) for t, all_ in values.items() for i, part in enumerate(np.array_split(all_, 4))]
+    df = spark.createDataFrame(rows, "tensor STRING, row_id INT, values ARRAY<DOUBLE>").repartition(3)
+    qs = [0.0, 0.03, 0.5, 0.999, 1.0]
+    got = {r["tensor"]: r for r in matrix_quantiles(df, qs).collect()}
+    for tensor, v in values.items():
+        assert got[tensor]["n"] == len(v)
+        np.testing.assert_allclose(got[tensor]["quantiles"], np.quantile(np.abs(v), qs), rtol=1e-12)
+
+
+def test_quantiles_shuffle_no_values(mats):
+    plan = matrix_quantiles(mats, [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert not any("values#" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_vectors_are_added_across_batches_and_tasks(spark):
+    rows = [(t, i % 3, s, [float(s + i + j) for j in range(4)]) for t in ("a", "b") for i in range(3) for s in range(40)]
+    df = spark.createDataFrame(rows, "tensor STRING, row_id INT, step INT, values ARRAY<DOUBLE>").repartition(7)
+    got = {(r["tensor"], r["row_id"]): r["values"] for r in mean_checkpoints(df).collect()}
+    assert got == {(t, i): [19.5 + i + j for j in range(4)] for t in ("a", "b") for i in range(3)}
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([("a", 0, 0, [1.0]), ("a", 0, 1, [1.0, 2.0])], "tensor STRING, row_id INT, step INT, values ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="values"):
+        mean_checkpoints(df).collect()
+
+
+def test_null_weights_are_refused(spark):
+    df = spark.createDataFrame([("a", 0, [1.0, None])], "tensor STRING, row_id INT, values ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="a weight is null"):
+        matrix_quantile(df, 0.5).collect()
