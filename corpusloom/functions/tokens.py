@@ -101,6 +101,22 @@ def count_tokens(
     return run
 
 
+def pair_counts(ids: pa.Array, vocab_size: int, first: bool) -> pa.RecordBatch:
+    """(prev, token, n) over all sequences of a batch; with ``first`` the first token of
+    each counts too, with no prev."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    tokens = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1] + 1
+    before[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = 0
+    keys, counts = _sparse_counts(before * vocab_size + tokens)
+    prev, token = np.divmod(keys, vocab_size)
+    kept = slice(None) if first else prev > 0
+    prev, token, counts = prev[kept], token[kept], counts[kept]
+    columns = [pa.array((prev - 1).astype(np.int32), mask=prev == 0), pa.array(token.astype(np.int32)), pa.array(counts)]
+    return pa.RecordBatch.from_arrays(columns, names=["prev", "token", "n"])
+
+
 def _codes(keys: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     codes = np.zeros(len(keys), np.int64)
     for i in range(keys.type.num_fields):

@@ -35,15 +35,19 @@ def check_val_docs(docs: DataFrame, num_val_docs: int) -> DataFrame:
 def fingerprint(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
     """Order-sensitive corpus digest: row hashes, bucket hashes, then one root.
 
-    A bucket is ``rows_per_bucket`` consecutive ordinals and two levels of it keep
-    every concatenated list short. Not comparable with a whole-file SHA-256,
+    A bucket is ``rows_per_bucket`` consecutive ordinals. Levels of buckets follow each
+    other (three at least) until one bucket is left, so no list is longer than a bucket,
+    whatever the number of documents. Not comparable with a whole-file SHA-256,
     which cannot be computed in parallel.
     """
     rows = docs.select(F.col("doc_ordinal").alias("k"), F.sha2(F.col("text"), 256).alias("h"), F.lit(1).alias("n"))
-    for _ in range(2):
+    last = docs.agg(F.max("doc_ordinal")).first()[0] or 0
+    levels = 3
+    while last // rows_per_bucket**levels:
+        levels += 1
+    for _ in range(levels):
         rows = _level(rows, F.expr(f"k div {rows_per_bucket}"))
-    # Third level: one row per rows_per_bucket**2 documents is left.
-    return _level(rows, F.lit(0)).select(F.col("n").cast("bigint").alias("n_docs"), F.col("h").alias("root"))
+    return rows.select(F.col("n").cast("bigint").alias("n_docs"), F.col("h").alias("root"))
 
 
 def _level(rows: DataFrame, key: Column) -> DataFrame:

@@ -15,8 +15,9 @@ from ..schema import SPACE_MARK
 from ..session import durable
 from .corpus import clean_training_text
 
-# Symbols are written <OPEN>symbol<CLOSE>, so a merge is one literal replacement.
-OPEN, CLOSE = "\x02", "\x03"
+# Symbols are written <OPEN>symbol<CLOSE>, so a merge is one literal replacement. The two
+# are noncharacters, which Unicode keeps out of texts; a text that holds one is refused.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 COVERAGE = 0.999
 MAX_MERGES_PER_PASS = 64
 PASSES_PER_CHECKPOINT = 10
@@ -50,7 +51,8 @@ def char_counts(counted_words: DataFrame) -> DataFrame:
 def alphabet(counted_words: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(char, n): most frequent characters until ``coverage`` of the text is reached.
     The window sees distinct characters only, at most the size of Unicode."""
-    chars = char_counts(counted_words).filter(~F.col("char").isin(OPEN, CLOSE, "\x01"))
+    reserved = F.raise_error(F.lit("a text holds a noncharacter that delimits symbols")).cast("string")
+    chars = char_counts(counted_words).select(F.when(F.col("char").isin(OPEN, CLOSE), reserved).otherwise(F.col("char")).alias("char"), "n")
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "char")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))

@@ -143,6 +143,28 @@ def score(windows_with_tokens: DataFrame, make_predict: PredictFactory, *, keep:
     return windows_with_tokens.select(*keep, "x", "y").mapInArrow(run, schema)
 
 
+def scored_totals(scored: DataFrame, every: int) -> DataFrame:
+    """(part, n, sum_token, loss_sum) of the positions windows score, by stretches of
+    ``every`` positions; summed inside the Arrow batch, without a row per position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            y, nll = batch.column("y"), batch.column("nll")
+            offsets = y.offsets.to_numpy().astype(np.int64)
+            widths = np.diff(offsets)
+            at = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], widths)
+            start, scores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("win_start", "score_from"))
+            counts = at >= np.repeat(scores, widths)
+            parts, index = np.unique((np.repeat(start, widths) + at + 1)[counts] // every, return_inverse=True)
+            tokens, losses = (c.flatten().to_numpy(zero_copy_only=False)[counts].astype(np.float64) for c in (y, nll))
+            sums = [np.bincount(index, w, len(parts)) for w in (None, tokens, losses)]
+            columns = [pa.array(parts), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "sum_token", "loss_sum"])
+
+    parts = scored.select("win_start", "score_from", "y", "nll").mapInArrow(run, "part bigint, n bigint, sum_token bigint, loss_sum double")
+    return parts.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("n", "sum_token", "loss_sum")])
+
+
 def scored_positions(scored: DataFrame) -> DataFrame:
     """(pos, token, nll) of the positions a window may score; pos is the target's."""
     n = F.size("nll") - F.col("score_from").cast("int")

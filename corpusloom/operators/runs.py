@@ -170,10 +170,30 @@ def seed_rows(runs: DataFrame) -> DataFrame:
     )
 
 
+def _cells(line: str) -> Column:
+    """Cells of a pipe-table line; an escaped pipe is part of its cell."""
+    return F.transform(F.split(F.trim(line), r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+
+
+def _is_board_row(cells: Column) -> Column:
+    return (F.size(cells) == 8) & F.get(cells, F.lit(2)).rlike(r"^[\d.]+$")
+
+
+def check_board(lines: DataFrame) -> DataFrame:
+    """(rule, detail) of every pipe-table line that ``parse_board`` cannot read: lines
+    before the separator head a table and are not meant to be read; a header is told by
+    its first score cell not holding a digit."""
+    cells = _cells("line")
+    header = ~F.coalesce(F.get(cells, F.lit(2)), F.lit("")).rlike(r"\d") & (F.size(cells) == 8)
+    separator = F.trim("line").rlike(r"^\|[\s:|-]+$")
+    rejected = F.trim("line").startswith("|") & ~_is_board_row(cells) & ~header & ~separator
+    return lines.filter(rejected).select(F.lit("unreadable_row").alias("rule"), F.trim("line").alias("detail"))
+
+
 def parse_board(lines: DataFrame) -> DataFrame:
-    """Pipe-table lines (line) -> (run, score, author, summary, date, info)."""
-    cells = F.transform(F.split(F.trim("line"), r"\|"), lambda c: F.trim(c))
-    rows = lines.select(cells.alias("c")).filter((F.size("c") == 8) & F.get("c", F.lit(2)).rlike(r"^[\d.]+$"))
+    """Pipe-table lines (line) -> (run, score, author, summary, date, info). Lines that
+    look like a row and are none are listed by ``check_board``."""
+    rows = lines.select(_cells("line").alias("c")).filter(_is_board_row(F.col("c")))
     names = ["run", "score", "author", "summary", "date", "info"]
     out = rows.select(*[F.get("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     link = F.regexp_extract("info", r"\((\S+)\)", 1)
@@ -250,12 +270,13 @@ def last_and_best(points: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
 
 
 def training_volume(runs: DataFrame) -> DataFrame:
-    """Tokens seen, tokens per second and mean step time from (steps, batch_tokens, train_time_ms)."""
+    """Tokens seen, tokens per second (null for no time) and mean step time from
+    (steps, batch_tokens, train_time_ms)."""
     tokens = F.col("steps") * F.col("batch_tokens")
     return runs.withColumns(
         {
             "tokens_seen": tokens,
-            "tokens_per_s": tokens / (F.col("train_time_ms") / 1000.0),
+            "tokens_per_s": tokens / (F.nullif(F.col("train_time_ms").cast("double"), F.lit(0.0)) / 1000.0),
             "ms_per_step": F.col("train_time_ms") / F.col("steps"),
         }
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import idiv
-from ..session import default_parallelism
+from ..session import default_parallelism, small_side
 from .order import SEGMENT, Running, range_segments, running_offsets, scan
 
 POLICIES = ("all_starts", "full_only", "full_first", "jump", "exact_once")
@@ -352,7 +352,7 @@ def length_buckets(spans: DataFrame, chunk: int, batch: int, order_col: str = "d
     # One row per distinct chunk count, at most the longest document / chunk.
     bases = running_offsets(classes, "_n", "num_chunks", ordinal="_c", offset="_before")
     return (
-        ranked.join(F.broadcast(bases.select("num_chunks", "_before")), "num_chunks")
+        ranked.join(small_side(bases.select("num_chunks", "_before")), "num_chunks")
         .withColumn("rank", F.col("_before") + F.col("_in_class"))
         .withColumn("batch_id", F.expr(f"rank div {batch}"))
         .drop("_one", "_in_class", "_o", "_before")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.columns import idiv
-from ..functions.tokens import positions_of
-from ..schema import SHARD_SIZE
+from ..functions.tokens import pair_counts, positions_of
+from ..schema import MAX_VOCAB_SIZE, SHARD_SIZE
 from ..session import durable
 from .corpus import with_split
 from .order import Running, range_segments, running_offsets, scan
@@ -201,6 +201,18 @@ def check_spans(spans: DataFrame) -> DataFrame:
     )
 
 
+def stream_pair_counts(stream: DataFrame) -> DataFrame:
+    """(prev, token, n) of neighbours in a stream whose blocks carry a halo of one token,
+    counted inside the Arrow batch."""
+
+    def run(batches):
+        for batch in filter(len, batches):
+            yield pair_counts(batch.column(0), MAX_VOCAB_SIZE, False)
+
+    counted = stream.select("tokens").mapInArrow(run, "prev INT, token INT, n BIGINT")
+    return counted.groupBy("prev", "token").agg(F.sum("n").alias("n"))
+
+
 def with_previous(stream: DataFrame, *, by: str = "split") -> DataFrame:
     """Long form (by, pos, prev, token): the shift by one between input and target.
 

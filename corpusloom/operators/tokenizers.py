@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bigram_buckets, tokenizer_kind
-from ..functions.tokens import byte_ids, count_tokens, framed, packed
+from ..functions.tokens import byte_ids, count_tokens, framed, packed, pair_counts
 from ..schema import (
     BOS_ID,
     BYTE_OFFSET,
@@ -178,6 +178,22 @@ def token_counts(
     return partial.groupBy(*by, "token_id").agg(F.sum("n").alias("n"))
 
 
+def token_pair_counts(docs: DataFrame, tokenizer: str = "pure_byte_260", *, text_col: str = "text") -> DataFrame:
+    """(prev, token, n) within whole texts, BOS included, which has no prev. Pairs are
+    counted inside the Arrow batch, so at most vocabulary squared rows leave it."""
+    factory = tokenizer_factory(tokenizer)
+    get = once_per_worker(factory)
+    vocab_size = factory().vocab_size
+
+    def run(batches):
+        for batch in filter(len, batches):
+            tok = get()
+            yield pair_counts(framed(tok.ids(batch.column(0)), tok.bos_id, None), vocab_size, True)
+
+    counted = docs.select(text_col).mapInArrow(run, "prev INT, token INT, n BIGINT")
+    return counted.groupBy("prev", "token").agg(F.sum("n").alias("n"))
+
+
 def byte_vocab(spark: SparkSession) -> DataFrame:
     """Vocabulary rows of the byte tokenizer."""
     ids = spark.range(BYTE_VOCAB_SIZE).select(F.col("id").cast("int").alias("token_id"))

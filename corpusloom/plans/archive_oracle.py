@@ -31,14 +31,14 @@ c AS (SELECT *, atan(t / sqrt(df)) AS th FROM b),
 p AS (SELECT *, {TAIL} AS p FROM c)
 SELECT user_id, n, round(t, 6) AS t, round(p, 6) AS p, p < 0.01 AS accepted FROM p""",
     "ttest_small": f"""WITH a AS (SELECT user_id, event_type, dayofyear(ts)::INTEGER AS day, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY ALL),
-b AS (SELECT *, n - 1 AS df, (20 - m) / (sd / sqrt(n)) AS t FROM a WHERE n BETWEEN 2 AND 4 AND sd > 0),
-c AS (SELECT *, atan(t / sqrt(df)) AS th FROM b)
-SELECT user_id, event_type, day, round(t, 6) AS t, round({TAIL}, 6) AS p FROM c""",
+b AS (SELECT *, n - 1 AS df, CASE WHEN sd > 0 THEN (20 - m) / (sd / sqrt(n)) END AS t FROM a),
+c AS (SELECT *, CASE WHEN df BETWEEN 1 AND 3 THEN atan(t / sqrt(df)) END AS th FROM b)
+SELECT user_id, event_type, day, round(t, 6) AS t, CASE WHEN th IS NOT NULL THEN round({TAIL}, 6) END AS p FROM c""",
     "last_and_best": """SELECT user_id AS run, max(event_id) AS last_step, max_by(value, event_id) AS last_bpb, min(value) AS best_bpb,
   (SELECT min(event_id) FROM events f WHERE f.user_id = e.user_id AND f.value = min(e.value)) AS best_step FROM events e GROUP BY user_id""",
     "training_volume": f"""WITH a AS (SELECT user_id, count(*) AS steps, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0::DOUBLE AS ms FROM events GROUP BY user_id)
-SELECT user_id, (steps * {BATCH_TOKENS})::BIGINT AS tokens_seen, round(steps * {BATCH_TOKENS} / (ms / 1000), 6) AS tokens_per_s, round(ms / steps, 3) AS ms_per_step
-FROM a WHERE ms > 0""",
+SELECT user_id, (steps * {BATCH_TOKENS})::BIGINT AS tokens_seen, CASE WHEN ms > 0 THEN round(steps * {BATCH_TOKENS} / (ms / 1000), 6) END AS tokens_per_s, round(ms / steps, 3) AS ms_per_step
+FROM a""",
     "step_rate": f"""WITH a AS (SELECT user_id AS run, event_id AS step, epoch_us(ts) // 1000 AS ms FROM events),
 b AS (SELECT *, step - lag(step) OVER w AS ds, ms - lag(ms) OVER w AS dm FROM a WINDOW w AS (PARTITION BY run ORDER BY step))
 SELECT run, step, round(dm / ds, 6) AS ms_per_step, CASE WHEN dm > 0 THEN round(ds * {BATCH_TOKENS} / (dm / 1000.0::DOUBLE), 6) END AS tokens_per_s FROM b""",
@@ -81,14 +81,14 @@ SELECT event_id::VARCHAR AS run_dir, 'main' AS track, 'run ' || event_id AS name
   CASE WHEN k = 'click' THEN 70.5::DOUBLE END AS eval_s, CASE WHEN k = 'purchase' THEN 2::BIGINT END AS n_seeds FROM a""",
     "seed_rows": """SELECT event_id::VARCHAR AS run_dir, 1337::BIGINT AS seed, round(value, 6) AS val_bpb, event_id AS steps, NULL::DOUBLE AS ms_per_step FROM events WHERE event_type = 'purchase'
 UNION ALL SELECT event_id::VARCHAR, 42, round(value + 1, 6), NULL, 57.5 FROM events WHERE event_type = 'purchase'""",
-    "record_union": """SELECT event_id, value AS val_bpb, NULL::BIGINT AS steps FROM events WHERE event_type = 'view'
-UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type = 'click'""",
+    "record_union": """SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS val_bpb, CASE WHEN event_type = 'click' THEN user_id END AS steps,
+  CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE event_type END AS status FROM events""",
     "board_lines": """SELECT 'Run ' || user_id AS run, min(value) AS score, 'someone' AS author, 'short text' AS summary, max(ts)::DATE AS date, user_id::VARCHAR AS run_dir
 FROM events GROUP BY user_id""",
     "archive_checks": f"""WITH a AS (SELECT {FOLDER} AS run_dir, list(DISTINCT event_type) AS ks FROM events GROUP BY 1)
 SELECT run_dir, m AS missing FROM a CROSS JOIN (VALUES ('click', 'readme'), ('view', 'metadata'), ('purchase', 'log'), ('signup', 'script')) q(k, m)
 WHERE NOT list_contains(ks, k)""",
-    "board_gaps": f"""WITH b AS (SELECT DISTINCT {FOLDER} AS f FROM events WHERE event_type = 'click'), r AS (SELECT DISTINCT {FOLDER} AS f FROM events WHERE event_type = 'view')
+    "board_gaps": f"""WITH b AS (SELECT DISTINCT {FOLDER} AS f FROM events WHERE event_type IN ('click', 'purchase')), r AS (SELECT DISTINCT {FOLDER} AS f FROM events WHERE event_type NOT IN ('click', 'purchase') OR event_type IS NULL)
 SELECT f AS run_dir, 'not_on_board' AS gap FROM r WHERE f NOT IN (SELECT f FROM b)
 UNION ALL SELECT f, 'not_archived' FROM b WHERE f NOT IN (SELECT f FROM r)""",
     "catalog_checks": f"""WITH {CATALOG}
@@ -107,7 +107,7 @@ SELECT CASE WHEN k % 4 <> 0 THEN 'tok ' || k WHEN b THEN 'pure_byte_260' ELSE 's
   CASE WHEN b THEN 'byte' ELSE 'sentencepiece_bpe' END AS kind,
   CASE WHEN k % 6 = 5 OR b THEN 'byte260' ELSE 'sp' || size END AS dataset_suffix, size AS vocab_size, (size + 127) // 128 * 640 AS recommended_bigram_vocab_size,
   CASE WHEN b THEN NULL ELSE 1000 END::BIGINT AS tokenizer_train_docs, CASE WHEN NOT b AND k % 5 = 0 THEN '/m/' || k END AS reuse_model_path FROM c""",
-    "variant_names": f"""SELECT p_partkey, '{DATASET_PREFIX}' || CASE WHEN p_partkey % 3 = 0 THEN 'byte260' ELSE 'sp' || p_partkey END AS dataset,
-  (p_partkey + 127) // 128 * 640 AS buckets FROM part WHERE p_partkey % 3 < 2""",
+    "variant_names": f"""SELECT p_partkey, p_partkey % 3 < 2 AS is_variant, CASE p_partkey % 3 WHEN 0 THEN '{DATASET_PREFIX}byte260' WHEN 1 THEN '{DATASET_PREFIX}sp' || p_partkey END AS dataset,
+  (CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 7 ELSE (p_partkey + 127) // 128 * 640 END)::BIGINT AS buckets FROM part""",
     "duplicate_names": "SELECT 'duplicate_name' AS rule, p_name AS detail FROM part GROUP BY p_name HAVING count(*) > 1",
 }

@@ -14,7 +14,7 @@ from ..operators.metrics import (
     bits_per_byte,
     running_bpb,
     score,
-    scored_positions,
+    scored_totals,
     text_losses,
     unigram_nll,
     with_bpb,
@@ -38,11 +38,12 @@ from ..operators.sequences import (
     window_tokens,
     windows,
 )
-from ..operators.shards import doc_spans, shard_pieces, split_stats, with_previous
+from ..operators.shards import doc_spans, shard_pieces, split_stats, stream_pair_counts
 from ..operators.tokenizers import (
     byte_vocab,
     piece_stats,
     token_counts,
+    token_pair_counts,
     tokenize,
     vocab_stats,
     vocabulary_table,
@@ -135,10 +136,8 @@ def byte_bigram_bpb(spark, sf):
     vocab = vocab_stats(byte_vocab(spark))
     is_letter = (F.col("token_id") >= 97 + BYTE_OFFSET) & (F.col("token_id") <= 122 + BYTE_OFFSET)
     stats = vocab.withColumn("leading_space", is_letter)
-    pairs = with_previous(stream(spark, sf, halo=1)).filter(F.col("prev").isNotNull())
     # Equal (prev, token) pairs are counted before anything is looked up.
-    counted = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
-    out = with_target_bytes(counted, stats)
+    out = with_target_bytes(stream_pair_counts(stream(spark, sf, halo=1)), stats)
     return out.groupBy("token").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target_bytes")).alias("n_bytes")
     )
@@ -193,8 +192,12 @@ def vocab_piece_stats(spark, sf):
 
 
 def _hash_histogram(spark, sf, hashed):
-    rows = tokenize(docs(spark, sf)).select(F.explode(hashed(F.col("tokens"), HASH_BUCKETS)).alias("bucket"))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # A hash depends on its pair alone: pairs are counted first, then hashed.
+    pairs = token_pair_counts(docs(spark, sf))
+    first = F.col("prev").isNull()
+    pair = F.when(first, F.array("token")).otherwise(F.array("prev", "token"))
+    rows = pairs.select(F.element_at(hashed(pair, HASH_BUCKETS), -1).alias("bucket"), "n")
+    return rows.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bigram_hash_xor(spark, sf):
@@ -339,9 +342,7 @@ def score_windows(spark, sf):
 
     wins = windows(spark, total_tokens(spark, sf) - 1, SEQ, SEQ // 2, "exact_once")
     scored = score(window_tokens(one_stream(spark, sf, halo=SEQ), wins, BLOCK), make_predict)
-    return scored_positions(scored).groupBy(F.expr(f"pos div {SHARD}").alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("token").alias("sum_token"), r(F.sum("nll"), 3).alias("loss_sum")
-    )
+    return scored_totals(scored, SHARD).select("part", "n", "sum_token", r("loss_sum", 3).alias("loss_sum"))
 
 
 def corpus_fingerprint(spark, sf):

@@ -110,9 +110,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     settings that are still unset, and the package on every Python worker."""
     for key in ("spark.sql.session.timeZone", "spark.sql.python.filterPushdown.enabled"):
         spark.conf.set(key, ENGINE_CONF[key])
-    # Replace Spark's own default only; a cluster's choice stays.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+    # What somebody has set, stays.
+    chosen = spark.conf.getAll
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        if key not in chosen:
             spark.conf.set(key, ENGINE_CONF[key])
     ship_package(spark)
     return spark

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_VAL_DOCS, SIDECAR, as_struct
-
-
-# About 100 bytes each; 100 TB in 128 MB splits is below one million.
-MAX_BROADCAST_SPLITS = 2_000_000
+from ..session import small_side
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +31,8 @@ def _numbered(spark: SparkSession, path: str, by_file: bool) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # One row per file split. The driver already holds the list of splits, so up to
-    # MAX_BROADCAST_SPLITS of them are broadcast and the text stays where it is.
+    # One row per file split, as a table of known size: while that is below Spark's
+    # limit for broadcasts, the text stays where it is.
     earlier = Window.partitionBy(F.col("_file") if by_file else F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     bases = splits.select(
         F.col("_file").alias("_f"),
@@ -43,9 +40,7 @@ def _numbered(spark: SparkSession, path: str, by_file: bool) -> DataFrame:
         "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
     )
-    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
-        bases = F.broadcast(bases)
-    joined = lines.join(bases, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")), "left")
+    joined = lines.join(small_side(bases), (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")), "left")
     lost = F.raise_error(F.lit("input splits changed between passes")).cast("bigint")
     ordinal = F.when(F.col("_base").isNull(), lost).otherwise(F.col("_base") + F.col("_id") - F.col("_first"))
     return joined.select(F.col("_file").alias("file"), ordinal.alias("number"), "line")

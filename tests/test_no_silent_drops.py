@@ -12,6 +12,10 @@ from corpusloom.session import qualified
 from corpusloom.sources.archive import read_log_lines
 from corpusloom.sources.manifest import write_manifest
 from corpusloom.sources.token_shards import _filesystem
+from corpusloom.operators import merges, runs
+from corpusloom.operators.tokenizers import token_pair_counts
+from corpusloom.schema import BOS_ID, BYTE_OFFSET
+
 
 
 def test_bare_path_is_on_the_default_file_system(spark, tmp_path):
@@ -75,3 +79,33 @@ def test_manifest_keeps_trainer_overrides(spark, tmp_path):
     write_manifest(some, spark.createDataFrame([("t", "/r/m")], "name string, path string"), path, root="/r", num_docs=1, num_val_docs=0, shard_size=1, docs_jsonl="/r/docs.jsonl", specs=specs)
     body = json.loads(spark.read.text(path, wholetext=True).first()[0])
     assert [(s["name"], s.get("trainer_overrides")) for s in body["tokenizer_specs"]] == [("a", None), ("b", {"x": "1"})]
+
+
+def test_board_rows_that_cannot_be_read_are_listed(spark):
+    lines = [
+        "| Run | Score | Author | Summary | Date | Info |", "|---|---|---|---|---|---|",
+        "| a | 1.25 | x | with \\| inside | 2026-03-20 | [info](records/main/a/README.md) |",
+        "| b | 1.30 | x | with | inside | 2026-03-20 | [info](records/main/b/README.md) |",
+        "| c | n/a 3 | x | y | 2026-03-20 | [info](records/main/c/README.md) |", "text",
+    ]
+    df = spark.createDataFrame([(line,) for line in lines], "line STRING")
+    got = runs.parse_board(df).collect()
+    assert [(r["run"], r["summary"], r["run_dir"]) for r in got] == [("a", "with | inside", "a")]
+    assert sorted(r["detail"][2] for r in runs.check_board(df).collect()) == ["b", "c"]
+
+
+def test_symbol_marks_in_a_text_fail(spark):
+    df = spark.createDataFrame([(f"a{merges.OPEN}b", 2)], "word STRING, n BIGINT")
+    with pytest.raises(Exception, match="noncharacter"):
+        merges.alphabet(df).collect()
+
+
+def test_pairs_are_those_of_a_plain_loop(spark):
+    texts = ["", "ab", "aab", "ba"]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(2)
+    want = {}
+    for text in texts:
+        ids = [BOS_ID, *(b + BYTE_OFFSET for b in text.encode())]
+        for pair in zip([None, *ids], ids):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r["prev"], r["token"]): r["n"] for r in token_pair_counts(df).collect()} == want
