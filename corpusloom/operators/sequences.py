@@ -7,6 +7,9 @@ tokens; ``total`` is ``n - 1``, the number of (input, target) pairs.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,6 +228,46 @@ def windows(spark: SparkSession, total: int, seq_len: int, stride: int, policy:
     )
 
 
+def _scored(k: int, total: int, seq_len: int, stride: int, policy: str) -> tuple[int, int]:
+    """Positions window ``k`` of a policy scores, as ``windows`` lays it out."""
+    start = k * stride if policy != "jump" or k == 0 else seq_len - stride + (k - 1) * stride
+    end = min(start + seq_len, total)
+    if k == 0 and policy != "full_only":
+        return start, end
+    if policy == "exact_once":
+        return min((k - 1) * stride + seq_len, total), end
+    return max(end - stride, start), end
+
+
+def policy_segments(spark: SparkSession, total: int, seq_len: int, stride: int, policies: Sequence[str]) -> DataFrame:
+    """``scored_segments`` of whole policies in closed form: (policy, seg_from, seg_to, times).
+
+    All full windows but the first score ``stride`` positions each, one after the other:
+    a single stretch. With it only the first window and the clipped ones at the end
+    (``seq_len / stride`` at most) are laid over each other, whatever the length.
+    """
+    rows = []
+    for policy in policies:
+        n = window_count(total, seq_len, stride, policy)
+        if not n:
+            continue
+        lead = seq_len - stride if policy == "jump" else stride
+        full = max(min((total - seq_len - lead) // stride + 1, n - 1), 0)  # full windows after the first
+        scored = [_scored(k, total, seq_len, stride, policy) for k in (0, *range(full + 1, n))]
+        if full:
+            scored.append((_scored(1, total, seq_len, stride, policy)[0], _scored(full, total, seq_len, stride, policy)[1]))
+        change = Counter({0: 0, total: 0})
+        for begin, end in scored:
+            change[begin] += 1
+            change[end] -= 1
+        marks = [p for p in sorted(change) if change[p] or p in (0, total)]
+        times = 0
+        for begin, end in zip(marks, marks[1:]):
+            times += change[begin]
+            rows.append((policy, begin, end, times))
+    return spark.createDataFrame(rows, "policy string, seg_from bigint, seg_to bigint, times bigint")
+
+
 def scored_segments(wins: DataFrame, by: list[str]) -> DataFrame:
     """Stretches of equal multiplicity: (by, seg_from, seg_to, times), zero included.
 

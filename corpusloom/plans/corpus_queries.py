@@ -31,7 +31,7 @@ from ..operators.sequences import (
     gather_spans,
     length_buckets,
     micro_chunks,
-    scored_segments,
+    policy_segments,
     segment_slices,
     single_spans,
     train_spans,
@@ -268,16 +268,8 @@ def _windows(policy):
     return run
 
 
-def _all_windows(spark, total, stride=STRIDE):
-    out = None
-    for policy in POLICIES:
-        one = windows(spark, total, SEQ, stride, policy).withColumn("policy", F.lit(policy))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("total", F.lit(total).cast("bigint"))
-
-
 def window_coverage(spark, sf):
-    segments = scored_segments(_all_windows(spark, total_tokens(spark, sf) - 1), ["policy"])
+    segments = policy_segments(spark, total_tokens(spark, sf) - 1, SEQ, STRIDE, POLICIES)
     return coverage(segments, ["policy"])
 
 
@@ -285,7 +277,7 @@ def sliding_bpb(spark, sf):
     """Loss and bytes under every window policy, from multiplicities: the windows
     overlap up to SEQ/STRIDE times, their tokens are read once."""
     nll = unigram_table(spark, sf)
-    segments = scored_segments(_all_windows(spark, total_tokens(spark, sf) - 1), ["policy"])
+    segments = policy_segments(spark, total_tokens(spark, sf) - 1, SEQ, STRIDE, POLICIES)
     slices = segment_slices(segments, one_stream(spark, sf), BLOCK, ["policy"])
     sums = slices.select(
         "policy",

@@ -16,6 +16,7 @@ from corpusloom.operators.sequences import (
     gather_spans,
     length_buckets,
     micro_chunks,
+    policy_segments,
     scored_segments,
     single_spans,
     train_spans,
@@ -61,6 +62,8 @@ def test_coverage(spark, total, stride):
     wins = frames[0]
     for f in frames[1:]:
         wins = wins.unionByName(f)
+    policies = [p for p in POLICIES if not (p == "jump" and stride == 64)]
+    closed = {tuple(r) for r in coverage(policy_segments(spark, total, 64, stride, policies), ["policy"]).collect()}
     got = {}
     for r in coverage(scored_segments(wins.withColumn("total", F.lit(total)), ["policy"]), ["policy"]).collect():
         got.setdefault(r["policy"], {})[r["times"]] = r["positions"]
@@ -72,6 +75,18 @@ def test_coverage(spark, total, stride):
         want[0] = total - len(times)
         assert got[policy] == {k: v for k, v in want.items() if v}, policy
     assert got["exact_once"] == {1: total}
+    assert closed == {(p, t, n) for p, counts in got.items() for t, n in counts.items()}
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+@pytest.mark.parametrize("total, seq, stride", [(5, 8, 3), (8, 8, 3), (16, 8, 3), (61, 8, 3), (64, 8, 1), (63, 8, 7)])
+def test_closed_form_stretches_match_all_windows(spark, policy, total, seq, stride):
+    times = Counter()
+    for s, n, f in brute_windows(total, seq, stride, policy):
+        times.update(range(s + f, s + n))
+    rows = policy_segments(spark, total, seq, stride, [policy]).collect()
+    got = [r["times"] for r in sorted(rows) for _ in range(r["seg_from"], r["seg_to"])]
+    assert got == [times[p] for p in range(total)] if window_count(total, seq, stride, policy) else not got
 
 
 @pytest.mark.parametrize("coarse", [1, 3, 1 << 16])
