@@ -235,10 +235,10 @@ def seed_rows(spark, sf):
 def record_union(spark, sf):
     """Differently shaped records under each other; absent columns are null."""
     e = events(spark, sf)
-    kind = F.coalesce("event_type", F.lit(""))
+    kind = F.col("event_type")
     a = e.filter(kind == "view").select("event_id", F.col("value").alias("val_bpb"))
     b = e.filter(kind == "click").select("event_id", F.col("user_id").alias("steps"))
-    c = e.filter(~kind.isin("view", "click")).select("event_id", F.col("event_type").alias("status"), F.col("value").alias("val_bpb"))
+    c = e.filter(kind.isNull() | ~kind.isin("view", "click")).select("event_id", F.col("event_type").alias("status"), F.col("value").alias("val_bpb"))
     return R.union_records(a, b, c).select("event_id", "val_bpb", "steps", "status")
 
 
