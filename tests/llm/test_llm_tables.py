@@ -271,3 +271,56 @@ def test_bit_slice_edges(spark):
     large = spark.createDataFrame([(1, [1e30])], "vec_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         bit_slices.quantised(large, "vec_id", "embedding").collect()
+
+
+# --- near copies of the pipeline
+
+
+def jaccard_loop(docs):
+    def runs(text):
+        found = (text or "").lower().split()
+        size = min(5, len(found))
+        return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} if found else set()
+
+    sets = [runs(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return sorted(min(d for (d, _), x in zip(docs, label) if x == g) for g in set(label))
+
+
+@pytest.mark.parametrize("slice_rows, set_slice", [(20_000, 2_000_000), (2, 300)])
+def test_stage_removes_what_jaccard_links(spark, monkeypatch, slice_rows, set_slice):
+    import corpus_pipeline
+    from corpusloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SLICE", slice_rows)
+    monkeypatch.setattr(near_copies, "SET_SLICE", set_slice)
+    rng = random.Random(9)
+    docs = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(500)}"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(len(docs) + i, t) for i, t in enumerate(["", " ", "one two", "One  two", "one two three"])]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = jaccard_loop(docs)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, table, "").collect())
+    assert got == want
+    assert simhash.keep_one(table).count() > len(want)
+
+
+def test_near_copy_edges(edges):
+    from corpusloom.llm import near_copies
+
+    kept = near_copies.keep_one(edges)
+    assert kept.columns == edges.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6]
+    assert near_copies.keep_one(edges.limit(0)).count() == 0
