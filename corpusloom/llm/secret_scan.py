@@ -2,9 +2,11 @@
 
 A text is scanned for the base patterns. Then every encoded layer in it is unwrapped
 and scanned again, and so on until no new layer appears: URL escapes and Unicode
-escapes of a line (decoded together with what stands around them), and base64 runs,
-whose bytes may in turn be compressed (zlib or gzip). Every find is mapped back to the
-text: through escapes character by character, through base64 to the whole run.
+escapes of a line (decoded together with what stands around them), and base64 runs, on one line or
+wrapped over several, whose bytes may in turn be compressed (zlib or gzip, all members).
+Of escapes, what is no character stays escaped; compressed bytes written with escapes
+are unpacked too. Every find is mapped back to the text: through escapes character by
+character, through base64 and compressed bytes to the whole run.
 
 A run counts as base64 if its bytes, decompressed where they begin like compressed
 data, are UTF-8 without control characters. A layer equal to one that it lies in is
@@ -23,6 +25,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +41,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the whole match of
 
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A base64 run that goes on over line ends, real or written as \n; lines may be indented or quoted.
+WRAP = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t>]*")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{WRAP.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+# Bytes as they are written with escapes of one sort, plain characters between them.
+# First, how such bytes begin if they are compressed.
+BYTES = tuple(
+    (re.compile(start), re.compile(unit))
+    for start, unit in (
+        (r"%1[fF]%8[bB]|(?:%[0-7]8|[xhXH8(])%[0-9A-Fa-f]{2}|%[0-7]8[!-$&-~]", r"%(?P<byte>[0-9A-Fa-f]{2})|(?P<plain>[!-$&-~])"),
+        (r"\\(?:x|u00)1[fF]\\(?:x|u00)8[bB]|(?:\\(?:x|u00)[0-7]8|\\b|[xhXH8(])\\(?:x|u00)[0-9A-Fa-f]{2}|\\(?:x|u00)[0-7]8|x\^", r"\\(?:x|u00)(?P<byte>[0-9A-Fa-f]{2})|\\(?P<short>[nrtbfva0'\"/\\])|(?P<plain>[ -\[\]-~])"),
+    )
+)
+SHORT = dict(zip("nrtbfva0", b"\n\r\t\b\f\v\a\0"))
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 MAX_LAYER = 16 << 20
+PIECE = 1 << 16  # compressed bytes read at once
 MASK = "[REDACTED]"
 
 Span = tuple[int, int, str]
@@ -68,20 +85,24 @@ def _unescape(line: str) -> tuple[str, list[tuple[int, int]]] | None:
             raw, step = bytes.fromhex(code.replace("\\x", "")), 4
         else:
             raw, step = bytes.fromhex(code.replace("\\u", "")), 6
-        # Each unit of the escape may be a byte or half a character; characters that
-        # cannot be decoded stay escaped.
-        try:
-            decoded = raw.decode("utf-16-be" if step == 6 else "utf-8")
-        except UnicodeDecodeError:
+        # Each unit of the escape may be a byte or half a character; units that are
+        # no part of a character stay escaped.
+        decoded = raw.decode("utf-16-be", "surrogatepass") if step == 6 else raw.decode("utf-8", "surrogateescape")
+        if all("\ud800" <= char <= "\udfff" for char in decoded):
             continue
         parts.append(line[last : m.start()])
         at += [(i, i + 1) for i in range(last, m.start())]
         place = m.start()
         for char in decoded:
+            if "\ud800" <= char <= "\udfff":
+                parts.append(line[place : place + step])
+                at += [(i, i + 1) for i in range(place, place + step)]
+                place += step
+                continue
             units = len(char.encode("utf-16-be")) // 2 if step == 6 else len(char.encode())
+            parts.append(char)
             at.append((place, place + units * step))
             place += units * step
-        parts.append(decoded)
         last, changed = m.end(), True
     if not changed:
         return None
@@ -90,37 +111,143 @@ def _unescape(line: str) -> tuple[str, list[tuple[int, int]]] | None:
     return "".join(parts), at
 
 
-def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
-    """Bytes of a zlib or gzip stream, and whether it holds more than is read."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0):
-        return None
-    stream = zlib.decompressobj(47)
+def _packed(raw: bytes) -> bool:
+    """Whether ``raw`` begins like a gzip or zlib stream."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0
+
+
+def _inflate(raw: bytes) -> tuple[list[bytes], bool, int] | None:
+    """Bytes of each zlib or gzip stream in a row, whether they hold more than is read,
+    and how many bytes of ``raw`` they take."""
+    members, room, at, cut = [], MAX_LAYER, 0, False
+    while _packed(raw[at : at + 3]):
+        stream, out, to = zlib.decompressobj(47), [], at
+        try:
+            while not stream.eof and not cut and to < len(raw):
+                part = raw[to : to + PIECE]
+                to += len(part)
+                out.append(stream.decompress(part, room) if room else b"")
+                room -= len(out[-1])
+                cut = not room and not stream.eof
+        except zlib.error:
+            break
+        members.append(b"".join(out))
+        at = to - len(stream.unused_data) if stream.eof else len(raw)
+        if cut:
+            break
+        pad = at
+        while pad < len(raw) and not raw[pad]:  # gzip files may be padded
+            pad += 1
+        if _packed(raw[pad : pad + 3]):
+            at, cut = pad, not room
+            if cut:
+                break
+    return (members, cut, at) if any(members) else None
+
+
+def _texts(raw: bytes) -> list[tuple[str, bool]]:
+    """Texts inside ``raw``, through compressed layers, and whether they hold more than is read."""
+    out, work, seen = [], [(raw, False)], set()
+    while work:
+        raw, more = work.pop()
+        inner = _inflate(raw)
+        if inner is not None and (digest := hashlib.sha256(raw).digest()) not in seen:
+            seen.add(digest)
+            members, cut, _ = inner
+            whole = b"".join(members)
+            # Members that are no text together may be texts or compressed each.
+            each = len(members) > 1 and not _packed(whole) and _text(whole, more | cut) is None
+            work += [(m, more | cut) for m in (members if each else [whole])]
+            continue
+        text = _text(raw, more)
+        if text:
+            out.append((text, more))
+    return out
+
+
+def _text(raw: bytes, more: bool) -> str | None:
     try:
-        out = stream.decompress(raw, MAX_LAYER)
-    except zlib.error:
+        text = raw.decode("utf-8", "ignore" if more else "strict")
+    except UnicodeDecodeError:
         return None
-    return (out, not stream.eof and bool(stream.unconsumed_tail)) if out else None
+    return None if CONTROL.search(text) else text
 
 
-def _open(run: str) -> tuple[str, bool] | None:
-    """Text inside a base64 run, through compressed layers."""
+def _open(run: str) -> list[tuple[str, bool]]:
+    """Texts inside a base64 run, through compressed layers."""
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(body) % 4 == 1:
-        return None
+        return []
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return None
-    more, seen = False, set()
-    while (inner := _inflate(raw)) is not None and (digest := hashlib.sha256(raw).digest()) not in seen:
-        seen.add(digest)
-        raw, cut = inner
-        more |= cut
-    try:
-        text = raw.decode("utf-8", "ignore" if more else "strict")
-    except UnicodeDecodeError:
-        return None
-    return None if CONTROL.search(text) else (text, more)
+        return []
+    return _texts(raw)
+
+
+def _matter(texts: list[tuple[str, bool]]) -> list:
+    """What a scan of ``texts`` begins with: base spans and layers."""
+    return [(base_spans(t), [(m.start(), m.end()) for p in (BASE64, ESCAPE) for m in p.finditer(t)]) for t, _ in texts]
+
+
+def _joined(content: str) -> Iterator[tuple[int, int, tuple[str, bool]]]:
+    """(start, end, text inside) of base64 runs wrapped over lines: lines of one length and
+    a shorter one at the end, the first may have begun within its line; else all lines."""
+    for m in WRAPPED.finditer(content):
+        lines, at = [], m.start()
+        for gap in WRAP.finditer(content, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        size = [e - s for s, e in lines]
+        any_opened, first = False, 0
+        while first < len(lines) - 1:
+            last = first + 1
+            while last + 1 < len(lines) and size[last + 1] == size[first + 1]:
+                last += 1
+            for a in (first, first + 1) if size[first] != size[first + 1] else (first,):
+                before: list[tuple[str, bool]] = []
+                for b in sorted({last - 1 if size[last] < size[first] else last, last, min(last + 1, len(lines) - 1)}):
+                    if b <= a:
+                        before = _open(content[slice(*lines[a])]) if b == a else before
+                        continue
+                    start, end = lines[a][0], lines[b][1]
+                    texts = _open("".join(content[s:e] for s, e in lines[a : b + 1]))
+                    # A word of the next line that adds nothing is no part of the run.
+                    if before and re.match(r"[ \t]*\w", content[end : end + 80]) and (texts == before or _matter(texts) == _matter(before)):
+                        continue
+                    before = texts or before
+                    any_opened |= bool(texts)
+                    for text in texts:
+                        yield start, end, text
+            first = last
+        if not any_opened:
+            for text in _open("".join(content[s:e] for s, e in lines)):
+                yield lines[0][0], lines[-1][1], text
+
+
+def _escaped(line: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of compressed streams written with escapes."""
+    for start, unit in BYTES:
+        last = 0
+        for m in start.finditer(line):
+            if m.start() < last:
+                continue
+            raw, places, length = bytearray(), [], 0
+            for limit in (512, len(line)):  # most that begin like a stream end soon
+                for u in unit.finditer(line, places[-1][1] if places else m.start()):
+                    if u.start() != (places[-1][1] if places else m.start()) or len(raw) >= limit:
+                        break
+                    said = u[u.lastgroup]
+                    raw.append(int(said, 16) if u.lastgroup == "byte" else SHORT.get(said, ord(said)) if u.lastgroup == "short" else ord(said))
+                    places.append(u.span())
+                inner = _inflate(bytes(raw))
+                if not inner:
+                    break
+                length = inner[2]
+            if inner:
+                last = places[length - 1][1]
+                yield m.start(), last, bytes(raw[:length])
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
@@ -139,20 +266,24 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
 
         if at is not None:
             found.update((*place(s, e), k) for s, e, k in base_spans(content))
+        packed = []
         if "%" in content or "\\" in content:
             offset = 0
             for line in content.split("\n"):
                 inner = _unescape(line) if "%" in line or "\\" in line else None
                 if inner and inner[0] not in seen:
                     work.append((inner[0], at if isinstance(at, tuple) else [place(offset + s, offset + e) for s, e in inner[1]], seen))
+                if "%" in line or "\\" in line:
+                    packed += [(offset + s, offset + e, t) for s, e, raw in _escaped(line) for t in _texts(raw)]
                 offset += len(line) + 1
-        for m in BASE64.finditer(content):
-            inner = _open(m[0])
-            if inner and inner[0] and inner[0] not in seen:
-                where = place(m.start(), m.end())
-                if inner[1]:
+        runs = [(*m.span(), m[0]) for m in BASE64.finditer(content)]
+        opened = [(s, e, t) for s, e, run in runs for t in _open(run)]
+        for start, end, (inner, more) in [*opened, *_joined(content), *packed]:
+            if inner not in seen:
+                where = place(start, end)
+                if more:
                     found.add((*where, "large"))
-                work.append((inner[0], where, seen))
+                work.append((inner, where, seen))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -188,6 +188,59 @@ def test_layers_are_unwrapped_and_mapped(layer):
     assert secret_scan.masked(text) == "ñ before [REDACTED] after\nand [REDACTED] again"
 
 
+def wrapped(raw, width, line="\n"):
+    run = base64.b64encode(raw).decode()
+    return line.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+FILLER = " ".join(hashlib.sha1(str(i).encode()).hexdigest()[:7] for i in range(40))
+WHOLE = f"{FILLER}\n{SECRET}\n{FILLER}"
+
+
+@pytest.mark.parametrize("layer", [
+    *(wrapped(raw, width, line) for raw in (WHOLE.encode(), gzip.compress(WHOLE.encode()), zlib.compress(WHOLE.encode())) for width, line in ((64, "\n"), (76, "\r\n"), (64, "\n  "), (76, r"\n"))),
+    wrapped((FILLER[:40] + " " + SECRET + " " + FILLER[:30]).encode(), 64),
+])
+def test_wrapped_base64_is_opened_whole(layer):
+    for text in (f"ñ before {layer}", f"ñ\n{layer}\nand more words here", f"key: {layer[:20]}{layer[20:]}\n\nmore"):
+        spans = secret_scan.all_spans(text, secret_scan.base_spans(text))
+        assert layer in [text[s:e].rstrip() for s, e, k in spans if k == "assign"]
+        assert secret_scan.masked(text) == text.replace(layer, "[REDACTED]")
+
+
+@pytest.mark.parametrize("raw", [
+    gzip.compress(b"first member") + gzip.compress(SECRET.encode()),
+    gzip.compress(SECRET[:14].encode()) + b"\0" * 5 + gzip.compress(SECRET[14:].encode()),
+    zlib.compress(gzip.compress(b"a, ") + gzip.compress(b"b, ") + gzip.compress(SECRET.encode())),
+    gzip.compress(bytes(range(256))) + gzip.compress(SECRET.encode()),
+    gzip.compress(gzip.compress(b"one")) + gzip.compress(gzip.compress(SECRET.encode())),
+])
+def test_all_members_are_read(raw):
+    layer = base64.b64encode(raw).decode()
+    text = f"ñ before {layer} after"
+    assert secret_scan.masked(text) == "ñ before [REDACTED] after"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a %E9%70%61%73%73%77%6F%72%64%3Dabcdefghijkl b", "a %E9[REDACTED] b"),
+    (r"a \xff\x70\x61\x73\x73word=abcdefghijkl\xfe b", r"a \xff[REDACTED]\xfe b"),
+    (r"a \ud800\u0070\u0061ssword=abcdefghijkl b", r"a \ud800[REDACTED] b"),
+])
+def test_valid_part_of_an_escape_run(text, want):
+    assert secret_scan.masked(text) == want
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, lambda b: zlib.compress(b, 1), lambda b: zlib.compress(b, 9), lambda b: gzip.compress(b"x") + gzip.compress(b)])
+def test_escaped_compressed_bytes(pack):
+    import json
+    from urllib.parse import quote
+
+    raw = pack(SECRET.encode())
+    for layer in ("".join(f"%{b:02x}" for b in raw), quote(raw), "".join(f"\\x{b:02x}" for b in raw), repr(raw)[2:-1], json.dumps(raw.decode("latin-1"))[1:-1]):
+        got = secret_scan.masked(f"ñ 'before' {layer} after")
+        assert got.startswith("ñ 'before' [REDACTED]") and got.endswith(" after") and len(got) < 60, layer
+
+
 def test_base_spans():
     for text in ["token=short secret = 'longenough12'", "AKIA1 AKIAABCDEFGHIJ1234 AKIAAKIAAKIAAKIA", "deadbeefdeadbeef beef", "PassWord:\"aaaaaaaaaaaa\"", "ſecret=aaaaaaaaaaaa", "toKen=aaaaaaaaaaaa", "token=abc password=abcdefghijklm", "token:token=abcdefghijklmn"]:
         assert sorted(secret_scan.base_spans(text)) == sorted(base_loop(text)), text
