@@ -6,10 +6,13 @@ length of text, the punctuation and the share of text in links are added up over
 its blocks; the paths, in page order, are smoothed with their neighbours; length and
 punctuation per block are fused by their product; paths at or above the page's
 threshold (a share of the mean, so that one long paragraph does not raise it past the
-rest) are content. The root of the heaviest content path, and those of content paths
-around it, bound the article: its blocks are the result, short ones such as headings
-included, those in boilerplate tags (menus, headers and footers of the page, sidebars,
-forms, scripts, ...) and in elements named like adverts, notices or comments left out.
+rest) are content. The nearest article or main element around the heaviest content path
+bounds the article; without one, its root and those of content paths and of headings with
+short unlinked blocks around it. All blocks in it are the result, but for those in
+boilerplate tags (menus, headers and footers of the page, sidebars, forms, scripts, ...)
+and in elements named like adverts, notices or comments. A name does not count on html,
+body, main and article, on what holds one of these or a first heading, and on an element
+with most of the page's unlinked text.
 
 Nulls: a null html is an empty page, whose text is empty; page_id and url may be
 null. Repeated pages are extracted each; an empty table gives an empty result; other
@@ -46,10 +49,15 @@ BESIDE = re.compile(
     r"|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|social|share|sharing|related|recommend\w*|widget|login|signup|search|pagination|copyright|skip|complementary|contentinfo)(?=$|[\s_\d-])",
     re.IGNORECASE,
 )
+READERS = re.compile(r"(?:^|\s)(?:comments?|respond|disqus|replies)(?=$|\s)", re.IGNORECASE)
+WHOLE = frozenset("html body main article".split())
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*(?:>|\Z)""", re.DOTALL)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 SHARE = 0.35
+# A named element with so many times the unlinked text of all the rest is no part beside it.
+MOST = 10
+SHORT = 100  # characters of a byline, a date, an item
 
 
 @dataclass
@@ -58,6 +66,7 @@ class Element:
     path: str
     beside: bool
     link: bool
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -67,12 +76,15 @@ class Text:
     beside: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    named: tuple[int, ...] = ()
 
 
 def blocks(page: str) -> list[Text]:
     """Blocks of text in page order, white space inside turned into single spaces."""
     root = Element("", "", False, False)
     stack, out = [root], []
+    readers: list[bool] = []  # of the named elements: whether the readers' part
+    holds: set[int] = set()  # those that hold main or article
     now: Text | None = None
 
     def say(raw: str) -> None:
@@ -84,7 +96,7 @@ def blocks(page: str) -> list[Text]:
             if not text.strip():
                 return
             own = next(e for e in reversed(stack) if e.tag not in INLINE)
-            now = Text(own.path, own.tag, stack[-1].beside)
+            now = Text(own.path, own.tag, stack[-1].beside, named=stack[-1].named)
         now.parts.append(text)
         if stack[-1].link:
             now.linked += len(text)
@@ -137,14 +149,59 @@ def blocks(page: str) -> list[Text]:
         names = {k.lower(): v.strip("\"'") for k, v in NAMES.findall(m[3])} if m[3] else {}
         inside = any(e.tag in ("article", "main") for e in stack)
         up = stack[-1]
-        beside = up.beside or tag in BOILERPLATE or tag == "header" and not inside or any(BESIDE.search(v) for v in names.values())
+        beside = up.beside or tag in BOILERPLATE or tag == "header" and not inside
+        named = up.named
+        if tag in WHOLE:
+            holds.update(named)
+        elif any(BESIDE.search(v) for v in names.values()):
+            named = (*named, len(readers))
+            readers.append(any(READERS.search(v) for v in names.values()))
         label = tag + (f".{names['class'].split()[0]}" if names.get("class", "").split() else "")
         path = up.path if tag in INLINE else f"{next(e.path for e in reversed(stack) if e.tag not in INLINE)}/{label}"
-        stack.append(Element(tag, path, beside, up.link or tag == "a"))
+        stack.append(Element(tag, path, beside, up.link or tag == "a", named))
     end()
     for block in out:
         block.parts = [" ".join("".join(block.parts).split())]
-    return [b for b in out if b.parts[0]]
+    out = [b for b in out if b.parts[0]]
+    part = _beside(out, readers, holds)
+    for block in out:
+        block.beside |= not part.isdisjoint(block.named)
+    return out
+
+
+def _beside(found: list[Text], readers: list[bool], holds: set[int]) -> set[int]:
+    """Named elements that are beside the article, by their text and links."""
+    left = set(range(len(readers)))
+    plain, linked = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
+    rest = 0  # unlinked text in no named element that is beside
+    inner: dict[int, list[Text]] = {n: [] for n in left}
+    for block in found:
+        if block.beside:
+            continue
+        text = max(len(block.parts[0]) - block.linked, 0)
+        rest += 0 if block.named else text
+        for n in block.named:
+            plain[n] += text
+            linked[n] += block.linked
+            inner[n].append(block)
+            if block.tag == "h1" and text > block.linked and not readers[n]:
+                holds.add(n)
+    waiting = {id(b): len(b.named) for n in left for b in inner[n]}
+
+    def release(n: int) -> int:
+        left.discard(n)
+        gained = 0
+        for block in inner[n]:
+            waiting[id(block)] -= 1
+            gained += 0 if waiting[id(block)] else max(len(block.parts[0]) - block.linked, 0)
+        return gained
+
+    for n in sorted(holds & left):
+        rest += release(n)
+    for n in sorted(left, key=lambda n: (readers[n], -plain[n], n)):
+        if plain[n] > linked[n] and (not rest if readers[n] else plain[n] >= MOST * rest):
+            rest += release(n)
+    return left
 
 
 def content_root(found: list[Text], share: float = SHARE) -> str | None:
@@ -172,15 +229,26 @@ def content_root(found: list[Text], share: float = SHARE) -> str | None:
     content = {p for p, score in zip(names, fused) if score >= line}
     weight = {p: max(v[0] - v[2], 0.0) * (1 + v[1] / v[3]) for p, v in paths.items()}
     heaviest = max(content or names, key=lambda p: weight[p])
+    steps = heaviest.split("/")
+    for n in range(len(steps), 1, -1):
+        if steps[n - 1].partition(".")[0] in ("article", "main"):
+            return "/".join(steps[:n])
     root = heaviest.rpartition("/")[0] or heaviest
-    # Upwards, as long as all that is new is content, headings or little text.
+    # Upwards, as long as all that is new is content, headings or, around a heading and
+    # below the body, short unlinked text.
     tags = {b.path: b.tag for b in found}
-    while "/" in root.strip("/"):
-        above = root.rpartition("/")[0]
-        new = [p for p in names if (p + "/").startswith(above + "/") and not (p + "/").startswith(root + "/")]
-        if any(p not in content and tags[p] not in HEADING for p in new):
+    level, short, heading = root, False, False
+    while "/" in level.strip("/"):
+        above = level.rpartition("/")[0]
+        new = [p for p in names if (p + "/").startswith(above + "/") and not (p + "/").startswith(level + "/")]
+        heading |= any(tags[p] in HEADING for p in new)
+        odd = [p for p in new if p not in content and tags[p] not in HEADING]
+        inside = above.rpartition("/")[2].partition(".")[0] not in ("html", "body")
+        if any(not inside or paths[p][0] > SHORT * paths[p][3] or 2 * paths[p][2] > paths[p][0] for p in odd):
             break
-        root = above
+        level, short = above, short or bool(odd)
+        if not short or heading:
+            root, short = above, False
     return root
 
 

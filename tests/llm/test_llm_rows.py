@@ -145,6 +145,26 @@ def test_html_edges(page, text):
     assert html_paths.extract(page) == text
 
 
+BODY = "".join(f"<p>Paragraph {w}, of some length, goes on for a while, as paragraphs do, and ends here.</p>" for w in ("one", "two", "three"))
+SAID = re.sub("<p>", "", BODY).replace("</p>", "\n\n").strip()
+ASIDE = '<div class="sidebar"><ul><li><a href="/a">Other things</a></li><li><a href="/b">More</a></li></ul></div>'
+NOTICE = '<div class="cookie-notice"><p>We use cookies, as everybody does, on this page, and you may accept or reject them.</p></div>'
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<html class='has-menu'><body class='page right-sidebar'><h1>Head</h1>{BODY}{ASIDE}</body></html>", f"Head\n\n{SAID}"),
+    (f"<body>{NOTICE}<div class='content has-sidebar'>{BODY}{ASIDE}</div></body>", SAID),
+    (f"<body><div class='wrap no-sidebar'><div class='content has-sidebar'><h1>Head</h1>{BODY}</div>{ASIDE}</div></body>", f"Head\n\n{SAID}"),
+    (f"<body><article class='post no-sidebar'><header class='entry-header'><h1>Head</h1></header>{BODY}{NOTICE}</article></body>", f"Head\n\n{SAID}"),
+    (f"<body><main class='with-comments'>{BODY}<section id='comments'>{BODY * 9}</section></main></body>", SAID),
+    (f"<body><article><h1>Head</h1><p class='by'>By A</p><p class='date'>1 May</p><div class='body'>{BODY}</div><ul><li>Point</li></ul></article></body>", f"Head\n\nBy A\n\n1 May\n\n{SAID}\n\nPoint"),
+    (f"<body><div class='post'><h1>Head</h1><p class='by'>By A</p><p class='date'>1 May</p><div class='body'>{BODY}</div><ul><li>Point</li></ul></div><div>Imprint</div></body>", f"Head\n\nBy A\n\n1 May\n\n{SAID}\n\nPoint"),
+    (f"<body>{NOTICE}<div class='ad'><p>Buy.</p></div><div>{BODY}</div></body>", SAID),
+])
+def test_names_and_short_blocks_do_not_lose_text(page, text):
+    assert html_paths.extract(page) == text
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 
