@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Rows handed back to Spark at once; a long text counts as many rows.
 OUT_ROWS = 512
 OUT_CHARS = 8_000_000
+# Keys that hold more than one row in HOT_KEYS (and HOT_ROWS) are split in joins.
+HOT_KEYS = 10_000
+HOT_ROWS = 256
 
 
 def per_row(df: DataFrame, columns: list, make: Callable[[], Callable[..., tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
@@ -67,3 +70,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def join_side(rows: DataFrame, side: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` left joined with ``side``, which has one row for each ``key`` and, in
+    ``copies``, how many rows hold that key.
+
+    Rows of a hot key are dealt to several copies of its entry. There are fewer than
+    ``HOT_KEYS`` hot keys at any size, so their list is sent to all tasks. ``rows`` must
+    be a table or durable: they are dealt by their place.
+    """
+    total = side.agg(F.sum(copies)).first()[0] or 0
+    limit = max(total // HOT_KEYS, HOT_ROWS)
+    salt, slices = fresh(rows, "_salt", "_slices")
+    counted = side.withColumn(slices, F.ceil(F.col(copies) / limit))
+    hot = counted.filter(F.col(slices) > 1).select(key, slices)
+    one = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(slices), F.lit(1).cast("bigint")))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(salt, one).drop(slices)
+    every = counted.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(slices) - 1))).drop(slices)
+    return dealt.join(every, [key, salt], "left").drop(salt)

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table."""
+"""Registered queries of the training-data operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bit_slices, bpe, html_paths, language_id, mixing, quality_rules, secret_scan, sentence_spans, simhash, toxicity
+from . import (
+    bit_slices, bpe, conversation_repair, html_paths, language_id, lexical_search, mixing,
+    quality_rules, secret_scan, sentence_spans, simhash, superminhash, toxicity,
+)
 from .oracle import ORACLE as ORACLE
 
 TOXIC_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
@@ -82,10 +85,23 @@ def op10_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversations, conversation_repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_byte_bpe, op4_mixing, op5_sentence_spans,
-        op6_toxicity, op7_html_paths, op8_simhash, op9_secret_scan, op10_bit_slices,
+        op6_toxicity, op7_html_paths, op8_simhash, op9_secret_scan, op10_bit_slices, op11_superminhash, op12_lexical_search, op13_conversation_repair,
     )
 }
