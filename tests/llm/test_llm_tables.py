@@ -9,9 +9,10 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bit_slices, bpe, mixing, sentence_spans, simhash
+from corpusloom.llm import bit_slices, bpe, mixing, sentence_spans, simhash, superminhash
 from corpusloom.llm.components import components
 from corpusloom.llm.queries import vocabulary
+from llm_loops import jaccard_loop
 
 
 def rows(df):
@@ -276,30 +277,11 @@ def test_bit_slice_edges(spark):
 # --- near copies of the pipeline
 
 
-def jaccard_loop(docs):
-    def runs(text):
-        found = (text or "").lower().split()
-        size = min(5, len(found))
-        return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} if found else set()
-
-    sets = [runs(t) for _, t in docs]
-    label = list(range(len(docs)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                old, new = label[i], label[j]
-                label = [new if x == old else x for x in label]
-    return sorted(min(d for (d, _), x in zip(docs, label) if x == g) for g in set(label))
-
-
 @pytest.mark.parametrize("slice_rows, set_slice", [(20_000, 2_000_000), (2, 300)])
 def test_stage_removes_what_jaccard_links(spark, monkeypatch, slice_rows, set_slice):
     import corpus_pipeline
-    from corpusloom.llm import near_copies
-
-    monkeypatch.setattr(near_copies, "SLICE", slice_rows)
-    monkeypatch.setattr(near_copies, "SET_SLICE", set_slice)
+    monkeypatch.setattr(superminhash, "SLICE", slice_rows)
+    monkeypatch.setattr(superminhash, "SET_SLICE", set_slice)
     rng = random.Random(9)
     docs = []
     for _ in range(12):
