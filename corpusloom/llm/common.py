@@ -72,20 +72,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_side(rows: DataFrame, side: DataFrame, key: str, copies: str) -> DataFrame:
-    """``rows`` left joined with ``side``, which has one row for each ``key`` and, in
-    ``copies``, how many rows hold that key.
+def deal(rows: DataFrame, side: DataFrame, key: str, copies: str, salt: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``side`` with a column ``salt``, to be joined on ``key`` and ``salt``.
 
-    Rows of a hot key are dealt to several copies of its entry. There are fewer than
-    ``HOT_KEYS`` hot keys at any size, so their list is sent to all tasks. ``rows`` must
-    be a table or durable: they are dealt by their place.
+    ``side`` has one row for each ``key`` and, in ``copies``, how many rows hold that key
+    at most. Rows of a hot key are dealt to several copies of its entry. There are fewer
+    than ``HOT_KEYS`` hot keys at any size, so their list is sent to all tasks. ``rows``
+    must be a table or durable: they are dealt by their place.
     """
     total = side.agg(F.sum(copies)).first()[0] or 0
     limit = max(total // HOT_KEYS, HOT_ROWS)
-    salt, slices = fresh(rows, "_salt", "_slices")
-    counted = side.withColumn(slices, F.ceil(F.col(copies) / limit))
-    hot = counted.filter(F.col(slices) > 1).select(key, slices)
-    one = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(slices), F.lit(1).cast("bigint")))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(salt, one).drop(slices)
-    every = counted.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(slices) - 1))).drop(slices)
+    counted = side.withColumn("_slices", F.ceil(F.col(copies) / limit))
+    hot = counted.filter("_slices > 1").select(F.col(key).alias("_hot"), F.col("_slices").alias("_of"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_of"), F.lit(1).cast("bigint")))).drop("_hot", "_of")
+    every = counted.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("_slices"), F.lit(1)) - 1))).drop("_slices")
+    return dealt, every
+
+
+def join_side(rows: DataFrame, side: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` left joined with ``side`` on ``key``, hot keys dealt out (see :func:`deal`)."""
+    salt = fresh(rows, "_salt")[0]
+    dealt, every = deal(rows, side, key, copies, salt)
     return dealt.join(every, [key, salt], "left").drop(salt)

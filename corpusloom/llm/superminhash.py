@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import fresh, groups, join_side, stored
+from .common import deal, fresh, groups, join_side, stored
 from .components import components, stars
 
 SEED = 42
@@ -235,8 +235,8 @@ def _similar(fps: np.ndarray, sets: list[np.ndarray], low: np.ndarray) -> tuple[
 
 def checked(need: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
     """Links (a, b) that connect all similar texts of a group. ``need`` has key (the
-    group), fp, n, low and the row whose text is read (_id, _key); ``docs`` has the rows'
-    names (_doc, _own) and text."""
+    group), fp, n, low, the row whose text is read (_id, _own) and how many rows (copies)
+    are like it at most; ``docs`` has the rows' names (_doc, _own) and text."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(shingle)
@@ -259,12 +259,10 @@ def checked(need: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
             yield out()
 
     weight = stored(need.groupBy("key").agg(F.ceil(F.sum("n") / SET_SLICE).alias("slices")).filter("slices > 1"), "groups")
-    # Identical rows meet their one entry in several tasks: each input split looks in a copy of its own.
-    salts = 8
-    copies = need.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    source = docs.withColumn("_at", F.spark_partition_id() % salts)
-    same = source["_doc"].eqNullSafe(copies["_id"]) & (source["_own"] == copies["_key"]) & (source["_at"] == copies["_salt"])
-    texts = source.join(copies, same).select("key", "fp", "low", "text").dropDuplicates(["fp"])
+    # Identical rows are all read as the text of their class: they are dealt out.
+    source, entries = deal(docs, need, "_own", "copies", "_salt")
+    same = (source["_own"] == entries["_own"]) & (source["_salt"] == entries["_salt"]) & source["_doc"].eqNullSafe(entries["_id"])
+    texts = source.join(entries, same).select("key", "fp", "low", "text").dropDuplicates(["fp"])
     cut = texts.join(weight, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("bigint")))
     parts = cut.select("key", _parts(F.col("slices")).alias("part"), "fp", "low", "text")
     together = parts.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
@@ -272,11 +270,11 @@ def checked(need: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
 
 
 def roots(classes: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
-    """(node, root) of every class that is linked; ``classes`` has fp, n, keys, low and
-    first (a struct with doc_id and row), ``docs`` has _doc, _own and text."""
+    """(node, root) of every class that is linked; ``classes`` has fp, n, keys, low, copies
+    and first (a struct with doc_id and row), ``docs`` has _doc, _own and text."""
     grouped = components(candidates(classes))
     named = classes.join(grouped, F.col("fp") == F.col("node"))
-    need = stored(named.select(F.col("root").alias("key"), "fp", "n", "low", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_key")), "need")
+    need = stored(named.select(F.col("root").alias("key"), "fp", "n", "low", "copies", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_own")), "need")
     return components(checked(need, docs, shingle=shingle))
 
 
@@ -289,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``: a component
     holds the texts that reach each other over pairs of a similarity of 0.8 or more."""
     row = fresh(docs, "_row")[0]
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias(row))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias(row))
     rows = durable(marked(keyed, "doc_id", row, shingle=shingle))
     classes = rows.filter("n > 0").groupBy("fp").agg(
         first_row(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low")
