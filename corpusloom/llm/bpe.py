@@ -26,7 +26,8 @@ import base64
 import hashlib
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ from .common import OUT_ROWS
 
 BLOCK_CHARS = 16_000_000
 MAX_VOCABULARY = 1_000_000
+ROW_WORDS = 250_000  # words of the texts that travel in one row, about
 WORDS, TEXT = 0, 1
+CHANGED = "words of a block are missing: its input changed between two reads"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,106 +93,148 @@ class Splitter:
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, tuple[int, ...] | None] = {}
+        self.heads: dict[str, int] = {}  # pieces at the start of a text, without a space before them
+        self.tails: dict[str, int] = {}
+        # Words of each piece, one piece after the other.
+        self.sizes, self.flat = array("I"), array("I")
 
-    def _number(self, found: list[str]) -> list[int]:
+    def _learn(self, piece: str) -> int:
         words = self.words
-        return [words.setdefault(w, len(words)) for w in found]
-
-    def codes(self, text: str) -> np.ndarray:
-        pieces = text.split(" ")
-        known = self.pieces
-        # The first piece has no space before it; a piece that is empty or touches other
-        # white space hangs together with its neighbours.
-        if pieces[0] and not pieces[0][-1].isspace():
-            out = self._number(self.find(pieces[0]))
-            for piece in pieces[1:]:
-                codes = known.get(piece, 0)
-                if codes == 0:
-                    bad = not piece or piece[0].isspace() or piece[-1].isspace()
-                    codes = known[piece] = None if bad else tuple(self._number(self.find(" " + piece)))
-                if codes is None:
-                    break
-                out += codes
-            else:
-                return np.array(out, np.uint32)
-        return np.array(self._number(self.find(text)), np.uint32)
-
-
-def _block(splitter: Splitter, buckets: int) -> tuple[bytes, list[tuple[int, int, bytes]], np.ndarray]:
-    """A block's digest, its (bucket, first number, packed words), and the numbers of
-    its words in bucket order."""
+        found = [words.setdefault(w, len(words)) for w in self.find(piece)]
+        self.sizes.append(len(found))
+        self.flat.extend(found)
+        return len(self.sizes) - 1
+
+    def learn(self, text: str) -> tuple[str, list[str]]:
+        """The text's first piece and the others, all known afterwards. A piece that is
+        empty or touches other white space hangs together with its neighbours."""
+        head, *tail = text.split(" ")
+        new = set(tail).difference(self.tails)
+        bad = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if bad or head[-1:].isspace():
+            joined, hang = [[head]], head[-1:].isspace()
+            for piece in tail:
+                if hang or piece in bad:
+                    joined[-1].append(piece)
+                else:
+                    joined.append([piece])
+                hang = piece in bad
+            head, *tail = map(" ".join, joined)
+            new = set(tail).difference(self.tails)
+        if head not in self.heads:
+            self.heads[head] = self._learn(head)
+        # In a fixed order, so that every reading of the same texts numbers words alike.
+        for piece in sorted(new):
+            self.tails[piece] = self._learn(" " + piece)
+        return head, tail
+
+    def pieces(self, text: str) -> np.ndarray:
+        """The text as numbers of pieces."""
+        head, tail = self.learn(text)
+        return np.array([self.heads[head], *map(self.tails.__getitem__, tail)], np.uint32)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words, place of the first, and the words' numbers, of every piece."""
+        size = np.array(self.sizes, np.int64)
+        return size, np.cumsum(size) - size, np.array(self.flat, np.uint32)
+
+
+def _named(splitter: Splitter) -> tuple[bytes, list[bytes]]:
+    """A block's digest and its words."""
     words = [w.encode() for w in splitter.words]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
-    number = np.empty(len(words), np.uint32)
-    number[order] = np.arange(len(words), dtype=np.uint32)
-    digest, parts = hashlib.blake2b(digest_size=16), []
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(words) else []
-    for low, high in zip(edges[:-1], edges[1:]):
-        own = [words[i] for i in order[low:high]]
-        packed = np.array([len(w) for w in own], "<u4").tobytes() + b"".join(own)
-        digest.update(packed)
-        parts.append((int(bucket[order[low]]), int(low), high - low, packed))
-    return digest.digest(), parts, number
-
-
-def _blocks(batches: Iterable[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[Splitter, list, list]]:
-    splitter, keys, codes, chars = Splitter(pattern), [], [], 0
+    sizes = np.fromiter(map(len, words), "<u4", len(words))
+    return hashlib.blake2b(sizes.tobytes() + b"".join(words), digest_size=16).digest(), words
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], pattern: str, block_chars: int, read: Callable) -> Iterator[tuple[Splitter, list, list]]:
+    """Splitter, ids and what ``read`` makes of the texts, block by block."""
+    splitter, keys, found, chars = Splitter(pattern), [], [], 0
     for batch in batches:
         for key, text in zip(*(c.to_pylist() for c in batch.columns)):
             keys.append(key)
-            codes.append(splitter.codes(text) if text else np.empty(0, np.uint32))
+            found.append(read(splitter, text) if text else None)
             chars += len(text or "")
             if chars >= block_chars:
-                yield splitter, keys, codes
-                splitter, keys, codes, chars = Splitter(pattern), [], [], 0
+                yield splitter, keys, found
+                splitter, keys, found, chars = Splitter(pattern), [], [], 0
     if keys:
-        yield splitter, keys, codes
+        yield splitter, keys, found
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with their low bytes first, then the next, and so on: they pack better."""
+    return np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id_col, ids): the token ids of every text, in the order of the text."""
     spark = docs.sparkSession
-    buckets = default_parallelism(spark)
     if len(ranks) > MAX_VOCABULARY:
         raise ValueError("vocabulary too large")
     shared = spark.sparkContext.broadcast(ranks)
     texts = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t"))
-    word_rows = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
-    block_rows = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("first", pa.int64()), ("packed", pa.binary())])
+    # Tasks behind both shuffles grow in number with the input.
+    buckets = max(default_parallelism(spark), texts.rdd.getNumPartitions())
+    word_rows = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("packed", pa.binary())])
+    block_rows = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("keys", pa.list_(pa.int64())), ("packed", pa.binary())])
     result = pa.schema([("k", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def words_of(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for splitter, _, _ in _blocks(batches, pattern, block_chars):
-            name, parts, _ = _block(splitter, buckets)
-            if parts:
-                yield _table([(bucket, name, first, n, pack(packed)) for bucket, first, n, packed in parts], word_rows)
+        for splitter, _, _ in _blocks(batches, pattern, block_chars, Splitter.learn):
+            name, words = _named(splitter)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if words else []
+            rows = []
+            for low, high in zip(edges[:-1], edges[1:]):
+                numbers = order[low:high]
+                own = [words[i] for i in numbers]
+                steps, sizes = np.diff(numbers, prepend=0).astype("<u4"), np.array([len(w) for w in own], "<u4")
+                rows.append((int(bucket[numbers[0]]), name, pack(np.array([len(own)], "<u4").tobytes() + steps.tobytes() + sizes.tobytes() + b"".join(own))))
+            if rows:
+                yield _table(rows, word_rows)
 
     def positions_of(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for splitter, keys, codes in _blocks(batches, pattern, block_chars):
-            name, _, number = _block(splitter, buckets)
-            for low in range(0, len(keys), OUT_ROWS):
-                some = zip(keys[low : low + OUT_ROWS], codes[low : low + OUT_ROWS])
-                yield _table([(name, TEXT, key, pack(number[c].tobytes())) for key, c in some], block_rows)
+        for splitter, keys, found in _blocks(batches, pattern, block_chars, Splitter.pieces):
+            name, table = _named(splitter)[0], splitter.table()
+            rows, some, codes, n = [], [], [], 0
+            for key, pieces in zip(keys, found):
+                some.append(key)
+                codes.append(_gather(pieces, *table) if pieces is not None else table[2][:0])
+                n += len(codes[-1])
+                if n >= ROW_WORDS or len(some) >= OUT_ROWS:
+                    rows.append((name, TEXT, some, pack(_sized(codes))))
+                    some, codes, n = [], [], 0
+                if len(rows) >= 16:
+                    yield _table(rows, block_rows)
+                    rows = []
+            if some:
+                rows.append((name, TEXT, some, pack(_sized(codes))))
+            if rows:
+                yield _table(rows, block_rows)
 
     def encode_bucket(batches):
         table, unpack, pack = shared.value, zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         now, known = None, {}
         for batch in batches:
             rows = []
-            for bucket, name, first, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, name, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     now, known = bucket, {}
                 packed = unpack(packed)
-                ids, at = [], 4 * n
-                for size in np.frombuffer(packed, "<u4", n).tolist():
+                n = int.from_bytes(packed[:4], "little")
+                ids, at = [], 4 + 8 * n
+                for size in np.frombuffer(packed, "<u4", n, 4 + 4 * n).tolist():
                     word = packed[at : at + size]
                     at += size
                     if word not in known:
@@ -197,60 +242,67 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
                     ids.append(known[word])
                 sizes = np.fromiter(map(len, ids), "<u4", n)
                 flat = np.fromiter((i for one in ids for i in one), "<u4", int(sizes.sum()))
-                rows.append((name, WORDS, first, pack(np.array([n], "<u4").tobytes() + sizes.tobytes() + flat.tobytes())))
+                rows.append((name, WORDS, None, pack(packed[: 4 + 4 * n] + sizes.tobytes() + flat.tobytes())))
             if rows:
                 yield _table(rows, block_rows)
 
     def reassemble(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        now, parts, table = None, {}, None
+        now, parts, table = None, [], None
         for batch in batches:
-            rows = []
-            for name, kind, first, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, kind, keys, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != now:
-                    now, parts, table = name, {}, None
-                values = np.frombuffer(unpack(packed), "<u4")
+                    now, parts, table = name, [], None
+                raw = unpack(packed)
                 if kind == WORDS:
-                    parts[first] = values  # the same again if two blocks have the same words
+                    parts.append(np.frombuffer(raw, "<u4"))
                     continue
                 if table is None:
                     table = _word_table(parts)
-                rows.append((first, _ids(values, *table)))
-                if len(rows) >= OUT_ROWS:
-                    yield _table(rows, result)
-                    rows = []
-            if rows:
-                yield _table(rows, result)
-
-    packed_words = texts.mapInArrow(words_of, "bucket int, block binary, first bigint, n bigint, packed binary")
-    by_bucket = packed_words.repartition("bucket").sortWithinPartitions("bucket")
-    coded = by_bucket.mapInArrow(encode_bucket, "block binary, kind int, first bigint, packed binary")
-    positions = texts.mapInArrow(positions_of, "block binary, kind int, first bigint, packed binary")
-    met = coded.unionByName(positions).repartition("block").sortWithinPartitions("block", "kind")
+                words = np.frombuffer(raw, "<u4", len(keys))
+                codes = _from_planes(raw[4 * len(keys) :])
+                ids = _gather(codes, *table)
+                ends = np.concatenate([[0], np.cumsum(table[0][codes])])[np.concatenate([[0], np.cumsum(words, dtype=np.int64)])]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], schema=result)
+
+    packed_words = texts.mapInArrow(words_of, "bucket int, block binary, packed binary")
+    by_bucket = packed_words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    block_schema = "block binary, kind int, keys array<bigint>, packed binary"
+    coded = by_bucket.mapInArrow(encode_bucket, block_schema)
+    positions = texts.mapInArrow(positions_of, block_schema)
+    met = coded.unionByName(positions).repartition(buckets, "block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(reassemble, "k bigint, ids array<int>").select(F.col("k").alias(id_col), "ids")
 
 
-def _word_table(parts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sized(codes: list[np.ndarray]) -> bytes:
+    return np.array([len(c) for c in codes], "<u4").tobytes() + _planes(np.concatenate(codes))
+
+
+def _word_table(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of ids, place of the first id, and the ids of a block's words."""
-    sizes, flat, expected = [], [], 0
-    for first in sorted(parts):
-        values, n = parts[first], int(parts[first][0])
-        if first != expected:
-            raise RuntimeError("words of a block are missing: its input changed between two reads")
-        expected += n
-        sizes.append(values[1 : n + 1])
-        flat.append(values[n + 1 :])
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    size = np.concatenate(sizes).astype(np.int64)
-    return size, np.cumsum(size) - size, np.concatenate(flat).astype(np.int32)
-
-
-def _ids(codes: np.ndarray, size: np.ndarray, first: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    counts = [int(p[0]) for p in parts]
+    numbers = [np.cumsum(p[1 : n + 1], dtype=np.int64) for p, n in zip(parts, counts)]
+    total = max((int(x[-1]) + 1 for x in numbers), default=0)
+    size, first = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+    flat, at = [], 0
+    for part, n, number in zip(parts, counts, numbers):
+        own = part[n + 1 : 2 * n + 1].astype(np.int64)
+        # Two blocks of the same words send the same parts twice.
+        size[number], first[number] = own, at + np.cumsum(own) - own
+        flat.append(part[2 * n + 1 :])
+        at += len(flat[-1])
+    if (size < 0).any():
+        raise RuntimeError(CHANGED)
+    return size, first, np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)
+
+
+def _gather(codes: np.ndarray, size: np.ndarray, first: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """What ``codes`` stand for, one after the other."""
     if not len(codes):
-        return np.empty(0, np.int32)
+        return flat[:0]
     if codes.max() >= len(size):
-        raise RuntimeError("words of a block are missing: its input changed between two reads")
+        raise RuntimeError(CHANGED)
     n = size[codes]
     ends = np.cumsum(n)
     return flat[np.repeat(first[codes] - ends + n, n) + np.arange(ends[-1])]
@@ -272,7 +324,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
         table = shared.value
         for batch in batches:
             lists = batch.column(at)
-            texts = [None if not ids.is_valid else b"".join(map(table.__getitem__, ids.values.to_numpy())) for ids in lists]
+            texts = [None if not ids.is_valid else b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) for ids in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], schema=schema)
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in zip(names, types)) + f", `{out_col}` binary")
