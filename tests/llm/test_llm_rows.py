@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -319,3 +320,61 @@ def test_toxicity_edges(spark, edges):
 
 def test_sha_of_no_span_is_that_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def peak(function):
+    """Seconds, and MB of Python objects at the highest point."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    begin = time.perf_counter()
+    out = function()
+    seconds, (_, most) = time.perf_counter() - begin, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return out, seconds, most / 1e6
+
+
+def test_long_runs_and_lines_take_time_and_memory_in_proportion():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choices(letters, k=1_000_000))
+    for text in (f"data:image/png;base64,{run} end {B64}", f"{run[:500_000]}\n{run[500_000:]}\n{B64}", "\n".join(run[i : i + 76] for i in range(0, 999_932, 76)) + f"\n\n{B64}"):
+        got, seconds, most = peak(lambda: secret_scan.masked(text))
+        assert got.endswith("[REDACTED]") and seconds < 20 and most < 60, (seconds, most)
+    line = "word " * 2_000_000 + f"%41 {URL} " + "word " * 10
+    got, seconds, most = peak(lambda: secret_scan.masked(line))
+    assert got == "word " * 2_000_000 + "%41 [REDACTED] " + "word " * 10
+    assert seconds < 30 and most < 250, (seconds, most)
+
+
+def test_gzip_with_a_long_header_and_bombs():
+    import struct
+
+    body = gzip.compress(SECRET.encode())
+    raw = body[:3] + b"\x04" + body[4:10] + struct.pack("<H", 600) + b"\x01" * 600 + body[10:]
+    assert gzip.decompress(raw) == SECRET.encode()
+    for layer in ("".join(f"%{b:02x}" for b in raw), base64.b64encode(raw).decode()):
+        assert secret_scan.masked(f"a {layer} b") == "a [REDACTED] b"
+    # Far more than a window behind the layer's begin, and behind a line of binary zeros nothing counts.
+    large = gzip.compress(b"some words of a line\n" * 2_000_000 + SECRET.encode())
+    got, seconds, most = peak(lambda: secret_scan.masked("x " + base64.b64encode(large).decode()))
+    assert got == "x [REDACTED]" and seconds < 60 and most < 120, (seconds, most)
+    bomb = base64.b64encode(gzip.compress(b"\0" * 200_000_000 + SECRET.encode(), 9)).decode()
+    got, seconds, most = peak(lambda: secret_scan.masked(bomb))
+    assert got == bomb and most < 60, (seconds, most)
+
+
+@pytest.mark.parametrize("text", ["a%20b%20c", "%E2%82%AC x %41%42", "\\u00e9\\u0041 z", "plain", "%25%32%35", "x%F0%9F%98%80y%41", r"😀 \xc3\xa9"])
+def test_places_of_unescaped_characters(text):
+    inner = secret_scan._unescape(text)
+    if inner is None:
+        assert text == "plain"
+        return
+    said, places = inner
+    for i in range(len(said)):
+        start, end = places(i, i + 1)
+        piece = text[start:end]
+        again = secret_scan._unescape(piece)
+        assert piece == said[i] or again is not None and again[0] == said[i]
+    assert places(0, len(said)) == (0, len(text))
