@@ -1,7 +1,7 @@
 """Vocabulary learning: word, character and pair counts, and merge selection.
 
-The corpus is read once, to count distinct words. Every later pass works on the
-word table, which is durable between passes. Ids and counts follow the usual
+The corpus is read once, to count distinct words. Merges then change only the words that
+an index names, and pair counts by what these words gain and lose. Ids and counts follow the usual
 byte-pair scheme; the result is not bit-equal to any C++ trainer.
 """
 
@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import normalise_nfkc
 from ..schema import SPACE_MARK
-from ..session import durable
+from ..session import default_parallelism, durable, scratch_path
 from .corpus import clean_training_text
 
 # Symbols are written <OPEN>symbol<CLOSE>, so a merge is one literal replacement. The two
 # are noncharacters, which Unicode keeps out of texts; a text that holds one is refused.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 COVERAGE = 0.999
+# A bound on what a pass brings to the driver; fewer or more give the same merges.
 MAX_MERGES_PER_PASS = 64
-PASSES_PER_CHECKPOINT = 10
+FOLDERS = 32  # of the pair index
+PASSES_PER_CHECK = 6
+SPARSE = 16
+REBUILD = 4
+FIXED = r"^<(0x[0-9A-F]{2}|unk)>$"
 
 
 def words(text: Column, split_digits: bool = True) -> Column:
@@ -95,8 +100,7 @@ def pair_counts(spelled: DataFrame) -> DataFrame:
     )
     counted = s.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
     # The patterns look at distinct pairs only, behind the aggregation.
-    fixed = r"^<(0x[0-9A-F]{2}|unk)>$"
-    return counted.filter(~F.col("left").rlike(fixed) & ~F.col("right").rlike(fixed))
+    return counted.filter(~F.col("left").rlike(FIXED) & ~F.col("right").rlike(FIXED))
 
 
 def _batch(top: list, room: int, complete: bool) -> list:
@@ -126,6 +130,103 @@ def _batch(top: list, room: int, complete: bool) -> list:
     return top[: max(length, 1)]
 
 
+def _pairs(col: str) -> Column:
+    """Adjacent symbol pairs of a word that may merge, as structs (left, right)."""
+    s = _symbols(col)
+    inner = F.greatest(F.size(s) - 1, F.lit(0))
+    both = F.zip_with(F.slice(s, F.lit(1), inner), F.slice(s, F.lit(2), inner), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    return F.filter(both, lambda p: ~(p["left"].rlike(FIXED) | p["right"].rlike(FIXED)))
+
+
+class _Words:
+    """Words, an index from pairs to the words that hold them, and pair counts, kept up
+    to date merge by merge. Counts change by what the touched words lose and gain.
+
+    The first merges touch most words: each rewrites the word table, without a shuffle.
+    Once a pass touches fewer than ``1 / SPARSE`` of the words, the index is written: the
+    words by pair, in folders. From then on a pass opens only the folders of the pairs
+    that it merges. Words that have changed since are kept beside it, the newest form of
+    a word counts. When they make up more than ``1 / REBUILD`` of all words, they go back
+    into the word table.
+    """
+
+    def __init__(self, spelled: DataFrame):
+        self.spark = spelled.sparkSession
+        # A word is named by a digest of its symbols as first spelled: rows need no numbers.
+        self.base = durable(spelled.select(F.md5("symbols").alias("word"), "symbols", "n"))
+        self.counts = durable(pair_counts(self.base))
+        self.total = self.base.count()
+        self.passes: list[DataFrame] = []  # words touched by each pass since, with their new symbols
+        self.index: DataFrame | None = None
+
+    def top(self, limit: int) -> list:
+        """Pairs by falling count, and the folder of each."""
+        rows = self.counts.orderBy(F.desc("n"), "left", "right").limit(limit)
+        return rows.select("left", "right", "n", _folder(F.col("left"), F.col("right")).alias("folder")).collect()
+
+    def _changed(self) -> DataFrame:
+        """Newest form of the words that passes have touched."""
+        all_ = None
+        for i, touched in enumerate(self.passes):
+            own = touched.select("word", F.struct(F.lit(i).alias("pass"), F.col("after").alias("symbols"), "n").alias("s"))
+            all_ = own if all_ is None else all_.unionByName(own)
+        return all_.groupBy("word").agg(F.max("s").alias("s")).select("word", "s.symbols", "s.n")
+
+    def _write_index(self) -> None:
+        path = scratch_path(self.spark, "pairs")
+        rows = self.base.select("word", "symbols", "n", F.explode(F.array_distinct(_pairs("symbols"))).alias("p"))
+        rows = rows.select(_folder(F.col("p.left"), F.col("p.right")).alias("folder"), "p.left", "p.right", "word", "symbols", "n")
+        # A folder with a pair of most words is cut into several tasks, small ones share one.
+        rows.hint("rebalance", F.col("folder")).write.partitionBy("folder").parquet(path)
+        self.index = self.spark.read.schema(rows.schema).parquet(path)
+
+    def merge(self, batch: list) -> None:
+        """Apply ``batch`` (at most ``MAX_MERGES_PER_PASS`` rows) to the words that hold its pairs."""
+        after, holds = F.col("symbols"), F.lit(False)
+        for row in batch:
+            old = F.lit(f"{OPEN}{row['left']}{CLOSE}{OPEN}{row['right']}{CLOSE}")
+            after = F.replace(after, old, F.lit(f"{OPEN}{row['left']}{row['right']}{CLOSE}"))
+            holds = holds | F.contains(F.col("symbols"), old)
+        if self.index is None:
+            both = durable(self.base.withColumn("after", after))
+            touched = both.filter("after <> symbols")
+            self.base = both.select("word", F.col("after").alias("symbols"), "n")
+            self._count(touched)
+            if touched.count() * SPARSE < self.total:
+                self._write_index()
+            return
+        folders = sorted({r["folder"] for r in batch})
+        hit = self.index.filter(F.col("folder").isin(folders) & holds).select("word", "symbols", "n")
+        if self.passes:
+            changed = self._changed()
+            hit = hit.join(changed.select("word"), "word", "left_anti").unionByName(changed.filter(holds))
+        touched = durable(hit.dropDuplicates(["word"]).withColumn("after", after))
+        self._count(touched)
+        self.passes.append(touched)
+        if len(self.passes) >= PASSES_PER_CHECK:
+            self._tidy()
+
+    def _count(self, touched: DataFrame) -> None:
+        gone = touched.select(F.explode(_pairs("symbols")).alias("p"), (-F.col("n")).alias("n"))
+        come = touched.select(F.explode(_pairs("after")).alias("p"), "n")
+        delta = gone.unionByName(come).select("p.left", "p.right", "n")
+        counts = self.counts.unionByName(delta).groupBy("left", "right").agg(F.sum("n").alias("n")).filter("n > 0")
+        self.counts = durable(counts)
+
+    def _tidy(self) -> None:
+        """One table for the passes so far; the index anew if they touched many words."""
+        changed = durable(self._changed())
+        if changed.count() * REBUILD > self.total:
+            self.base = durable(self.base.join(changed.select("word"), "word", "left_anti").unionByName(changed))
+            self.passes, self.index = [], None
+        else:
+            self.passes = [changed.withColumn("after", F.col("symbols"))]
+
+
+def _folder(left: Column, right: Column) -> Column:
+    return F.pmod(F.xxhash64(left, right), F.lit(FOLDERS)).cast("int")
+
+
 def learn_merges(
     docs: DataFrame,
     n_merges: int,
@@ -139,34 +240,23 @@ def learn_merges(
     """(merges, alphabet): merges are (rank, left, right, piece, n), ties by lowest pair.
 
     Only the top pairs of a pass (at most ``MAX_MERGES_PER_PASS`` + 1 rows) reach the
-    driver; words stay distributed.
+    driver; words stay distributed, and a pass works on the words that hold its pairs.
     """
     spark = docs.sparkSession
     counted = durable(word_counts(clean_training_text(docs, max_docs), split_digits, normalise))
     chars = alphabet(counted, coverage)
-    table = durable(spell(counted, chars, byte_fallback))
+    table = _Words(spell(counted, chars, byte_fallback).groupBy("symbols").agg(F.sum("n").alias("n")))
     learned: list[tuple[int, str, str, str, int]] = []
-    passes = 0
     while len(learned) < n_merges:
-        top = pair_counts(table).orderBy(F.desc("n"), "left", "right").limit(MAX_MERGES_PER_PASS + 1).collect()
+        top = table.top(MAX_MERGES_PER_PASS + 1)
         if not top:
             break
         room = min(MAX_MERGES_PER_PASS, n_merges - len(learned))
         batch = _batch(top, room, complete=len(top) <= MAX_MERGES_PER_PASS)
-        symbols = F.col("symbols")
-        for row in batch:
-            piece = row["left"] + row["right"]
-            learned.append((len(learned), row["left"], row["right"], piece, row["n"]))
-            symbols = F.replace(
-                symbols,
-                F.lit(f"{OPEN}{row['left']}{CLOSE}{OPEN}{row['right']}{CLOSE}"),
-                F.lit(f"{OPEN}{piece}{CLOSE}"),
-            )
-        table = table.select(symbols.alias("symbols"), "n")
-        passes += 1
-        if passes % PASSES_PER_CHECKPOINT == 0:
-            table = durable(table)
-    schema = 'rank BIGINT, left STRING, right STRING, piece STRING, n BIGINT'
+        learned += [(len(learned) + i, r["left"], r["right"], r["left"] + r["right"], r["n"]) for i, r in enumerate(batch)]
+        if len(learned) < n_merges:
+            table.merge(batch)
+    schema = "rank BIGINT, left STRING, right STRING, piece STRING, n BIGINT"
     return spark.createDataFrame(learned, schema), chars
 
 

@@ -5,9 +5,10 @@ Two schemes are offered.
 * ``running_offsets``: the order key is an integer ordinal. Rows fall into
   fixed-width ordinal buckets; per-bucket totals are summed hierarchically and
   joined back, so each window sees one bucket only.
-* ``range_segments`` + ``scan``: any order key. Rows are range-partitioned once,
-  the layout is made durable (both passes must see the same cuts, also after an
-  executor is lost), and a scan carries state over segment borders.
+* ``range_segments`` + ``scan``: any order key. Rows are range-partitioned and sorted
+  once, the layout is made durable (all passes must see the same cuts, also after an
+  executor is lost), and each task walks its segment with the state that the segments
+  before it hand over.
 
 A group that holds a third of all rows is split over many buckets or segments in
 both schemes.
@@ -16,16 +17,15 @@ both schemes.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import default_parallelism, durable
+from .segment_scan import SEGMENT, Running, walk
 
 ROWS_PER_BUCKET = 1024
 FAN_OUT = 1024
-SEGMENT = "_seg"
 
 
 def _same_keys(left: str, right: str, keys: Sequence[str], right_prefix: str) -> Column:
@@ -42,7 +42,7 @@ def _found(carry_key: str, value: Column) -> Column:
 
 
 def _exclusive_prefix(totals: DataFrame, sums: Sequence[str], bucket: str, by: Sequence[str]) -> DataFrame:
-    """Exclusive running sums of per-bucket totals, in two levels.
+    """Exclusive running sums of per-bucket totals, in two levels, and the groups' sums.
 
     The top window sees one row per ``FAN_OUT`` buckets, i.e. one row per
     ``ROWS_PER_BUCKET * FAN_OUT`` input ordinals.
@@ -54,6 +54,7 @@ def _exclusive_prefix(totals: DataFrame, sums: Sequence[str], bucket: str, by: S
         *[F.col(k).alias(f"_t_{k}") for k in by],
         F.col("_top").alias("_t_top"),
         *[F.coalesce(F.sum(c).over(over_tops), F.lit(0)).alias(f"_t_{c}") for c in sums],
+        *[F.sum(c).over(Window.partitionBy(*by, F.lit(0))).alias(f"_all_{c}") for c in sums],
     )
     in_top = Window.partitionBy(*by, "_top").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     leaves = leaves.select(
@@ -69,9 +70,16 @@ def _exclusive_prefix(totals: DataFrame, sums: Sequence[str], bucket: str, by: S
         *[F.col(f"l.{k}").alias(f"_b_{k}") for k in by],
         F.col(f"l.{bucket}").alias("_b_bucket"),
         *[(F.col(f"l.{c}") + F.col(f"t._t_{c}")).alias(f"_base_{c}") for c in sums],
+        *[F.col(f"t._all_{c}").alias(f"_all_{c}") for c in sums],
     )
 
 
+def bucket_totals(df: DataFrame, length_col: str, order_col: str, by: Sequence[str] = (), *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rows and summed lengths of every ordinal bucket."""
+    keyed = df.withColumn("_bucket", F.expr(f"`{order_col}` div {rows_per_bucket}"))
+    return keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.sum(length_col).alias("_length"))
+
+
 def running_offsets(
     df: DataFrame,
     length_col: str,
@@ -80,9 +88,12 @@ def running_offsets(
     *,
     ordinal: str = "ordinal",
     offset: str = "offset",
+    total: str | None = None,
+    totals: DataFrame | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Add a dense 0-based ``ordinal`` and the exclusive running sum ``offset``.
+    """Add a dense 0-based ``ordinal``, the exclusive running sum ``offset`` and, if named,
+    the group's sum ``total``. ``totals`` are the :func:`bucket_totals`, if they are at hand.
 
     ``order_col`` is an integer ordinal, unique within ``by`` (gaps are fine).
     Rows are shuffled once, by bucket; the join with the bucket bases reuses
@@ -90,9 +101,8 @@ def running_offsets(
     """
     by = list(by)
     keyed = df.withColumn("_bucket", F.expr(f"`{order_col}` div {rows_per_bucket}"))
-    totals = keyed.groupBy(*by, "_bucket").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(length_col).alias("_length")
-    )
+    if totals is None:
+        totals = bucket_totals(df, length_col, order_col, by, rows_per_bucket=rows_per_bucket)
     bases = _exclusive_prefix(totals, ["_rows", "_length"], "_bucket", by)
     here = Window.partitionBy(*by, "_bucket").orderBy(order_col)
     local = keyed.withColumn("_rank", F.row_number().over(here) - 1).withColumn(
@@ -103,106 +113,29 @@ def running_offsets(
         *[F.col(f"x.{c}") for c in df.columns],
         _found("b._b_bucket", F.col("b._base__rows") + F.col("x._rank")).cast("bigint").alias(ordinal),
         (F.col("b._base__length") + F.col("x._sum")).cast("bigint").alias(offset),
+        *([F.col("b._all__length").cast("bigint").alias(total)] if total else []),
     )
 
 
 def range_segments(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition by ``order`` (end it with a unique column) and fix the cuts.
-
-    The segment number is stored with the row, so later passes agree on it no
-    matter how often a task is retried.
-    """
-    n = partitions or default_parallelism(df.sparkSession)
-    return durable(df.repartitionByRange(n, *order).withColumn(SEGMENT, F.spark_partition_id()))
+    """Range-partition by ``order`` (end it with a unique column), sort, and fix the cuts.
 
-
-@dataclass(frozen=True)
-class Running:
-    """One scanned column.
-
-    ``kind``: ``sum``, ``min``, ``max`` (running aggregate), ``lag`` (previous row),
-    ``first`` (first row of the group), ``total`` or ``least`` (sum or minimum of the
-    whole group). ``inclusive`` counts the current row.
+    Segment numbers are stored with the rows, so later passes agree on them no matter
+    how often a task is retried. There are at least as many segments as input splits.
     """
-
-    kind: str
-    column: str
-    out: str
-    inclusive: bool = True
-
-
-_AGG = {"sum": F.sum, "min": F.min, "max": F.max, "total": F.sum, "least": F.min}
-_WHOLE = ("total", "least")
+    n = partitions or max(default_parallelism(df.sparkSession), df.rdd.getNumPartitions())
+    by = [F.col(f"`{c}`") for c in order]
+    return durable(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(SEGMENT, F.spark_partition_id()))
 
 
 def scan(segments: DataFrame, by: Sequence[str], order: Sequence[str], runs: Sequence[Running]) -> DataFrame:
     """Running values over ``order`` within each ``by`` group of range segments.
 
     ``order`` is ascending; the leading columns of the range layout must be
-    ``by + order`` (or ``order`` alone when ``by`` is monotone in it).
+    ``by + order`` (or ``order`` alone when ``by`` is monotone in it). The rows stay
+    where the range layout has put them: no second shuffle.
     """
-    by, order = list(by), list(order)
-    position = F.struct(*order)
-    summaries = []
-    for i, run in enumerate(runs):
-        if run.kind == "lag":
-            summaries.append(F.max_by(F.struct(run.column), position).alias(f"_s{i}"))
-        elif run.kind == "first":
-            summaries.append(F.min_by(F.struct(run.column), position).alias(f"_s{i}"))
-        else:
-            summaries.append(_AGG[run.kind](run.column).alias(f"_s{i}"))
-    summary = segments.groupBy(SEGMENT, *by).agg(*summaries)
-    group = Window.partitionBy(*by, F.lit(0))
-    across = group.orderBy(SEGMENT)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carries = []
-    for i, run in enumerate(runs):
-        if run.kind == "lag":
-            carry = F.lag(f"_s{i}").over(across)
-        elif run.kind == "first":
-            carry = F.first(f"_s{i}").over(before)
-        elif run.kind in _WHOLE:
-            carry = _AGG[run.kind](f"_s{i}").over(group)
-        else:
-            carry = _AGG[run.kind](f"_s{i}").over(before)
-        carries.append(carry.alias(f"_c{i}"))
-    summary = summary.select(F.col(SEGMENT).alias("_k_seg"), *[F.col(k).alias(f"_k_{k}") for k in by], *carries)
-
-    here = Window.partitionBy(SEGMENT, *by).orderBy(*order)
-    locals_ = []
-    for i, run in enumerate(runs):
-        if run.kind == "lag":
-            local = F.lag(F.struct(run.column)).over(here)
-        elif run.kind == "first":
-            local = F.first(F.struct(run.column)).over(here)
-        elif run.kind in _WHOLE:
-            local = F.lit(None)
-        else:
-            frame = here.rowsBetween(Window.unboundedPreceding, 0 if run.inclusive else -1)
-            local = _AGG[run.kind](run.column).over(frame)
-        locals_.append(local.alias(f"_l{i}"))
-    local = segments.select("*", *locals_)
-
-    outs = []
-    for i, run in enumerate(runs):
-        loc, carry = F.col(f"x._l{i}"), F.col(f"s._c{i}")
-        if run.kind == "lag":
-            value = F.coalesce(loc, carry)[run.column]
-        elif run.kind == "first":
-            value = F.coalesce(carry, loc)[run.column]
-        elif run.kind in _WHOLE:
-            value = carry
-        elif run.kind == "sum":
-            value = F.coalesce(loc, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        elif run.kind == "min":
-            value = F.least(loc, carry)
-        else:
-            value = F.greatest(loc, carry)
-        outs.append(_found("s._k_seg", value).alias(run.out))
-    cond = (F.col(f"x.{SEGMENT}") == F.col("s._k_seg")) & _same_keys("x", "s", by, "_k_")
-    return local.alias("x").join(summary.alias("s"), cond, "left").select(
-        *[F.col(f"x.{c}") for c in segments.columns], *outs
-    )
+    return walk(segments, list(by), list(order), list(runs))
 
 
 def dense_ordinals(df: DataFrame, order: Sequence[str], ordinal: str = "ordinal", partitions: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -11,7 +13,7 @@ from ..functions.tokens import pair_counts, positions_of
 from ..schema import MAX_VOCAB_SIZE, SHARD_SIZE
 from ..session import durable
 from .corpus import with_split
-from .order import Running, range_segments, running_offsets, scan
+from .order import Running, bucket_totals, range_segments, running_offsets, scan
 from .tokenizers import byte_length, tokenize
 
 
@@ -53,7 +55,7 @@ def split_stats(doc_lengths: DataFrame, num_val_docs: int, shard_size: int = SHA
     return sums.select(F.inline(rows))
 
 
-def cut_pieces(placed: DataFrame, size: int, *, by: str | None = "split", halo: int = 0) -> DataFrame:
+def cut_pieces(placed: DataFrame, size: int, *, by: str | None = "split", halo: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """Cut sequences placed at ``offset`` into pieces of ``size``-token cells.
 
     A cell also receives the ``halo`` tokens that follow it. Every piece is sliced
@@ -85,7 +87,7 @@ def cut_pieces(placed: DataFrame, size: int, *, by: str | None = "split", halo:
 
     pieces = F.inline(F.transform(F.sequence(first, last), piece))
     lost = F.raise_error(F.concat(F.lit("document without text: "), F.col("doc_ordinal").cast("string"))).cast("bigint")
-    out = placed.filter(F.coalesce(F.col("n_tokens"), lost) > 0).select(*([by] if by else []), "doc_ordinal", pieces)
+    out = placed.filter(F.coalesce(F.col("n_tokens"), lost) > 0).select(*([by] if by else []), *keep, "doc_ordinal", pieces)
     return out.filter(F.col("n") > 0) if halo else out
 
 
@@ -95,10 +97,10 @@ def _sized(token_docs: DataFrame) -> DataFrame:
     return token_docs.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
-def place(token_docs: DataFrame, num_val_docs: int) -> DataFrame:
-    """Offset of every document in its split's token stream."""
+def place(token_docs: DataFrame, num_val_docs: int, *, total: str | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Offset of every document in its split's token stream; see :func:`running_offsets`."""
     split = with_split(_sized(token_docs), num_val_docs)
-    return running_offsets(split, "n_tokens", "doc_ordinal", ["split"], ordinal="split_ordinal")
+    return running_offsets(split, "n_tokens", "doc_ordinal", ["split"], ordinal="split_ordinal", total=total, totals=totals)
 
 
 def shard_pieces(token_docs: DataFrame, num_val_docs: int, shard_size: int = SHARD_SIZE) -> DataFrame:
@@ -106,39 +108,45 @@ def shard_pieces(token_docs: DataFrame, num_val_docs: int, shard_size: int = SHA
 
     With lengths only this is a plan; with tokens it is what the shard sink takes.
     """
-    return pieces_of(place(token_docs, num_val_docs), token_docs, num_val_docs, shard_size)
-
-
-def pieces_of(placed: DataFrame, lengths: DataFrame, num_val_docs: int, shard_size: int) -> DataFrame:
-    """Shard pieces of placed documents; ``lengths`` gives the size of the last shard."""
-    totals = with_split(_sized(lengths), num_val_docs).groupBy("split").agg(F.sum("n_tokens").alias("_total"))
-    # Two rows at most: the splits.
-    return (
-        cut_pieces(placed, shard_size)
-        .join(F.broadcast(totals), "split")
-        .withColumn("shard_tokens", F.least(F.lit(shard_size), F.col("_total") - F.col("cell") * shard_size).cast("bigint"))
-        .drop("_total")
-        .withColumnsRenamed({"cell": "shard_id", "cell_offset": "shard_offset"})
-    )
+    return pieces_of(place(token_docs, num_val_docs, total="split_tokens"), shard_size)
 
 
-def export_pieces(
+def pieces_of(placed: DataFrame, shard_size: int) -> DataFrame:
+    """Shard pieces of placed documents; ``split_tokens`` gives the size of the last shard."""
+    rest = F.col("split_tokens") - F.col("cell") * shard_size
+    cut = cut_pieces(placed, shard_size, keep=["split_tokens"])
+    sized = cut.withColumn("shard_tokens", F.least(F.lit(shard_size), rest).cast("bigint")).drop("split_tokens")
+    return sized.withColumnsRenamed({"cell": "shard_id", "cell_offset": "shard_offset"})
+
+
+def export_plan(
     docs: DataFrame, num_val_docs: int, shard_size: int = SHARD_SIZE, tokenizer: str = "pure_byte_260"
-) -> DataFrame:
-    """Pieces of whole documents for the shard sink.
+) -> tuple[DataFrame, DataFrame]:
+    """Pieces of whole documents for the shard sink, and (split, docs, tokens).
 
     Byte lengths are known from the text, so text is what travels to its place and
-    tokens are made behind that shuffle. Other tokenizers run once, into a durable
-    table of packed tokens.
+    tokens are made behind that shuffle: one scan for the lengths of ordinal buckets,
+    whose sums are durable, and one for the pieces. Other tokenizers run once, into a
+    durable table of packed tokens.
     """
     if tokenizer == "pure_byte_260":
         sized = docs.select("doc_ordinal", "text", byte_length(F.col("text")).alias("n_tokens"))
-        placed = tokenize(place(sized, num_val_docs), tokenizer, as_bytes=True)
     else:
         made = tokenize(docs.select("doc_ordinal", "text"), tokenizer, as_bytes=True)
         sized = durable(made.withColumn("n_tokens", idiv(F.octet_length("tokens").cast("bigint"), 2)))
-        placed = place(sized, num_val_docs)
-    return pieces_of(placed, sized, num_val_docs, shard_size)
+    totals = durable(bucket_totals(with_split(sized, num_val_docs), "n_tokens", "doc_ordinal", ["split"]))
+    placed = place(sized, num_val_docs, total="split_tokens", totals=totals)
+    if tokenizer == "pure_byte_260":
+        placed = tokenize(placed, tokenizer, as_bytes=True)
+    counted = totals.groupBy("split").agg(F.sum("_rows").alias("docs"), F.sum("_length").alias("tokens"))
+    return pieces_of(placed, shard_size), counted
+
+
+def export_pieces(
+    docs: DataFrame, num_val_docs: int, shard_size: int = SHARD_SIZE, tokenizer: str = "pure_byte_260"
+) -> DataFrame:
+    """Pieces of whole documents for the shard sink."""
+    return export_plan(docs, num_val_docs, shard_size, tokenizer)[0]
 
 
 def blocks(placed: DataFrame, block_size: int, *, by: str | None = "split", halo: int = 0) -> DataFrame:

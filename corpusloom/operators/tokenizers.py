@@ -272,6 +272,14 @@ def apply_reuse(specs: DataFrame, reuse: DataFrame) -> DataFrame:
     )
 
 
+def _given(specs: DataFrame) -> Column:
+    """A spec's own bucket count: a column, or a key that only the whole spec has."""
+    key = "recommended_bigram_vocab_size"
+    if key in specs.columns:
+        return F.col(key).cast("bigint")
+    return F.variant_get("raw", f"$.{key}", "bigint") if "raw" in specs.columns else F.lit(None).cast("bigint")
+
+
 def resolve_specs(specs: DataFrame, *, skip_byte: bool = False, train_docs: int | None = None) -> DataFrame:
     """Names, sizes and bigram buckets each spec resolves to."""
     kind = tokenizer_kind(*[F.col(c) for c in ("kind", "builder", "dataset_suffix", "vocab_size", "name")])
@@ -293,7 +301,7 @@ def resolve_specs(specs: DataFrame, *, skip_byte: bool = False, train_docs: int
                 "dataset_suffix", F.when(is_byte, "byte260").otherwise(F.concat(F.lit("sp"), F.col("_size").cast("string")))
             ).alias("dataset_suffix"),
             F.col("_size").alias("vocab_size"),
-            bigram_buckets(F.col("_size")).alias("recommended_bigram_vocab_size"),
+            F.coalesce(_given(specs), bigram_buckets(F.col("_size"))).alias("recommended_bigram_vocab_size"),
             "tokenizer_train_docs",
             "reuse_model_path",
         )

@@ -62,17 +62,18 @@ def write_docs(docs: DataFrame, path: str) -> None:
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """One row of the sidecar's known fields; no row when the file is absent."""
+    """One row of the sidecar's known fields and, as the VARIANT ``raw``, all of it; no row
+    when the file is absent."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.isFile(target):
-        return spark.createDataFrame([], SIDECAR)
+        return spark.createDataFrame([], SIDECAR).withColumn("raw", F.parse_json(F.lit(None).cast("string")))
     text = spark.read.text(path, wholetext=True)
     body = F.trim("value")
     parsed = F.from_json(body, as_struct(SIDECAR))
     wrong = F.raise_error(F.lit("docs sidecar is not an object")).cast(as_struct(SIDECAR))
-    return text.select(F.when(body.startswith("{"), parsed).otherwise(wrong).alias("s")).select("s.*")
+    return text.select(F.when(body.startswith("{"), parsed).otherwise(wrong).alias("s"), F.parse_json(body).alias("raw")).select("s.*", "raw")
 
 
 def resolve_counts(docs: DataFrame, sidecar: DataFrame, num_val_docs: int | None = None) -> tuple[int, int]:

@@ -27,27 +27,39 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 def parse_specs(texts: DataFrame) -> DataFrame:
     """Tokenizer specs out of JSON text (value): a list, or an object holding the list
     as ``tokenizer_specs`` or else ``tokenizers``. Empty lists and entries that are
-    not objects are errors."""
-    body = F.trim("value")
-    wrapped = F.from_json(body, "STRUCT<tokenizer_specs: STRING, tokenizers: STRING>")
-    listed = F.when(body.startswith("["), body).otherwise(F.coalesce(wrapped["tokenizer_specs"], wrapped["tokenizers"]))
-    entries = F.from_json(listed, "ARRAY<STRING>")
-    empty = F.raise_error(F.lit("no tokenizer specs: a non-empty list is needed")).cast("array<string>")
+    not objects are errors. Besides the known fields every row has ``raw``, the whole
+    spec as a VARIANT, with unknown keys and the types of all values."""
+    whole = texts.select(F.parse_json(F.trim("value")).alias("v"))
+    kind = F.schema_of_variant("v")
+    listed = F.when(kind.startswith("ARRAY"), F.col("v"))
+    for key in ("tokenizers", "tokenizer_specs"):
+        inner = F.try_variant_get("v", f"$.{key}", "variant")
+        listed = F.when(kind.startswith("OBJECT") & inner.isNotNull() & ~F.is_variant_null(inner), inner).otherwise(listed)
+    entries = F.try_variant_get(listed, "$", "array<variant>")
+    empty = F.raise_error(F.lit("no tokenizer specs: a non-empty list is needed")).cast("array<variant>")
     entries = F.when(F.coalesce(F.size(entries), F.lit(0)) > 0, entries).otherwise(empty)
     wrong = F.raise_error(F.lit("a tokenizer spec is not an object")).cast("string")
-    rows = texts.select(F.explode(entries).alias("e")).select(
-        F.when(F.ltrim("e").startswith("{"), F.col("e")).otherwise(wrong).alias("e")
-    )
-    return rows.select(F.from_json("e", as_struct(SPEC)).alias("s")).select("s.*")
+    rows = whole.select(F.explode(entries).alias("raw"))
+    object_ = F.when(F.schema_of_variant("raw").startswith("OBJECT"), F.to_json("raw")).otherwise(wrong)
+    return rows.select(F.from_json(object_, as_struct(SPEC)).alias("s"), "raw").select("s.*", "raw")
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     return parse_specs(_whole(spark, path))
 
 
+def spec_json(specs: DataFrame) -> Column:
+    """A spec as JSON text: as it was read, or its columns if it was made here."""
+    own = F.to_json(F.struct(*[c for c in specs.columns if c != "raw"]))
+    return F.coalesce(F.to_json("raw"), own) if "raw" in specs.columns else own
+
+
 def write_specs(specs: DataFrame, path: str) -> None:
     """The specs actually used, as one JSON object. A spec list is written by hand."""
-    body = specs.agg(F.to_json(F.struct(F.collect_list(F.struct(*specs.columns)).alias("tokenizers"))).alias("value"))
+    # In the order of the rows.
+    rows = specs.select(F.monotonically_increasing_id().alias("at"), spec_json(specs).alias("spec"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "spec"))), lambda s: s["spec"]), ",")
+    body = rows.agg(F.concat(F.lit('{"tokenizers":['), listed, F.lit("]}")).alias("value"))
     body.coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -71,10 +83,9 @@ def relative_to(path: Column, root: str) -> Column:
     return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
 
 
-def write_manifest(
+def manifest_json(
     datasets: DataFrame,
     tokenizers: DataFrame,
-    path: str,
     *,
     root: str,
     num_docs: int,
@@ -83,9 +94,13 @@ def write_manifest(
     docs_jsonl: str,
     specs: DataFrame | None = None,
     sidecar: DataFrame | None = None,
+    sidecar_path: str | None = None,
+    repo_id: str | None = None,
+    remote_root: str | None = None,
     append_eos: bool = False,
-) -> None:
-    """One JSON object describing the export; paths below ``root`` are relative.
+) -> DataFrame:
+    """(value): one JSON object describing the export; paths below ``root`` are relative.
+    The sidecar, if there is one, is repeated in it with all its keys.
 
     A manifest lists datasets and tokenizers, a handful of rows each.
     """
@@ -99,28 +114,43 @@ def write_manifest(
     def listing(df: DataFrame) -> Column:
         return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns)))).scalar()
 
-    side = sidecar.first() if sidecar is not None else None
-    meta = [F.lit(num_docs).cast("bigint").alias("num_docs")]
-    meta.append(F.lit(side["docs_sha256"] if side else None).cast("string").alias("docs_sha256"))
-    fields = [
-        F.lit(CORPUS_VERSION).alias("version"),
-        F.lit(num_docs).cast("bigint").alias("num_docs"),
-        F.lit(num_val_docs).cast("bigint").alias("num_val_docs"),
-        F.lit(side["shuffle_seed"] if side else None).cast("bigint").alias("shuffle_seed"),
-        F.lit(shard_size).cast("bigint").alias("shard_size"),
-        F.lit(append_eos).alias("append_eos"),
-        relative_to(F.lit(docs_jsonl), root).alias("docs_jsonl"),
-        F.struct(*meta).alias("docs_meta"),
-        listing(tokenizers).alias("tokenizers"),
-        listing(datasets).alias("datasets"),
-    ]
+    side = None
+    if sidecar is not None:
+        whole = F.to_json("raw") if "raw" in sidecar.columns else F.to_json(F.struct(*sidecar.columns))
+        side = sidecar.select("docs_sha256", "shuffle_seed", whole.alias("whole")).first()
+    meta = {
+        "remote_repo_id": F.lit(repo_id).cast("string"),
+        "remote_root": relative_to(F.lit(remote_root).cast("string"), root),
+        "num_docs": F.lit(num_docs).cast("bigint"),
+        "docs_sha256": F.lit(side["docs_sha256"] if side else None).cast("string"),
+        "source_manifest": relative_to(F.lit(sidecar_path if side else None).cast("string"), root),
+    }
+    if side:
+        meta["source_sidecar"] = F.parse_json(F.lit(side["whole"]))
+    fields = {
+        "version": F.lit(CORPUS_VERSION),
+        "num_docs": F.lit(num_docs).cast("bigint"),
+        "num_val_docs": F.lit(num_val_docs).cast("bigint"),
+        "shuffle_seed": F.lit(side["shuffle_seed"] if side else None).cast("bigint"),
+        "shard_size": F.lit(shard_size).cast("bigint"),
+        "append_eos": F.lit(append_eos),
+        "docs_jsonl": relative_to(F.lit(docs_jsonl), root),
+        "docs_meta": F.struct(*[c.alias(n) for n, c in meta.items()]),
+        "tokenizers": listing(tokenizers),
+        "datasets": listing(datasets),
+    }
     if specs is not None:
         # Maps have no order, so specs are listed by name.
-        rows = F.collect_list(F.struct("name", F.struct(*specs.columns).alias("spec")))
-        named = F.array_sort(rows, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-        fields.append(specs.agg(F.transform(named, lambda s: s["spec"])).scalar().alias("tokenizer_specs"))
-    one = spark.range(1).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
-    one.coalesce(1).write.mode("overwrite").text(path)
+        named = specs.select("name", F.parse_json(spec_json(specs)).alias("spec")).collect()
+        texts = [r["spec"].toJson() for r in sorted(named, key=lambda r: (r["name"] is not None, r["name"]))]
+        fields["tokenizer_specs"] = F.parse_json(F.lit(f"[{','.join(texts)}]"))
+    one = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return spark.range(1).select(F.to_json(one, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_manifest(datasets: DataFrame, tokenizers: DataFrame, path: str, **about) -> None:
+    """Write :func:`manifest_json` as text."""
+    manifest_json(datasets, tokenizers, **about).coalesce(1).write.mode("overwrite").text(path)
 
 
 def parse_manifest(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,5 +162,10 @@ def parse_manifest(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.select(F.inline("m.datasets")), parsed.select(F.inline("m.tokenizers"))
 
 
+def manifest_document(texts: DataFrame) -> DataFrame:
+    """(manifest): the whole manifest as a VARIANT, with all keys and types."""
+    return texts.select(F.parse_json(F.trim("value")).alias("manifest"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_manifest(_whole(spark, path))

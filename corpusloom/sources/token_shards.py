@@ -2,8 +2,9 @@
 
 A shard is 256 little-endian int32 header words (magic, version, token count) and
 16-bit little-endian tokens. Files are split into byte ranges, so one large shard
-is read by many tasks; the sink streams the rows of a shard in offset order and
-publishes finished files only when the whole job commits.
+is read by many tasks; the sink streams the rows of a shard in offset order, tasks
+publish their own files in a fresh version of the folder, and the job's commit is one
+small file that makes this version current (:mod:`commits`).
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ from ..schema import (
     SHARD_VERSION,
 )
 from ..session import qualified
+from . import commits
+from .commits import current, filesystem, new_version, publish, put_whole
 
 DEFAULT_BLOCK = 1 << 16
 DEFAULT_SPLIT = 1 << 24
@@ -95,14 +98,6 @@ def group_ranges(ranges: list[ShardRange], tokens: int) -> list[ShardGroup]:
     return [ShardGroup(g.ranges) for g in groups]
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """``path`` is a full URI: tasks must not guess which file system a bare path means."""
-    if not re.match(r"^[a-zA-Z][\w+.-]*:", path):
-        raise ValueError(f"not a full URI: {path}; read_shards, write_shards and session.qualified make one")
-    uri = re.sub(r"^file:/+", "file:///", path)
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
-
-
 def shard_name(prefix: str, split: str, shard_id: int) -> str:
     return f"{prefix}_{split}_{shard_id:06d}.bin"
 
@@ -124,12 +119,12 @@ def read_header(system: pafs.FileSystem, path: str, size: int) -> int:
 
 
 def list_shards(path: str, prefix: str, split: str | None, keep=lambda split, shard_id: True) -> list[Shard]:
-    """Shards of a folder in file-name order. Sizes come from the listing; headers
-    are checked by the tasks that read them."""
-    system, root = _filesystem(path)
+    """Current shards of a folder in file-name order. Sizes come from the listing;
+    headers are checked by the tasks that read them."""
+    system, root = filesystem(path)
     pattern = _name_pattern(prefix)
     found = []
-    for info in system.get_file_info(pafs.FileSelector(root)):
+    for info in (i for folder in current(system, root) for i in system.get_file_info(pafs.FileSelector(folder))):
         match = pattern.match(info.base_name)
         if not match or (split and match.group(1) != split) or not keep(match.group(1), int(match.group(2))):
             continue
@@ -142,7 +137,7 @@ def list_shards(path: str, prefix: str, split: str | None, keep=lambda split, sh
 
 def read_range(root: str, part: ShardRange, block: int) -> Iterator[tuple[int, np.ndarray]]:
     """(offset in shard, tokens) of one byte range, ``block`` tokens at a time."""
-    system, _ = _filesystem(root)
+    system, _ = filesystem(root)
     size = system.get_file_info(part.path).size
     if read_header(system, part.path, size) != part.n_tokens:
         raise ValueError(f"size of shard {part.path} changed while it was read")
@@ -274,17 +269,20 @@ class ShardsWritten(WriterCommitMessage):
 
 class ShardWriter(DataSourceArrowWriter):
     """Rows: (split, shard_id, shard_offset, shard_tokens, tokens), each shard whole in
-    one task and sorted by offset (see ``write_shards``)."""
+    one task and sorted by offset (see ``write_shards``).
+
+    A task writes to a folder of its own and, once all its shards are whole, gives them
+    their names in the new version. The driver's commit is one small file."""
 
     def __init__(self, options, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.prefix = options.get("prefix", SHARD_PREFIX)
         self.overwrite = overwrite
-        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        self.version = new_version(self.path)
 
     def write(self, iterator):
-        system, staging = _filesystem(self.staging)
-        attempt = f"{staging}/{uuid.uuid4().hex}"
+        system, version = filesystem(self.version)
+        attempt = f"{version}/_attempt-{uuid.uuid4().hex}"
         system.create_dir(attempt, recursive=True)
         done, current, out, filled, expected = [], None, None, 0, 0
 
@@ -295,7 +293,7 @@ class ShardWriter(DataSourceArrowWriter):
             if filled != expected:
                 raise ValueError(f"shard {current} has {filled} tokens, its plan says {expected}")
             name = shard_name(self.prefix, *current)
-            done.append((f"{attempt}/{name}", name, filled))
+            done.append((name, filled))
 
         for batch in iterator:
             splits, ids = batch.column("split").to_pylist(), batch.column("shard_id").to_pylist()
@@ -317,31 +315,37 @@ class ShardWriter(DataSourceArrowWriter):
                 out.write(piece.tobytes())
                 filled += len(piece)
         close()
+        for name, _ in done:
+            # Another attempt of this task may have put the same file there.
+            put_whole(system, f"{attempt}/{name}", f"{version}/{name}")
+        system.delete_dir(attempt)
         return ShardsWritten(done)
 
     def commit(self, messages):
-        system, root = _filesystem(self.path)
-        names = [name for m in messages if m is not None for _, name, _ in m.files]
-        if len(names) != len(set(names)):
+        system, root = filesystem(self.path)
+        version = filesystem(self.version)[1]
+        system.create_dir(version, recursive=True)
+        files = [f for m in messages if m is not None for f in m.files]
+        names = [name for name, _ in files]
+        try:
+            if len(names) != len(set(names)):
+                raise ValueError("a shard was written by more than one task")
+            sizes = {i.base_name: i.size for i in system.get_file_info(pafs.FileSelector(version)) if i.type == pafs.FileType.File}
+            if sizes != {name: SHARD_HEADER_BYTES + n * SHARD_TOKEN_BYTES for name, n in files}:
+                raise ValueError("the shards of this version are not those that its tasks wrote")
+            if not self.overwrite:
+                there = {s.path.rsplit("/", 1)[-1] for s in list_shards(self.path, self.prefix, None)} & set(names)
+                if there:
+                    raise ValueError(f"shards exist already: {sorted(there)[:3]}")
+        except ValueError:
             self.abort(messages)
-            raise ValueError("a shard was written by more than one task")
-        if self.overwrite:
-            pattern = _name_pattern(self.prefix)
-            stale = [i.path for i in system.get_file_info(pafs.FileSelector(root)) if pattern.match(i.base_name)]
-            for path in stale:
-                system.delete_file(path)
-        for message in messages:
-            for source, name, _ in message.files if message is not None else []:
-                system.move(source, f"{root}/{name}")
-        self._drop_staging()
+            raise
+        publish(system, root, version, keep=not self.overwrite)
 
     def abort(self, messages):
-        self._drop_staging()
-
-    def _drop_staging(self):
-        system, staging = _filesystem(self.staging)
-        if system.get_file_info(staging).type == pafs.FileType.Directory:
-            system.delete_dir(staging)
+        system, version = filesystem(self.version)
+        if system.get_file_info(version).type == pafs.FileType.Directory:
+            system.delete_dir(version)
 
 
 class TokenShardStream(DataSource):
@@ -431,6 +435,7 @@ def register(spark: SparkSession) -> None:
     # The process that plans a streaming source sees no shipped files, so the source
     # classes travel by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(commits)
     spark.dataSource.register(TokenShards)
     spark.dataSource.register(TokenShardStream)
 
@@ -439,12 +444,13 @@ def write_shards(pieces: DataFrame, path: str, prefix: str = SHARD_PREFIX, mode:
     """Publish ``shard_pieces`` (with tokens) as shard files.
 
     One shuffle brings the pieces of a shard together; a shard is at most
-    ``shard_size`` tokens and is streamed, never held. Stale shards go first.
+    ``shard_size`` tokens and is streamed, never held. Until the commit readers find
+    the shards that were there before.
     """
     spark = pieces.sparkSession
     register(spark)
     path = qualified(spark, path)
-    system, root = _filesystem(path)
+    system, root = filesystem(path)
     system.create_dir(root, recursive=True)
     rows = pieces.select("split", F.col("shard_id").cast("int").alias("shard_id"), "shard_offset", "shard_tokens", "tokens")
     ready = rows.repartition("split", "shard_id").sortWithinPartitions("split", "shard_id", "shard_offset")
@@ -457,6 +463,16 @@ def shard_sizes(spark: SparkSession, path: str, prefix: str = SHARD_PREFIX, spli
     return spark.createDataFrame(rows, "split STRING, shard_id INT, n_tokens BIGINT")
 
 
+def shard_files(spark: SparkSession, path: str) -> str:
+    """URI of the folder in which the current shards lie, for readers that list files."""
+    path = qualified(spark, path)
+    system, root = filesystem(path)
+    folders = current(system, root)
+    if len(folders) != 1:
+        raise ValueError(f"the shards of {path} lie in {len(folders)} folders")
+    return path.rstrip("/") + folders[0][len(root) :]
+
+
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
     reader = spark.read.format("token_shards").option("path", qualified(spark, path))

@@ -68,8 +68,11 @@ def test_word_counts(docs):
     assert got == brute_words()
 
 
-@pytest.mark.parametrize("coverage", [1.0, 0.97])
-def test_merges_equal_the_plain_loop(docs, coverage):
+@pytest.mark.parametrize("coverage, sparse, rebuild", [(1.0, 16, 4), (0.97, 16, 4), (1.0, 0, 4), (1.0, 0, 0)])
+def test_merges_equal_the_plain_loop(docs, monkeypatch, coverage, sparse, rebuild):
+    # With 0 the index is used from the second pass on, and with a rebuild of 0 never written again.
+    monkeypatch.setattr(M, "SPARSE", sparse)
+    monkeypatch.setattr(M, "REBUILD", rebuild)
     learned, chars = M.learn_merges(docs, 60, coverage=coverage)
     words = brute_words()
     alphabet = {r["char"] for r in chars.collect()}

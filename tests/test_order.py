@@ -59,3 +59,57 @@ def test_null_group_fails_loudly(spark):
     df = spark.createDataFrame([(0, None, 1), (1, "a", 2)], "k BIGINT, g STRING, n BIGINT")
     with pytest.raises(Exception, match="null group"):
         running_offsets(df, "n", "k", ["g"]).collect()
+
+
+KINDS = [
+    Running("lag", "v", "lag"), Running("lag", "name", "lag_name"), Running("first", "name", "first_name"), Running("min", "v", "low"),
+    Running("min", "n", "low_before", False), Running("max", "v", "high", False), Running("sum", "n", "sum_n"), Running("sum", "v", "sum_before", False),
+    Running("total", "n", "all_n"), Running("least", "v", "all_low"), Running("total", "v", "all_v"),
+]
+
+
+def scan_loop(rows, by, runs):
+    out = []
+    for i, row in enumerate(rows):
+        group = [r for r in rows if [r[c] for c in by] == [row[c] for c in by]]
+        upto = [r for r in rows[: i + 1] if r in group]
+        values = {}
+        for run in runs:
+            seen = [r[run.column] for r in (group if run.kind in ("total", "least") else upto if run.inclusive else upto[:-1])]
+            there = [v for v in seen if v is not None]
+            kind = {"total": "sum", "least": "min"}.get(run.kind, run.kind)
+            values[run.out] = (
+                (upto[-2][run.column] if len(upto) > 1 else None) if kind == "lag" else upto[0][run.column] if kind == "first"
+                else sum(there) if kind == "sum" else {"min": min, "max": max}[kind](there, default=None)
+            )
+        out.append({**row, **values})
+    return out
+
+
+@pytest.mark.parametrize("groups, segments, batch", [(1, 7, 16), (3, 5, 4), (40, 6, 1000), (400, 9, 3), (2, 300, 2)])
+def test_scan_against_a_loop(spark, groups, segments, batch):
+    """Groups within a segment, over many segments, and ending at borders; nulls; small batches."""
+    rng = np.random.default_rng(groups)
+    data = sorted(
+        (int(rng.integers(groups)), i, None if rng.random() < 0.2 else int(rng.integers(-9, 9)), None if rng.random() < 0.2 else float(rng.integers(0, 30)), None if rng.random() < 0.2 else f"x{i}")
+        for i in range(400)
+    )
+    df = spark.createDataFrame(data, "g BIGINT, k BIGINT, n BIGINT, v DOUBLE, name STRING").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = scan(range_segments(df, ["g", "k"], segments), ["g"], ["k"], KINDS).drop("_seg").orderBy("g", "k").collect()
+        alone = scan(range_segments(df, ["k"], segments), [], ["k"], KINDS).drop("_seg").orderBy("k").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = [dict(zip(("g", "k", "n", "v", "name"), r)) for r in data]
+    assert [r.asDict() for r in got] == scan_loop(rows, ["g"], KINDS)
+    assert [r.asDict() for r in alone] == scan_loop(sorted(rows, key=lambda r: r["k"]), [], KINDS)
+
+
+def test_scan_of_nothing_and_null_groups(spark):
+    empty = spark.createDataFrame([], "g BIGINT, k BIGINT, n BIGINT")
+    assert scan(range_segments(empty, ["g", "k"]), ["g"], ["k"], [Running("total", "n", "t")]).count() == 0
+    df = spark.createDataFrame([(None, 1, 1)], "g BIGINT, k BIGINT, n BIGINT")
+    with pytest.raises(Exception, match="null group"):
+        scan(range_segments(df, ["g", "k"]), ["g"], ["k"], [Running("sum", "n", "t")]).collect()

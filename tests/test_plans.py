@@ -66,3 +66,20 @@ def test_single_task_windows_see_bucket_totals_only(spark, sf):
         for i, line in enumerate(lines):
             if "Exchange SinglePartition" in line:
                 assert "HashAggregate" in lines[i + 1], (name, lines[i + 1])
+
+
+SCANNED = ["board_rank", "best_so_far", "ablation_delta", "cap_status", "step_rate", "running_bpb"]
+
+
+@pytest.mark.parametrize("name", SCANNED)
+def test_a_scan_does_not_move_rows_behind_its_checkpoint(spark, sf, name):
+    text = plan_of(QUERIES[name](spark, sf))
+    assert "ExistingRDD" in text and "MapInArrow" in text
+    assert "Exchange" not in text and "Window" not in text
+
+
+def test_segments_follow_the_input(spark):
+    from corpusloom.operators.order import range_segments
+
+    rows = spark.range(0, 4000, 1, 40)
+    assert range_segments(rows, ["id"]).rdd.getNumPartitions() == 40

@@ -1,8 +1,10 @@
 import glob
 import os
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.shards import (
@@ -17,7 +19,7 @@ from corpusloom.operators.shards import (
     with_previous,
 )
 from corpusloom.operators.tokenizers import Tokenizer, register_tokenizer, tokenize
-from corpusloom.sources.token_shards import read_shards, write_shards
+from corpusloom.sources.token_shards import ShardWriter, read_shards, shard_files, write_shards
 
 # Lengths with BOS: 10 (fills a shard of 10 exactly), 26 (spans shards), 1, 4, 10, 7.
 TEXTS = ["a" * 9, "b" * 25, "", "ccc", "d" * 9, "eéé "]
@@ -32,8 +34,12 @@ def stream_of(texts):
     return [t for text in texts for t in [1] + [b + 4 for b in text.encode()]]
 
 
+def current(path):
+    return re.sub("^file:/+", "/", shard_files(SparkSession.getActiveSession(), path))
+
+
 def files(path):
-    return {os.path.basename(f): open(f, "rb").read() for f in sorted(glob.glob(f"{path}/*.bin"))}
+    return {os.path.basename(f): open(f, "rb").read() for f in sorted(glob.glob(f"{current(path)}/*.bin"))}
 
 
 @pytest.mark.parametrize("num_val", [0, 2, 3, len(TEXTS)])
@@ -50,7 +56,7 @@ def test_files_hold_the_stream(spark, docs, tmp_path, num_val):
             header[:3] = 20240520, 1, len(part)
             want[f"fineweb_{split}_{i // 10:06d}.bin"] = header.tobytes() + np.array(part, "<u2").tobytes()
     assert got == want
-    assert not glob.glob(f"{path}/_staging*")
+    assert not glob.glob(f"{path}/**/_attempt*", recursive=True)
     rows = read_shards(spark, path, blockTokens=4).collect()
     for split, texts in (("val", TEXTS[:num_val]), ("train", TEXTS[num_val:])):
         mine = sorted((r["shard_id"], r["block_offset"], r["tokens"]) for r in rows if r["split"] == split)
@@ -82,7 +88,7 @@ def test_stale_shards_go_and_strangers_stay(docs, tmp_path):
 def _spoil(tmp_path, docs, change):
     path = str(tmp_path / "bad")
     write_shards(export_pieces(docs, 0, 1000), path)
-    name = glob.glob(f"{path}/*.bin")[0]
+    name = glob.glob(f"{current(path)}/*.bin")[0]
     data = bytearray(open(name, "rb").read())
     open(name, "wb").write(change(data))
     return path
@@ -116,7 +122,7 @@ def test_filters_choose_files(spark, docs, tmp_path):
     chosen = read_shards(spark, path).filter("split = 'val' AND shard_id < 2")
     assert {(r["split"], r["shard_id"]) for r in chosen.collect()} == {("val", 0), ("val", 1)}
     # A damaged file outside the filter is never opened.
-    open(f"{path}/fineweb_train_000000.bin", "wb").write(b"\0" * 1030)
+    open(f"{current(path)}/fineweb_train_000000.bin", "wb").write(b"\0" * 1030)
     assert chosen.count() == 2
     assert read_shards(spark, path).filter("split = 'none'").count() == 0
 
@@ -173,3 +179,76 @@ def test_spans_and_reopened_stream(spark, docs, tmp_path):
 def test_tokens_before_the_first_bos_belong_to_no_document(spark):
     df = spark.createDataFrame([("val", 0, 0, [9, 9, 1, 5]), ("val", 1, 4, [6, 1, 7])], "split STRING, block_id BIGINT, base_offset BIGINT, tokens ARRAY<INT>")
     assert sorted((r["start"], r["length"]) for r in doc_spans(df, 1).collect()) == [(2, 4), (5, 2)]
+
+
+def written(spark, path, texts, overwrite=True):
+    """A writer whose tasks are done but whose job has not committed."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_ordinal BIGINT, text STRING")
+    rows = export_pieces(docs, 0, 10).select("split", F.col("shard_id").cast("int").alias("shard_id"), "shard_offset", "shard_tokens", "tokens")
+    table = rows.orderBy("split", "shard_id", "shard_offset").toArrow()
+    writer = ShardWriter({"path": f"file://{path}"}, overwrite)
+    half = table.num_rows // 2
+    while half < table.num_rows and half and table["shard_id"][half] == table["shard_id"][half - 1]:
+        half += 1
+    return writer, [writer.write(iter(part.combine_chunks().to_batches())) for part in (table.slice(0, half), table.slice(half)) if isinstance(part, pa.Table) and part.num_rows]
+
+
+def test_a_write_that_dies_before_its_commit_changes_nothing(spark, docs, tmp_path):
+    path = str(tmp_path / "out")
+    write_shards(export_pieces(docs, 2, 10), path)
+    before, rows = files(path), sorted(read_shards(spark, path).collect())
+    writer, messages = written(spark, path, ["zz" * 30, "y"])
+    assert len(messages) == 2 and files(path) == before  # tasks have published, the job has not
+    assert sorted(read_shards(spark, path).collect()) == rows
+    writer.abort(messages)
+    assert files(path) == before
+    writer, messages = written(spark, path, ["zz" * 30, "y"])
+    reading = read_shards(spark, path)
+    writer.commit(messages)
+    assert sorted(files(path)) == [f"fineweb_train_{i:06d}.bin" for i in range(7)]
+    assert sorted(reading.collect()) != rows  # planned anew
+    # The version before stays for readers that have begun, the one before that goes.
+    versions = os.listdir(f"{path}/_versions")
+    assert len(versions) == 2
+    writer, messages = written(spark, path, ["x"])
+    writer.commit(messages)
+    assert len(os.listdir(f"{path}/_versions")) == 2 and len(set(os.listdir(f"{path}/_versions")) & set(versions)) == 1
+
+
+def test_two_attempts_of_a_task_and_lost_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    os.makedirs(path)
+    writer, messages = written(spark, path, ["a" * 40])
+    with pytest.raises(ValueError, match="more than one task"):
+        writer.commit([*messages, messages[0]])
+    assert not os.path.exists(f"{path}/_commits")
+    writer, messages = written(spark, path, ["a" * 40])
+    os.remove(glob.glob(f"{path}/_versions/{os.path.basename(writer.version)}/*.bin")[0])
+    with pytest.raises(ValueError, match="not those that its tasks wrote"):
+        writer.commit(messages)
+
+
+def test_append_keeps_what_is_there(spark, docs, tmp_path):
+    path = str(tmp_path / "out")
+    write_shards(export_pieces(docs, len(TEXTS), 10), path)
+    writer, messages = written(spark, path, ["q" * 15], overwrite=False)
+    writer.commit(messages)
+    got = {(r["split"], r["shard_id"]) for r in read_shards(spark, path).collect()}
+    assert {s for s, _ in got} == {"train", "val"} and ("train", 1) in got
+    writer, messages = written(spark, path, ["q"], overwrite=False)
+    with pytest.raises(ValueError, match="exist already"):
+        writer.commit(messages)
+
+
+def test_a_plain_folder_is_read_and_replaced(spark, docs, tmp_path):
+    made, path = str(tmp_path / "made"), str(tmp_path / "out")
+    write_shards(export_pieces(docs, 2, 10), made)
+    os.makedirs(path)
+    for name, data in files(made).items():
+        open(f"{path}/{name}", "wb").write(data)
+    assert sorted(read_shards(spark, path).collect()) == sorted(read_shards(spark, made).collect())
+    write_shards(export_pieces(docs, 0, 1000), path)
+    assert sorted(files(path)) == ["fineweb_train_000000.bin"]
+    assert read_shards(spark, path).select("split").distinct().count() == 1

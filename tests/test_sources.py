@@ -1,14 +1,16 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions import udtf
 from corpusloom.operators.checks import check_unique
-from corpusloom.operators.tokenizers import parse_reuse
+from corpusloom.operators.tokenizers import parse_reuse, resolve_specs
 from corpusloom.operators.catalog import check_catalog, missing_shards, select_shards
 from corpusloom.sources.archive import read_board, read_log_facts, read_log_points, read_results, read_runs
 from corpusloom.sources.docs import read_docs, read_sidecar, resolve_counts
 from corpusloom.sources.manifest import (
+    manifest_document,
     read_manifest,
     read_specs,
     write_byte_tokenizer,
@@ -68,7 +70,38 @@ def test_specs(spark, tmp_path, shape):
     rows = got.collect()
     assert [(r["name"], r["kind"], r["vocab_size"], r["trainer_overrides"]) for r in rows] == [("a", None, 1024, {"x": "1"}), (None, "byte", None, None)]
     write_specs(got, f"{tmp_path}/out")
-    assert read_specs(spark, f"{tmp_path}/out").collect() == rows
+    again = read_specs(spark, f"{tmp_path}/out")
+    known = [c for c in got.columns if c != "raw"]
+    assert again.select(*known).collect() == got.select(*known).collect()
+
+
+def test_specs_keep_foreign_keys_and_types(spark, tmp_path):
+    spec = {"name": "a", "vocab_size": 1024, "trainer_overrides": {"x": 1, "y": 0.5, "z": [True, None, "s"]}, "own": {"b": [1, "1"]}, "recommended_bigram_vocab_size": 777}
+    (tmp_path / "c.json").write_text(json.dumps([spec, {"kind": "byte", "note": None}]))
+    got = read_specs(spark, f"{tmp_path}/c.json")
+    write_specs(got, f"{tmp_path}/out")
+    body = json.loads("".join(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()))
+    assert body["tokenizers"] == [spec, {"kind": "byte", "note": None}]
+    assert got.filter("name = 'a'").select(F.variant_get("raw", "$.trainer_overrides.x", "int")).first()[0] == 1
+    sizes = {r["name"]: r["recommended_bigram_vocab_size"] for r in resolve_specs(got).collect()}
+    assert sizes == {"a": 777, "pure_byte_260": 1920}
+
+
+def test_sidecar_keeps_foreign_keys(spark, tmp_path):
+    side = {"num_docs": 5, "docs_val": 1, "shuffle_seed": 7, "docs_sha256": "ab", "maker": {"name": "x", "n": [1, 2.5]}}
+    (tmp_path / "s.json").write_text(json.dumps(side))
+    sidecar = read_sidecar(spark, f"{tmp_path}/s.json")
+    assert sidecar.select("num_docs", "docs_val").first() == (5, 1)
+    datasets, tokenizers = _catalog(spark)
+    write_manifest(
+        datasets, tokenizers, f"{tmp_path}/m", root="/root/x", num_docs=5, num_val_docs=1, shard_size=10, docs_jsonl="/root/x/docs.jsonl",
+        sidecar=sidecar, sidecar_path="/root/x/s.json", repo_id="who/what", remote_root="sub",
+    )
+    body = json.loads("".join(r["value"] for r in spark.read.text(f"{tmp_path}/m").collect()))
+    assert body["docs_meta"] == {"remote_repo_id": "who/what", "remote_root": "sub", "num_docs": 5, "docs_sha256": "ab", "source_manifest": "s.json", "source_sidecar": side}
+    assert body["shuffle_seed"] == 7
+    whole = manifest_document(spark.read.text(f"{tmp_path}/m")).select(F.variant_get("manifest", "$.docs_meta.source_sidecar.maker.n[1]", "double")).first()[0]
+    assert whole == 2.5
 
 
 @pytest.mark.parametrize("body, message", [("[]", "non-empty list"), ("{}", "non-empty list"), ("[1]", "is not an object")])
