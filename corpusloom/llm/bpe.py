@@ -41,7 +41,7 @@ from .common import OUT_ROWS
 
 BLOCK_CHARS = 16_000_000
 MAX_VOCABULARY = 1_000_000
-ROW_WORDS = 250_000  # words of the texts that travel in one row, about
+ROW_WORDS = 64_000  # words of the texts that travel in one row, about
 WORDS, TEXT = 0, 1
 CHANGED = "words of a block are missing: its input changed between two reads"
 
@@ -189,7 +189,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
 
     def words_of(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for splitter, _, _ in _blocks(batches, pattern, block_chars, Splitter.learn):
+        # What a text is cut into is not kept, only its words.
+        for splitter, _, _ in _blocks(batches, pattern, block_chars, lambda s, text: s.learn(text) and None):
             name, words = _named(splitter)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
                 if n >= ROW_WORDS or len(some) >= OUT_ROWS:
                     rows.append((name, TEXT, some, pack(_sized(codes))))
                     some, codes, n = [], [], 0
-                if len(rows) >= 16:
+                if len(rows) >= 8:
                     yield _table(rows, block_rows)
                     rows = []
             if some:
