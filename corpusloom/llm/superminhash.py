@@ -260,9 +260,10 @@ def checked(need: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
 
     weight = stored(need.groupBy("key").agg(F.ceil(F.sum("n") / SET_SLICE).alias("slices")).filter("slices > 1"), "groups")
     # Identical rows are all read as the text of their class: they are dealt out.
-    source, entries = deal(docs, need, "_own", "copies", "_salt")
+    # Only names meet the documents, so where candidates are few their list goes to all tasks.
+    source, entries = deal(docs, need.select("_own", "_id", "fp", "copies"), "_own", "copies", "_salt")
     same = (source["_own"] == entries["_own"]) & (source["_salt"] == entries["_salt"]) & source["_doc"].eqNullSafe(entries["_id"])
-    texts = source.join(entries, same).select("key", "fp", "low", "text").dropDuplicates(["fp"])
+    texts = source.join(entries, same).select("fp", "text").dropDuplicates(["fp"]).join(need.select("fp", "key", "low"), "fp")
     cut = texts.join(weight, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("bigint")))
     parts = cut.select("key", _parts(F.col("slices")).alias("part"), "fp", "low", "text")
     together = parts.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
