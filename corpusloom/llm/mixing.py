@@ -9,13 +9,14 @@ taken once more, up to the document at which the target is met most nearly.
 
 The hash border is found by counting words in 65,536 hash ranges a source and then,
 in two more passes, within the border range only, so no source is ever sorted or
-gathered.
+gathered. Rows of equal hash (the same id and text) are told apart by their place in the
+input: if several stand at the border, more passes find how many of them are taken. Which
+ones these are makes no difference to the mix.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; a null
 doc_id is hashed as such. Sources of size 0 have target 0. If all sources are clamped,
-targets are the clamps. Rows of equal hash (the same id and text) are all taken once more
-or none of them. Ties, repeated rows and very long texts need no special care. An
-empty table gives an empty result. Other columns are ignored by ``plan`` and kept by
+targets are the clamps. Ties, repeated rows and very long texts need no special care. Give a
+table, or a DataFrame made durable: it is read twice, and places must agree. An empty table gives an empty result. Other columns are ignored by ``plan`` and kept by
 ``mix``.
 """
 
@@ -29,6 +30,7 @@ from ..session import durable
 from .common import WORD, fresh, stored
 
 DIGITS = 12  # hexadecimal digits of the hash that count
+PLACE = 16  # and of the row's place behind them
 STEP = 4  # digits settled by one pass: 16^4 ranges
 
 
@@ -39,7 +41,7 @@ def size_of(text: Column) -> Column:
 
 def seeded_hash(seed: int, doc_id: Column, text: Column) -> Column:
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("?")), F.lit("|"), F.coalesce(text, F.lit("")))
-    return F.substring(F.md5(key.cast("binary")), 1, DIGITS)
+    return F.concat(F.substring(F.md5(key.cast("binary")), 1, DIGITS), F.lpad(F.hex(F.monotonically_increasing_id()), PLACE, "0"))
 
 
 def targets(sizes: DataFrame, *, share: tuple[int, int] = (3, 2), max_epochs: int = 2) -> DataFrame:
@@ -84,17 +86,19 @@ def _borders(sized: DataFrame, needs: DataFrame) -> DataFrame:
     """(source, border, inclusive): the hash at which a source's need is met, and
     whether its documents are still taken."""
     found = needs
-    for done in range(0, DIGITS, STEP):
+    for done in range(0, DIGITS + PLACE, STEP):
+        if done >= DIGITS and found.filter("rows > 1").isEmpty():
+            break
         ranged = sized.select("source", F.substring("hash", 1, done).alias("prefix"), F.substring("hash", 1, done + STEP).alias("range"), "size")
         if done:  # rows of the border ranges only; the prefix spreads a large source
             open_ = found.select(F.col("source").alias("s"), F.col("range").alias("p"))
             ranged = ranged.join(open_, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")), "left_semi")
-        counted = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
+        counted = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
         need = found.select(F.col("source").alias("s"), "need")
         order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         left = F.col("need") - F.coalesce(F.sum("words").over(order), F.lit(0))
-        met = counted.join(need, F.col("source").eqNullSafe(F.col("s"))).select("source", "range", "words", left.alias("need"))
-        last = F.max(F.struct("range", "need", "words")).alias("r")
+        met = counted.join(need, F.col("source").eqNullSafe(F.col("s"))).select("source", "range", "words", "rows", left.alias("need"))
+        last = F.max(F.struct("range", "need", "words", "rows")).alias("r")
         found = durable(met.filter("need > 0").groupBy("source").agg(last).select("source", "r.*"))
     return found.select("source", F.col("range").alias("border"), (F.col("words") / 2 <= F.col("need")).alias("inclusive"))
 
@@ -116,7 +120,7 @@ def source_plan(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
 def _decide(docs: DataFrame, table: DataFrame, seed: int, *columns: Column) -> DataFrame:
     name = fresh(docs, "_hash")[0]
     keyed = docs.withColumn(name, seeded_hash(seed, F.col("doc_id"), F.col("text"))).alias("d")
-    own = F.col(f"d.{name}")
+    own = F.substring(F.col(f"d.{name}"), F.lit(1), F.length("t.border"))
     more = (own < F.col("t.border")) | ((own == F.col("t.border")) & F.col("t.inclusive"))
     times = F.col("t.whole") + F.coalesce(more, F.lit(False)).cast("bigint")
     return keyed.join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*columns, times.alias(fresh(docs, "_times")[0]))

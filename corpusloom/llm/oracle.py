@@ -74,8 +74,7 @@ WITH d AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM aimed
 ), summed AS (
     SELECT d.doc_id, d.size, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size AS need,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
-        sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) AS upto, d.size AS own
     FROM d JOIN needs n ON d.source IS NOT DISTINCT FROM n.source
 )
 SELECT doc_id, size, source_size, target,
