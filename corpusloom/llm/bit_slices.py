@@ -17,8 +17,9 @@ k rows from a block.
 Nulls: rows whose id or vector is null, or whose vector holds a null or a component
 that is not finite, take no part. Shorter vectors count as filled up with zeros.
 Repeated ids: rows with the query's own id are not its candidates; other repeated rows
-are candidates each. Scores must fit a long: a component of 2^24 or more, quantised,
-fails with an error. Empty tables give an empty result. Other columns are ignored.
+are candidates each; rows of one id lie in several blocks. Large components are exact (their
+slices are more); a component of 2^61 or more, quantised, or one of the best scores that
+fits no long, is an error. Ties go to the smaller id. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-LIMIT = 1 << 24
+LIMIT = 1 << 61
 BLOCK_ROWS = 16_384
 GROUP_ROWS = 128
 TASK_GROUPS = 8  # query groups that one copy of a block serves
@@ -42,7 +43,7 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     found = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     size = F.lit(float(LIMIT) / scale)
-    value = F.transform("x", lambda c: F.when(F.abs(c) < size, F.floor(c * scale)).otherwise(F.raise_error(F.lit("component too large for exact scores"))).cast("int"))
+    value = F.transform("x", lambda c: F.when(F.abs(c) < size, F.floor(c * scale)).otherwise(F.raise_error(F.lit("component too large for exact scores"))).cast("bigint"))
     return found.filter("id IS NOT NULL AND x IS NOT NULL").filter(~F.coalesce(bad, F.lit(True))).select("id", value.alias("v"))
 
 
@@ -153,6 +154,16 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return words[row] * 64 + bit
 
 
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The numbers in 4 bytes each where they fit, else in 8."""
+    fits = not matrix.size or -(1 << 31) <= matrix.min() and matrix.max() < 1 << 31
+    return matrix.astype("<i4" if fits else "<i8")
+
+
+def _wide(packed: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(packed, "<i8" if len(packed) > 4 * rows * width else "<i4").reshape(rows, width).astype(np.int64)
+
+
 def _packed(df: DataFrame, part: str) -> DataFrame:
     """One row per ``part``: its ids in order, and their vectors."""
 
@@ -163,7 +174,7 @@ def _packed(df: DataFrame, part: str) -> DataFrame:
             table = pa.concat_batches(held).sort_by([("id", "ascending")])
             ids, matrix = table.column("id").to_numpy(), _matrix(table.column("v"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([now]), pa.array([ids.astype("<i8").tobytes()]), pa.array([matrix.astype("<i4").tobytes()]), pa.array([matrix.shape[1]], pa.int32())],
+                [pa.array([now]), pa.array([ids.astype("<i8").tobytes()]), pa.array([_narrow(matrix).tobytes()]), pa.array([matrix.shape[1]], pa.int32())],
                 [part, "ids", "vectors", "width"],
             )
 
@@ -191,7 +202,8 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, block_rows: int =
     asked = max(1, -(-queries.count() // group_rows))
 
     def dealt(df: DataFrame, parts: int, part: str) -> DataFrame:
-        return _packed(df.withColumn(part, F.pmod(F.xxhash64("id"), F.lit(parts))), part)
+        # By place as well: rows of a repeated id do not meet in one part.
+        return _packed(df.withColumn(part, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts))), part)
 
     copies = F.explode(F.sequence(F.lit(0), F.lit((asked - 1) // TASK_GROUPS))).alias("copy")
     index = dealt(rows, blocks, "block").select("*", copies)
@@ -208,9 +220,9 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, block_rows: int =
             for block, q_ids, q_vectors, q_width, ids, vectors, width in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != now:
                     own = np.frombuffer(ids, "<i8")
-                    now, slices = block, Slices(own, np.frombuffer(vectors, "<i4").reshape(len(own), width).astype(np.int64))
+                    now, slices = block, Slices(own, _wide(vectors, len(own), width))
                 asked_ids = np.frombuffer(q_ids, "<i8")
-                weights = np.frombuffer(q_vectors, "<i4").reshape(len(asked_ids), q_width)
+                weights = _wide(q_vectors, len(asked_ids), q_width)
                 out: list[tuple] = []
                 for query, weight in zip(asked_ids.tolist(), weights.tolist()):
                     out += [(query, int(i), s) for i, s in zip(*slices.search(query, weight, k))]
