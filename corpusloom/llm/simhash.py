@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import fresh, groups, per_row
+from .common import fresh, groups, join_side, per_row, stored
 from .components import components, stars
 
 SEED = 42
@@ -220,21 +220,23 @@ def links(fps: DataFrame, *, max_bits: int = 4, layout: tuple[Block, ...] = LAYO
 
 
 def membership(fps: DataFrame, *, id_col: str = "doc_id", max_bits: int = 4, layout: tuple[Block, ...] = LAYOUT) -> DataFrame:
-    """(fp, component_id) for every distinct ``fp``: the smallest id of its component."""
-    classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+    """(fp, component_id, copies) for every distinct ``fp``: the smallest id of its
+    component, and how many rows have that fingerprint."""
+    classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")))
     roots = components(links(classes, max_bits=max_bits, layout=layout))
     linked = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "first_id", "root")
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     inside = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     return classes.join(inside.withColumn("inside", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("inside"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")
+        "fp", F.when(F.col("inside"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), "copies"
     )
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, layout: tuple[Block, ...] = LAYOUT) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``."""
     fps = durable(fingerprints(docs, "doc_id", shingle=shingle))
-    return fps.join(membership(fps, max_bits=max_bits, layout=layout), "fp").select("doc_id", "fp", "component_id")
+    member = stored(membership(fps, max_bits=max_bits, layout=layout), "member")
+    return join_side(fps, member, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, layout: tuple[Block, ...] = LAYOUT) -> DataFrame:
