@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row
+from ..session import durable
+from .common import per_row, stored
 
 MAX_TRAIN = 10_000
 FEATURES = 512
@@ -148,9 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, max
     names = tuple(categories)
     marks = [F.expr(sql).cast("int").alias(f"y{i}") for i, sql in enumerate(categories.values())]
     marked = labels.select(F.col("doc_id").cast("bigint").alias("key"), *marks).dropna()
-    sample = marked.orderBy(_place(F.col("key")), *[f"y{i}" for i in range(len(names))]).limit(max_train)
+    ys = [f"y{i}" for i in range(len(names))]
+    # Repeated rows and labels without a document take no places of the sample.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.xxhash64("text").alias("text_hash")).distinct()
+    known = texts.join(marked.distinct(), "key")
     # max_train rows of a few numbers: bounded whatever the tables hold.
-    text_of = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(sample), "key")
+    sample = stored(known.orderBy(_place(F.col("key")), "text_hash", *ys).limit(max_train), "sample")
+    named = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.xxhash64("text").alias("text_hash"), "text").join(F.broadcast(sample), ["key", "text_hash"])
+    text_of = named.dropDuplicates(["key", "text_hash", *ys]).select("key", "text", *ys)
     schema = pa.schema([("word", pa.string()), ("key", pa.int64()), *[(f"y{i}", pa.int64()) for i in range(len(names))], ("n", pa.int64()), ("shape", pa.list_(pa.float64()))])
     fields = ", ".join(f"y{i} bigint" for i in range(len(names)))
 
@@ -169,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, max
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 20_000]), schema.types)], schema=schema)
 
     counted = text_of.mapInArrow(count, f"word string, key bigint, {fields}, n bigint, shape array<double>")
-    sums = counted.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(names))])
+    sums = durable(counted.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in ys]))
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(names))]).first()
     chosen: dict[str, int] = {}
     for i in range(len(names)):
