@@ -166,6 +166,92 @@ def test_names_and_short_blocks_do_not_lose_text(page, text):
     assert html_paths.extract(page) == text
 
 
+def peak(function):
+    """Seconds, and MB of Python objects at the highest point."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    begin = time.perf_counter()
+    out = function()
+    seconds, (_, most) = time.perf_counter() - begin, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return out, seconds, most / 1e6
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body><form action='/post'><div><h2>Titel</h2>{BODY}</div><input name=q><select><option>x</option></select></form></body></html>",
+    f"<body><form id=aspnet><div class=head><a href=/>Home</a><a href=/b>B</a></div><div class=text>{BODY}</div></form></body>",
+])
+def test_a_page_inside_a_form(page):
+    assert SAID in html_paths.extract(page)
+
+
+@pytest.mark.parametrize("name, kept", [
+    ("social-history", True), ("share-price-table", True), ("header-notes", True), ("related-work", True), ("social", False), ("ad-slot", False), ("newsletter-box", False),
+])
+def test_names_inside_the_article(name, kept):
+    page = f"<body><article><h1>T</h1>{BODY}<div class='{name}'><p>Words of this very part.</p></div>{BODY}</article></body>"
+    assert ("Words of this very part." in html_paths.extract(page)) == kept
+    links = f"<body><article><h1>T</h1>{BODY}<div class='{name}'><a href=/x>Words of this very part.</a></div></article></body>"
+    assert "very part" not in html_paths.extract(links)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x " * 100_000, "<b>x " * 100_000, "<p>a <b>b " * 50_000, "<div class='ad box'>x " * 100_000, "<a href=\"x> y " * 50_000, "<a title='x\">y " * 50_000,
+    "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "</x>" * 100_000, "<td>x<tr>" * 50_000, "<table>" + "<td>x" * 50_000 + "<tr>" * 10, "<script>" + "</script " * 50_000,
+    "<!-- " * 50_000, "< " * 100_000, "<div" * 50_000, "<ul><li>x" * 50_000, "&amp;" * 200_000, "<form><div>x" * 50_000,
+])
+def test_pages_of_any_shape_take_time_in_proportion(page):
+    got, seconds, most = peak(lambda: html_paths.extract(page))
+    assert seconds < 15 and most < 400, (seconds, most)  # with memory tracing, which slows the run several times
+
+
+def test_path_sums_equal_a_plain_parser():
+    """Length, punctuation and links of every tag path, against paths written out as text."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.sums = [], {}
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag + "".join(f".{v.split()[0]}" for k, v in attrs if k == "class"))
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                block = [t for t in self.stack if t.split(".")[0] not in html_paths.INLINE]
+                row = self.sums.setdefault("/" + "/".join(block), [0, 0, 0])
+                text = " ".join(data.split())
+                row[0] += len(text)
+                row[1] += sum(c in ".,;:!?" for c in text)
+                row[2] += len(text) if any(t.startswith("a") and t.split(".")[0] == "a" for t in self.stack) else 0
+
+    rng = random.Random(3)
+    for _ in range(40):
+        def tree(depth):
+            if not depth or rng.random() < 0.2:
+                text = " ".join(rng.choice(["word", "and,", "end.", "x!"]) for _ in range(rng.randint(1, 9)))
+                return f"<a href=#>{text}</a>" if rng.random() < 0.3 else text
+            tag = rng.choice(["div", "section", "ul", "div class='c1 c2'"])
+            return "".join(f"<{tag}><p>{tree(0)}</p>{tree(depth - 1)}</{tag.split()[0]}>" for _ in range(rng.randint(1, 3)))
+
+        page = f"<html><body>{''.join('<div>' + tree(3) + '</div>' for _ in range(3))}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        found, paths = html_paths.blocks(page)
+
+        def name(p):
+            return f"{name(paths.parent[p])}/{paths.label[p]}" if paths.parent[p] >= 0 else ""
+
+        got = {name(p): [int(v) for v in row[:3]] for p, row in html_paths.path_sums(found).items()}
+        assert got == plain.sums
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 
@@ -322,19 +408,6 @@ def test_sha_of_no_span_is_that_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def peak(function):
-    """Seconds, and MB of Python objects at the highest point."""
-    import time
-    import tracemalloc
-
-    tracemalloc.start()
-    begin = time.perf_counter()
-    out = function()
-    seconds, (_, most) = time.perf_counter() - begin, tracemalloc.get_traced_memory()
-    tracemalloc.stop()
-    return out, seconds, most / 1e6
-
-
 def test_long_runs_and_lines_take_time_and_memory_in_proportion():
     rng = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

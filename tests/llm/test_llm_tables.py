@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,6 +97,22 @@ def test_mix_takes_what_is_aimed_at(spark, sf):
     assert other != times
 
 
+def test_equal_rows_are_taken_in_part(spark):
+    """400 equal rows hold much of a source: the target is met to half a document all the same."""
+    docs = [(1, "w " * 10, "a")] * 400 + [(i, "x " * (i % 9 + 1), "a") for i in range(2, 80)] + [(i, "y " * 30, "b") for i in range(100, 400)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(7, "doc_id", "text")
+    for weights in ((3, 1, 2), (1, 7, 1), (2, 3, 1)):
+        rows_ = mixing.plan(table, weights=weights).collect()
+        assert len(rows_) == len(docs)
+        for source in "ab":
+            ids = {d for d, _, s in docs if s == source}
+            own = [r for r in rows_ if r["doc_id"] in ids]
+            taken = sum(r["times"] * r["size"] for r in own)
+            assert abs(taken - own[0]["target"]) <= max(r["size"] for r in own) / 2
+            assert len({r["times"] for r in own if r["doc_id"] == 1}) <= 2
+        assert mixing.mix(table, weights=weights).count() == sum(r["times"] for r in rows_)
+
+
 def test_mixing_edges(edges):
     plan = mixing.plan(edges)
     assert plan.count() == edges.count() and plan.filter("size = 0 AND target IS NULL").count() == 0
@@ -160,6 +177,19 @@ def test_passages_go_and_clean_texts_stay(spark):
         assert got[i]["text"] == f"Own beginning number {i}.\nOwn end number {i}." and got[i]["n_removed"] == 12
 
 
+def test_scripts_without_spaces_and_long_runs_of_marks():
+    text = "今天天气很好。我们去公园散步吧！你想一起来吗？" * 7
+    assert len(sentence_spans.sentences(text)) == 21 and "".join(sentence_spans.sentences(text)) == text
+    assert sentence_spans.runs(text, 2, 24, 40)
+    for text in ("!" * 100_000 + "x", "." * 100_000, "a." * 50_000 + " b", "\n" * 100_000, "?! " * 50_000):
+        begin = time.perf_counter()
+        assert "".join(sentence_spans.sentences(text)) == text
+        assert time.perf_counter() - begin < 2
+    for text in ("One. Two!  Three?\nFour", "a.b c. d", "x...  y", " lead. ", "end.", "end.\n", "v1.2 is out.Now. Done"):
+        plain = [m for m in re.findall(r"[^\n]*?(?:[.!?]+(?=\s)\s*|\n\s*|$)", text, re.DOTALL) if m]
+        assert sentence_spans.sentences(text) == plain
+
+
 def test_span_edges(edges):
     got = sentence_spans.deduplicate(edges)
     assert got.count() == edges.count() and set(edges.columns) <= set(got.columns)
@@ -269,11 +299,27 @@ def test_bit_slice_edges(spark):
     got = bit_slices.top_k(part, part.filter("id % 50 = 0"), k=5)
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 50, 32640), (0, 2, 51, 32640), (50, 1, 51, 32768), (50, 2, 0, 32640)]
     assert bit_slices.top_k(part.limit(0), part.limit(0)).count() == 0
+    wide = spark.createDataFrame([(0, [70_000.0, 1.0]), (50, [-65_536.0, 3e9]), (51, [1e6, -2.5])], "vec_id bigint, embedding array<double>")
+    part = bit_slices.quantised(wide, "vec_id", "embedding")
+    table = [(r["id"], r["v"]) for r in part.collect()]
+    assert table == [(0, [17_920_000, 256]), (50, [-16_777_216, 768_000_000_000]), (51, [256_000_000, -640])]
+    assert sorted(tuple(r) for r in bit_slices.top_k(part, part.filter("id % 50 = 0"), k=5).collect()) == top_loop(table, 5)
     large = spark.createDataFrame([(1, [1e30])], "vec_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         bit_slices.quantised(large, "vec_id", "embedding").collect()
 
 
+def test_a_repeated_id_lies_in_many_blocks(spark):
+    table = [(7, [i % 13, 1]) for i in range(300)] + [(50, [3, 1]), (100, [0, 2])]
+    df = spark.createDataFrame(table, "id bigint, v array<int>").repartition(5)
+    got = sorted(tuple(r) for r in bit_slices.top_k(df, df.filter("id % 50 = 0"), k=5, block_rows=16, group_rows=2).collect())
+    want = []
+    for q, x in table[-2:]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in table if c != q)[:5]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 # --- near copies of the pipeline
 
 
