@@ -199,7 +199,8 @@ def candidates(classes: DataFrame) -> DataFrame:
 
     bands = classes.filter("n > 0").select(F.explode("keys").alias("key"), "fp")
     busy = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "bands")
-    met = bands.join(busy, "key").join(classes.select("fp", "low"), "fp")
+    # Sides that grow with the documents are joined by shuffle at every size.
+    met = bands.join(busy.hint("merge"), "key").join(classes.select("fp", "low"), "fp")
     cut = met.select("key", _parts(F.ceil(F.col("members") / SLICE)).alias("part"), "fp", "low")
     together = cut.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return together.mapInArrow(meet, "a bigint, b bigint").distinct()
@@ -260,10 +261,10 @@ def checked(need: DataFrame, docs: DataFrame, *, shingle: int) -> DataFrame:
 
     weight = stored(need.groupBy("key").agg(F.ceil(F.sum("n") / SET_SLICE).alias("slices")).filter("slices > 1"), "groups")
     # Identical rows are all read as the text of their class: they are dealt out.
-    # Only names meet the documents, so where candidates are few their list goes to all tasks.
+    # Only names meet the documents.
     source, entries = deal(docs, need.select("_own", "_id", "fp", "copies"), "_own", "copies", "_salt")
     same = (source["_own"] == entries["_own"]) & (source["_salt"] == entries["_salt"]) & source["_doc"].eqNullSafe(entries["_id"])
-    texts = source.join(entries, same).select("fp", "text").dropDuplicates(["fp"]).join(need.select("fp", "key", "low"), "fp")
+    texts = source.join(entries.hint("merge"), same).select("fp", "text").dropDuplicates(["fp"]).join(need.select("fp", "key", "low"), "fp")
     cut = texts.join(weight, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("bigint")))
     parts = cut.select("key", _parts(F.col("slices")).alias("part"), "fp", "low", "text")
     together = parts.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
