@@ -25,6 +25,7 @@ from ..schema import (
     ABSMAX_FLOOR,
     CLIP_CANDIDATES,
     CLIP_QUANTILE,
+    CONTROL_NAME_PATTERNS,
     FP16_SMALLEST_NORMAL,
     KEEP_FLOAT_MAX_NUMEL,
     PRUNE_QUANTILE,
@@ -44,13 +45,29 @@ POLICIES: dict[str, dict] = {
     "int6_mixed_fp16": {
         "small": 65_536,
         "control": True,
+        "control_names": ["smear", "bigram.scale"],
         "fp16": ["tok_emb", "blocks.8.attn.c_k"],
         "low": {"mlp": "int6", "attn": "int6"},
         "rest": "int8",
     },
+    "int6_mixed_smear": {
+        "small": 65_536,
+        "control": True,
+        "control_names": ["smear"],
+        "low": {"mlp": "int6", "attn": "int6"},
+        "rest": "int8",
+    },
+    "int6_mixed_gates": {
+        "small": 65_536,
+        "control": True,
+        "control_names": ["smear", "dtg_gate", "ve_layer_scales", "ve_shared.scale"],
+        "low": {"mlp": "int6", "attn": "int6"},
+        "rest": "int8",
+    },
     "int5_mlp": {
         "small": 8_192,
         "control": True,
+        "control_names": ["smear", "bigram.scale"],
         "fp16": ["tok_emb", "blocks.8.attn.c_k"],
         "low": {"mlp": "int5", "attn": "int6", "bigram": "int6"},
         "variant": "bigram",
@@ -228,6 +245,7 @@ def route_matrices(tensors: DataFrame, policy: str | dict) -> DataFrame:
     ``class``, ``layer`` and ``scheme``."""
     rules = POLICIES[policy] if isinstance(policy, str) else policy
     name = F.col("tensor")
+    control = has_any(name, [*CONTROL_NAME_PATTERNS, *rules.get("control_names", [])])
     cls = matrix_class(name, rules.get("variant", "plain"))
     scheme = F.when(~F.col("is_float"), "passthrough")
     layer = layer_number(name)
@@ -240,11 +258,11 @@ def route_matrices(tensors: DataFrame, policy: str | dict) -> DataFrame:
         for pattern in rules.get("fp16", []):
             fp16_rule = fp16_rule | name.contains(pattern)
         scheme = scheme.when(fp16_rule, "passthrough_fp16")
-        small = F.when(has_any(name), "passthrough_ctrl").otherwise("passthrough_fp16")
+        small = F.when(control, "passthrough_ctrl").otherwise("passthrough_fp16")
         scheme = scheme.when(F.col("numel") <= rules["small"], small)
     else:
         scheme = scheme.when(F.col("numel") <= rules["small"], "passthrough")
-        scheme = scheme.when(has_any(name), "passthrough_ctrl")
+        scheme = scheme.when(control, "passthrough_ctrl")
         for pattern in rules.get("fp16", []):
             fp16_rule = fp16_rule | name.contains(pattern)
         scheme = scheme.when(fp16_rule, "passthrough_fp16")

@@ -28,8 +28,9 @@ class Running:
     """One scanned column.
 
     ``kind``: ``sum``, ``min``, ``max`` (running aggregate), ``lag`` (previous row),
-    ``first`` (first row of the group), ``total`` or ``least`` (sum or minimum of the
-    whole group). ``inclusive`` counts the current row.
+    ``first`` (first row of the group), ``last`` (last value that is not null), ``total``
+    or ``least`` (sum or minimum of the whole group). ``inclusive`` counts the current row
+    (not for lag, first and last).
     """
 
     kind: str
@@ -44,7 +45,7 @@ _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def out_type(run: Running, schema: T.StructType) -> T.DataType:
     kind, given = WHOLE.get(run.kind, run.kind), schema[run.column].dataType
-    if kind in ("lag", "first"):
+    if kind in ("lag", "first", "last"):
         return given
     if not isinstance(given, (*_INTEGERS, T.DoubleType)):
         raise ValueError(f"running {run.kind} of {run.column}: {given.simpleString()} is not bigint, int or double")
@@ -59,6 +60,8 @@ def _merge(kind: str, earlier, later):
         return earlier
     if earlier is None or later is None:
         return later if earlier is None else earlier
+    if kind == "last":
+        return later
     return earlier + later if kind == "sum" else (np.fmin if kind == "min" else np.maximum)(earlier, later)
 
 
@@ -141,6 +144,13 @@ class _Walk:
         if run.kind == "first":
             value = pa.concat_arrays([pa.array([state], col.type), col]).take(pa.array(start + 1))
             return value, lambda row: value[row].as_py()
+        if run.kind == "last":
+            there = col.is_valid().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(there, np.arange(n), -1))
+            # Only values of the row's own group; -1 takes what the group brought along.
+            at = np.where(at >= np.maximum(start, 0), at, -1)
+            value = pa.concat_arrays([pa.array([state], col.type), col]).take(pa.array(at + 1, mask=(at < 0) & (start >= 0)))
+            return value, lambda row: value[row].as_py()
         own = None if new[0] else state
         total, known = _running(run.kind, *_numbers(col), start, own)
         shown, there = total, known

@@ -228,6 +228,13 @@ def windows(spark: SparkSession, total: int, seq_len: int, stride: int, policy:
     )
 
 
+def window_at(k: int, total: int, seq_len: int, stride: int, policy: str) -> tuple[int, int, int]:
+    """(win_start, win_len, score_from) of window ``k``, as ``windows`` lays it out."""
+    start = k * stride if policy != "jump" or k == 0 else seq_len - stride + (k - 1) * stride
+    low, high = _scored(k, total, seq_len, stride, policy)
+    return start, min(start + seq_len, total) - start, low - start
+
+
 def _scored(k: int, total: int, seq_len: int, stride: int, policy: str) -> tuple[int, int]:
     """Positions window ``k`` of a policy scores, as ``windows`` lays it out."""
     start = k * stride if policy != "jump" or k == 0 else seq_len - stride + (k - 1) * stride

@@ -80,7 +80,44 @@ z AS (SELECT regexp_replace(regexp_replace(replace(text, chr(0), ' '), '^[\s\x1c
 w AS (SELECT word, count(*)::BIGINT AS n FROM
         (SELECT unnest(regexp_extract_all(x, '\p{Nd}|▁?[^▁\p{Nd}]+|▁')) AS word FROM z WHERE x <> '') GROUP BY word)"""
 
+# Words as symbols between two noncharacters; what the alphabet leaves out becomes byte
+# pieces. Then one merge a step: the most frequent pair, ties by the lowest pair.
+def merges(n: int) -> str:
+    o, c = "chr(64976)", "chr(64977)"
+    return rf"""WITH RECURSIVE {WORDS},
+c AS (SELECT ch, sum(n)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS ch, n FROM w) GROUP BY ch),
+q AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM c),
+alphabet AS (SELECT ch, n FROM q WHERE b < 0.999::DOUBLE * t),
+known AS (SELECT list(ch) AS chars FROM alphabet),
+spelled AS (
+  SELECT array_to_string([CASE WHEN list_contains(chars, x) THEN {o} || x || {c}
+      ELSE array_to_string([{o} || '<0x' || h || '>' || {c} for h in regexp_extract_all(hex(encode(x)), '..')], '') END for x in regexp_extract_all(word, '(?s).')], '') AS s,
+    sum(n)::BIGINT AS n
+  FROM w, known GROUP BY 1
+), steps(step, s, n, l, r, c) AS (
+  SELECT 0, s, n, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM spelled
+  UNION ALL
+  SELECT step + 1, replace(s, {o} || b.l || {c} || {o} || b.r || {c}, {o} || b.l || b.r || {c}), n, b.l, b.r, b.c
+  FROM steps, (
+    SELECT y[i] AS l, y[i + 1] AS r, sum(n)::BIGINT AS c
+    FROM (SELECT y, n, unnest(range(1, len(y))) AS i FROM (SELECT string_split(s[2:len(s) - 1], {c} || {o}) AS y, n FROM steps))
+    WHERE NOT regexp_matches(y[i], '^<(0x[0-9A-F]{{2}}|unk)>$') AND NOT regexp_matches(y[i + 1], '^<(0x[0-9A-F]{{2}}|unk)>$')
+    GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1
+  ) AS b WHERE step < {n}
+), learned AS (SELECT DISTINCT (step - 1)::BIGINT AS rank, l, r, l || r AS piece, c FROM steps WHERE step > 0)"""
+
+
+VOCABULARY = merges(16) + """,
+pieces AS (SELECT piece, row_number() OVER (ORDER BY g, r, piece) + 259 AS id
+  FROM (SELECT 0 AS g, rank AS r, piece FROM learned UNION ALL SELECT 1, -n, ch FROM alphabet)),
+sized AS (SELECT id, piece, starts_with(piece, '▁') AS marked FROM pieces)
+SELECT i::INTEGER AS token_id, (i >= 4)::INTEGER AS n_bytes, false AS leading_space, i < 4 AS boundary FROM range(260) q(i)
+UNION ALL
+SELECT id::INTEGER, (strlen(piece) - CASE WHEN marked THEN 3 ELSE 0 END)::INTEGER, marked, false FROM sized"""
+
 ORACLE = {
+    "bpe_merges": merges(48) + """ SELECT rank, l AS "left", r AS "right", piece, c AS n FROM learned""",
+    "bpe_vocabulary": VOCABULARY,
     "corpus_bpb_unigram": _bpb(),
     "bpb_by_source_lang": _bpb("source", "lang"),
     "bpb_by_document": _bpb("doc_id"),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.matrices import POLICIES
-from ..schema import CLIP_CANDIDATES, CLIP_QUANTILE, CONTROL_NAME_PATTERNS, EMA_DECAY
-from .matrix_queries import LAYERS, NAMES, SCALE_UP
+from ..schema import CLIP_CANDIDATES, CLIP_QUANTILE, EMA_DECAY
+from .matrix_queries import SCALE_UP
 
 X = f"""m AS (SELECT 'tensor_' || label AS tensor, vec_id::INTEGER AS row_id, embedding AS v FROM embeddings),
 x AS (SELECT tensor, row_id, (unnest(v) * {SCALE_UP}::FLOAT)::DOUBLE AS val, unnest(range(len(v))) AS pos FROM m)"""
@@ -77,15 +76,17 @@ SELECT {key}, pct, round(mse, 9) AS mse FROM o WHERE rn = 1"""
 
 
 def _names() -> str:
-    cases = []
-    for i, template in enumerate(NAMES):
-        text = "'" + template.replace("%d", f"' || (vec_id % {LAYERS}) || '") + "'"
-        cases.append(f"WHEN label = {i} THEN {text}")
-    return f"""a AS (SELECT vec_id, CASE {' '.join(cases)} END AS tensor, vec_id % 17 <> 0 AS is_float,
+    return f"""a AS (SELECT vec_id, CASE label WHEN 0 THEN 'tok_emb.weight' WHEN 1 THEN 'blocks.' || (vec_id % 12) || '.attn.c_q.weight'
+    WHEN 2 THEN 'blocks.' || (vec_id % 12) || '.attn.c_k.weight' WHEN 3 THEN 'blocks.' || (vec_id % 12) || '.attn.proj.weight'
+    WHEN 4 THEN 'blocks.' || (vec_id % 12) || '.mlp.fc.weight' WHEN 5 THEN 'blocks.' || (vec_id % 12) || '.mlp.proj.weight'
+    WHEN 6 THEN 'blocks.' || (vec_id % 12) || '.attn.q_gain' WHEN 7 THEN 'skip_weights'
+    WHEN 8 THEN ['bigram.proj.weight', 'bigram.scale', 'smear.gate', 've_shared.scale'][vec_id % 4 + 1] WHEN 9 THEN 'lm_head.weight' END AS tensor, vec_id % 17 <> 0 AS is_float,
   CASE WHEN label IN (6, 7) THEN 1 ELSE 2 END AS ndim, (64 * (vec_id * 7 % 2003 + 1))::BIGINT AS numel,
   (vec_id * 7 % 2003 + 1)::BIGINT AS n_rows, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 2 END AS width FROM embeddings),
 b AS (SELECT *, coalesce(try_cast(regexp_extract(tensor, 'blocks\\.(\\d+)\\.', 1) AS INTEGER), -1) AS layer,
-  ({' OR '.join(f"contains(tensor, '{p}')" for p in CONTROL_NAME_PATTERNS)}) AS ctrl FROM a),
+  (contains(tensor, 'attn_scale') OR contains(tensor, 'mlp_scale') OR contains(tensor, 'resid_mix') OR contains(tensor, 'q_gain') OR contains(tensor, 'skip_weight')) AS ctrl,
+  contains(tensor, 'smear') AS smear, contains(tensor, 'bigram.scale') AS big_scale,
+  (contains(tensor, 'dtg_gate') OR contains(tensor, 've_layer_scales') OR contains(tensor, 've_shared.scale')) AS gates FROM a),
 g AS (SELECT coalesce(max(layer) FILTER (starts_with(tensor, 'blocks.')), 0) + 1 AS layers FROM b)"""
 
 
@@ -106,16 +107,19 @@ _ROUTES = {
         WHEN numel <= 65536 THEN {_SMALL} ELSE 'int6' END""",
     "int6_mixed": """CASE WHEN NOT is_float OR numel <= 65536 THEN 'passthrough' WHEN ctrl THEN 'passthrough_ctrl'
         WHEN class IN ('mlp', 'attn') THEN 'int6' ELSE 'int8' END""",
-    "int6_mixed_fp16": f"""CASE WHEN NOT is_float OR numel <= 65536 THEN 'passthrough' WHEN ctrl THEN 'passthrough_ctrl'
+    "int6_mixed_smear": """CASE WHEN NOT is_float OR numel <= 65536 THEN 'passthrough' WHEN ctrl OR smear THEN 'passthrough_ctrl'
+        WHEN class IN ('mlp', 'attn') THEN 'int6' ELSE 'int8' END""",
+    "int6_mixed_gates": """CASE WHEN NOT is_float OR numel <= 65536 THEN 'passthrough' WHEN ctrl OR smear OR gates THEN 'passthrough_ctrl'
+        WHEN class IN ('mlp', 'attn') THEN 'int6' ELSE 'int8' END""",
+    "int6_mixed_fp16": f"""CASE WHEN NOT is_float OR numel <= 65536 THEN 'passthrough' WHEN ctrl OR smear OR big_scale THEN 'passthrough_ctrl'
         WHEN {_FP16_KEEP} THEN 'passthrough_fp16' WHEN class IN ('mlp', 'attn') THEN 'int6' ELSE 'int8' END""",
-    "int5_mlp": f"""CASE WHEN NOT is_float OR numel <= 8192 THEN 'passthrough' WHEN ctrl THEN 'passthrough_ctrl'
+    "int5_mlp": f"""CASE WHEN NOT is_float OR numel <= 8192 THEN 'passthrough' WHEN ctrl OR smear OR big_scale THEN 'passthrough_ctrl'
         WHEN {_FP16_KEEP} THEN 'passthrough_fp16' WHEN class = 'mlp' THEN 'int5' WHEN class IN ('attn', 'bigram') THEN 'int6' ELSE 'int8' END""",
 }
-assert set(_ROUTES) == set(POLICIES)
 
 
 def _route(policy: str) -> str:
-    cls = _class(POLICIES[policy].get("variant", "plain"))
+    cls = _class("bigram" if policy == "int5_mlp" else "plain")
     return f"""SELECT '{policy}' AS policy, vec_id, tensor, class, layer, {_ROUTES[policy]} AS scheme
 FROM (SELECT *, {cls} AS class FROM b CROSS JOIN g)"""
 
@@ -154,7 +158,7 @@ SELECT tensor, row_id, count(*) FILTER (a = 0)::BIGINT AS zeros, round(sum(a), 6
     "matrix_quantile": f"""WITH {X}
 SELECT tensor, count(*)::BIGINT AS n, round(quantile_cont(abs(val), 0.03), 9) AS q03, round(quantile_cont(abs(val), 0.999), 9) AS q999,
        round(max(abs(val)), 9) AS abs_max FROM x GROUP BY tensor""",
-    "matrix_routing": f"WITH {_names()} " + " UNION ALL ".join(_route(p) for p in POLICIES),
+    "matrix_routing": f"WITH {_names()} " + " UNION ALL ".join(_route(p) for p in _ROUTES),
     "size_accounting": f"""WITH {_names()}, rt AS ({_route('int8')}),
 z AS (SELECT b.*, class, scheme, NOT starts_with(scheme, 'passthrough') AS quantised FROM b JOIN rt USING (vec_id)),
 y AS (SELECT *, CASE WHEN quantised THEN numel + CASE WHEN ndim = 2 THEN n_rows * 2 ELSE 4 END

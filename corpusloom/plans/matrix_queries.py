@@ -44,6 +44,8 @@ NAMES = (
     "lm_head.weight",
 )
 LAYERS = 12
+# Small tensors that only some runs keep in full precision; in place of every fourth bigram weight.
+CONTROLS = ("bigram.proj.weight", "bigram.scale", "smear.gate", "ve_shared.scale")
 
 
 def weights(spark, sf) -> DataFrame:
@@ -146,6 +148,8 @@ def named_tensors(spark, sf) -> DataFrame:
     for i, template in enumerate(NAMES):
         text = F.lit(template) if "%d" not in template else F.format_string(template, vec % LAYERS)
         name = F.when(label == i, text).otherwise(name)
+    given = F.element_at(F.array(*[F.lit(c) for c in CONTROLS]), (vec % 4 + 1).cast("int"))
+    name = F.when(name == CONTROLS[0], given).otherwise(name)
     return e.select(
         "vec_id",
         name.alias("tensor"),

@@ -105,6 +105,19 @@ def stream_ingest_stats(spark, sf):
     return stats.join(sums, "split")
 
 
+def stream_reordered_ingest(spark, sf):
+    """Documents arriving in any order, a part of every stretch in each step: held until
+    those before them have come, then placed as a batch job would."""
+    source, out, checkpoint = (scratch_path(spark, x) for x in ("shuffled", "ordered", "ordered-checkpoint"))
+    incoming = lengths(spark, sf).withColumn("step", F.pmod(F.xxhash64("doc_ordinal"), F.lit(INGEST_STEPS)).cast("int"))
+    incoming.write.partitionBy("step").parquet(f"{source}/all")
+    for step in range(INGEST_STEPS):
+        spark.read.parquet(f"{source}/all/step={step}").write.mode("append").parquet(f"{source}/steps")
+        arriving = spark.readStream.schema("doc_ordinal BIGINT, n_tokens BIGINT").parquet(f"{source}/steps")
+        jobs.keep_batches(jobs.reordered(arriving, VAL_DOCS), out, checkpoint, once=True).awaitTermination()
+    return jobs.ingested(spark.read.parquet(out), VAL_DOCS)
+
+
 def batch_log_best(spark, sf):
     """The same table computed in batch."""
     points = log_points(_runs(spark, sf)).filter(F.col("kind") == "val")
@@ -129,6 +142,7 @@ QUERIES = {
     "stream_log_best": stream_log_best,
     "batch_log_best": batch_log_best,
     "stream_ingest_stats": stream_ingest_stats,
+    "stream_reordered_ingest": stream_reordered_ingest,
 }
 
 _IN_SHARDS = f"WITH {tokens(VAL_DOCS)}, s AS (SELECT split, (pos // {SHARD})::INTEGER AS shard_id, pos % {SHARD} AS k, tok FROM t)"
@@ -153,6 +167,8 @@ e AS (SELECT split, cell, least(off + n, (cell + 1) * {BLOCK} + 1) - greatest(of
 SELECT split, cell, count(*)::BIGINT AS pieces, sum(n)::BIGINT AS n FROM e WHERE n > 0 GROUP BY ALL""",
     "stream_log_best": _LOG_BEST,
     "batch_log_best": _LOG_BEST,
+    "stream_reordered_ingest": f"""WITH {placed(VAL_DOCS)}
+SELECT split, doc_id AS doc_ordinal, n AS n_tokens, ord AS split_ordinal, off AS "offset" FROM p""",
     "stream_ingest_stats": f"""WITH {placed(VAL_DOCS)}
 SELECT split, count(*)::BIGINT AS docs, ceil(sum(n) / {SHARD})::BIGINT AS files, sum(n)::BIGINT AS tokens, sum(off)::BIGINT AS sum_offset, max(ord) AS last_ordinal
 FROM p GROUP BY split""",

@@ -38,8 +38,19 @@ def read_runs(spark: SparkSession, glob: str, corrections: DataFrame | None = No
     return parse_runs(raw, corrections)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema=RESULTS)
+def read_results(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
+    """Result tables; a field that is no value of its column is null, see :func:`check_results`."""
+    return spark.read.csv(path, sep="\t", header=header, schema=RESULTS)
+
+
+def check_results(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
+    """Lines of result tables that do not hold a result, as violations (rule, detail)."""
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.filter(F.col("value") != "\t".join(f.split(" ")[0] for f in RESULTS.split(", ")))
+    bad = {"sep": "\t", "columnNameOfCorruptRecord": "line"}
+    parsed = lines.select(F.from_csv("value", f"{RESULTS}, line STRING", bad).alias("r"))
+    return parsed.filter("r.line IS NOT NULL").select(F.lit("unreadable_result").alias("rule"), F.col("r.line").alias("detail"))
 
 
 def read_board(spark: SparkSession, path: str) -> DataFrame:

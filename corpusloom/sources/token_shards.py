@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from pyarrow import fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -366,69 +368,126 @@ class TokenShardStream(DataSource):
         return ShardStreamReader(self.options)
 
 
+class ShardIndex:
+    """Shards of a split in file-name order, with running sums of their tokens.
+
+    A place in the stream is found by binary search. Files that are there stay as they
+    are; ``extend`` adds those that have come since, behind them.
+    """
+
+    def __init__(self):
+        self.shards: list[Shard] = []
+        self.ends: list[int] = []
+
+    def extend(self, listed: list[Shard]) -> None:
+        known = len(self.shards)
+        name = lambda s: s.path.rsplit("/", 1)[-1]
+        if [name(s) for s in listed[:known]] != [name(s) for s in self.shards]:
+            raise ValueError("a shard came before others that have been read, or one is gone")
+        for shard in listed[known:]:
+            self.shards.append(shard)
+            self.ends.append((self.ends[-1] if self.ends else 0) + shard.n_tokens)
+
+    @property
+    def total(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def start(self, file: int) -> int:
+        return self.ends[file - 1] if file else 0
+
+    def ranges(self, low: int, high: int, step: int, epoch: int = 1) -> list[ShardRange]:
+        """The stretch [low, high) of the stream, in ranges of at most ``step`` tokens."""
+        out = []
+        file = bisect_right(self.ends, low)
+        while low < high:
+            shard, base = self.shards[file], self.start(file)
+            stop = min(high, self.ends[file])
+            for at in range(low, stop, step):
+                out.append(ShardRange(shard.path, shard.split, shard.shard_id, shard.n_tokens, at - base, min(at + step, stop) - base, epoch))
+            low, file = stop, file + 1
+        return out
+
+
 class ShardStreamReader(DataSourceStreamReader):
+    """``tokensPerBatch`` tokens a batch, or all there are (``all``, for a trigger that
+    takes what is available in one batch; needs ``epochs``)."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.prefix = options.get("prefix", SHARD_PREFIX)
         self.split = options.get("split", "train")
         self.block = int(options.get("blockTokens", DEFAULT_BLOCK))
-        self.per_batch = int(options.get("tokensPerBatch", SHARD_SIZE))
+        per_batch = options.get("tokensPerBatch", SHARD_SIZE)
+        self.per_batch = None if per_batch == "all" else int(per_batch)
         self.split_tokens = max(int(options.get("splitTokens", DEFAULT_SPLIT)) // self.block, 1) * self.block
         epochs = options.get("epochs")
         self.epochs = int(epochs) if epochs else None
+        if self.per_batch is None and self.epochs is None:
+            raise ValueError("tokensPerBatch=all needs a number of epochs")
         self.at: dict | None = None
+        self.index = ShardIndex()
 
-    def _shards(self) -> list[Shard]:
+    def _list(self) -> None:
         shards = [s for s in list_shards(self.path, self.prefix, self.split) if s.n_tokens]
         if not shards:
             raise FileNotFoundError(f"No shards found below {self.path}")
-        return shards
+        self.index.extend(shards)
 
     def initialOffset(self) -> dict:
         return {"epoch": 1, "file": 0, "pos": 0}
 
-    def _walk(self, start: dict, tokens: int | None, end: dict | None = None) -> tuple[list[ShardRange], dict]:
-        """Ranges from ``start`` on, up to ``tokens`` tokens or the offset ``end``."""
-        shards = self._shards()
-        at, ranges = dict(start), []
+    def _advance(self, at: dict, tokens: int | None) -> tuple[int, int]:
+        """(epoch, place) ``tokens`` behind ``at``. The folder is listed again only where
+        an epoch ends, so a batch costs the files that it reads."""
+        epoch, file = at["epoch"], at["file"]
+        if file >= len(self.index.shards):
+            self._list()
+        place = self.index.start(file) + at["pos"]
         while tokens is None or tokens > 0:
-            if at["file"] == len(shards):
-                if self.epochs is not None and at["epoch"] >= self.epochs:
+            if place == self.index.total:
+                self._list()
+            if place == self.index.total:
+                if self.epochs is not None and epoch >= self.epochs:
                     break
-                at = {"epoch": at["epoch"] + 1, "file": 0, "pos": 0}
-            if end is not None and (at["epoch"], at["file"], at["pos"]) >= (end["epoch"], end["file"], end["pos"]):
-                break
-            shard = shards[at["file"]]
-            stop = shard.n_tokens
-            if tokens is not None:
-                stop = min(stop, at["pos"] + tokens)
-                tokens -= stop - at["pos"]
-            if end is not None and (end["epoch"], end["file"]) == (at["epoch"], at["file"]):
-                stop = min(stop, end["pos"])
-            for lo in range(at["pos"], stop, self.split_tokens):
-                ranges.append(
-                    ShardRange(shard.path, shard.split, shard.shard_id, shard.n_tokens, lo, min(lo + self.split_tokens, stop), at["epoch"])
-                )
-            at = {**at, "pos": stop} if stop < shard.n_tokens else {"epoch": at["epoch"], "file": at["file"] + 1, "pos": 0}
-        return ranges, at
+                epoch, place = epoch + 1, 0
+            step = self.index.total - place if tokens is None else min(tokens, self.index.total - place)
+            place += step
+            tokens = None if tokens is None else tokens - step
+        return epoch, place
+
+    def _offset(self, epoch: int, place: int) -> dict:
+        file = bisect_right(self.index.ends, place)
+        return {"epoch": epoch, "file": file, "pos": place - self.index.start(file)}
 
     def latestOffset(self) -> dict:
-        start = self.at or self.initialOffset()
-        _, self.at = self._walk(start, self.per_batch)
+        self.at = self._offset(*self._advance(self.at or self.initialOffset(), self.per_batch))
         return self.at
 
     def partitions(self, start: dict, end: dict):
-        # After a restart the first planned batch tells where the stream stands.
-        if self.at is None or (end["epoch"], end["file"], end["pos"]) > (self.at["epoch"], self.at["file"], self.at["pos"]):
+        if self.at is None or _later(end, self.at):
+            # After a restart the first planned batch tells where the stream stands.
             self.at = end
-        return group_ranges(self._walk(start, None, end)[0], self.split_tokens)
+        if not self.index.shards or max(start["file"], end["file"]) > len(self.index.shards):
+            self._list()
+        ranges, epoch, low = [], start["epoch"], self.index.start(start["file"]) + start["pos"]
+        last = self.index.start(end["file"]) + end["pos"]
+        while epoch <= end["epoch"]:
+            high = last if epoch == end["epoch"] else self.index.total
+            ranges += self.index.ranges(low, high, self.split_tokens, epoch)
+            epoch, low = epoch + 1, 0
+        return group_ranges(ranges, self.split_tokens)
 
     def read(self, partition):
         for part in partition.ranges:
             yield from _batches(self.path, part, self.block, with_epoch=True)
 
     def commit(self, end: dict) -> None:
-        self.at = max(self.at or end, end, key=lambda o: (o["epoch"], o["file"], o["pos"]))
+        if self.at is None or _later(end, self.at):
+            self.at = end
+
+
+def _later(a: dict, b: dict) -> bool:
+    return (a["epoch"], a["file"], a["pos"]) > (b["epoch"], b["file"], b["pos"])
 
 
 def register(spark: SparkSession) -> None:
@@ -473,6 +532,61 @@ def shard_files(spark: SparkSession, path: str) -> str:
     return path.rstrip("/") + folders[0][len(root) :]
 
 
+def read_spans(spark: SparkSession, path: str, spans: DataFrame, *, split: str = "train", prefix: str = SHARD_PREFIX) -> DataFrame:
+    """``spans`` (start, length and further columns) with their ``tokens``, read by position.
+
+    Each task looks up the files of its spans in the shards' running sums and reads just
+    their bytes; nothing is shuffled and no block is assembled. Spans wrap at the end of
+    the stream. The running sums come from the listing: as many entries as files.
+    """
+    root = qualified(spark, path)
+    index = ShardIndex()
+    index.extend([s for s in list_shards(root, prefix, split) if s.n_tokens])
+    if not index.total:
+        raise FileNotFoundError(f"No shards found below {path}")
+    shared = spark.sparkContext.broadcast(index)
+    names = spans.columns
+    start, length = names.index("start"), names.index("length")
+    schema = T.StructType([*spans.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        index = shared.value
+        system, _ = filesystem(root)
+        checked: set[str] = set()
+        for batch in filter(len, batches):
+            found = []
+            for at, n in zip(batch.column(start).to_pylist(), batch.column(length).to_pylist()):
+                if at < 0 or n < 0:
+                    raise ValueError(f"no span: start {at}, length {n}")
+                found.append(_span(system, index, at % index.total, n, checked))
+            sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(sizes, np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
+
+    return spans.mapInArrow(run, schema)
+
+
+def span_reads(index: ShardIndex, at: int, n: int) -> Iterator[ShardRange]:
+    """Ranges of files that hold ``n`` tokens from ``at`` on, from the begin again at the end."""
+    while n > 0:
+        take = min(n, index.total - at)
+        yield from index.ranges(at, at + take, index.total)
+        at, n = 0, n - take
+
+
+def _span(system: pafs.FileSystem, index: ShardIndex, at: int, n: int, checked: set[str]) -> np.ndarray:
+    parts = [np.empty(0, np.int32)]
+    for part in span_reads(index, at, n):
+        if part.path not in checked:
+            if read_header(system, part.path, system.get_file_info(part.path).size) != part.n_tokens:
+                raise ValueError(f"size of shard {part.path} changed while it was read")
+            checked.add(part.path)
+        with system.open_input_file(part.path) as f:
+            data = f.read_at((part.stop - part.start) * SHARD_TOKEN_BYTES, SHARD_HEADER_BYTES + part.start * SHARD_TOKEN_BYTES)
+        parts.append(np.frombuffer(data, "<u2").astype(np.int32))
+    return np.concatenate(parts)
+
+
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
     reader = spark.read.format("token_shards").option("path", qualified(spark, path))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import split_of
-from ..operators.order import running_offsets
+from ..operators.order import ROWS_PER_BUCKET, Running, range_segments, running_offsets, scan
 from ..operators.runs import log_points
 from ..session import qualified
 from ..sources.token_shards import register
+from . import reorder
 
 
 def stream_shards(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -129,6 +131,56 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, num_val_docs: int)
     )
 
 
+# --- ingest in any order -----------------------------------------------------------------
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ORDERED = "split STRING, bucket BIGINT, kind STRING, doc_ordinal BIGINT, n_tokens BIGINT, bucket_ordinal BIGINT, bucket_offset BIGINT"
+
+
+def reordered(docs: DataFrame, num_val_docs: int, *, bucket_rows: int = ROWS_PER_BUCKET, patience_ms: int = 600_000) -> DataFrame:
+    """Streaming (split, bucket, kind, doc_ordinal, n_tokens, bucket_ordinal, bucket_offset)
+    of documents that arrive in any order.
+
+    ``placed``: the documents of each ordinal bucket in their order, with their place in
+    the bucket. ``missing``: a document that others have waited for ``patience_ms`` for
+    (n_tokens then says how many). State is held per bucket, so no key grows with the
+    stream and all tasks share the work; :func:`ingested` puts the buckets together.
+
+    Timers ask for batches without end: run it with a time interval as trigger, or one
+    batch at a time (``once``); a trigger that takes what is available never ends.
+    """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The process that plans a stateful operator sees no shipped files, so it travels by value.
+    cloudpickle.register_pickle_by_value(reorder)
+    keyed = docs.select(
+        split_of(F.col("doc_ordinal"), num_val_docs).alias("split"), F.expr(f"doc_ordinal div {bucket_rows}").alias("bucket"), "doc_ordinal", "n_tokens"
+    )
+    return keyed.groupBy("split", "bucket").transformWithStateInPandas(
+        reorder.Reorder(bucket_rows, num_val_docs, patience_ms), ORDERED, outputMode="append", timeMode="ProcessingTime"
+    )
+
+
+def ingested(rows: DataFrame, num_val_docs: int, *, bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(split, doc_ordinal, n_tokens, split_ordinal, offset) of the documents whose
+    offset is settled: those up to the first gap of their split. ``rows`` is what
+    :func:`reordered` has given out so far."""
+    placed = rows.filter(F.col("kind") == "placed")
+    sums = placed.groupBy("split", "bucket").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    low = F.when(F.col("split") == "train", F.greatest(F.col("bucket") * bucket_rows, F.lit(num_val_docs))).otherwise(F.col("bucket") * bucket_rows)
+    high = F.when(F.col("split") == "val", F.least((F.col("bucket") + 1) * bucket_rows, F.lit(num_val_docs))).otherwise((F.col("bucket") + 1) * bucket_rows)
+    first = F.when(F.col("split") == "train", F.expr(f"{num_val_docs} div {bucket_rows}")).otherwise(0)
+    # One row a bucket. A bucket counts if all before it are full.
+    sums = sums.withColumn("full", (F.col("docs") == high - low).cast("bigint")).withColumn("nth", F.col("bucket") - first)
+    order = ["split", "bucket"]
+    runs = [Running("sum", "docs", "docs_before", False), Running("sum", "tokens", "tokens_before", False), Running("sum", "full", "full_before", False)]
+    bases = scan(range_segments(sums, order), ["split"], ["bucket"], runs).filter(F.col("full_before") == F.col("nth"))
+    return placed.join(bases.select("split", "bucket", "docs_before", "tokens_before"), ["split", "bucket"]).select(
+        "split", "doc_ordinal", "n_tokens", (F.col("docs_before") + F.col("bucket_ordinal")).alias("split_ordinal"),
+        (F.col("tokens_before") + F.col("bucket_offset")).alias("offset"),
+    )
+
+
 def keep_batches(df: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append every micro-batch under its own folder, so a replay overwrites it."""
 

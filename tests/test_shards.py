@@ -19,7 +19,7 @@ from corpusloom.operators.shards import (
     with_previous,
 )
 from corpusloom.operators.tokenizers import Tokenizer, register_tokenizer, tokenize
-from corpusloom.sources.token_shards import ShardWriter, read_shards, shard_files, write_shards
+from corpusloom.sources.token_shards import Shard, ShardIndex, ShardWriter, read_shards, read_spans, shard_files, span_reads, write_shards
 
 # Lengths with BOS: 10 (fills a shard of 10 exactly), 26 (spans shards), 1, 4, 10, 7.
 TEXTS = ["a" * 9, "b" * 25, "", "ccc", "d" * 9, "eéé "]
@@ -252,3 +252,25 @@ def test_a_plain_folder_is_read_and_replaced(spark, docs, tmp_path):
     write_shards(export_pieces(docs, 0, 1000), path)
     assert sorted(files(path)) == ["fineweb_train_000000.bin"]
     assert read_shards(spark, path).select("split").distinct().count() == 1
+
+
+def test_spans_are_read_by_position(spark, docs, tmp_path):
+    path = str(tmp_path / "out")
+    write_shards(export_pieces(docs, 0, 10), path)
+    toks = stream_of(TEXTS)
+    n = len(toks)
+    spans = [(k, at, length) for k, (at, length) in enumerate([(0, 0), (0, 1), (9, 2), (3, 25), (n - 1, 3), (n, 4), (5 * n + 2, 7), (0, 2 * n + 5), (11, n)])]
+    df = spark.createDataFrame(spans, "k INT, start BIGINT, length BIGINT").repartition(3)
+    got = {r["k"]: r["tokens"] for r in read_spans(spark, path, df).collect()}
+    assert got == {k: [toks[(at + i) % n] for i in range(length)] for k, at, length in spans}
+    assert "Exchange" not in read_spans(spark, path, spark.range(3).select(F.col("id").alias("start"), F.lit(2).alias("length")))._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="no span"):
+        read_spans(spark, path, spark.createDataFrame([(-1, 2)], "start BIGINT, length BIGINT")).collect()
+
+
+def test_bytes_read_follow_the_spans():
+    index = ShardIndex()
+    index.extend([Shard(f"s{i}", "train", i, 10) for i in range(1000)])
+    reads = list(span_reads(index, 4_995, 12))
+    assert [(r.path, r.start, r.stop) for r in reads] == [("s499", 5, 10), ("s500", 0, 7)]
+    assert sum(r.stop - r.start for r in span_reads(index, 9_990, 25)) == 25

@@ -7,7 +7,7 @@ from corpusloom.functions import udtf
 from corpusloom.operators.checks import check_unique
 from corpusloom.operators.tokenizers import parse_reuse, resolve_specs
 from corpusloom.operators.catalog import check_catalog, missing_shards, select_shards
-from corpusloom.sources.archive import read_board, read_log_facts, read_log_points, read_results, read_runs
+from corpusloom.sources.archive import check_results, read_board, read_log_facts, read_log_points, read_results, read_runs
 from corpusloom.sources.docs import read_docs, read_sidecar, resolve_counts
 from corpusloom.sources.manifest import (
     manifest_document,
@@ -242,3 +242,47 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM windows(5, 4, 2)").collect()] == [(0, 4, 0), (2, 3, 1), (4, 1, 0)]
     rows = spark.sql("SELECT d, p.* FROM VALUES (0, 8L, 5L), (1, 13L, 30L) AS t(d, o, n), LATERAL shard_pieces(o, n, 10L) AS p").collect()
     assert [tuple(r) for r in rows] == [(0, 0, 8, 0, 2), (0, 1, 0, 2, 3), (1, 1, 3, 0, 7), (1, 2, 0, 7, 10), (1, 3, 0, 17, 10), (1, 4, 0, 27, 3)]
+
+
+@pytest.mark.parametrize("policy", ["all_starts", "full_only", "full_first", "jump", "exact_once"])
+def test_window_functions_equal_the_plans(spark, policy):
+    from corpusloom.operators.sequences import windows
+
+    udtf.register(spark)
+    spark.createDataFrame([("a", 5), ("b", 31), ("c", 0), ("d", 8)], "name STRING, total BIGINT").createOrReplaceTempView("pairs_of")
+    got = spark.sql(f"SELECT * FROM windows_of(TABLE(pairs_of), 8, 3, '{policy}')").collect()
+    for name, total in (("a", 5), ("b", 31), ("d", 8)):
+        want = sorted(tuple(r) for r in windows(spark, total, 8, 3, policy).collect())
+        assert sorted(tuple(r)[2:] for r in got if r["name"] == name) == want
+        assert sorted(tuple(r) for r in spark.sql(f"SELECT * FROM windows({total}L, 8, 3, '{policy}')").collect()) == [w[1:] for w in want]
+
+
+def test_pieces_of_a_table_carry_the_offset(spark):
+    from corpusloom.operators.shards import shard_pieces
+
+    udtf.register(spark)
+    rows = [(i, 1 + i * 7 % 23) for i in range(40)]
+    lengths = spark.createDataFrame(rows, "doc_ordinal BIGINT, n_tokens BIGINT")
+    lengths.selectExpr("*", "'x' AS split").unionByName(lengths.selectExpr("*", "'y' AS split")).createOrReplaceTempView("lengths_of")
+    got = spark.sql("SELECT * FROM shard_pieces_of(TABLE(lengths_of) PARTITION BY split ORDER BY (doc_ordinal), 25)").collect()
+    want = sorted(tuple(r) for r in shard_pieces(lengths, 0, 25).select("doc_ordinal", "shard_id", "shard_offset", "doc_from", "n").collect())
+    for split in "xy":
+        assert sorted((r["doc_ordinal"], r["shard_id"], r["shard_offset"], r["doc_from"], r["n"]) for r in got if r["split"] == split) == want
+
+
+@pytest.mark.parametrize("call, message", [
+    ("shard_pieces_of(TABLE(SELECT 1L AS n_tokens), 0)", "must be a constant above 0"),
+    ("shard_pieces_of(5, 3)", "must be TABLE"),
+    ("windows_of(TABLE(SELECT 1L AS total), 4, 8, 'jump')", "stride must not exceed"),
+    ("windows_of(TABLE(SELECT 1L AS total), 8, 4, 'other')", "policy must be one of"),
+    ("windows_of(TABLE(SELECT 1L AS n), 8, 4, 'jump')", "the table lacks total"),
+])
+def test_table_functions_refuse(spark, call, message):
+    udtf.register(spark)
+    with pytest.raises(Exception, match=message):
+        spark.sql(f"SELECT * FROM {call}").collect()
+
+
+def test_unreadable_results_are_listed(spark, tmp_path):
+    (tmp_path / "r.tsv").write_text("val_bpb\tartifact_bytes\tmemory_mb\tnotes\n1.36\t12\t10\tok\ncrash\t15\t11\tfailed\n1.2\n")
+    assert [r["detail"] for r in check_results(spark, f"{tmp_path}/r.tsv").collect()] == ["crash\t15\t11\tfailed", "1.2"]
