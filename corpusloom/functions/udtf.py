@@ -66,7 +66,7 @@ class Windows:
             yield window_at(k, total, seq_len, stride, policy)
 
 
-@udtf
+@udtf(useArrow=True)
 class ShardPiecesOf:
     """``shard_pieces_of(TABLE(docs) PARTITION BY … ORDER BY (…), shard_size)``: the columns
     of every document (with n_tokens) and its pieces in the stream of its partition. The
@@ -89,7 +89,7 @@ class ShardPiecesOf:
         self.offset = end
 
 
-@udtf
+@udtf(useArrow=True)
 class WindowsOf:
     """``windows_of(TABLE(sequences), seq_len, stride, policy)``: the columns of every
     sequence (with total, its number of pairs) and its windows under a policy."""
