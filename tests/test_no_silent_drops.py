@@ -11,7 +11,7 @@ from corpusloom.operators.tokenizers import vocabulary_table
 from corpusloom.session import qualified
 from corpusloom.sources.archive import read_log_lines
 from corpusloom.sources.manifest import write_manifest
-from corpusloom.sources.token_shards import _filesystem
+from corpusloom.sources.token_shards import filesystem
 from corpusloom.operators import merges, runs
 from corpusloom.operators.tokenizers import token_pair_counts
 from corpusloom.schema import BOS_ID, BYTE_OFFSET
@@ -35,8 +35,8 @@ def test_bare_path_is_on_the_default_file_system(spark, tmp_path):
 
 def test_tasks_take_full_uris_only():
     with pytest.raises(ValueError, match="not a full URI"):
-        _filesystem("/data/shards")
-    assert _filesystem("file:/data/x")[1] == "/data/x"
+        filesystem("/data/shards")
+    assert filesystem("file:/data/x")[1] == "/data/x"
 
 
 def test_token_id_out_of_range_fails(spark):
