@@ -152,6 +152,21 @@ def test_fingerprint_depends_on_order_and_text(spark, docs):
     assert one == h
 
 
+def test_fingerprint_of_fixed_levels_has_one_root_list(spark):
+    from harness import connect, difference
+
+    from corpusloom.plans.registry import ORACLE
+
+    # Ordinals beyond 64 ** 3, and a bucket without any text.
+    many = spark.createDataFrame([(i, None if i < 64 else f"t{i}") for i in [*range(130), 262_143, 262_144, 600_000]], "doc_ordinal bigint, text string")
+    con = connect("/nowhere")
+    for rows in (many, many.limit(0)):
+        documents = rows.withColumnRenamed("doc_ordinal", "doc_id").toArrow()
+        con.register("documents", documents)
+        assert difference(fingerprint(rows, 64, levels=3), con, ORACLE["corpus_fingerprint"]) is None
+    assert fingerprint(many, 64).first()["root"] != fingerprint(many, 64, levels=3).first()["root"]
+
+
 def test_small_columns(spark):
     df = spark.createDataFrame([([7, 8],)], "t ARRAY<INT>")
     row = df.select(pad(F.col("t"), 4).alias("p"), bits(F.log(F.lit(8.0))).alias("b"), idiv(F.lit(2**60 + 1), 2).alias("d")).first()
