@@ -124,3 +124,21 @@ def test_vocabulary_layout(spark, docs):
     assert len(vocab) == 270 + chars.count()
     stats = vocab_stats(M.vocabulary(spark, learned, chars))
     assert stats.filter(F.col("boundary")).count() == 4
+
+
+@pytest.mark.parametrize("text", ["a1b22 c", "x▁y ▁ z", " lead\t\n two  ", " nb sp", "½ ٣٤x", "one", " \x0b\x0c ", "ﬁ 　é"])
+@pytest.mark.parametrize("normalise", [True, False])
+def test_words_of_pieces_are_those_of_whole_texts(spark, text, normalise):
+    import unicodedata
+
+    docs = spark.createDataFrame([(text,), (text,), (None,)], "text string")
+    whole = unicodedata.normalize("NFKC", text) if normalise else text
+    want = Counter(spark.createDataFrame([(whole,)], "t string").select(M.words(F.col("t"))).first()[0])
+    got = {r["word"]: r["n"] for r in M.word_counts(docs, normalise=normalise).collect()}
+    assert got == {w: 2 * n for w, n in want.items()}
+
+
+def test_a_pass_writes_words_as_numbers(docs):
+    table = M._Words(M.spell(M.word_counts(docs), M.char_counts(M.word_counts(docs))))
+    table.merge(table.top(2)[:1])
+    assert dict(table.base.dtypes) == {"word": "bigint", "symbols": "array<int>", "n": "bigint"}
