@@ -191,11 +191,13 @@ def doc_spans(stream: DataFrame, bos: int, *, by: str = "split", include_next_bo
     Tokens before the first BOS belong to no document. ``stream`` is made of
     blocks without halo.
     """
-    found = stream.select(by, "base_offset", F.explode(positions_of(F.col("tokens"), bos)).alias("_at"))
+    # Blocks are assembled once: both branches read their few positions from a durable table.
+    marks = durable(stream.select(by, "base_offset", positions_of(F.col("tokens"), bos).alias("_at"), F.size("tokens").alias("_n")))
+    found = marks.select(by, "base_offset", F.explode("_at").alias("_at"))
     starts = found.select(by, (F.col("base_offset") + F.col("_at")).alias("start")).withColumn("_desc", -F.col("start"))
     order = [by, "_desc"]
     ends = scan(range_segments(starts, order), [by], ["_desc"], [Running("lag", "start", "_next")])
-    totals = stream.groupBy(by).agg(F.max(F.col("base_offset") + F.size("tokens")).alias("_total"))
+    totals = marks.groupBy(by).agg(F.max(F.col("base_offset") + F.col("_n")).alias("_total"))
     # One row per split.
     length = F.when(F.col("_next").isNull(), F.col("_total")).otherwise(
         F.col("_next") + (1 if include_next_bos else 0)

@@ -274,3 +274,17 @@ def test_bytes_read_follow_the_spans():
     reads = list(span_reads(index, 4_995, 12))
     assert [(r.path, r.start, r.stop) for r in reads] == [("s499", 5, 10), ("s500", 0, 7)]
     assert sum(r.stop - r.start for r in span_reads(index, 9_990, 25)) == 25
+
+
+def test_spans_assemble_each_block_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def block(i):
+        made.add(1)
+        return [1, 5, 6, 1, 7] if i < 9 else [8, 1, 9]
+
+    ids = spark.range(10, numPartitions=3).select(F.lit("train").alias("split"), F.col("id").alias("block_id"), (F.col("id") * 5).alias("base_offset"))
+    spans = doc_spans(ids.withColumn("tokens", block("block_id")), 1, include_next_bos=False).collect()
+    assert sorted((r["start"], r["length"]) for r in spans)[-3:] == [(40, 3), (43, 3), (46, 2)] and len(spans) == 19
+    assert made.value == 10
