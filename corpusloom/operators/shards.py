@@ -11,7 +11,7 @@ from pyspark.sql.types import BinaryType
 from ..functions.columns import idiv
 from ..functions.tokens import pair_counts, positions_of
 from ..schema import MAX_VOCAB_SIZE, SHARD_SIZE
-from ..session import durable
+from ..session import durable, small_side
 from .corpus import with_split
 from .order import Running, bucket_totals, range_segments, running_offsets, scan
 from .tokenizers import byte_length, tokenize
@@ -175,7 +175,9 @@ def open_stream(shards: DataFrame, block_size: int, *, halo: int = 0, sizes: Dat
     """
     if sizes is None:
         sizes = shards.select("split", "shard_id", F.col("shard_tokens").alias("n_tokens")).distinct()
-    bases = running_offsets(sizes, "n_tokens", "shard_id", ["split"]).select("split", "shard_id", F.col("offset").alias("_base"))
+    # One row per shard, as a table of known size: while that is below Spark's limit for
+    # broadcasts, the tokens are shuffled once only, into blocks.
+    bases = small_side(running_offsets(sizes, "n_tokens", "shard_id", ["split"]).select("split", "shard_id", F.col("offset").alias("_base")))
     placed = (
         shards.join(bases, ["split", "shard_id"])
         .withColumn("offset", F.col("_base") + F.col("block_offset"))

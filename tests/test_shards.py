@@ -288,3 +288,13 @@ def test_spans_assemble_each_block_once(spark):
     spans = doc_spans(ids.withColumn("tokens", block("block_id")), 1, include_next_bos=False).collect()
     assert sorted((r["start"], r["length"]) for r in spans)[-3:] == [(40, 3), (43, 3), (46, 2)] and len(spans) == 19
     assert made.value == 10
+
+
+def test_reopened_stream_moves_tokens_once(spark, docs, tmp_path):
+    from corpusloom.sources.token_shards import shard_sizes
+
+    path = str(tmp_path / "moved")
+    write_shards(export_pieces(docs, 2, 7), path)
+    stream = open_stream(read_shards(spark, path), 8, sizes=shard_sizes(spark, path))
+    plan = stream._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
