@@ -107,15 +107,8 @@ def running_bpb(batches: DataFrame, order: Sequence[str], by: Sequence[str] = ()
 PredictFactory = Callable[[], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
 
 
-def score(windows_with_tokens: DataFrame, make_predict: PredictFactory, *, keep: Sequence[str] = ("window_id", "win_start", "score_from")) -> DataFrame:
-    """Score windows with a user's model: adds ``nll``, one value per position.
-
-    ``make_predict()`` runs once per worker and returns ``f(x, y, lengths)`` that
-    maps zero-padded (batch, width) inputs and targets to losses of that shape.
-    """
-    keep = list(keep)
-    fields = {f.name: f.dataType.simpleString() for f in windows_with_tokens.schema.fields}
-    schema = ", ".join([*[f"`{k}` {fields[k]}" for k in keep], "y ARRAY<INT>", "nll ARRAY<DOUBLE>"])
+def _scorer(make_predict: PredictFactory, keep: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with x and y to batches with y and nll."""
 
     def dense(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = col.offsets.to_numpy()
@@ -140,7 +133,41 @@ def score(windows_with_tokens: DataFrame, make_predict: PredictFactory, *, keep:
                 [*[batch.column(k) for k in keep], batch.column("y"), losses], names=[*keep, "y", "nll"]
             )
 
-    return windows_with_tokens.select(*keep, "x", "y").mapInArrow(run, schema)
+    return run
+
+
+def score(windows_with_tokens: DataFrame, make_predict: PredictFactory, *, keep: Sequence[str] = ("window_id", "win_start", "score_from")) -> DataFrame:
+    """Score windows with a user's model: adds ``nll``, one value per position.
+
+    ``make_predict()`` runs once per worker and returns ``f(x, y, lengths)`` that
+    maps zero-padded (batch, width) inputs and targets to losses of that shape.
+    """
+    keep = list(keep)
+    fields = {f.name: f.dataType.simpleString() for f in windows_with_tokens.schema.fields}
+    schema = ", ".join([*[f"`{k}` {fields[k]}" for k in keep], "y ARRAY<INT>", "nll ARRAY<DOUBLE>"])
+    return windows_with_tokens.select(*keep, "x", "y").mapInArrow(_scorer(make_predict, keep), schema)
+
+
+TOTALS = "part bigint, n bigint, sum_token bigint, loss_sum double"
+
+
+def _totals(batch: pa.RecordBatch, every: int) -> pa.RecordBatch:
+    """Sums of a scored batch by stretches of ``every`` positions."""
+    y, nll = batch.column("y"), batch.column("nll")
+    offsets = y.offsets.to_numpy().astype(np.int64)
+    widths = np.diff(offsets)
+    at = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], widths)
+    start, scores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("win_start", "score_from"))
+    counts = at >= np.repeat(scores, widths)
+    parts, index = np.unique((np.repeat(start, widths) + at + 1)[counts] // every, return_inverse=True)
+    tokens, losses = (c.flatten().to_numpy(zero_copy_only=False)[counts].astype(np.float64) for c in (y, nll))
+    sums = [np.bincount(index, w, len(parts)) for w in (None, tokens, losses)]
+    columns = [pa.array(parts), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "n", "sum_token", "loss_sum"])
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("n", "sum_token", "loss_sum")])
 
 
 def scored_totals(scored: DataFrame, every: int) -> DataFrame:
@@ -149,20 +176,22 @@ def scored_totals(scored: DataFrame, every: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            y, nll = batch.column("y"), batch.column("nll")
-            offsets = y.offsets.to_numpy().astype(np.int64)
-            widths = np.diff(offsets)
-            at = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], widths)
-            start, scores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("win_start", "score_from"))
-            counts = at >= np.repeat(scores, widths)
-            parts, index = np.unique((np.repeat(start, widths) + at + 1)[counts] // every, return_inverse=True)
-            tokens, losses = (c.flatten().to_numpy(zero_copy_only=False)[counts].astype(np.float64) for c in (y, nll))
-            sums = [np.bincount(index, w, len(parts)) for w in (None, tokens, losses)]
-            columns = [pa.array(parts), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "sum_token", "loss_sum"])
-
-    parts = scored.select("win_start", "score_from", "y", "nll").mapInArrow(run, "part bigint, n bigint, sum_token bigint, loss_sum double")
-    return parts.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("n", "sum_token", "loss_sum")])
+            yield _totals(batch, every)
+
+    return _summed(scored.select("win_start", "score_from", "y", "nll").mapInArrow(run, TOTALS))
+
+
+def score_totals(windows_with_tokens: DataFrame, make_predict: PredictFactory, every: int) -> DataFrame:
+    """:func:`scored_totals` of :func:`score`, summed in the batch that is scored: targets
+    and losses do not leave the task."""
+    keep = ["win_start", "score_from"]
+    scored = _scorer(make_predict, keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scored(batches):
+            yield _totals(batch, every)
+
+    return _summed(windows_with_tokens.select(*keep, "x", "y").mapInArrow(run, TOTALS))
 
 
 def scored_positions(scored: DataFrame) -> DataFrame:

@@ -212,3 +212,14 @@ def test_workers(spark, n, world):
     }
     for mode, parts in want.items():
         assert [r[mode] for r in rows] == [next(w for w, p in enumerate(parts) if i in p) for i in range(n)], mode
+
+
+def test_totals_of_the_scoring_batch_are_those_of_its_rows(spark):
+    from corpusloom.operators.metrics import score, score_totals, scored_totals
+
+    rows = [(i, 5 * i, 5, i % 3, [j % 7 for j in range(5 * i, 5 * i + 5)], [j % 7 for j in range(5 * i + 1, 5 * i + 6)]) for i in range(40)]
+    wins = spark.createDataFrame(rows, "window_id bigint, win_start bigint, win_len bigint, score_from bigint, x array<int>, y array<int>")
+    make = lambda: lambda x, y, lengths: y * 0.5 + x
+    got = score_totals(wins, make, 16)
+    assert sorted(got.collect()) == sorted(scored_totals(score(wins, make), 16).collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
