@@ -6,13 +6,17 @@ each partition of its argument in one task, row by row, with a state of a few nu
 where one partition is most of the table, the DataFrame functions cut it.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, arrow_udtf, udtf
 
-from ..operators.sequences import window_at, window_count
+from ..operators.sequences import window_at, window_count, window_counts, windows_at
 
 POLICY_NAMES = "all_starts, full_only, full_first, jump, exact_once"
+#: Windows in an Arrow batch of ``windows_of`` for a known schema.
+WINDOW_ROWS = 1 << 16
 
 
 def _table(arg: AnalyzeArgument, function: str, *columns: str) -> list[T.StructField]:
@@ -108,6 +112,41 @@ class WindowsOf:
             yield (*row, k, *window_at(k, row["total"], seq_len, stride, policy))
 
 
+class ArrowWindowsOf:
+    """:class:`WindowsOf` on Arrow batches, without Python's work for each window. A long
+    sequence fills several batches of at most ``WINDOW_ROWS`` windows."""
+
+    def eval(self, rows: pa.RecordBatch, seq_len: pa.Array, stride: pa.Array, policy: pa.Array):
+        if not rows.num_rows:
+            return
+        plan = seq_len[0].as_py(), stride[0].as_py(), policy[0].as_py()
+        if not 0 < plan[1] <= plan[0]:
+            raise ValueError("windows_of: need 0 < stride <= seq_len")
+        total = rows.column("total")
+        if total.null_count:
+            raise ValueError("windows_of: a sequence without total")
+        total = total.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = window_counts(total, *plan)
+        ends = np.cumsum(counts)
+        for low in range(0, int(ends[-1]), WINDOW_ROWS):
+            at = np.arange(low, min(low + WINDOW_ROWS, int(ends[-1])))
+            row = np.searchsorted(ends, at, side="right")
+            k = at - (ends - counts)[row]
+            made = [pa.array(a) for a in (k, *windows_at(k, total[row], *plan))]
+            names = [*rows.schema.names, "window_id", "win_start", "win_len", "score_from"]
+            yield pa.RecordBatch.from_arrays([*rows.take(pa.array(row)).columns, *made], names=names)
+
+
+def register_windows_of(spark: SparkSession, name: str, schema: T.StructType) -> None:
+    """Register ``name`` as ``windows_of`` for tables of ``schema``. Spark's functions on
+    Arrow batches must know their columns beforehand; ``windows_of`` itself takes any
+    table, at the price of one Python row a window."""
+    if "total" not in schema.names:
+        raise ValueError("windows_of: the table lacks total")
+    made = _bigint("window_id", "win_start", "win_len", "score_from")
+    spark.udtf.register(name, arrow_udtf(ArrowWindowsOf, returnType=T.StructType([*schema.fields, *made])))
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("shard_pieces", ShardPieces)
     spark.udtf.register("micro_chunks", MicroChunks)

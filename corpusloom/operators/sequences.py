@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,6 +247,35 @@ def _scored(k: int, total: int, seq_len: int, stride: int, policy: str) -> tuple
     return max(end - stride, start), end
 
 
+def window_counts(total: np.ndarray, seq_len: int, stride: int, policy: str) -> np.ndarray:
+    """``window_count`` of many sequences."""
+    full = (total - seq_len) // stride + 1
+    if policy == "all_starts":
+        return np.maximum(-(-total // stride), 0)
+    if policy == "full_only":
+        return np.maximum(full, 1)
+    if policy == "full_first":
+        return np.maximum(full, 0)
+    if policy == "jump":
+        if stride >= seq_len:
+            raise ValueError("the jump policy needs stride < seq_len")
+        rest = total - seq_len - (seq_len - stride)
+        return np.where(total < seq_len, 0, 1 + np.maximum(rest // stride + 1, 0))
+    if policy == "exact_once":
+        return np.where(total <= 0, 0, 1 + np.maximum(-(-(total - seq_len) // stride), 0))
+    raise ValueError(f"unknown window policy {policy!r}")
+
+
+def windows_at(k: np.ndarray, total: np.ndarray, seq_len: int, stride: int, policy: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``window_at`` of many windows; ``total`` is that of each one's sequence."""
+    start = k * stride if policy != "jump" else np.where(k == 0, 0, seq_len - stride + (k - 1) * stride)
+    end = np.minimum(start + seq_len, total)
+    low = np.minimum((k - 1) * stride + seq_len, total) if policy == "exact_once" else np.maximum(end - stride, start)
+    if policy != "full_only":
+        low = np.where(k == 0, start, low)
+    return start, end - start, low - start
+
+
 def policy_segments(spark: SparkSession, total: int, seq_len: int, stride: int, policies: Sequence[str]) -> DataFrame:
     """``scored_segments`` of whole policies in closed form: (policy, seg_from, seg_to, times).
 

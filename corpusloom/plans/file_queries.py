@@ -14,7 +14,7 @@ from ..operators.checks import check_count
 from ..operators.export import export_corpus
 from ..operators.sequences import as_rows, train_spans
 from ..operators.tokenizers import resolve_specs
-from ..session import scratch_path
+from ..session import durable, scratch_path
 from ..sources.archive import check_results, read_results
 from ..sources.docs import read_sidecar, resolve_counts
 from ..sources.manifest import manifest_document, parse_specs, read_specs, write_specs
@@ -164,10 +164,12 @@ def sql_shard_pieces(spark, sf):
 
 
 def sql_windows(spark, sf):
-    """Windows of every document under all policies, by a table function."""
-    udtf.register(spark)
-    lengths(spark, sf).select("doc_ordinal", (F.col("n_tokens") - 1).alias("total")).createOrReplaceTempView("doc_pairs")
-    parts = [f"SELECT '{p}' AS policy, * FROM windows_of(TABLE(doc_pairs), {SEQ}, {STRIDE}, '{p}')" for p in udtf.POLICY_NAMES.split(", ")]
+    """Windows of every document under all policies, by a table function on Arrow batches.
+    The lengths are a durable table: texts are read once, not once per policy."""
+    pairs = durable(lengths(spark, sf).select("doc_ordinal", (F.col("n_tokens") - 1).alias("total")))
+    pairs.createOrReplaceTempView("doc_pairs")
+    udtf.register_windows_of(spark, "doc_windows_of", pairs.schema)
+    parts = [f"SELECT '{p}' AS policy, * FROM doc_windows_of(TABLE(doc_pairs), {SEQ}, {STRIDE}, '{p}')" for p in udtf.POLICY_NAMES.split(", ")]
     rows = spark.sql(" UNION ALL ".join(parts))
     return rows.groupBy("policy", "doc_ordinal").agg(
         F.count(F.lit(1)).alias("n"), F.sum("win_start").alias("starts"), F.sum("win_len").alias("lens"), F.sum(F.col("score_from") * (F.col("window_id") + 1)).alias("scores")

@@ -257,6 +257,42 @@ def test_window_functions_equal_the_plans(spark, policy):
         assert sorted(tuple(r) for r in spark.sql(f"SELECT * FROM windows({total}L, 8, 3, '{policy}')").collect()) == [w[1:] for w in want]
 
 
+@pytest.mark.parametrize("policy", ["all_starts", "full_only", "full_first", "jump", "exact_once"])
+@pytest.mark.parametrize("seq_len, stride", [(8, 3), (8, 7), (5, 1), (64, 8)])
+def test_window_arrays_equal_single_windows(policy, seq_len, stride):
+    import numpy as np
+
+    from corpusloom.operators.sequences import window_at, window_count, window_counts, windows_at
+
+    total = np.arange(0, 200)
+    counts = window_counts(total, seq_len, stride, policy)
+    assert counts.tolist() == [window_count(t, seq_len, stride, policy) for t in range(200)]
+    row, k = np.repeat(total, counts), np.concatenate([np.arange(n) for n in counts])
+    assert list(zip(*(a.tolist() for a in windows_at(k, row, seq_len, stride, policy)))) == [window_at(int(i), int(t), seq_len, stride, policy) for i, t in zip(k, row)]
+
+
+def test_windows_of_a_known_schema_come_in_arrow_batches(spark):
+    pairs = spark.createDataFrame([("a", 5), ("b", 31), ("c", 0), ("d", 400_000)], "name STRING, total BIGINT").coalesce(1)
+    pairs.createOrReplaceTempView("pairs_known")
+    udtf.register(spark)
+    udtf.register_windows_of(spark, "pairs_windows_of", pairs.schema)
+    for policy in udtf.POLICY_NAMES.split(", "):  # d alone has more windows than a batch
+        got, want = (spark.sql(f"SELECT name, total, count(*) AS n, sum(hash(*)) AS h FROM {f}(TABLE(pairs_known), 8, 4, '{policy}') GROUP BY ALL ORDER BY name").collect() for f in ("pairs_windows_of", "windows_of"))
+        assert got == want and got[-1]["n"] > udtf.WINDOW_ROWS
+    with pytest.raises(ValueError, match="lacks total"):
+        udtf.register_windows_of(spark, "w", spark.range(1).schema)
+    for call, message in (("pairs_windows_of(TABLE(pairs_known), 4, 8, 'jump')", "stride <= seq_len"), ("pairs_windows_of(TABLE(SELECT 'x' AS name, NULL::BIGINT AS total), 8, 4, 'jump')", "without total")):
+        with pytest.raises(Exception, match=message):
+            spark.sql(f"SELECT * FROM {call}").collect()
+
+
+def test_sql_windows_makes_its_rows_in_arrow_batches_of_one_scan(spark, sf):
+    from corpusloom.plans.file_queries import sql_windows
+
+    plan = sql_windows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("doc_windows_of(") == 5 and "parquet" not in plan
+
+
 def test_pieces_of_a_table_carry_the_offset(spark):
     from corpusloom.operators.shards import shard_pieces
 
