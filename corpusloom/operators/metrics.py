@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bits
-from ..functions.tokens import framed, lookup_sums
+from ..functions.tokens import framed, lookup_sums, packed_values
 from .order import SEGMENT, Running, range_segments, scan
 from .tokenizers import once_per_worker, tokenizer_factory, vocabulary_table
 
@@ -151,6 +151,23 @@ def score(windows_with_tokens: DataFrame, make_predict: PredictFactory, *, keep:
 TOTALS = "part bigint, n bigint, sum_token bigint, loss_sum double"
 
 
+def _part_sums(low: np.ndarray, high: np.ndarray, tokens: np.ndarray, losses: np.ndarray, every: int) -> pa.RecordBatch:
+    """Sums by stretches of ``every`` positions. ``low`` and ``high`` bound the positions each
+    window scores; ``tokens`` and ``losses`` go through them window by window. A window is
+    cut where a stretch ends, so nothing is sorted or counted by position."""
+    n = np.maximum(high - low, 0)
+    cells = np.where(n > 0, (high - 1) // every - low // every + 1, 0)
+    window = np.repeat(np.arange(len(n)), cells)
+    part = low[window] // every + np.arange(len(window)) - (np.cumsum(cells) - cells)[window]
+    begin, end = np.maximum(part * every, low[window]), np.minimum((part + 1) * every, high[window])
+    at = (np.cumsum(n) - n)[window] + begin - low[window]
+    parts, index = np.unique(part, return_inverse=True)
+    pieces = [end - begin, *(np.add.reduceat(v, at) if len(at) else at for v in (tokens.astype(np.float64), losses))]
+    sums = [np.bincount(index, w, len(parts)) for w in pieces]
+    columns = [pa.array(parts), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "n", "sum_token", "loss_sum"])
+
+
 def _totals(batch: pa.RecordBatch, every: int) -> pa.RecordBatch:
     """Sums of a scored batch by stretches of ``every`` positions."""
     y, nll = batch.column("y"), batch.column("nll")
@@ -159,11 +176,8 @@ def _totals(batch: pa.RecordBatch, every: int) -> pa.RecordBatch:
     at = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], widths)
     start, scores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("win_start", "score_from"))
     counts = at >= np.repeat(scores, widths)
-    parts, index = np.unique((np.repeat(start, widths) + at + 1)[counts] // every, return_inverse=True)
-    tokens, losses = (c.flatten().to_numpy(zero_copy_only=False)[counts].astype(np.float64) for c in (y, nll))
-    sums = [np.bincount(index, w, len(parts)) for w in (None, tokens, losses)]
-    columns = [pa.array(parts), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "n", "sum_token", "loss_sum"])
+    tokens, losses = (c.flatten().to_numpy(zero_copy_only=False)[counts] for c in (y, nll))
+    return _part_sums(start + scores + 1, start + widths + 1, tokens, losses, every)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -194,6 +208,48 @@ def score_totals(windows_with_tokens: DataFrame, make_predict: PredictFactory, e
     return _summed(windows_with_tokens.select(*keep, "x", "y").mapInArrow(run, TOTALS))
 
 
+def _block_tokens(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of blocks back to back, and where each block begins. ``parts`` are the pieces
+    of every block, in any order."""
+    bounds, items = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
+    block = np.repeat(np.arange(len(parts)), np.diff(bounds))
+    order = np.lexsort((items.field("cell_offset").to_numpy(zero_copy_only=False), block))
+    data, offsets = packed_values(items.field("tokens").take(pa.array(order)))
+    return data, offsets[bounds - bounds[0]]
+
+
+def score_blocks(blocks: DataFrame, make_predict: PredictFactory, block_size: int, every: int, *, windows_at_once: int = 256) -> DataFrame:
+    """:func:`score_totals` of the windows of whole blocks, as
+    :func:`~corpusloom.operators.sequences.window_blocks` lays them out: a token goes to its
+    task once, not once per window that holds it. The model gets up to ``windows_at_once``
+    windows a call."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = make_predict()
+        for batch in filter(len, batches):
+            data, first = _block_tokens(batch.column("parts"))
+            wins = batch.column("windows")
+            block = np.repeat(np.arange(len(wins)), np.diff(wins.offsets.to_numpy()))
+            start, lengths, scores = (wins.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("win_start", "win_len", "score_from"))
+            begin = first[block] + start - batch.column("block_id").to_numpy()[block] * block_size
+            if (begin + lengths + 1 > first[block + 1]).any():
+                raise ValueError("a window reaches beyond its block and the tokens that follow it")
+            data = np.append(data, np.zeros(int(lengths.max(initial=0)), data.dtype))
+            for k in range(0, len(begin), windows_at_once):
+                at = slice(k, k + windows_at_once)
+                size = lengths[at]
+                width = int(size.max())
+                rows = np.lib.stride_tricks.sliding_window_view(data, width + 1)[begin[at]].astype(np.int64)
+                places = np.arange(width)
+                live = places < size[:, None]
+                x, y = (np.where(live, v, 0) for v in (rows[:, :-1], rows[:, 1:]))
+                nll = np.asarray(predict(x, y, size), np.float64)
+                scored = live & (places >= scores[at][:, None])
+                yield _part_sums(start[at] + scores[at] + 1, start[at] + size + 1, y[scored], nll[scored], every)
+
+    return _summed(blocks.select("block_id", "parts", "windows").mapInArrow(run, TOTALS))
+
+
 def scored_positions(scored: DataFrame) -> DataFrame:
     """(pos, token, nll) of the positions a window may score; pos is the target's."""
     n = F.size("nll") - F.col("score_from").cast("int")

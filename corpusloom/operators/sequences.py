@@ -384,6 +384,19 @@ def window_tokens(stream: DataFrame, wins: DataFrame, block_size: int) -> DataFr
     )
 
 
+def window_blocks(pieces: DataFrame, wins: DataFrame, block_size: int) -> DataFrame:
+    """(block_id, parts, windows): the pieces of a block and the windows that begin in it.
+
+    ``pieces`` are packed tokens as ``cut_pieces`` makes them, with a halo of at least the
+    longest window. A block's pieces are put in order where its windows are read; a window
+    whose block has no tokens is kept, so that its reader refuses it.
+    """
+    parts = pieces.groupBy(F.col("cell").alias("block_id")).agg(F.collect_list(F.struct("cell_offset", "tokens")).alias("parts"))
+    listed = F.collect_list(F.struct("win_start", "win_len", "score_from")).alias("windows")
+    grouped = wins.groupBy(F.expr(f"win_start div {block_size}").alias("block_id")).agg(listed)
+    return grouped.join(parts, "block_id", "left")
+
+
 # --- documents ---------------------------------------------------------------------------
 
 

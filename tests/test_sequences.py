@@ -223,3 +223,33 @@ def test_totals_of_the_scoring_batch_are_those_of_its_rows(spark):
     got = score_totals(wins, make, 16)
     assert sorted(got.collect()) == sorted(scored_totals(score(wins, make), 16).collect())
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("policy, block, every", [("exact_once", 32, 7), ("all_starts", 64, 100), ("full_only", 32, 1), ("jump", 16, 1000)])
+def test_totals_of_blocks_are_those_of_their_windows(spark, policy, block, every):
+    from corpusloom.functions.tokens import packed
+    from corpusloom.operators.metrics import score_blocks, score_totals
+    from corpusloom.operators.sequences import window_blocks
+    from corpusloom.operators.shards import blocks, cut_pieces
+
+    lengths = [1, 70, 3, 200, 1, 1, 90, 65]  # one document in many blocks, many in one
+    rows = [(i, sum(lengths[:i]), n, [(7 * j + i) % 50 for j in range(n)]) for i, n in enumerate(lengths)]
+    placed = spark.createDataFrame(rows, "doc_ordinal bigint, offset bigint, n_tokens bigint, tokens array<int>").repartition(3)
+    as_bytes = placed.withColumn("tokens", F.arrow_udf(lambda t: packed(t, 50), "binary")("tokens"))
+    wins = windows(spark, sum(lengths) - 1, 40, 13, policy)
+    make = lambda: lambda x, y, n: y * 0.5 + x * x + n[:, None]
+    want = score_totals(window_tokens(blocks(placed, block, by=None, halo=40), wins, block), make, every)
+    pieces = cut_pieces(as_bytes, block, by=None, halo=40)
+    for at_once in (1, 5, 256):
+        got = score_blocks(window_blocks(pieces, wins, block), make, block, every, windows_at_once=at_once)
+        assert sorted(got.collect()) == sorted(want.collect())
+    for beyond in (windows(spark, sum(lengths), 40, 13, "all_starts"), windows(spark, sum(lengths) + 500, 40, 13, policy)):
+        with pytest.raises(Exception, match="a window reaches beyond"):
+            score_blocks(window_blocks(pieces, beyond, block), make, block, every).collect()
+
+
+def test_score_windows_sends_a_token_once(spark, sf):
+    from corpusloom.plans.corpus_queries import score_windows
+
+    plan = score_windows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "slice(" not in plan  # no x and y cut out for every window
