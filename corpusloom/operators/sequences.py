@@ -208,9 +208,16 @@ def windows(spark: SparkSession, total: int, seq_len: int, stride: int, policy:
     jump        the second window starts ``seq_len - stride`` after the first
     exact_once  clipped tail scores only positions no earlier window scored
     """
+    start, length, score_from = _window(F.col("window_id"), total, seq_len, stride, policy)
+    return _range(spark, window_count(total, seq_len, stride, policy), "window_id").select(
+        "window_id", start.alias("win_start"), length.alias("win_len"), score_from.alias("score_from")
+    )
+
+
+def _window(k: Column, total: int, seq_len: int, stride: int, policy: str) -> tuple[Column, Column, Column]:
+    """(win_start, win_len, score_from) of window ``k``, as expressions."""
     if seq_len <= 0 or stride <= 0 or stride > seq_len:
         raise ValueError("need 0 < stride <= seq_len")
-    k = F.col("window_id")
     start = k * stride
     if policy == "jump":
         start = F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.lit(seq_len - stride) + (k - 1) * stride)
@@ -224,9 +231,7 @@ def windows(spark: SparkSession, total: int, seq_len: int, stride: int, policy:
         score_from = F.when(k == 0, F.lit(0).cast("bigint")).otherwise(done - start)
     else:
         score_from = F.when(k == 0, F.lit(0).cast("bigint")).otherwise(tail)
-    return _range(spark, window_count(total, seq_len, stride, policy), "window_id").select(
-        "window_id", start.alias("win_start"), length.alias("win_len"), score_from.alias("score_from")
-    )
+    return start, length, score_from
 
 
 def window_at(k: int, total: int, seq_len: int, stride: int, policy: str) -> tuple[int, int, int]:
@@ -391,10 +396,36 @@ def window_blocks(pieces: DataFrame, wins: DataFrame, block_size: int) -> DataFr
     longest window. A block's pieces are put in order where its windows are read; a window
     whose block has no tokens is kept, so that its reader refuses it.
     """
-    parts = pieces.groupBy(F.col("cell").alias("block_id")).agg(F.collect_list(F.struct("cell_offset", "tokens")).alias("parts"))
     listed = F.collect_list(F.struct("win_start", "win_len", "score_from")).alias("windows")
     grouped = wins.groupBy(F.expr(f"win_start div {block_size}").alias("block_id")).agg(listed)
-    return grouped.join(parts, "block_id", "left")
+    return grouped.join(_block_parts(pieces), "block_id", "left")
+
+
+def _block_parts(pieces: DataFrame) -> DataFrame:
+    listed = F.collect_list(F.struct("cell_offset", "tokens")).alias("parts")
+    return pieces.groupBy(F.col("cell").alias("block_id")).agg(listed)
+
+
+def policy_blocks(pieces: DataFrame, total: int, seq_len: int, stride: int, policy: str, block_size: int) -> DataFrame:
+    """:func:`window_blocks` of a whole policy. Which windows begin in a block follows from
+    its number, so no window is shuffled, gathered or joined. ``pieces`` are those of the
+    stream that has the ``total`` pairs; blocks in which no window begins are left out."""
+    lead = seq_len - 2 * stride if policy == "jump" else 0  # window k > 0 begins at lead + k * stride
+    n = F.lit(window_count(total, seq_len, stride, policy)).cast("bigint")
+
+    def before(at: Column) -> Column:
+        """Number of windows that begin before ``at``."""
+        k = F.greatest(idiv(at - lead + (stride - 1), stride), F.lit(1).cast("bigint"))
+        return F.least(F.when(at > 0, k).otherwise(F.lit(0).cast("bigint")), n)
+
+    def window(k: Column) -> Column:
+        fields = _window(k, total, seq_len, stride, policy)
+        return F.struct(*[c.alias(name) for c, name in zip(fields, ("win_start", "win_len", "score_from"))])
+
+    begin = F.col("block_id") * block_size
+    low, high = before(begin), before(begin + block_size)
+    found = _block_parts(pieces).filter(low < high)
+    return found.withColumn("windows", F.transform(F.sequence(low, high - 1), window))
 
 
 # --- documents ---------------------------------------------------------------------------

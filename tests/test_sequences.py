@@ -253,3 +253,23 @@ def test_score_windows_sends_a_token_once(spark, sf):
 
     plan = score_windows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "slice(" not in plan  # no x and y cut out for every window
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+@pytest.mark.parametrize("seq_len, stride, block", [(40, 13, 32), (16, 5, 64), (24, 20, 8), (7, 1, 16)])
+def test_windows_of_a_block_follow_from_its_number(spark, policy, seq_len, stride, block):
+    from corpusloom.operators.sequences import policy_blocks
+
+    for total in (1, seq_len - 1, seq_len, 3 * block, 400):
+        cells = spark.range(total // block + 1).select(F.col("id").alias("cell"), F.lit(0).cast("bigint").alias("cell_offset"), F.lit(b"").alias("tokens"))
+        blocks = policy_blocks(cells, total, seq_len, stride, policy, block)
+        got = [(r["block_id"], tuple(w)) for r in blocks.collect() for w in r["windows"]]
+        want = [tuple(r)[1:] for r in windows(spark, total, seq_len, stride, policy).collect()]
+        assert sorted(got) == sorted((w[0] // block, w) for w in want)
+
+
+def test_score_windows_moves_no_window(spark, sf):
+    from corpusloom.plans.corpus_queries import score_windows
+
+    plan = score_windows(spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert "Range" not in plan.toString() and plan.toString().count("collect_list") == 1
