@@ -239,13 +239,17 @@ def score_blocks(blocks: DataFrame, make_predict: PredictFactory, block_size: in
                 at = slice(k, k + windows_at_once)
                 size = lengths[at]
                 width = int(size.max())
-                rows = np.lib.stride_tricks.sliding_window_view(data, width + 1)[begin[at]].astype(np.int64)
-                places = np.arange(width)
-                live = places < size[:, None]
-                x, y = (np.where(live, v, 0) for v in (rows[:, :-1], rows[:, 1:]))
+                cut = np.lib.stride_tricks.sliding_window_view(data, width)
+                x, y = (cut[begin[at] + i].astype(np.int64) for i in (0, 1))
+                low = int(scores[at][0])
+                alike = (size == width).all() and (scores[at] == low).all()  # all but the first and the last windows
+                if not alike:
+                    places = np.arange(width)
+                    live = places < size[:, None]
+                    x[~live] = y[~live] = 0
                 nll = np.asarray(predict(x, y, size), np.float64)
-                scored = live & (places >= scores[at][:, None])
-                yield _part_sums(start[at] + scores[at] + 1, start[at] + size + 1, y[scored], nll[scored], every)
+                scored = (slice(None), slice(low, None)) if alike else live & (places >= scores[at][:, None])
+                yield _part_sums(start[at] + scores[at] + 1, start[at] + size + 1, y[scored].ravel(), nll[scored].ravel(), every)
 
     return _summed(blocks.select("block_id", "parts", "windows").mapInArrow(run, TOTALS))
 
